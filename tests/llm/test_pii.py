@@ -1,0 +1,69 @@
+import hashlib
+import random
+import re
+import time
+
+from tempolyra.llm.pii import BASE_KINDS, find_pii, find_spans
+from tempolyra.llm.queries import QUERIES
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * 2, 10)) if k % 2 else int(c) for k, c in enumerate(d[::-1])) % 10 == 0
+
+
+def brute(text):
+    """The four base kinds by their plain patterns."""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    pats = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 12 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    }
+    out = [(m.start(), k, kind, m.end()) for k, (kind, (p, ok)) in enumerate(pats.items()) for m in re.finditer(p, text) if ok(m.group())]
+    return [(kind, s, e) for s, _, kind, e in sorted(out)]
+
+
+def base(text):
+    return [(x["kind"], x["start"], x["end"]) for x in find_spans(text) if x["kind"] in BASE_KINDS]
+
+
+def test_random_texts():
+    rng = random.Random(1)
+    parts = ["a@b.c", "_d@e.f", "@", ".", "1.2.3.4", "300.1.1.1", "4111 1111-1111 1111", "+", "+1 (017) 555-7713", " ", "-", "7", "00", "x", "é", "@@", "5.6.7.8.9.10.11.12", "%", "(", "\n", "012"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert base(t) == brute(t), t
+
+
+def test_method_adds_validated_spans():
+    kinds = lambda t: [x["kind"] for x in find_spans(t)]
+    assert kinds("iban GB82 WEST 1234 5698 7654 32 ok") == ["iban"]
+    assert kinds("iban GB83 WEST 1234 5698 7654 32 ok") == []
+    assert kinds("call 212-555-0187 now") == ["local_phone"]
+    assert kinds("order 212-555-0187 now") == []
+
+
+def test_long_texts_stay_linear():
+    began = time.time()
+    for t in ("1" * 300_000, "a" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "a@" * 150_000, "1 " * 150_000, "A" * 300_000):
+        find_spans(t)
+    assert time.time() - began < 20
+
+
+def test_frame(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "me a@b.c", 5), (3, "me a@b.c", 5), (None, "1.2.3.4", 5)], "doc_id long, text string, spans int")
+    got = sorted(((r.doc_id, [(x.kind, x.start, x.end) for x in r.spans]) for r in find_pii(df).collect()), key=repr)
+    assert got == sorted([(1, []), (2, []), (3, [("email", 3, 8)]), (3, [("email", 3, 8)]), (None, [("ip", 0, 7)])], key=repr)
+    assert find_pii(df.limit(0)).count() == 0
+
+
+def test_query(spark):
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op5_pii"](spark, d).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        want = brute(t or "")
+        assert [got[i][f"n_{k}"] for k in BASE_KINDS] == [sum(x[0] == k for x in want) for k in BASE_KINDS]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
