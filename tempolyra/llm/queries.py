@@ -12,6 +12,12 @@ from .bpe import encode_documents
 from .common import table
 from .exact_dedup import exact_dedup
 from .pii import BASE_KINDS, find_pii
+from .simhash import simhash_dedup
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op5_pii": op5_pii,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
