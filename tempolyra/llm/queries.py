@@ -9,10 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
-from .common import table
+from .common import crc_mod, table
 from .exact_dedup import exact_dedup
 from .pii import BASE_KINDS, find_pii
+from .quality import fit_quality, score_quality
 from .simhash import simhash_dedup
+from .toxicity import fit_toxicity, score_toxicity
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +33,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"),
+        "p_explicit",
+        "p_repeated",
+        F.col("p_toxic").alias("score"),
+        (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
@@ -44,7 +70,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
