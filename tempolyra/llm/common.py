@@ -50,21 +50,42 @@ def bit_filter(keys: DataFrame, key: Column) -> DataFrame:
     )
 
 
-def maybe_in(rows: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
-    """The rows whose key may be in the filter. The broadcast is bounded by FILTER_BITS / 8 bytes."""
+def flag_maybe(rows: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
+    """Adds __maybe: false where the key is for certain not in the filter. The broadcast is bounded by
+    FILTER_BITS / 8 bytes."""
     at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     hit = F.expr(
-        "getbit(cast(conv(hex(substring(__bits, cast(__bit div 8 + 1 as int), 1)), 16, 10) as int),"
-        " cast(__bit % 8 as int)) = 1"
+        "coalesce(getbit(cast(conv(hex(substring(__bits, cast(__bit div 8 + 1 as int), 1)), 16, 10) as int),"
+        " cast(__bit % 8 as int)) = 1, false)"
     )
     return (
         rows.withColumns({"__bucket": F.bitmap_bucket_number(at), "__bit": F.bitmap_bit_position(at)})
-        .join(F.broadcast(bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))), "__bucket")
-        .where(hit)
+        .join(F.broadcast(bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))), "__bucket", "left")
+        .withColumn("__maybe", hit)
         .drop("__bucket", "__bit", "__bits")
     )
 
 
+def maybe_in(rows: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
+    """The rows whose key may be in the filter."""
+    return flag_maybe(rows, key, bits).where("__maybe").drop("__maybe")
+
+
+def text_hash(text: Column) -> Column:
+    """With the id, tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs, all columns, whose id and text hash are not in gone (id, row_hash). Only rows
+    that a filter of bounded size lets through are shuffled; every other row stays where it is."""
+    gone = cut(gone.select(F.col("id").alias("__gone"), F.col("row_hash").alias("__hash")).distinct(), "gone")
+    bits = cut(bit_filter(gone, F.col("__hash")), "gone-filter")
+    rows = flag_maybe(docs.withColumn("__row", text_hash(F.col(text_col))), F.col("__row"), bits)
+    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__row") == F.col("__hash"))
+    return rows.where("not __maybe").unionByName(rows.where("__maybe").join(gone, same, "left_anti")).select(docs.columns)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of a doc_id's decimal text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import crc_mod, table
+from .decontaminate import find_overlaps
 from .exact_dedup import exact_dedup
 from .pii import BASE_KINDS, find_pii
 from .quality import fit_quality, score_quality
@@ -59,6 +60,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "overlap").distinct()
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True
@@ -74,11 +80,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
+    "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_WORDS = r"""regexp_split_to_array(trim(lower(coalesce(text, '')), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+')"""
+
 ORACLES: dict[str, str] = {
+    "op8_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        masks(m, a, b, c, d, e) AS (VALUES (0, 0, 1, 2, 3, 4), (1, 0, 1, 3, 5, 6), (2, 0, 2, 3, 4, 7)),
+        dp AS (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d),
+        bp AS (SELECT item_id, w, unnest(range(len(w))) AS p FROM b WHERE len(w) > 4),
+        dk AS (SELECT doc_id, p, m, concat_ws(' ', w[p+1+a], w[p+1+b], w[p+1+c], w[p+1+d], w[p+1+e]) AS k
+               FROM dp, masks WHERE p + e < len(w)),
+        bk AS (SELECT item_id, p, m, concat_ws(' ', w[p+1+a], w[p+1+b], w[p+1+c], w[p+1+d], w[p+1+e]) AS k
+               FROM bp, masks WHERE p + e < len(w)),
+        lines AS (SELECT DISTINCT doc_id, item_id, dk.p - bk.p AS shift FROM dk JOIN bk USING (m, k)),
+        steps AS (SELECT doc_id, item_id, shift, d.w AS dw, b.w AS bw,
+                         unnest(range(greatest(0, -shift), least(len(b.w), len(d.w) - shift))) AS k
+                  FROM lines JOIN d USING (doc_id) JOIN b USING (item_id)),
+        sums AS (SELECT doc_id, item_id, shift, k, len(bw) AS n,
+                        sum(CASE WHEN bw[k+1] = dw[k+shift+1] THEN 1 ELSE -4 END)
+                            OVER (PARTITION BY doc_id, item_id, shift ORDER BY k) AS s
+                 FROM steps),
+        runs AS (SELECT doc_id, item_id, n, s - least(0, min(s) OVER (
+                     PARTITION BY doc_id, item_id, shift ORDER BY k)) AS run FROM sums)
+        SELECT doc_id, item_id, CAST(max(run) AS BIGINT) AS overlap FROM runs
+        GROUP BY doc_id, item_id, n HAVING max(run) >= least(10, n)
+    """,
     "op10_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
