@@ -12,6 +12,7 @@ from .bpe import encode_documents
 from .common import crc_mod, table
 from .decontaminate import find_overlaps
 from .exact_dedup import exact_dedup
+from .line_dedup import drop_recurring_lines
 from .pii import BASE_KINDS, find_pii
 from .quality import fit_quality, score_quality
 from .simhash import simhash_dedup
@@ -60,6 +61,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", F.col("__dropped").alias("n_dropped"), "text")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "overlap").distinct()
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
+    "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
@@ -87,7 +94,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"""regexp_split_to_array(trim(lower(coalesce(text, '')), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+')"""
 
+def _recurring(rows: str, key: str) -> str:
+    """SQL for the keys of rows (key, lo, hi) that recur across documents."""
+    return f"""
+        SELECT {key} FROM (SELECT {key}, count(DISTINCT lo) AS d0, count(DISTINCT hi) AS d1, count(*) AS n FROM {rows} GROUP BY {key})
+        WHERE greatest(d0, d1) >= 5 AND greatest(d0, d1) * 20 >= n"""
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 ORACLES: dict[str, str] = {
+    "op7_line_dedup": f"""
+        WITH split AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM split),
+        t AS (SELECT doc_id, pos, list_transform(regexp_split_to_array(trim(line, {_BLANKS}), '[\\x20\\x09-\\x0D]+'),
+                  lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
+        f AS (SELECT doc_id, pos, w, md5(len(w) || chr(31) || array_to_string(w[1:3], chr(31))) AS leaf FROM t WHERE len(w) >= 3),
+        o AS (SELECT doc_id, list_sort(list(DISTINCT leaf)) AS h FROM f GROUP BY doc_id),
+        keys AS (SELECT doc_id, pos, w, leaf,
+                     coalesce(CASE WHEN leaf = h[1] THEN h[2] ELSE h[1] END, '') AS lo,
+                     coalesce(CASE WHEN leaf = h[-1] THEN CASE WHEN len(h) > 1 THEN h[-2] END ELSE h[-1] END, '') AS hi
+                 FROM f JOIN o USING (doc_id)),
+        near AS (SELECT * FROM keys WHERE leaf IN ({_recurring("keys", "leaf")})),
+        placed AS (SELECT doc_id, pos, leaf, lo, hi, unnest(range(len(w))) AS k, unnest(w) AS token FROM near),
+        const AS (SELECT leaf, k, token FROM placed WHERE token <> '<*>'
+                  GROUP BY leaf, k, token HAVING count(DISTINCT lo) >= 5),
+        tmpl AS (SELECT doc_id, pos, any_value(lo) AS lo, any_value(hi) AS hi,
+                     string_agg(CASE WHEN c.token IS NULL THEN '<*>' ELSE p.token END, ' ' ORDER BY p.k) AS template
+                 FROM placed p LEFT JOIN const c ON p.leaf = c.leaf AND p.k = c.k AND p.token = c.token
+                 GROUP BY doc_id, pos HAVING count(c.token) >= 0.7::DOUBLE * count(*) FILTER (p.token <> '<*>') AND count(c.token) * 2 >= count(*)),
+        gone AS (SELECT doc_id, list(pos) AS g FROM tmpl WHERE template IN ({_recurring("tmpl", "template")}) GROUP BY doc_id)
+        SELECT doc_id, coalesce(len(g), 0) AS n_dropped,
+               CASE WHEN g IS NULL THEN text
+                    ELSE array_to_string(list_transform(list_filter(range(len(ls)), lambda i: NOT list_contains(g, i)), lambda i: ls[i + 1]), chr(10)) END AS text
+        FROM split LEFT JOIN gone USING (doc_id)
+    """,
     "op8_decontaminate": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
