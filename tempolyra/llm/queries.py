@@ -13,6 +13,7 @@ from .common import crc_mod, table
 from .decontaminate import find_overlaps
 from .exact_dedup import exact_dedup
 from .line_dedup import drop_recurring_lines
+from .lm import lm_scores
 from .pii import BASE_KINDS, find_pii
 from .quality import fit_quality, score_quality
 from .simhash import simhash_dedup
@@ -30,6 +31,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -83,6 +88,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_lm": op2_lm,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
