@@ -17,6 +17,7 @@ from .lm import lm_scores
 from .pii import BASE_KINDS, find_pii
 from .quality import fit_quality, score_quality
 from .simhash import simhash_dedup
+from .suffix_dedup import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -66,6 +67,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = drop_recurring_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", F.col("__dropped").alias("n_dropped"), "text")
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
