@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bit_filter, cut, flag_maybe, text_hash, without
 from .components import components
 
 BITS, BLOCKS = 64, 4
@@ -50,15 +50,15 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """Rows (id, fp): the fingerprint of each row's whole text as a signed long."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """Rows (id, row_hash, fp): the fingerprint of each row's whole text as a signed long."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("row_hash"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), words) for t in b.column(1).cast(pa.binary())], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["id", "row_hash", "fp"])
 
-    return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, row_hash bigint, fp bigint")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -211,7 +211,8 @@ def links(distinct: DataFrame, most: int = 3, most_in_bucket: int = 50_000) -> D
 def simhash_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, most_in_bucket: int = 50_000
 ) -> DataFrame:
-    """One row per input row: id, fp (signed long), component_id (smallest id reachable by links).
+    """One row per input row: id, row_hash (tells rows of one id apart), fp (signed long), root (the
+    component's smallest fingerprint) and component_id (smallest id reachable by links).
 
     Texts link when their fingerprints differ in at most `most` bits (under 4); equal texts always do,
     and so do all null and empty texts, whose fingerprint is 0. Repeated rows come back as they are. A
@@ -223,5 +224,26 @@ def simhash_dedup(
     root = components(links(distinct, most, most_in_bucket))
     rooted = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select(F.col("fp").alias("cfp"), "component_id")
-    return made.join(classes, F.col("fp") == F.col("cfp")).select(F.col("id").alias(id_col), "fp", "component_id")
+    classes = rooted.join(named, "root").select(F.col("fp").alias("cfp"), "root", "component_id")
+    return made.join(classes, F.col("fp") == F.col("cfp")).select(F.col("id").alias(id_col), "row_hash", "fp", "root", "component_id")
+
+
+def keep_first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params: int) -> DataFrame:
+    """The rows, all columns, of one document of each component: the one whose id is component_id.
+
+    Where several rows of a component have that id (or, in a component without ids, none has one), the
+    row of the smallest text hash stays, and of equal rows one.
+    """
+    groups = cut(simhash_dedup(docs, id_col, text_col, **params).withColumnRenamed(id_col, "id"), "groups")
+    first = groups.where("id <=> component_id")
+    chosen = first.groupBy("root").agg(F.min("row_hash").alias("chosen"), F.count(F.lit(1)).alias("n"))
+    several = cut(chosen.where("n > 1"), "several")
+    gone = groups.where("not id <=> component_id").select("id", "row_hash")
+    if several.isEmpty():
+        return without(docs, gone, id_col, text_col)
+    others = first.join(several, "root").where("row_hash <> chosen").select("id", "row_hash")
+    left = without(docs, gone.unionAll(others), id_col, text_col).withColumn("__row", text_hash(F.col(text_col)))
+    bits = cut(bit_filter(several, F.col("chosen")), "several-filter")
+    rows = flag_maybe(left, F.col("__row"), bits)
+    once = rows.where("__maybe").dropDuplicates([id_col, "__row"])
+    return rows.where("not __maybe").unionByName(once).select(docs.columns)

@@ -6,7 +6,7 @@ import xxhash
 
 from tempolyra.llm.components import components
 from tempolyra.llm.queries import QUERIES
-from tempolyra.llm.simhash import fingerprint, gray_rank, links, simhash_dedup
+from tempolyra.llm.simhash import fingerprint, gray_rank, keep_first_of_group, links, simhash_dedup
 
 
 def brute_fp(text):
@@ -92,3 +92,11 @@ def test_query(spark):
     rows = [(r.doc_id, brute_fp(r.text)) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = [(r.doc_id, r.fingerprint, r.component_id) for r in QUERIES["op3_simhash"](spark, d).collect()]
     assert sorted(got, key=repr) == brute_components(rows)
+
+
+def test_one_of_each_group_stays(spark):
+    rows = [(5, "a b c d", "p"), (3, "a b c d", "q"), (3, "A b c  d", "r"), (3, "a b c d", "s"), (9, None, "t"), (8, "", "u"), (None, "x y", "v"), (None, "x y", "w"), (7, "alone here now", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    got = sorted(((r.doc_id, (r.text or "").lower().split(), r.root) for r in keep_first_of_group(df).collect()), key=repr)
+    assert [(i, w) for i, w, _ in got] == sorted([(3, "a b c d".split()), (8, []), (None, ["x", "y"]), (7, "alone here now".split())], key=repr)
+    assert keep_first_of_group(df.limit(0)).count() == 0
