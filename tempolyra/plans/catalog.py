@@ -8,3 +8,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+from . import service_queries  # noqa: E402,F401  fills the tables above
