@@ -200,7 +200,6 @@ def lrc_time(ms: Column) -> Column:
 
 
 def ass_escape(text: Column) -> Column:
-    """Backslashes and braces made harmless, line ends as breaks."""
+    """Backslashes and braces made harmless."""
     x = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    x = F.replace(F.replace(x, F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}"))
-    return F.replace(x, F.lit("\n"), F.lit("\\N"))
+    return F.replace(F.replace(x, F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}"))

@@ -9,4 +9,4 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-from . import service_queries, text_queries  # noqa: E402,F401  fills the tables above
+from . import service_queries, song_queries, text_queries  # noqa: E402,F401  fills the tables above
