@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, cut, flag_maybe, maybe_in
+from .common import bit_filter, cut, flag_maybe, maybe_in, small_batches
 
 LENGTH, GRAM = 200, 32
 SEGMENT = 1 << 19  # window starts taken at once
@@ -286,6 +286,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     come back as they are. Texts are told apart, and strings compared, by 64-bit digests. Other columns
     are ignored.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
     copies = cut(
