@@ -18,7 +18,7 @@ LETTERS = {
     "s": "えす", "t": "てぃー", "u": "ゆー", "v": "ぶい", "w": "だぶりゅー", "x": "えっくす", "y": "わい", "z": "ぜっと",
 }
 # fixed values: widths in pixels of the estimate
-LINE_WIDTH, FULL, HALF, BLANK, SPACING, RUBY_PAIR = 1280 - 128, 48, 24, 12, 9, 2 * 22 + 5
+LINE_WIDTH, FULL, HALF, BLANK, SPACING, RUBY_PAIR = 1280 - 128, 48, 24, 12, 9, 2 * 26 + 5
 
 #: Katakana with a hiragana partner, U+30A1 to U+30F6, and the partners 0x60 before them.
 _KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
