@@ -89,6 +89,7 @@ def line_windows(lines: DataFrame, segments: DataFrame) -> DataFrame:
     """Windows (song_id, line_idx, w_start, w_end) of the lines (song_id, line_idx, moras) that segments
     (song_id, seg_idx, moras, start_ms, end_ms) match."""
     kind = lines.schema["song_id"].dataType.simpleString()
+    segments = segments.select(*[F.col(c).alias(c) for c in segments.columns])  # the two sides may share a source
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("line_idx"), b.sort_values("seg_idx")
