@@ -21,14 +21,17 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Words kept by a worker in each of two generations, and arcs kept.
-KEPT_WORDS = 250_000
-KEPT_ARCS = 2_000_000
+KEPT_WORDS = 150_000
+KEPT_ARCS = 400_000
 
 #: Separators of str.split() that are not white space for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -63,7 +66,17 @@ class Automaton:
             w = self.ids[self.labels[u] + self.labels[v]]
             self.rule[u << 32 | v] = k
             self.made[w], self.left[w], self.right[w] = k, u, v
-        self.longest = max(map(len, self.ids))
+        # by beginning of a token: the longest token without word end that the beginning starts with; by
+        # token: the next shorter one; by spelling: the token that ends a word
+        plain = [t for t in self.ids if not (self.end and t.endswith(self.end))]
+        self.final = {t[: len(t) - len(self.end)]: i for t, i in self.ids.items() if t.endswith(self.end)}
+        self.best = {t[:k]: -1 for t in plain for k in range(1, len(t) + 1)}
+        self.size, self.shorter = [len(t) for t in self.labels], [-1] * n
+        for t in sorted(self.best, key=len):
+            before = self.best.get(t[:-1], -1)
+            self.best[t] = self.ids.get(t, before)
+            if t in self.ids:
+                self.shorter[self.ids[t]] = before
         self.arcs: dict[int, bool] = {}
         self.symbols = byte_symbols()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -96,30 +109,39 @@ class Automaton:
 
     def path(self, word: str) -> list[int]:
         """The accepted token sequence of a word given in byte symbols."""
-        n, ids, arc = len(word), self.ids, self.arc
+        n, best, final, shorter, size, arc = len(word), self.best, self.final, self.shorter, self.size, self.arc
         path: list[int] = []
         starts: list[int] = []
         dead: set[int] = set()
-        at, last, to = 0, -1, min(n, self.longest)
-        while at < n:
-            token = None
-            while to > at:
-                if to not in dead:
-                    token = ids.get(word[at:to] if to < n else word[at:] + self.end)
-                    if token is not None and (last < 0 or arc(last, token)):
-                        break
-                to -= 1
-            if to > at:
+        at, last = 0, -1
+        while True:
+            token = final.get(word[at:], -1)
+            if token >= 0 and (last < 0 or arc(last, token)):
                 path.append(token)
-                starts.append(at)
-                at, last, to = to, token, min(n, to + self.longest)
+                return path
+            to = min(at + 6, n - 1)  # the longest beginning of a token that stands here, short of the end
+            if word[at:to] in best:
+                while to < n - 1 and word[at : to + 1] in best:
+                    to += 1
             else:
+                while to > at and word[at:to] not in best:
+                    to -= 1
+            token = best[word[at:to]] if to > at else -1
+            while True:
+                while token >= 0:
+                    end = at + size[token]
+                    if end not in dead and (last < 0 or arc(last, token)):
+                        break
+                    token = shorter[token]
+                if token >= 0:
+                    break
                 dead.add(at)
-                to = at - 1
-                path.pop()
+                token = shorter[path.pop()]
                 at = starts.pop()
                 last = path[-1] if path else -1
-        return path
+            path.append(token)
+            starts.append(at)
+            at, last = end, token
 
     def chunk_ids(self, chunk: str) -> list[int]:
         """The ids of a text without white space."""
@@ -166,37 +188,40 @@ def automaton(path: str) -> Automaton:
 
 
 def encode_documents(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, decode: bool = True
 ) -> DataFrame:
-    """One row per input row: id, n_tokens, and ids (array<int>) with decoded (string), or with digests
-    their SHA-256 (ids as little-endian unsigned 32-bit integers, decoded text as UTF-8).
+    """One row per input row: id, n_tokens, and ids (array<int>) with decoded (string, unless decode is
+    false), or with digests their SHA-256 (ids as little-endian unsigned 32-bit integers, decoded text as
+    UTF-8).
 
     tokenizer is the path of a tokenizer file, present on every executor. Null counts as empty; an
     empty text has no ids and decodes to the empty text. Whole texts are encoded, however long.
     Repeated rows and null ids come back as they are. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+    tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>" + ", decoded string" * decode
+    names = ["id", "n_tokens", *[x.split()[0] for x in tail.split(", ")]]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = automaton(tokenizer)
         for batch in batches:
-            n, a, b = [], [], []
+            raw, text = [], []
             for x in batch.column(1):
                 ids, decoded = model.encode(x.as_py() or "")
-                n.append(len(ids) // 4)
-                if digests:
-                    a.append(hashlib.sha256(ids).hexdigest())
-                    b.append(hashlib.sha256(decoded.encode()).hexdigest())
-                else:
-                    a.append(list(struct.unpack(f"<{len(ids) // 4}I", ids)))
-                    b.append(decoded)
-            kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, kinds[0]), pa.array(b, kinds[1])],
-                ["id", "n_tokens", *[x.split()[0] for x in tail.split(", ")]],
-            )
+                raw.append(hashlib.sha256(ids).hexdigest() if digests else ids)
+                text.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded if decode else None)
+                raw[-1] = (len(ids) // 4, raw[-1])
+            n = np.array([k for k, _ in raw], np.int64)
+            if digests:
+                first = pa.array([r for _, r in raw], pa.string())
+            else:
+                first = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.frombuffer(b"".join(r for _, r in raw), "<i4"))
+                )
+            cols = [batch.column(0), pa.array(n), first, *([pa.array(text, pa.string())] if digests or decode else [])]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return rows.mapInArrow(encode, f"id {kind}, n_tokens bigint, {tail}").withColumnRenamed("id", id_col)
 
