@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.text import normalise_reading, split_moras
+from ..sources.shared import settle
 from . import intervals as iv
 
 # fixed values: costs of the alignment of lines with segments, and the least share of matched moras
@@ -132,24 +133,26 @@ def align_corpus(lines: DataFrame, tokens: DataFrame, segments: DataFrame, words
     """Word-based timelines of a corpus: tables timelines, lines, tokens and moras, and rejects (song_id,
     reason) of songs without words or with too few matches. lines: song_id, line_idx, surface, reading;
     tokens: song_id, line_idx, token_idx, surface, reading; durations: song_id, duration_ms."""
-    targets = target_moras(tokens)
-    obs = observed_moras(words)
+    targets = settle(target_moras(tokens), "targets")
+    obs = settle(observed_moras(words), "observations")
     moras_of = lambda c: split_moras(normalise_reading(c))
     spoken = words.groupBy("song_id", "seg_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", "text"))), lambda x: x["text"]), "").alias("said"))
     segs = segments.join(spoken, ["song_id", "seg_idx"], "left").select("song_id", "seg_idx", moras_of(F.coalesce(F.nullif("said", F.lit("")), "text")).alias("moras"), "start_ms", "end_ms")
     read = lines.select("song_id", "line_idx", moras_of(F.col("reading")).alias("moras"))
     songs = iv.upper_median(obs.withColumn("d", F.col("end_ms") - F.col("start_ms")), ["song_id"], "d").withColumnRenamed("median", "median_ms").join(obs.groupBy("song_id").agg(F.max_by("end_ms", "obs_idx").alias("last_end_ms")), "song_id")
     windows = read.select("song_id", "line_idx", F.size("moras").cast("long").alias("n_moras")).join(line_windows(read, segs), ["song_id", "line_idx"], "left")
-    windows = iv.complete_line_windows(windows, songs).select("song_id", "line_idx", "w_start", "w_end")
+    songs = settle(songs, "songs")
+    windows = settle(iv.complete_line_windows(windows, songs).select("song_id", "line_idx", "w_start", "w_end"), "windows")
     seen = iv.assign_observations(obs, windows).select("song_id", "line_idx", "obs_idx", "reading", "start_ms", "end_ms")
-    matches = mora_matches(targets, seen)
+    matches = settle(mora_matches(targets, seen), "matches")
     share = targets.groupBy("song_id").agg(F.count(F.lit(1)).alias("n")).join(matches.groupBy("song_id").agg(F.count(F.lit(1)).alias("hits")), "song_id", "left")
     verdict = lines.select("song_id").distinct().join(share, "song_id", "left").join(songs.select("song_id", F.lit(True).alias("heard")), "song_id", "left").select(
         "song_id", F.when(F.col("heard").isNull(), "no words").when(F.col("n").isNull() | (F.coalesce("hits", F.lit(0)) < F.col("n") * LEAST_MATCH), "too few matches").alias("reason"))
+    verdict = settle(verdict, "verdicts")
     good = verdict.where("reason is null").select("song_id")
     info = songs.select("song_id", F.col("median_ms").alias("default_ms")).join(durations, "song_id").join(good, "song_id", "left_semi")
-    timed = iv.monotone(iv.interpolate_moras(targets, matches, windows, info))
-    toks = iv.assemble_tokens(tokens.join(good, "song_id", "left_semi"), timed, True)
+    timed = settle(iv.monotone(iv.interpolate_moras(targets, matches, windows, info)), "timed-moras")
+    toks = settle(iv.assemble_tokens(tokens.join(good, "song_id", "left_semi"), timed, True), "timed-tokens")
     moras, toks_closed = iv.close_mora_gaps(timed, toks)
     return {
         "timelines": iv.confidence_rollup(timed), "lines": lines.join(iv.assemble_lines(toks), ["song_id", "line_idx"]), "tokens": toks_closed, "moras": moras,
@@ -161,9 +164,10 @@ def align_from_spans(tokens: DataFrame, targets: DataFrame, spans: DataFrame) ->
     together and closed; rejects (song_id, reason)."""
     met = targets.join(spans, ["song_id", "seq"])
     expected = targets.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"))
-    verdict = iv.validate_spans(met, expected)
+    met = settle(met, "span-moras")
+    verdict = settle(iv.validate_spans(met, expected), "span-verdicts")
     good = verdict.where("reason is null").select("song_id")
     timed = met.join(good, "song_id", "left_semi").withColumns({"matched": F.lit(True), "confidence": F.col("score")})
-    toks = iv.assemble_tokens(tokens.join(good, "song_id", "left_semi"), timed, False)
+    toks = settle(iv.assemble_tokens(tokens.join(good, "song_id", "left_semi"), timed, False), "span-tokens")
     moras, closed = iv.close_mora_gaps(timed.drop("score"), toks)
     return {"timelines": iv.score_rollup(timed), "lines": iv.assemble_lines(toks), "tokens": closed, "moras": moras}, verdict.where("reason is not null")

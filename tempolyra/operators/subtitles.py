@@ -159,9 +159,25 @@ def dialogue_rows(layout: DataFrame, karaoke: DataFrame, style: str = "Main") ->
     return layout.join(karaoke, LINE).select(*LINE, text.alias("row"))
 
 
+def layered_rows(layout: DataFrame, karaoke: DataFrame, rubies: DataFrame | None = None) -> DataFrame:
+    """Rows (song_id, line_idx, layer, seq, row) of a two-slot song in emission order: the indicator dots ahead
+    of a paragraph's first line, the line, and its rubies (song_id, line_idx, token_idx, reading, x, y)."""
+    span = F.concat(ass_time(F.col("display_start_ms")), F.lit(","), ass_time(F.col("display_end_ms")))
+    base = dialogue_rows(layout, karaoke).select(*LINE, F.lit(1).alias("layer"), F.lit(0).cast("long").alias("seq"), "row")
+    dot = F.concat(F.lit("Dialogue: 0,"), ass_time(F.col("dot_start_ms")), F.lit(","), ass_time(F.col("dot_end_ms")), F.lit(",Indicator,,0,0,0,,{\\p1}"))
+    heads = layout.where("line_in_paragraph = 0").select(*LINE, "paragraph")
+    dots = indicator_events(layout).join(heads, ["song_id", "paragraph"]).select(*LINE, F.lit(0).alias("layer"), F.col("dot").alias("seq"), dot.alias("row"))
+    rows = dots.unionByName(base)
+    if rubies is not None:
+        text = F.concat(F.lit("Dialogue: 1,"), span, F.lit(",Ruby,,0,0,0,,{\\an5\\pos("), F.col("x").cast("string"), F.lit(","), F.col("y").cast("string"), F.lit(")}"), ass_escape(F.col("reading")))
+        rows = rows.unionByName(rubies.join(layout, LINE).select(*LINE, F.lit(2).alias("layer"), F.col("token_idx").alias("seq"), text.alias("row")))
+    return rows
+
+
 def ass_files(rows: DataFrame, header: str) -> DataFrame:
     """One row a song (song_id, content): header and dialogue rows in order, with a byte order mark."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("line_idx", "row"))), lambda x: x["row"])
+    order = [c for c in ("line_idx", "layer", "seq", "row") if c in rows.columns]
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct(*order))), lambda x: x["row"])
     return rows.groupBy("song_id").agg(F.concat(F.lit("\ufeff" + header + "\n"), F.array_join(ordered, "\n"), F.lit("\n")).alias("content"))
 
 
@@ -176,10 +192,10 @@ def fixed_slot_subtitles(lines: DataFrame, tokens: DataFrame, moras: DataFrame,
     return ass_files(dialogue_rows(simple_display(lines), render_karaoke(chunks)), header)
 
 
-def two_slot_subtitles(lines: DataFrame, tokens: DataFrame, moras: DataFrame, header: str = "[Script Info]") -> DataFrame:
-    """The two-slot subtitle job: timed lines, tokens and moras to one file a song."""
+def two_slot_subtitles(lines: DataFrame, tokens: DataFrame, moras: DataFrame, header: str = "[Script Info]", rubies: DataFrame | None = None) -> DataFrame:
+    """The two-slot subtitle job: timed lines, tokens, moras and placed rubies to one file a song."""
     chunks = line_chunks(character_chunks(tokens, moras), tokens, lines)
-    return ass_files(dialogue_rows(slot_timings(lines), render_karaoke(chunks)), header)
+    return ass_files(layered_rows(slot_timings(lines), render_karaoke(chunks), rubies), header)
 
 
 def active_frames(layout: DataFrame, times: DataFrame, after_ms: int = HOLD_MS) -> DataFrame:

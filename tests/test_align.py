@@ -118,3 +118,24 @@ def test_validate_and_romanise(spark):
     assert [r.romaji for r in good.where("song_id = 1").orderBy("seq").collect()] == ["ki", "t", "te", "e", "e"]
     assert good.where("song_id = 3").first().romaji == "ya" and [r.song_id for r in bad.collect()] == [2]
     assert spark.range(1).select(align.seq_ratio(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c"))).alias("r")).first().r == 0.5
+
+
+def test_build_timelines_and_files(spark):
+    from tempolyra.operators import ruby
+    from tempolyra.plans.corpus import build_timelines
+
+    lines = spark.createDataFrame([(k, 0, "物語", "ものがたり") for k in (1, 2, 3)], "song_id long, line_idx long, surface string, reading string")
+    tokens = spark.createDataFrame([(k, 0, 0, "物語", "ものがたり") for k in (1, 2, 3)], "song_id long, line_idx long, token_idx long, surface string, reading string")
+    segs = spark.createDataFrame([(1, 0, "", 1000, 3000), (2, 0, "", 1000, 3000)], "song_id long, seg_idx long, text string, start_ms long, end_ms long")
+    words = spark.createDataFrame([(k, 0, 0, "ものがたり", 1000, 3000) for k in (1, 2)], "song_id long, seg_idx long, word_idx long, text string, start_ms long, end_ms long")
+    spans = spark.createDataFrame([(1, k, 500 + 100 * k, 600 + 100 * k, 0.9) for k in range(5)] + [(2, 0, 5, 5, 0.9)], "song_id long, seq long, start_ms long, end_ms long, score double")
+    stamps = spark.createDataFrame([(2, 0, 7000)], "song_id long, line_idx long, stamp_ms long")
+    out, rejects = build_timelines(lines, tokens, segs, words, spark.createDataFrame([(k, 5000) for k in (1, 2, 3)], "song_id long, duration_ms long"), spans, stamps)
+    t = {r.song_id: (r.engine, r.warnings) for r in out["timelines"].collect()}
+    assert t == {1: ("primary", []), 2: ("fallback", ["primary_fallback:wrong number of spans", "lrc_timing_applied"])}
+    assert {(r.song_id, r.start_ms, r.end_ms) for r in out["lines"].collect()} == {(1, 500, 1000), (2, 7000, 9000)}
+    assert {r.song_id for r in rejects.collect()} == {3}
+    files = st.two_slot_subtitles(out["lines"].select("song_id", "line_idx", "start_ms", "end_ms"), out["tokens"], out["moras"], rubies=ruby.ruby_placements(out["tokens"]))
+    content = {r.song_id: r.content for r in files.collect()}
+    rows = content[2].split("\n")
+    assert rows[0] == "﻿[Script Info]" and ",Indicator," in rows[1] and rows[5].endswith("{\\kf100}物{\\kf100}語") and rows[6].endswith("{\\an5\\pos(960,620)}ものがたり")
