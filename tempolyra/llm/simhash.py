@@ -229,12 +229,18 @@ def simhash_dedup(
 
 
 def keep_first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params: int) -> DataFrame:
-    """The rows, all columns, of one document of each component: the one whose id is component_id.
+    """The rows, all columns, of one document of each component; see keep_first."""
+    return keep_first(docs, simhash_dedup(docs, id_col, text_col, **params), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows, all columns, of one document of each component (id, row_hash, root, component_id): the one
+    whose id is component_id.
 
     Where several rows of a component have that id (or, in a component without ids, none has one), the
     row of the smallest text hash stays, and of equal rows one.
     """
-    groups = cut(simhash_dedup(docs, id_col, text_col, **params).withColumnRenamed(id_col, "id"), "groups")
+    groups = cut(groups.withColumnRenamed(id_col, "id"), "groups")
     first = groups.where("id <=> component_id")
     chosen = first.groupBy("root").agg(F.min("row_hash").alias("chosen"), F.count(F.lit(1)).alias("n"))
     several = cut(chosen.where("n > 1"), "several")
