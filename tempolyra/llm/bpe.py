@@ -1,14 +1,18 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-States stand for the token read last, arcs for the next token; at first every arc exists. The merge
-gadget of a rule (u, v) removes the arcs that put v after u once that rule has had its turn and leads
-u's predecessors straight to uv. A token sequence that the automaton accepts is the one that BPE makes
-of its text. The gadgets of one arc (a, b) are exactly the rules along a's right edge and b's left
-edge, so arcs are determined when they are first needed, in merge order, and kept in a table.
-
-Encoding walks the table from left to right and steps back where an arc is missing; since a prefix has
-one accepted sequence only, a position that failed never needs a second try. Decoding emits the arcs'
-labels. One pass over the rows, no shuffle; a worker's tables have a fixed size.
+States stand for the token read last, arcs for the next token; at first every arc exists. The rules are
+gone through in merge order, and the gadget of a rule (u, v) removes every arc that would leave u and v
+side by side when its turn comes: those from tokens that still end in u then to tokens that still begin
+with v then. Tokens are numbered so that both sides are ranges (each token after those that it ends, or
+begins, ordered by when they were made), so a gadget is one rectangle, and the compiled table holds the
+removed ranges of each state in order: under a million for 49,000 rules. A token sequence that the
+automaton accepts is the one that BPE makes of its text.
+
+The automaton reads bytes through a second table, the trie of the tokens with its failure arcs: for each
+byte it gives the longest token that ends there. The beginning of a word up to any byte has one accepted
+sequence, so the state there is the first of the tokens ending there, longest first, whose arc exists.
+Words not met before are encoded together, one byte of all of them a step, by look-ups in these tables.
+Decoding emits the arcs' labels. One pass over the rows, no shuffle; a worker's tables have a fixed size.
 """
 
 from __future__ import annotations
@@ -16,9 +20,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,9 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Words kept by a worker in each of two generations, and arcs kept.
-KEPT_WORDS = 150_000
-KEPT_ARCS = 400_000
+#: Words kept by a worker in each of two generations, and the longest that is kept.
+KEPT_WORDS, KEPT_CHARS = 150_000, 64
+#: Characters of texts whose words are taken at once; a longer text is cut between words.
+SLICE = 1 << 20
+#: Words over so many bytes are read one by one; so many bytes of shorter ones are read together.
+LONG, TOGETHER = 96, 1 << 21
 
 #: Separators of str.split() that are not white space for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -45,6 +52,62 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in visible else chr(next(free)) for b in range(256)]
 
 
+class Order:
+    """Numbers of the tokens along one side: a token comes after those that have it as this side's part."""
+
+    def __init__(self, made: np.ndarray, part: np.ndarray):
+        n = len(made)
+        self.inside: list[list[int]] = [[] for _ in range(n)]
+        for t in np.argsort(made, kind="stable").tolist():
+            if made[t] >= 0:
+                self.inside[part[t]].append(t)
+        self.turns = [[int(made[t]) for t in x] for x in self.inside]
+        self.first, self.at = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        count = 0
+        for root in np.nonzero(made < 0)[0].tolist():
+            stack = [(root, 0)]
+            while stack:
+                t, k = stack.pop()
+                if not k:
+                    self.first[t] = count
+                if k < len(self.inside[t]):
+                    stack += [(t, k + 1), (self.inside[t][k], 0)]
+                else:
+                    self.at[t], count = count, count + 1
+
+    def still(self, t: int, k: int) -> int:
+        """First number of the range of tokens in which t is not part of anything larger; the k first tokens
+        made of t are out. The range ends with t itself."""
+        return int(self.first[self.inside[t][k]] if k < len(self.inside[t]) else self.at[t])
+
+
+def gadgets(rules: list[tuple[int, int]], made: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table of removed arcs: by state (its number `at` in the order of ends), sorted keys
+    state << 32 | first removed and the last removed of each range; and each token's number in the order of
+    beginnings. A token that the rule itself makes has taken its part already if it stands to the left."""
+    ends, begins = Order(made, right), Order(made, left)
+    box = np.array(
+        [(ends.still(u, bisect_right(ends.turns[u], k)), ends.at[u], begins.still(v, bisect_left(begins.turns[v], k)), begins.at[v]) for k, (u, v) in enumerate(rules)],
+        np.int64,
+    ).reshape(-1, 4)
+    size = box[:, 1] - box[:, 0] + 1
+    row = np.repeat(box[:, 0], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    low, high = np.repeat(box[:, 2], size), np.repeat(box[:, 3], size)
+    order = np.lexsort((low, row))
+    key, stop = row[order] << 32 | low[order], np.maximum.accumulate(row[order] << 32 | high[order])
+    # ranges that lie within those before them say nothing new
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] > stop[:-1]
+    first = np.nonzero(new)[0]
+    token_at = np.zeros(len(made), np.int64)
+    token_at[ends.at] = np.arange(len(made))
+    state = token_at[key[first] >> 32]
+    again = np.argsort(state, kind="stable")
+    last = np.append(first[1:] - 1, len(key) - 1)[: len(first)]
+    mask = (1 << 32) - 1
+    return (state[again] << 32 | (key[first] & mask)[again]), (state[again] << 32 | (stop[last] & mask)[again]), begins.at
+
+
 class Automaton:
     """The compiled model of a tokenizer file with byte symbols and a word-end mark."""
 
@@ -52,136 +115,217 @@ class Automaton:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.end = model["end_of_word_suffix"] or ""
-        self.ids: dict[str, int] = model["vocab"]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        n = max([*self.ids.values(), *self.special.values()]) + 1
+        end, ids = model["end_of_word_suffix"], model["vocab"]
+        self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        n = max([*ids.values(), *self.special.values()]) + 1
         self.labels = [""] * n
-        for t, i in [*self.ids.items(), *self.special.items()]:
+        for t, i in [*ids.items(), *self.special.items()]:
             self.labels[i] = t
-        self.made, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
-        self.rule: dict[int, int] = {}
+        made, left, right = (np.full(n, -1) for _ in range(3))
+        rules = []
         for k, pair in enumerate(model["merges"]):
-            u, v = (self.ids[x] for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            w = self.ids[self.labels[u] + self.labels[v]]
-            self.rule[u << 32 | v] = k
-            self.made[w], self.left[w], self.right[w] = k, u, v
-        # by beginning of a token: the longest token without word end that the beginning starts with; by
-        # token: the next shorter one; by spelling: the token that ends a word
-        plain = [t for t in self.ids if not (self.end and t.endswith(self.end))]
-        self.final = {t[: len(t) - len(self.end)]: i for t, i in self.ids.items() if t.endswith(self.end)}
-        self.best = {t[:k]: -1 for t in plain for k in range(1, len(t) + 1)}
-        self.size, self.shorter = [len(t) for t in self.labels], [-1] * n
-        for t in sorted(self.best, key=len):
-            before = self.best.get(t[:-1], -1)
-            self.best[t] = self.ids.get(t, before)
-            if t in self.ids:
-                self.shorter[self.ids[t]] = before
-        self.arcs: dict[int, bool] = {}
-        self.symbols = byte_symbols()
+            u, v = (ids[x] for x in (pair if isinstance(pair, list) else pair.split(" ")))
+            w = ids[self.labels[u] + self.labels[v]]
+            if made[w] >= 0:
+                raise ValueError(f"two rules make {self.labels[w]!r}")
+            made[w], left[w], right[w] = k, u, v
+            rules.append((u, v))
+        self.removed, self.until, self.begin = gadgets(rules, made, left, right)
+        self._read_by_bytes({i: t for t, i in ids.items() if i not in self.special.values()}, end)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"), regex.V0)
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
 
-    def arc(self, a: int, b: int) -> bool:
-        """Whether b may follow a: no gadget along the edge between them, undone from the last one, removes the arc."""
-        key = a << 32 | b
-        if (known := self.arcs.get(key)) is not None:
-            return known
-        x, y, before, there = a, b, len(self.made), True
-        while True:
-            k = self.rule.get(x << 32 | y)
-            if k is not None and k < before:
-                there = False
-                break
-            if self.made[x] < 0 and self.made[y] < 0:
-                break
-            if self.made[x] > self.made[y]:
-                before, x = self.made[x], self.right[x]
-            else:  # on a tie the left one came first, so the right one is undone first
-                before, y = self.made[y] + 1, self.left[y]
-        if len(self.arcs) >= KEPT_ARCS:
-            self.arcs.clear()
-        self.arcs[key] = there
-        return there
-
-    def path(self, word: str) -> list[int]:
-        """The accepted token sequence of a word given in byte symbols."""
-        n, best, final, shorter, size, arc = len(word), self.best, self.final, self.shorter, self.size, self.arc
-        path: list[int] = []
-        starts: list[int] = []
-        dead: set[int] = set()
-        at, last = 0, -1
-        while True:
-            token = final.get(word[at:], -1)
-            if token >= 0 and (last < 0 or arc(last, token)):
-                path.append(token)
-                return path
-            to = min(at + 6, n - 1)  # the longest beginning of a token that stands here, short of the end
-            if word[at:to] in best:
-                while to < n - 1 and word[at : to + 1] in best:
-                    to += 1
-            else:
-                while to > at and word[at:to] not in best:
-                    to -= 1
-            token = best[word[at:to]] if to > at else -1
+    def _read_by_bytes(self, tokens: dict[int, str], end: str) -> None:
+        """The trie's table: `step` (state, byte -> state), the longest token that ends in a state within a
+        word (`inner`) or at its end (`final`), and by token its size and the next shorter one that ends there."""
+        byte = {c: b for b, c in enumerate(byte_symbols())}
+        spelt = {i: bytes(byte[c] for c in t.removesuffix(end)) for i, t in tokens.items()}
+        ends = {i for i, t in tokens.items() if t.endswith(end)}
+        prefixes = sorted({s[:k] for s in spelt.values() for k in range(len(s) + 1)}, key=lambda s: (len(s), s))
+        place = {s: k for k, s in enumerate(prefixes)}
+        m = len(prefixes)
+        self.step, fail = np.zeros((m, 256), np.int32), np.zeros(m, np.int64)
+        own = np.full((2, m), -1)
+        for i, s in spelt.items():
+            own[int(i in ends), place[s]] = i
+        depth = np.fromiter(map(len, prefixes), np.int64, m)
+        up = np.array([place[s[:-1]] for s in prefixes])
+        sym = np.array([s[-1] if s else 0 for s in prefixes])
+        found = own.copy()
+        for d in range(1, int(depth.max()) + 1):
+            at = np.nonzero(depth == d)[0]
+            if d > 1:
+                fail[at] = self.step[fail[up[at]], sym[at]]
+            if d == 1:
+                self.step[0, sym[at]] = at
+            for kind in found:
+                kind[at] = np.where(kind[at] >= 0, kind[at], kind[fail[at]])
+            self.step[at] = self.step[fail[at]]
+            # their own children, once their rows are there
+            kids = np.nonzero(depth == d + 1)[0]
+            self.step[up[kids], sym[kids]] = kids
+        self.inner, self.final = found.astype(np.int32)
+        n = len(self.labels)
+        self.size, self.shorter = np.zeros(n, np.int64), np.full(n, -1, np.int32)
+        for i, s in spelt.items():
+            self.size[i], self.shorter[i] = len(s), found[int(i in ends), fail[place[s]]]
+
+    def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the arc from state a to token b exists; a = -1 stands for a word's beginning."""
+        key = a.astype(np.int64) << 32 | self.begin[b]
+        k = np.searchsorted(self.removed, key, "right") - 1
+        return (a < 0) | (k < 0) | (self.until[k] < key)
+
+    def paths(self, words: list[bytes]) -> tuple[np.ndarray, list[int], list[int]]:
+        """The accepted token sequences of the words: all tokens, and by word its first and the one past its last."""
+        order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+        flat, sizes, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        while at < len(order):
+            longest = len(words[order[at]])
+            group = order[at : at + (max(1, TOGETHER // longest) if longest <= LONG else 1)]
+            tokens, size = self._together([words[k] for k in group]) if longest <= LONG else self._alone(words[group[0]])
+            flat.append(tokens)
+            sizes.append(size)
+            at += len(group)
+        size = np.concatenate(sizes)
+        stop = np.zeros(len(words), np.int64)
+        stop[order] = np.cumsum(size)
+        start = stop.copy()
+        start[order] -= size
+        return np.concatenate(flat), start.tolist(), stop.tolist()
+
+    def _together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens, and their number by word, of words of falling length: one byte of all a step."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        n = int(size[0])
+        text = np.frombuffer(b"".join(w.ljust(n, b"\0") for w in words), np.uint8).reshape(len(words), n).T.copy()
+        state, last = np.zeros(len(words), np.int32), np.full((n + 1, len(words)), -1, np.int32)
+
+        def settle(token: np.ndarray, row: np.ndarray, end: np.ndarray | int) -> np.ndarray:
+            """The first token, longest first, that may follow the state where it begins."""
+            open_ = np.arange(len(token))
+            while len(open_):
+                t, r = token[open_], row[open_]
+                begin = (end if isinstance(end, int) else end[open_]) - self.size[t]
+                open_ = open_[~self.follows(last[begin, r], t)]
+                token[open_] = self.shorter[token[open_]]
+            return token
+
+        for k in range(n):
+            m = int(np.searchsorted(-size, -k, "left"))  # words of over k bytes
+            state[:m] = self.step[state[:m], text[k, :m]]
+            done = int(np.searchsorted(-size, -(k + 1), "left"))  # those that go on after this byte
+            last[k + 1, :done] = settle(self.inner[state[:done]], np.arange(done), k + 1)
+            last[k + 1, done:m] = settle(self.final[state[done:m]], np.arange(done, m), k + 1)
+        # back from the ends
+        row, end, found = np.arange(len(words)), size.copy(), []
+        while len(row):
+            t = last[end, row]
+            found.append((row, t))
+            end = end - self.size[t]
+            row, end = row[end > 0], end[end > 0]
+        rows, tokens = np.concatenate([r for r, _ in found])[::-1], np.concatenate([t for _, t in found])[::-1]
+        by_word = np.argsort(rows, kind="stable")
+        return tokens[by_word].astype(np.uint32), np.bincount(rows, minlength=len(words))
+
+    def _alone(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """A long word, byte by byte."""
+        step, inner, shorter, size, begin = self.step, self.inner, self.shorter, self.size, self.begin
+        removed, until = memoryview(self.removed), memoryview(self.until)
+        last, state = np.full(len(word) + 1, -1, np.int32), 0
+        at_end = len(word)
+        for k, b in enumerate(word, 1):
+            state = step[state, b]
+            token = int(inner[state] if k < at_end else self.final[state])
             while True:
-                while token >= 0:
-                    end = at + size[token]
-                    if end not in dead and (last < 0 or arc(last, token)):
-                        break
-                    token = shorter[token]
-                if token >= 0:
+                before = int(last[k - size[token]])
+                if before < 0:
+                    break
+                key = before << 32 | int(begin[token])
+                r = bisect_right(removed, key) - 1
+                if r < 0 or until[r] < key:
                     break
-                dead.add(at)
-                token = shorter[path.pop()]
-                at = starts.pop()
-                last = path[-1] if path else -1
-            path.append(token)
-            starts.append(at)
-            at, last = end, token
-
-    def chunk_ids(self, chunk: str) -> list[int]:
-        """The ids of a text without white space."""
-        out: list[int] = []
-        for part in self.specials.split(chunk) if self.specials else [chunk]:
-            if part in self.special:
-                out.append(self.special[part])
-                continue
-            part = unicodedata.normalize("NFC", part)
-            part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-            for piece in self.pieces.findall(part):
-                out += self.path("".join(self.symbols[b] for b in piece.encode()))
+                token = int(shorter[token])
+            last[k] = token
+        path, end = [], at_end
+        while end:
+            path.append(last[end])
+            end -= int(size[last[end]])
+        return np.array(path[::-1], np.uint32), np.array([len(path)])
+
+    def _learn(self, chunks: Iterable[str]) -> dict[str, tuple[bytes, str]]:
+        """Ids as bytes, and labels, of texts without white space."""
+        chunks = list(chunks)
+        words: dict[bytes, int] = {}
+        plan: list[list[int]] = []  # by chunk: a word's place, or a special token's id below zero
+        for chunk in chunks:
+            mine: list[int] = []
+            for part in self.specials.split(chunk) if self.specials else [chunk]:
+                if part in self.special:
+                    mine.append(-1 - self.special[part])
+                    continue
+                if part.isascii():
+                    part = part.lower()
+                    pieces = [part] if part.isalpha() else self.pieces.findall(part)
+                else:
+                    part = unicodedata.normalize("NFC", part)
+                    part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
+                    pieces = self.pieces.findall(part)
+                mine += [words.setdefault(piece.encode(), len(words)) for piece in pieces]
+            plan.append(mine)
+        flat, start, stop = self.paths(list(words))
+        raw, labels, out = flat.astype("<u4").tobytes(), [self.labels[i] for i in flat.tolist()], {}
+        for chunk, mine in zip(chunks, plan):
+            if len(mine) == 1 and (k := mine[0]) >= 0:
+                out[chunk] = raw[4 * start[k] : 4 * stop[k]], " ".join(labels[start[k] : stop[k]])
+            else:
+                parts = [(raw[4 * start[k] : 4 * stop[k]], " ".join(labels[start[k] : stop[k]])) if k >= 0 else ((-1 - k).to_bytes(4, "little"), self.labels[-1 - k]) for k in mine]
+                out[chunk] = b"".join([ids for ids, _ in parts]), " ".join([text for _, text in parts])
         return out
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """The ids of a text without white space as bytes, and its labels."""
-        found = self.old.get(chunk)
-        if found is None:
-            ids = self.chunk_ids(chunk)
-            found = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Of each text its ids as little-endian 32-bit integers, and the labels that they decode to."""
+        split = [text.split() if not _ODD.search(text) else [w for w in _SPACE.split(text) if w] for text in texts]
+        new = {w for words in split for w in words} - self.young.keys()
+        found = {w: self.old[w] for w in new if w in self.old}
+        found |= self._learn(new - found.keys())
+        self.young.update((w, f) for w, f in found.items() if len(w) <= KEPT_CHARS)
+        long = {w: f for w, f in found.items() if len(w) > KEPT_CHARS}
+        get, out = self.young.get, []
+        for words in split:
+            parts = [get(w) or long[w] for w in words]
+            out.append((b"".join([ids for ids, _ in parts]), " ".join([labels for _, labels in parts])))
         if len(self.young) >= KEPT_WORDS:
             self.old, self.young = self.young, {}
-        self.young[chunk] = found
-        return found
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """A text's ids as little-endian 32-bit integers, and the labels that they decode to."""
-        words = text.split() if not _ODD.search(text) else [w for w in _SPACE.split(text) if w]
-        get = self.young.get
-        found = [get(w) or self._miss(w) for w in words]
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
-
-    def _miss(self, word: str) -> tuple[bytes, str]:
-        return self.young.get(word) or self.chunk(word)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs taken, joined by one space, as a tokenizer without a decoder joins them."""
         return " ".join([self.labels[i] for i in ids])
 
 
+def slices(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """Groups of (text, part of it) of some SLICE characters; parts end between words."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not text:
+            cut = _SPACE.search(text, at + SLICE) if len(text) - at > SLICE else None
+            held.append((k, text[at : cut.start()] if cut else text[at:]))
+            size += len(held[-1][1])
+            if size >= SLICE:
+                yield held
+                held, size = [], 0
+            if not cut:
+                break
+            at = cut.end()
+    if held:
+        yield held
+
+
 @lru_cache(1)
 def automaton(path: str) -> Automaton:
     return Automaton(path)
@@ -207,18 +351,25 @@ def encode_documents(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = automaton(tokenizer)
         for batch in batches:
-            raw, text = [], []
-            for x in batch.column(1):
-                ids, decoded = model.encode(x.as_py() or "")
-                raw.append(hashlib.sha256(ids).hexdigest() if digests else ids)
-                text.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded if decode else None)
-                raw[-1] = (len(ids) // 4, raw[-1])
-            n = np.array([k for k, _ in raw], np.int64)
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            ids_of: list[list[bytes]] = [[] for _ in texts]
+            labels_of: list[list[str]] = [[] for _ in texts]
+            for part in slices(texts):
+                for (k, _), (ids, labels) in zip(part, model.encode([t for _, t in part])):
+                    ids_of[k].append(ids)
+                    if labels and (digests or decode):
+                        labels_of[k].append(labels)
+            raw = [b"".join(x) for x in ids_of]
+            text = [" ".join(x) for x in labels_of]
+            n = np.array([len(ids) // 4 for ids in raw], np.int64)
+            if digests:
+                raw = [hashlib.sha256(ids).hexdigest() for ids in raw]
+                text = [hashlib.sha256(t.encode()).hexdigest() for t in text]
             if digests:
-                first = pa.array([r for _, r in raw], pa.string())
+                first = pa.array(raw, pa.string())
             else:
                 first = pa.ListArray.from_arrays(
-                    pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.frombuffer(b"".join(r for _, r in raw), "<i4"))
+                    pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4"))
                 )
             cols = [batch.column(0), pa.array(n), first, *([pa.array(text, pa.string())] if digests or decode else [])]
             yield pa.RecordBatch.from_arrays(cols, names)
