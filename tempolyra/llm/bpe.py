@@ -286,7 +286,7 @@ class Automaton:
                 out[chunk] = b"".join([ids for ids, _ in parts]), " ".join([text for _, text in parts])
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Of each text its ids as little-endian 32-bit integers, and the labels that they decode to."""
         split = [text.split() if not _ODD.search(text) else [w for w in _SPACE.split(text) if w] for text in texts]
         new = {w for words in split for w in words} - self.young.keys()
@@ -302,6 +302,9 @@ class Automaton:
             self.old, self.young = self.young, {}
         return out
 
+    def encode(self, text: str) -> tuple[bytes, str]:
+        return self.encode_all([text])[0]
+
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs taken, joined by one space, as a tokenizer without a decoder joins them."""
         return " ".join([self.labels[i] for i in ids])
@@ -355,7 +358,7 @@ def encode_documents(
             ids_of: list[list[bytes]] = [[] for _ in texts]
             labels_of: list[list[str]] = [[] for _ in texts]
             for part in slices(texts):
-                for (k, _), (ids, labels) in zip(part, model.encode([t for _, t in part])):
+                for (k, _), (ids, labels) in zip(part, model.encode_all([t for _, t in part])):
                     ids_of[k].append(ids)
                     if labels and (digests or decode):
                         labels_of[k].append(labels)
