@@ -1,18 +1,24 @@
 """Removal of repeated passages by a depth-limited suffix order over bytes.
 
-Suffixes are ordered only through `LENGTH` bytes, by most-significant-digit passes. The first digit is a
-block of GRAM bytes: of the blocks within a window the one with the least digest is read first, so equal
-windows read the same block at the same place, and about one block in eighty stands for all windows that
-read it. Blocks that occur once drop out. The second digit is the window itself: within a group of equal
-blocks, windows are dealt by their place around it and their digest, and what is left in equal groups are
-exactly the repeated windows.
-
-Scale: equal texts are taken once (their windows all repeat). The first pass shuffles 24 bytes a block;
-only blocks that repeat send their surroundings, about 280 bytes each, to the second. Blocks that are
-frequent in a sample of the texts are no groups at all: their surroundings are first counted as wholes,
-combined before the shuffle, and windows of the distinct ones are counted by Spark's own aggregation.
-Texts move only where bounded filters say that something in them repeats. Memory follows a segment of a
-text, never a group.
+Suffixes are ordered only through `LENGTH` bytes, by passes of digits; after each pass only groups that
+are still equal go on. The first digit is a block of GRAM bytes: of the blocks within a window the one
+with the least digest is read first, so equal windows read the same block at the same place, and about
+one block in eighty stands for all windows that read it. The second digit is the block's surroundings,
+all bytes of its windows: equal surroundings are one kind with a count, and every window of a kind that
+occurs twice repeats. The third, for blocks with kinds that occur once, is the window itself, compared
+byte by byte within the group of its block.
+
+(Plain leading bytes as the first digit would need one row a byte of text, some 16 bytes each, where the
+blocks need one row of 48 bytes for eighty bytes of text. Blocks, surroundings and texts are compared by
+digests: 64 bits for a block, 64 more for its surroundings, 128 for a text. Within a block of over
+most_kinds kinds, windows are compared by 64 bits besides the block's.)
+
+Scale: equal texts are taken once (their windows all repeat). Blocks are computed once and written;
+counts of kinds and of blocks are combined before they are shuffled, so a passage that stands in a third
+of all texts is one row a task, and a run of one period within a text is one row. Only kinds that are to
+be compared send their bytes, once each, however often they occur. Texts move only where bounded filters
+say that something in them is compared or repeats. Memory follows a segment of a text, or most_kinds
+surroundings.
 """
 
 from __future__ import annotations
@@ -102,102 +108,114 @@ def _batch(names: str, *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == _U else c) for c in cols], names.split())
 
 
-def _block_rows(hot: np.ndarray, want_hot: bool):
-    """Reads (th, text), gives (th, gram, at, around): blocks outside the hot ones, or the hot ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held, size = [], 0
-            for th, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
-                for lo, hi, mid, gram, around in blocks(t.as_py()):
-                    rows = [np.full(len(lo), th), gram, _pack(lo, hi, mid), around if want_hot else np.zeros(len(lo), np.int64)]
-                    if len(hot):
-                        is_hot = np.isin(gram, hot)
-                        rows = [r[is_hot == want_hot] for r in rows]
-                    held.append(rows)
-                    size += len(rows[0])
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (th, tc, text), gives (th, tc, gram, around, at, m): blocks, m neighbours of one kind as one row."""
+    for b in batches:
+        held, size = [], 0
+        for th, tc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
+            for lo, hi, mid, gram, around in blocks(t.as_py()):
+                first = np.nonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])]))[0]
+                m = np.diff(np.append(first, len(lo)))
+                held.append([np.full(len(m), th), np.full(len(m), tc), gram[first], around[first], _pack(lo, hi, mid)[first], m])
+                size += len(m)
                 if size > 50_000:
-                    yield _batch("th gram at around", *map(np.concatenate, zip(*held)))
+                    yield _batch("th tc gram around at m", *map(np.concatenate, zip(*held)))
                     held, size = [], 0
-            if held:
-                yield _batch("th gram at around", *map(np.concatenate, zip(*held)))
-
-    return run
-
-
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (gram, th, at) sorted by gram, those whose gram occurs again. Holds one row between batches."""
-    last = None  # the last row so far, and whether it has been given
-    for b in batches:
-        if not b.num_rows:
-            continue
-        gram, th, at = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        again = np.zeros(len(gram), bool)
-        same = gram[1:] == gram[:-1]
-        again[1:] |= same
-        again[:-1] |= same
-        if last is not None and last[0] == gram[0]:
-            again[0] = True
-            if not last[3]:
-                yield _batch("gram th at", *(np.array([x]) for x in last[:3]))
-        if again.any():
-            yield _batch("gram th at", gram[again], th[again], at[again])
-        last = (gram[-1], th[-1], at[-1], bool(again[-1]))
+        if held:
+            yield _batch("th tc gram around at m", *map(np.concatenate, zip(*held)))
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (th, text, places array<struct<gram, at>>), gives (gram, th, at, bytes)."""
+    """Reads (text, kinds array<struct<gram, around, n, at>>), gives (gram, around, n, at, bytes)."""
+    names = ["gram", "around", "n", "at"]
     for b in batches:
-        texts = b.column(1).cast(pa.binary())
-        for th, t, places in zip(b.column(0).to_pylist(), texts, b.column(2)):
-            text, places = t.as_py(), places.values
-            at = places.field("at").to_numpy()
+        for t, kinds in zip(b.column(0).cast(pa.binary()), b.column(1)):
+            text, kinds = t.as_py(), kinds.values
+            at = kinds.field("at").to_numpy()
             lo, hi, _ = _unpack(at)
             for k in range(0, len(at), 20_000):
                 part = slice(k, k + 20_000)
                 data = pa.array([text[a:z] for a, z in zip(lo[part].tolist(), (hi[part] + LENGTH).tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([places.field("gram").slice(k, 20_000), pa.array(np.full(len(data), th)), pa.array(at[part]), data], ["gram", "th", "at", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(kinds.field(c).slice(k, 20_000) for c in names), data], [*names, "bytes"])
 
 
-def _windows(gram: np.ndarray, at: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window: the row, its start in its text, and the digest of block, place and content."""
+def _windows(gram: np.ndarray, at: np.ndarray, data: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window: the row, its start in the joined bytes, and the digest of block, place and content."""
     lo, hi, mid = _unpack(at)
-    size = np.fromiter(map(len, data), np.int64, len(data))
     offset = np.cumsum(size) - size
     n = hi - lo + 1
     row = np.repeat(np.arange(len(at)), n)
     k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     start = offset[row] + k
-    h = Digests(np.frombuffer(b"".join(data), np.uint8)).of(start, start + LENGTH)
+    h = Digests(np.frombuffer(data, np.uint8)).of(start, start + LENGTH)
     place = (mid[row] - lo[row] - k).astype(_U)
-    return row, lo[row] + k, mixed(h ^ (gram.view(_U)[row] * _U(0x9FB21C651E98DF25)) ^ (place << _U(56)))
+    return row, start, mixed(h ^ (gram.view(_U)[row] * _U(0x9FB21C651E98DF25)) ^ (place << _U(56)))
 
 
-def _runs(row: np.ndarray, start: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring hits of a row as one stretch of bytes: row, start, end."""
-    r, s = row[hit], start[hit]
-    if not len(r):
-        return r, s, s
-    new = np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)])
+def _differ(data: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the windows at i and j differ in a byte. Neighbouring pairs are compared as one stretch."""
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)
     first = np.nonzero(new)[0]
-    return r[first], s[first], s[np.append(first[1:] - 1, len(s) - 1)] + LENGTH
+    windows = np.diff(np.append(first, len(i)))
+    size = windows + LENGTH - 1
+    out, group = np.zeros(len(i), bool), np.cumsum(size) // CHUNK
+    for g in np.unique(group):  # about CHUNK bytes at once
+        f, n, w = first[group == g], size[group == g], windows[group == g]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        unlike = np.cumsum(np.append(0, data[np.repeat(i[f], n) + k] != data[np.repeat(j[f], n) + k]))
+        at = np.arange(w.sum()) + np.repeat(np.arange(len(f)) * (LENGTH - 1), w)
+        out[f[0] : f[0] + w.sum()] = unlike[at + LENGTH] > unlike[at]
+    return out
+
+
+def _again(data: np.ndarray, start: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Which windows have a second one of the same bytes. Windows of one digest are compared with the
+    first of them; those that differ, by a chance in 2^64, are compared as whole bytes."""
+    order = np.argsort(digest, kind="stable")
+    d, s = digest[order], start[order]
+    same = d[1:] == d[:-1]
+    first = np.concatenate([[0], np.nonzero(~same)[0] + 1]) if len(d) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(d)))
+    of = np.repeat(s[first], size)
+    other = np.nonzero(of != s)[0]
+    by_place = other[np.argsort(s[other], kind="stable")]
+    unlike = np.zeros(len(d), bool)
+    unlike[by_place] = _differ(data, s[by_place], of[by_place])
+    hit = np.repeat(size > 1, size)
+    for f in np.unique(np.repeat(first, size)[unlike]):
+        group = slice(f, f + size[np.searchsorted(first, f)])
+        content = [data[x : x + LENGTH].tobytes() for x in s[group]]
+        hit[group] = [content.count(c) > 1 for c in content]
+    out = np.zeros(len(d), bool)
+    out[order] = hit
+    return out
+
+
+_STRETCHES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (gram, th, at, bytes) sorted by gram, the repeated stretches (th, start, stop)."""
+    """Of rows (gram, around, n, at, bytes) sorted by gram, the repeated stretches (gram, around, stretches)
+    of kinds that occur once, counted from the beginning of the surroundings."""
     held: list[pa.RecordBatch] = []
 
     def done(rows: pa.Table) -> pa.RecordBatch:
-        gram, th, at = (rows.column(k).to_numpy() for k in range(3))
-        row, start, digest = _windows(gram, at, rows.column(3).to_pylist())
-        order = np.argsort(digest)
-        d = digest[order]
-        same = d[1:] == d[:-1]
-        hit = np.zeros(len(d), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        r, s, e = _runs(row, start, hit)
-        return _batch("th start stop", th[r], s, e)
+        gram, around, n, at = (rows.column(k).to_numpy() for k in range(4))
+        data = rows.column(4).to_pylist()
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        joined = b"".join(data)
+        row, start, digest = _windows(gram, at, joined, size)
+        hit = _again(np.frombuffer(joined, np.uint8), start, digest) & (n[row] == 1)
+        r, s = row[hit], start[hit] - (np.cumsum(size) - size)[row[hit]]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)
+        first = np.nonzero(new)[0]
+        last = np.append(first[1:] - 1, len(r) - 1)[: len(first)]
+        kinds, k = np.unique(r[first], return_index=True)
+        values = pa.StructArray.from_arrays([pa.array(s[first]), pa.array(s[last] + LENGTH)], ["start", "stop"])
+        stretches = pa.ListArray.from_arrays(pa.array(np.append(k, len(first)), pa.int32()), values)
+        return pa.RecordBatch.from_arrays([pa.array(gram[kinds]), pa.array(around[kinds]), stretches.cast(_STRETCHES)], ["gram", "around", "stretches"])
 
     size = 0
     for b in batches:
@@ -219,48 +237,53 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of rows (gram, th, at, bytes): (digest, th, start)."""
+    """Every window of rows (gram, around, n, at, bytes): (gram, around, n, digest, start)."""
     for whole in batches:
         for k in range(0, whole.num_rows, 2000):
             b = whole.slice(k, 2000)
-            gram, th, at = (b.column(k).to_numpy() for k in range(3))
-            row, start, digest = _windows(gram, at, b.column(3).to_pylist())
-            yield _batch("digest th start", digest, th[row], start)
-
-
-def _around(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """The surroundings of places (gram, th, at). Only texts that a bounded filter lets through move."""
-    grouped = cut(places.groupBy("th").agg(F.collect_list(F.struct("gram", "at")).alias("places")), "places")
-    moved = maybe_in(texts, F.col("th"), cut(bit_filter(grouped, F.col("th")), "places-filter"))
-    return moved.join(grouped, "th").select("th", "text", "places").mapInArrow(_surroundings, "gram bigint, th bigint, at bigint, bytes binary")
-
-
-def _hot_ranges(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Repeated stretches around frequent blocks, by counting: whole surroundings first, then windows."""
-    found = cut(texts.mapInArrow(_block_rows(hot, True), "th bigint, gram bigint, at bigint, around bigint"), "hot-blocks")
-    kinds = cut(found.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "at")).alias("first")), "hot-kinds")
+            gram, around, n, at = (b.column(k).to_numpy() for k in range(4))
+            data = b.column(4).to_pylist()
+            size = np.fromiter(map(len, data), np.int64, len(data))
+            row, start, digest = _windows(gram, at, b"".join(data), size)
+            yield _batch("gram around n digest start", gram[row], around[row], n[row], digest, start - (np.cumsum(size) - size)[row])
+
+
+def repeated_ranges(texts: DataFrame, most_kinds: int = 5000) -> DataFrame:
+    """Rows (th, tc, ranges array<struct<start, stop>>): stretches of distinct texts (th, tc, text) that lie
+    in windows of LENGTH bytes which start more than once. Blocks with up to most_kinds kinds are compared
+    as a group, the others by counting; the rows are the same either way."""
+    found = cut(texts.select("th", "tc", "text").mapInArrow(_block_rows, "th bigint, tc bigint, gram bigint, around bigint, at bigint, m bigint"), "blocks")
+    kinds = cut(found.groupBy("gram", "around").agg(F.sum("m").alias("n"), F.min(F.struct("th", "tc", "at")).alias("first")), "kinds")
+    grams = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("once")).where("kinds > 1 and once > 0")
+    grams = cut(grams.select("gram", (F.col("kinds") > most_kinds).alias("hot")), "grams")
+    compared = maybe_in(kinds, F.col("gram"), cut(bit_filter(grams, F.col("gram")), "grams-filter")).join(grams, "gram")
+    by_text = cut(
+        compared.groupBy("first.th", "first.tc").agg(F.collect_list(F.struct("gram", "around", "n", "first.at")).alias("kinds"), F.collect_list("hot").alias("hot")), "places"
+    )
+    moved = maybe_in(texts, F.col("th"), cut(bit_filter(by_text, F.col("th")), "places-filter")).join(by_text, ["th", "tc"])
+    split = lambda hot: F.transform(F.filter(F.arrays_zip("kinds", "hot"), lambda x: x["hot"] == hot), lambda x: x["kinds"])
+
+    def around(hot: bool) -> DataFrame:
+        some = moved.select("text", split(hot).alias("kinds")).where(F.size("kinds") > 0)
+        return some.mapInArrow(_surroundings, "gram bigint, around bigint, n bigint, at bigint, bytes binary")
+
+    stretch = "array<struct<start: bigint, stop: bigint>>"
+    cold = around(False).repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, f"gram bigint, around bigint, stretches {stretch}")
+    whole = kinds.where("n > 1").select("gram", "around", F.lit(None).cast(stretch).alias("stretches"))
+    again = whole.unionAll(cold)
+    if not grams.where("hot").isEmpty():
+        windows = cut(around(True).mapInArrow(_hot_windows, "gram bigint, around bigint, n bigint, digest bigint, start bigint"), "hot-windows")
+        twice = windows.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "digest")
+        single = windows.where("n = 1").join(twice, ["gram", "digest"], "left_semi")
+        again = again.unionAll(single.groupBy("gram", "around").agg(F.collect_list(F.struct("start", (F.col("start") + LENGTH).alias("stop"))).alias("stretches")))
+    again = cut(again, "repeated")
     lo, span = F.shiftright("at", 16), F.col("at").bitwiseAND(F.lit(255))
-    whole = found.join(kinds.where("n > 1").select("gram", "around"), ["gram", "around"]).select("th", lo.alias("start"), (lo + span + LENGTH).alias("stop"))
-    windows = cut(_around(texts, kinds.select("gram", "first.*")).mapInArrow(_hot_windows, "digest bigint, th bigint, start bigint"), "hot-windows")
-    again = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    single = windows.join(again, "digest").select("th", "start", (F.col("start") + LENGTH).alias("stop"))
-    return whole.unionByName(single)
-
-
-def repeated_ranges(texts: DataFrame, hot_rows: int = 20_000, sample: int = 64, most_hot: int = 20_000) -> DataFrame:
-    """Rows (th, start, stop): stretches of distinct texts (th, text) that lie in windows of LENGTH bytes
-    which start more than once. Blocks that a sample of the texts shows more than hot_rows times, the
-    first most_hot of them, are counted instead of grouped; the rows are the same either way."""
-    known = np.zeros(0, _U)
-    seen = (
-        texts.where(F.pmod(F.col("th"), F.lit(sample)) == 0).mapInArrow(_block_rows(known, False), "th bigint, gram bigint, at bigint, around bigint")
-        .groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * sample > hot_rows).orderBy(F.desc("n"), "gram").limit(most_hot)
-    )
-    hot = np.array([r.gram for r in seen.collect()], np.int64).view(_U)
-    rows = texts.mapInArrow(_block_rows(hot, False), "th bigint, gram bigint, at bigint, around bigint").select("gram", "th", "at")
-    places = rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeats, "gram bigint, th bigint, at bigint")
-    ranges = _around(texts, places).repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, "th bigint, start bigint, stop bigint")
-    return ranges.unionByName(_hot_ranges(texts, hot)) if len(hot) else ranges
+    all_of = F.array(F.struct(lo.alias("start"), (lo + F.col("m") * (span + 1) - 1 + LENGTH).alias("stop")))
+    part = F.transform("stretches", lambda x: F.struct((x["start"] + lo).alias("start"), (x["stop"] + lo).alias("stop")))
+    key = F.xxhash64("gram", "around")
+    places = maybe_in(found, key, cut(bit_filter(again, key), "repeated-filter")).join(again, ["gram", "around"])
+    ranges = places.select("th", "tc", F.coalesce(part, all_of).alias("r")).groupBy("th", "tc").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    return ranges
 
 
 def _cut_out(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -276,38 +299,38 @@ def _cut_out(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, byte
     return len(text) - len(rest), spans, rest
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 20_000, sample: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_kinds: int = 5000) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept (binary, the remaining bytes).
 
     Removes every byte covered by a string of LENGTH bytes that also starts anywhere else in the
     documents' UTF-8 texts, the same text included. Matches never cross texts, and are judged on the
     input. Null counts as empty. Texts under LENGTH bytes stay whole. Equal texts, repeated rows
     included, repeat each other and are removed in all their rows if they are long enough. Null ids
-    come back as they are. Texts are told apart, and strings compared, by 64-bit digests. Other columns
-    are ignored.
+    come back as they are. Other columns are ignored. The session's Arrow batches are bounded (see
+    small_batches).
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    copies = cut(
-        rows.where(F.octet_length("text") >= LENGTH).groupBy("th").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id")).alias("first")).where("n > 1"),
-        "copies",
-    )
-    copied = cut(bit_filter(copies, F.col("th")), "copies-filter")
-    long_rows = flag_maybe(rows.where(F.octet_length("text") >= LENGTH), F.col("th"), copied)
-    firsts = copies.select(F.col("th").alias("fth"), F.col("first.id").alias("fid"), F.lit(True).alias("copied"))
-    some = long_rows.where("__maybe").join(firsts, F.col("th") == F.col("fth"), "left").where("copied is null or id <=> fid")
-    texts = long_rows.where("not __maybe").select("th", "text").unionAll(some.dropDuplicates(["th"]).select("th", "text"))
-
-    ranges = repeated_ranges(texts, hot_rows, sample)
-    merged = cut(ranges.groupBy("th").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("tc"))
+    long_rows = rows.where(F.octet_length("text") >= LENGTH)
+    copies = cut(long_rows.groupBy("th", "tc").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id")).alias("first")).where("n > 1").select("th", "tc", "first.id"), "copies")
+    copied = cut(bit_filter(copies, F.xxhash64("th", "tc")), "copies-filter")
+    # of equal texts one row goes on; the others stay where they are
+    firsts = cut(bit_filter(copies, F.xxhash64("th", "tc", "id")), "firsts-filter")
+    long_rows = flag_maybe(long_rows, F.xxhash64("th", "tc"), copied)
+    some = long_rows.where("__maybe").drop("__maybe")
+    one = maybe_in(some, F.xxhash64("th", "tc", "id"), firsts).dropDuplicates(["th", "tc"])
+    alone = some.join(copies, ["th", "tc"], "left_anti")
+    texts = long_rows.where("not __maybe").select("th", "tc", "text")
+    texts = texts.unionAll(one.join(copies, ["th", "tc"], "left_semi").select("th", "tc", "text")).unionAll(alone.select("th", "tc", "text"))
+
     # equal texts are covered from end to end
-    all_of = copies.select("th", F.lit(True).alias("whole"))
-    marks = cut(merged.join(all_of, "th", "full_outer").select(F.col("th").alias("mth"), F.when(F.col("whole").isNull(), F.col("ranges")).alias("ranges"), F.coalesce("whole", F.lit(False)).alias("whole")), "marks")
-    marked = flag_maybe(rows, F.col("th"), cut(bit_filter(marks, F.col("mth")), "marks-filter"))
+    whole = copies.select("th", "tc", F.lit(True).alias("whole"))
+    marks = cut(repeated_ranges(texts, most_kinds).join(whole, ["th", "tc"], "full_outer").select("th", "tc", F.when(F.col("whole").isNull(), F.col("ranges")).alias("ranges"), F.coalesce("whole", F.lit(False)).alias("whole")), "marks")
+    marked = flag_maybe(rows, F.xxhash64("th", "tc"), cut(bit_filter(marks, F.xxhash64("th", "tc")), "marks-filter"))
     kind = rows.schema["id"].dataType.simpleString()
     joined = (
-        marked.where("__maybe").join(marks, F.col("th") == F.col("mth"), "left").select("id", "text", "ranges", "whole")
+        marked.where("__maybe").join(marks, ["th", "tc"], "left").select("id", "text", "ranges", "whole")
         .unionByName(marked.where("not __maybe").select("id", "text"), allowMissingColumns=True)
     )
 

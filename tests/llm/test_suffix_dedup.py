@@ -45,11 +45,11 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("hot_rows,sample", [(20_000, 64), (3, 1)])
-def test_brute_force(spark, hot_rows, sample):
+@pytest.mark.parametrize("most_kinds", [5000, 2])
+def test_brute_force(spark, most_kinds):
     texts = corpus()
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(texts)], "doc_id long, text string, th int, start int")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(df, hot_rows=hot_rows, sample=sample).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(df, most_kinds=most_kinds).collect()}
     for k, want in enumerate(brute(texts)):
         assert got[k] == want, (k, got[k][:3], want[:3])
 
@@ -74,6 +74,33 @@ def test_odd_rows(spark):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+def test_colliding_digests(spark, monkeypatch):
+    """Windows of one digest are told apart by their bytes."""
+    import numpy as np
+
+    import tempolyra.llm.suffix_dedup as m
+
+    rng = random.Random(4)
+    data = np.frombuffer(bytes(rng.choices(b"ab", k=900)) + bytes(rng.choices(b"ab", k=900)) * 2, np.uint8)
+    start = np.arange(len(data) - LENGTH)
+    seen = Counter(data[k : k + LENGTH].tobytes() for k in start)
+    want = [seen[data[k : k + LENGTH].tobytes()] > 1 for k in start]
+    for digest in (np.zeros(len(start), np.uint64), (start % 900 % 7).astype(np.uint64)):
+        assert m._again(data, start, digest).tolist() == want
+
+
+def test_long_periods(spark):
+    """Texts of some megabytes, of one period each, and one that holds such a stretch."""
+    rng = random.Random(5)
+    period = "".join(rng.choices("abcdefgh", k=311))
+    head = "".join(rng.choices("abcdefgh", k=500))
+    texts = ["a" * 3_000_000, "abc" * 700_000, period * 7000, head + "xyz" * 300_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans, len(r.kept)) for r in remove_repeats(df).collect()}
+    assert [got[k][:2] for k in range(3)] == [(len(t), 1) for t in texts[:3]]
+    assert got[3][:2] == (900_000, 1) and got[3][2] == 500
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect()
