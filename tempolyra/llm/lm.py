@@ -8,13 +8,15 @@ Because a context is two units, matrix products give every context's normaliser
 scoring a token is then a few table look-ups.
 
 Everything is gathered from all training documents: token counts exactly, and the network's gradients
-from one document in `train_share`, by rounds of local training whose parameters Spark averages. Counts
-of the most frequent words go to every worker (most_head words, a fixed size); all rarer words meet their
-counts in a shuffle, which no single word can dominate since frequent ones are not in it.
+from every token of every document once, by rounds of local training whose parameters Spark averages.
+Each round takes the documents of one remainder of the text's hash. Counts of the most frequent words go
+to every worker (most_head words, a fixed size); all rarer words meet their counts in a shuffle, which no
+single word can dominate since frequent ones are not in it.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ UNITS, CLASSES, DIM, NOISE = 768, 160, 24, 48
 END = b""  # no word is empty
 TAIL = 4  # bytes of a word's end that choose its class
 BATCH = 2048
-LOCAL_STEPS = 98  # least steps of a worker's local training in a round
+HELD = 1 << 18  # tokens that are shuffled among each other before they become batches
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -75,14 +77,14 @@ class Vocabulary:
     class_v: np.ndarray
     total: int
     distinct: int
+    end: int = 0  # count of the end mark, which is not among the words
 
     def tables(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
         """Place of each head word; by place: its unit, log10(c + 1), log10 P(word | unit)."""
-        words = [w for w in self.words if w != END]
-        c = dict(zip(self.words, self.counts))
+        words, c = self.words, self.counts
         singles = UNITS - CLASSES - 1
         unit = [k + 1 if k < singles else UNITS - CLASSES + class_of(w) for k, w in enumerate(words)]
-        log_c = np.log10(np.array([c[w] for w in words], float) + 1)
+        log_c = np.log10(np.array(c, float) + 1)
         inner = np.where(np.array(unit) < UNITS - CLASSES, 0.0, log_c - self.inner_log()[np.maximum(np.array(unit) - (UNITS - CLASSES), 0)]) if words else log_c
         return {w: k for k, w in enumerate(words)}, np.array(unit, np.int64), log_c, inner
 
@@ -90,35 +92,35 @@ class Vocabulary:
         """log10 of what a class's counts are divided by: every word, and one unknown word, has one more."""
         return np.log10(self.class_n + self.class_v + 1.0)
 
-    def end_count(self) -> int:
-        return dict(zip(self.words, self.counts)).get(END, 0)
-
 
 def vocabulary(counts: DataFrame, most_head: int = 80_000) -> Vocabulary:
     # the least count that at most most_head words reach, found from a histogram of a few hundred steps
     step = F.floor(F.log2("c") * 8).cast("int")
     least, seen = None, 0
-    for r in counts.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).collect():
+    words_only = counts.where(F.length("word") > 0)
+    for r in words_only.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).collect():
         seen += r.n
         if seen > most_head:
             break
         least = r.k
-    head = counts.where(step >= least).collect() if least is not None else []
+    head = words_only.where(step >= least).collect() if least is not None else []
     head.sort(key=lambda r: (-r.c, bytes(r.word)))
     words = [bytes(r.word) for r in head]
-    singles = [w for w in words if w != END][: UNITS - CLASSES - 1]
+    singles = words[: UNITS - CLASSES - 1]
     cls = F.pmod(F.crc32(F.expr(f"substring(word, -{TAIL}, {TAIL})")), F.lit(CLASSES))
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    total = distinct = 0
+    total = distinct = end = 0
     for r in counts.groupBy(F.when(F.length("word") > 0, cls).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         total, distinct = total + r.n, distinct + r.v
-        if r.k is not None:
+        if r.k is None:
+            end = r.n
+        else:
             class_n[r.k], class_v[r.k] = r.n, r.v
     by = {bytes(r.word): r.c for r in head}
     for w in singles:
         class_n[class_of(w)] -= by[w]
         class_v[class_of(w)] -= 1
-    return Vocabulary(words, [r.c for r in head], class_n, class_v, total, distinct)
+    return Vocabulary(words, [r.c for r in head], class_n, class_v, total, distinct, end)
 
 
 class Encoder:
@@ -146,6 +148,18 @@ def contexts(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], unit[:-1]]), np.concatenate([[0, 0], unit[:-2]])[: len(unit)]
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, np.float32(-30), np.float32(30))))
+
+
+def _add(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """to[at] += rows, with all rows of a place added up."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    places = at[order]
+    first = np.nonzero(np.concatenate([[True], places[1:] != places[:-1]]))[0]
+    to[places[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 class Network:
     """Log-bilinear parameters and noise-contrastive steps."""
 
@@ -154,7 +168,7 @@ class Network:
     def __init__(self, values: dict[str, np.ndarray], noise: np.ndarray):
         self.p = {k: v.astype(np.float32).copy() for k, v in values.items()}
         self.g = {k: np.full_like(v, 0.1) for k, v in self.p.items()}
-        self.noise = noise
+        self.cdf, self.log_kn = np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
 
     @staticmethod
     def start(unit_counts: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -167,27 +181,26 @@ class Network:
     def step(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray, rng: np.random.Generator, rate: float) -> None:
         """One batch: tell the words that came from NOISE words drawn once for the whole batch."""
         p, n = self.p, len(w)
-        noise = rng.choice(UNITS, NOISE, p=self.noise)
-        log_kn = np.log(NOISE * self.noise).astype(np.float32)
+        noise = np.searchsorted(self.cdf, rng.random(NOISE) * self.cdf[-1])
+        log_kn = self.log_kn
         r1, r2 = p["r"][h1], p["r"][h2]
         q = r1 @ p["c1"] + r2 @ p["c2"]
         tw, tn = p["t"][w], p["t"][noise]
-        sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        e_w = sig((q * tw).sum(1) + p["b"][w] - log_kn[w]) - 1  # gradient of the loss by the score
-        e_n = sig(q @ tn.T + p["b"][noise] - log_kn[noise])
+        e_w = _sigmoid((q * tw).sum(1) + p["b"][w] - log_kn[w]) - 1  # gradient of the loss by the score
+        e_n = _sigmoid(q @ tn.T + (p["b"][noise] - log_kn[noise]))
         dq = e_w[:, None] * tw + e_n @ tn
         grad = {k: np.zeros_like(v) for k, v in p.items()}
-        np.add.at(grad["t"], w, e_w[:, None] * q)
+        _add(grad["t"], w, e_w[:, None] * q)
         np.add.at(grad["t"], noise, e_n.T @ q)
-        np.add.at(grad["b"], w, e_w)
+        grad["b"] += np.bincount(w, e_w, UNITS).astype(np.float32)
         np.add.at(grad["b"], noise, e_n.sum(0))
         grad["c1"], grad["c2"] = r1.T @ dq, r2.T @ dq
-        np.add.at(grad["r"], h1, dq @ p["c1"].T)
-        np.add.at(grad["r"], h2, dq @ p["c2"].T)
+        _add(grad["r"], h1, dq @ p["c1"].T)
+        _add(grad["r"], h2, dq @ p["c2"].T)
         for k, g in grad.items():
             g /= n
             self.g[k] += g * g * n
-            p[k] -= rate * g * np.sqrt(n) / np.sqrt(self.g[k])
+            p[k] -= rate * g * np.float32(np.sqrt(n)) / np.sqrt(self.g[k])
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 tables: score of w after u1, score of w after u2, normaliser of (u1, u2).
@@ -217,20 +230,19 @@ def _local(key: str, shared) -> Encoder:
     return _encoder(key)
 
 
-def train(texts: DataFrame, vocab: Vocabulary, train_share: int = 16, rounds: int = 3, rate: float = 0.1) -> Network:
-    """Local training over each partition's documents, then averages weighted by tokens, `rounds` times.
-    The driver gets one set of parameters a round."""
+def train(texts: DataFrame, vocab: Vocabulary, rounds: int = 3, rate: float = 0.1) -> Network:
+    """Local training over each partition's documents, then averages weighted by tokens, `rounds` times;
+    each document takes part in one round. The driver gets one set of parameters a round. Parameters
+    depend a little on how documents lie in partitions."""
     spark = texts.sparkSession
-    shared, key = spark.sparkContext.broadcast(vocab), f"lm-{id(vocab)}-{vocab.total}"
+    shared, key = spark.sparkContext.broadcast(vocab), uuid.uuid4().hex
     counts = np.zeros(UNITS)
     singles = UNITS - CLASSES - 1
-    for k, (w, c) in enumerate((w, c) for w, c in zip(vocab.words, vocab.counts) if w != END):
-        if k < singles:
-            counts[k + 1] = c
-    counts[0], counts[UNITS - CLASSES :] = vocab.end_count(), vocab.class_n
+    counts[1 : 1 + min(singles, len(vocab.counts))] = vocab.counts[:singles]
+    counts[0], counts[UNITS - CLASSES :] = vocab.end, vocab.class_n
     values, noise = Network.start(counts)
-    chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(train_share)) == 0) if train_share > 1 else texts
     for k in range(rounds):
+        chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
         given, step_rate = spark.sparkContext.broadcast(values), rate / (k + 1)
 
         def run(batches: Iterator[pa.RecordBatch], given=given, step_rate=step_rate) -> Iterator[pa.RecordBatch]:
@@ -240,11 +252,10 @@ def train(texts: DataFrame, vocab: Vocabulary, train_share: int = 16, rounds: in
 
             def flush():
                 h1, h2, w = (np.concatenate(x) for x in zip(*held))
-                for _ in range(min(6, -(-LOCAL_STEPS * BATCH // len(w)))):  # a small share is gone through more than once
-                    order = rng.permutation(len(w))
-                    for at in range(0, len(w), BATCH):
-                        i = order[at : at + BATCH]
-                        net.step(h1[i], h2[i], w[i], rng, step_rate)
+                order = rng.permutation(len(w))
+                for at in range(0, len(w), BATCH):
+                    i = order[at : at + BATCH]
+                    net.step(h1[i], h2[i], w[i], rng, step_rate)
                 held.clear()
 
             for b in batches:
@@ -252,7 +263,7 @@ def train(texts: DataFrame, vocab: Vocabulary, train_share: int = 16, rounds: in
                     unit = enc.units(tokens(t.as_py()))[0]
                     held.append((*contexts(unit), unit))
                     size, seen = size + len(unit), seen + len(unit)
-                    if size >= LOCAL_STEPS * BATCH:
+                    if size >= HELD:
                         flush()
                         size = 0
             if held:
@@ -277,7 +288,7 @@ def train(texts: DataFrame, vocab: Vocabulary, train_share: int = 16, rounds: in
 
 def lm_scores(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2),
-    most_head: int = 80_000, train_share: int = 16, rounds: int = 3,
+    most_head: int = 80_000, rounds: int = 3,
 ) -> DataFrame:
     """One row per id: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -285,17 +296,18 @@ def lm_scores(
     base_score is the smoothed unigram score, score the model's log10 probability of the whole text and
     its end. Null and empty texts hold the end only. Rows that share an id are taken as one document and
     their figures add up; null ids are one document too. Other columns are ignored. Without training
-    documents every unit is equally likely.
+    documents every unit is equally likely. The score depends a little on how documents lie in partitions
+    (see train); all other columns do not.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = rows.where(crc_mod(F.col("id"), held_out[0]) != held_out[1]).select("text")
     counts = cut(count_words(texts), "word-counts")
     vocab = vocabulary(counts, most_head)
-    tables = train(texts, vocab, train_share, rounds).tables()
+    tables = train(texts, vocab, rounds).tables()
     spark = docs.sparkSession
-    shared, given, key = spark.sparkContext.broadcast(vocab), spark.sparkContext.broadcast(tables), f"lm-{id(vocab)}-{vocab.total}"
+    shared, given, key = spark.sparkContext.broadcast(vocab), spark.sparkContext.broadcast(tables), uuid.uuid4().hex
     base_log = float(np.log10(vocab.total + vocab.distinct + 1))
-    end_log, end_known = float(np.log10(vocab.end_count() + 1)), int(vocab.end_count() > 0)
+    end_log, end_known = float(np.log10(vocab.end + 1)), int(vocab.end > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, (a, b_, z) = _local(key, shared), given.value
