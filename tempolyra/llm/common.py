@@ -84,14 +84,26 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc, id, text, row): doc holds all columns as they are, so none of them can clash with a
+    column of ours; row is the text's hash."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), text_hash(text).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs, all columns, whose id and text hash are not in gone (id, row_hash). Only rows
     that a filter of bounded size lets through are shuffled; every other row stays where it is."""
-    gone = cut(gone.select(F.col("id").alias("__gone"), F.col("row_hash").alias("__hash")).distinct(), "gone")
-    bits = cut(bit_filter(gone, F.col("__hash")), "gone-filter")
-    rows = flag_maybe(docs.withColumn("__row", text_hash(F.col(text_col))), F.col("__row"), bits)
-    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__row") == F.col("__hash"))
-    return rows.where("not __maybe").unionByName(rows.where("__maybe").join(gone, same, "left_anti")).select(docs.columns)
+    gone = cut(gone.select(F.col("id").alias("gone_id"), F.col("row_hash").alias("gone_row")).distinct(), "gone")
+    bits = cut(bit_filter(gone, F.col("gone_row")), "gone-filter")
+    rows = flag_maybe(packed(docs, id_col, text_col), F.col("row"), bits)
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row"))
+    return unpacked(rows.where("not __maybe").unionByName(rows.where("__maybe").join(gone, same, "left_anti")), docs)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

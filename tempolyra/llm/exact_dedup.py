@@ -16,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bit_filter, cut, maybe_in
+from .common import BLANKS, bit_filter, cut, flag_maybe, maybe_in
+
+#: Shares of a hot digest's rows.
+SALTS = 32
 
 
 def squeezed(text: Column) -> Column:
@@ -25,8 +28,8 @@ def squeezed(text: Column) -> Column:
 
 
 def _best(n: Column, doc_id: Column) -> Column:
-    """Order of preference: most code points, then smallest id; a null id comes last."""
-    return F.struct(n.alias("n"), doc_id.isNotNull().alias("has_id"), (-doc_id).alias("neg_id"))
+    """Order of preference, best first: most code points, then smallest id; a null id comes last."""
+    return F.struct((-n).alias("fewer"), doc_id.isNull().alias("no_id"), doc_id.alias("id"))
 
 
 def exact_dedup(
@@ -58,17 +61,17 @@ def exact_dedup(
     memtable = F.pmod(F.xxhash64("id", "n"), F.lit(memtables))
     runs = cut(
         keys.groupBy(memtable.alias("run"), "key")
-        .agg(F.max(_best(F.col("n"), F.col("id"))).alias("best"), F.count(F.lit(1)).alias("size"))
+        .agg(F.min(_best(F.col("n"), F.col("id"))).alias("best"), F.count(F.lit(1)).alias("size"))
         .sortWithinPartitions("run", "key"),
         "exact-runs",
         **{"parquet.bloom.filter.enabled#key": "true"},
     )
-    merged = runs.groupBy("key").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
+    merged = runs.groupBy("key").agg(F.min("best").alias("best"), F.sum("size").alias("size"))
     hits = cut(
-        merged.where("size > 1").select("key", (-F.col("best.neg_id")).alias("keep_id"), "size"), "exact-hits"
+        merged.where("size > 1").select("key", F.col("best.id").alias("keep_id"), "size"), "exact-hits"
     )
 
-    joined = keys.join(hits, "key", "left")
+    joined = _meet_hits(keys, hits, rows_per_salt)
     differing = _differing(source, joined, hits, key, rows_per_salt)
     if differing.isEmpty():
         return _result(
@@ -81,12 +84,23 @@ def exact_dedup(
     return _result(_by_text(source, joined, differing, key), id_col)
 
 
+def _meet_hits(keys: DataFrame, hits: DataFrame, rows_per_salt: int) -> DataFrame:
+    """keys with the hit of each. Digests of many rows, told by a bit filter on both sides alike, are dealt
+    over SALTS shares; the others have share 0."""
+    hot = cut(bit_filter(hits.where(F.col("size") > rows_per_salt), F.col("key")), "exact-hot-filter")
+    salt = F.when(F.col("__maybe"), F.pmod(F.xxhash64("id", "n"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    shares = F.when(F.col("__maybe"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = flag_maybe(keys, F.col("key"), hot).select("id", "sha", "key", salt.alias("salt"))
+    right = flag_maybe(hits, F.col("key"), hot).select("key", "keep_id", "size", F.explode(shares).alias("salt"))
+    return left.join(right, ["key", "salt"], "left").drop("salt")
+
+
 def _differing(source: DataFrame, joined: DataFrame, hits: DataFrame, key: Column, rows_per_salt: int) -> DataFrame:
     """Digests of which some hit's bytes differ from those of the row that stays."""
     member = joined.where("size is not null").select("id", "key", "keep_id", "size").distinct()
-    bits = cut(bit_filter(member, F.coalesce("id", F.lit(-1))), "exact-filter")
+    bits = cut(bit_filter(member, F.col("id")), "exact-filter")
     texts = (
-        maybe_in(source, F.coalesce("id", F.lit(-1)), bits)
+        maybe_in(source, F.col("id"), bits)
         .select("id", squeezed(F.col("raw")).alias("bytes"), F.sha2(squeezed(F.col("raw")), 256).alias("sha"))
         .withColumn("key", key)
         .drop("sha")
@@ -124,10 +138,10 @@ def _by_text(source: DataFrame, joined: DataFrame, differing: DataFrame, key: Co
     )
     groups = (
         rows.groupBy("bytes", F.pmod(F.xxhash64("id"), F.lit(64)).alias("run"))
-        .agg(F.max(_best(F.col("n"), F.col("id"))).alias("best"), F.count(F.lit(1)).alias("size"))
+        .agg(F.min(_best(F.col("n"), F.col("id"))).alias("best"), F.count(F.lit(1)).alias("size"))
         .groupBy("bytes")
-        .agg(F.max("best").alias("best"), F.sum("size").alias("size"))
-        .select("bytes", (-F.col("best.neg_id")).alias("keep_id"), "size")
+        .agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+        .select("bytes", F.col("best.id").alias("keep_id"), "size")
     )
     return plain.unionByName(rows.join(groups, "bytes").select("id", "sha", "size", "keep_id"))
 

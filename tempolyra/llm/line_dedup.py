@@ -5,14 +5,17 @@ which tokens with digits count as variable. In a leaf, a token that recurs at it
 template and any other becomes variable. A line whose template keeps at least `alike` of its tokens
 without digits, and half of all its tokens, and recurs across documents is dropped from every document.
 
-A template recurs across documents when it stands in different surroundings. A line's surroundings are
-the smallest and the largest digest of the other leaves in its document: copies and near copies of one
+A template recurs across documents when it stands in enough different surroundings. A line's
+surroundings are the smallest and the largest digest of the other leaves in its document; lines that
+agree in one of them count as one surrounding, and so on from line to line. Copies and near copies of one
 document share them however many they are, and pages that only have a footer in common do not. So the
-body of a copied document stays (near-duplicate removal is there for it) and boilerplate goes.
+body of a copied document stays (near-duplicate removal is there for it) and boilerplate goes, also where
+one of its documents has been copied often. Documents that hold nothing but the same lines are copies.
 
 Scale: the tree's keys are a few dozen bytes a line and are written once. Counts are combined before
 they are shuffled, by (key, surroundings) first, so a line that stands in a third of all documents is no
-hot group. Texts move only for documents with lines in recurring leaves, picked by bounded bit filters.
+hot group; where lines meet such a key, the key is repeated for SALTS shares of the lines. Texts move only
+for documents with lines in recurring leaves, picked by bounded bit filters.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bit_filter, cut, flag_maybe, maybe_in, text_hash
+from .common import BLANKS, bit_filter, cut, flag_maybe, maybe_in, packed, text_hash
 
+#: Column of the number of lines that went.
+DROPPED = "__dropped"
 VARIABLE = "<*>"
 SEP = "\x1f"
+SALTS = 16
 
 
 def _lines(text: Column) -> Column:
@@ -51,24 +57,29 @@ def _leaf(line: Column, least_tokens: int, depth: int) -> Column:
     """The leaf's digest; null for lines of too few tokens."""
     def of(tokens: Column) -> Column:
         key = F.concat_ws(SEP, F.size(tokens).cast("string"), _masked(F.slice(tokens, 1, depth)))
-        return F.when(F.size(tokens) >= least_tokens, F.md5(key))
+        return F.when(F.size(tokens) >= least_tokens, F.unhex(F.md5(key)))
 
     # one split a line: the tokens are bound as a lambda's argument
     return F.element_at(F.transform(F.array(_tokens(line)), of), 1)
 
 
-def _recurring(rows: DataFrame, keys: list[str], least_docs: int, least_share: int) -> DataFrame:
-    """The keys that stand in at least least_docs surroundings, and in one for every least_share lines."""
-    sides = rows.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("lo").alias("s")), F.struct(F.lit(1).alias("k"), F.col("hi").alias("s")))).alias("side"))
-    counted = sides.groupBy(*keys, "side").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(
-        F.count_if(F.col("side.k") == 0).alias("d0"), F.count_if(F.col("side.k") == 1).alias("d1"), F.sum("n").alias("n2")
-    )
-    docs = F.greatest("d0", "d1")
-    return counted.where((docs >= least_docs) & (docs * 2 * least_share >= F.col("n2"))).select(*keys)
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """rows joined with a table of distinct keys, a hot key's rows dealt over SALTS shares."""
+    salt = F.pmod(F.xxhash64("id", "row_hash", "pos"), F.lit(SALTS)).cast("int")
+    spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(spread, [*keys, "salt"], how).drop("salt")
+
+
+def _recurring(rows: DataFrame, key: str, least_docs: int) -> DataFrame:
+    """The keys that stand in at least least_docs surroundings (lo, hi), those that share a side taken as one."""
+    at = rows.select(key, "lo", "hi").distinct()
+    by_hi = at.groupBy(key, "hi").agg(F.min("lo").alias("m"))
+    by_lo = at.join(by_hi, [key, "hi"]).groupBy(key, "lo").agg(F.min("m").alias("m"))
+    return by_lo.select(key, "m").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select(key)
 
 
 def recurring_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 5, least_share: int = 20,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 5,
     least_tokens: int = 3, depth: int = 3, alike: float = 0.7,
 ) -> DataFrame:
     """Rows (id, row_hash, pos, template) of the lines to drop; pos counts lines from 0 and row_hash tells
@@ -82,13 +93,17 @@ def recurring_lines(
     keys = cut(
         lines.select(
             "id", "row_hash", "pos", "leaf",
-            F.coalesce(F.when(F.col("leaf") == first, F.get("order", F.lit(1))).otherwise(first), F.lit("")).alias("lo"),
-            F.coalesce(F.when(F.col("leaf") == last, F.get("order", F.size("order") - 2)).otherwise(last), F.lit("")).alias("hi"),
+            F.coalesce(F.when(F.col("leaf") == first, F.get("order", F.lit(1))).otherwise(first), F.lit(b"")).alias("lo"),
+            F.coalesce(F.when(F.col("leaf") == last, F.get("order", F.size("order") - 2)).otherwise(last), F.lit(b"")).alias("hi"),
         ),
         "line-keys",
     )
-    leaves = _recurring(keys, ["leaf"], least_docs, least_share)
-    near = cut(keys.join(leaves, "leaf", "left_semi"), "near-lines")
+    # a leaf of fewer lines than least_docs cannot recur
+    often = keys.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("leaf")
+    often = cut(often, "often-leaves")
+    some = cut(_meet(maybe_in(keys, F.col("leaf"), cut(bit_filter(often, F.col("leaf")), "often-filter")), often, ["leaf"], "left_semi"), "often-lines")
+    leaves = cut(_recurring(some, "leaf", least_docs), "leaves")
+    near = cut(_meet(maybe_in(some, F.col("leaf"), cut(bit_filter(leaves, F.col("leaf")), "leaf-filter")), leaves, ["leaf"], "left_semi"), "near-lines")
     bits = cut(bit_filter(near, F.col("row_hash")), "line-filter")
     source = maybe_in(docs.select(F.col(id_col).alias("doc"), text_hash(F.col(text_col)).alias("doc_hash"), F.col(text_col).alias("raw")), F.col("doc_hash"), bits)
     wanted = near.groupBy("id", "row_hash").agg(F.collect_set(F.struct("pos", "leaf", "lo", "hi")).alias("at"))
@@ -104,7 +119,7 @@ def recurring_lines(
         .groupBy("leaf", "k", "token").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= least_docs).select("leaf", "k", "token", F.lit(True).alias("stays"))
     )
     template = cut(
-        placed.join(constant, ["leaf", "k", "token"], "left")
+        _meet(placed, constant, ["leaf", "k", "token"], "left")
         .groupBy("id", "row_hash", "pos", "leaf", "lo", "hi")
         .agg(
             F.sort_array(F.collect_list(F.struct("k", F.when(F.col("stays"), F.col("token")).otherwise(VARIABLE).alias("t")))).alias("t"),
@@ -114,27 +129,25 @@ def recurring_lines(
         .select("id", "row_hash", "pos", "lo", "hi", F.array_join(F.transform("t", lambda x: x["t"]), " ").alias("template")),
         "templates",
     )
-    return template.join(_recurring(template, ["template"], least_docs, least_share), "template", "left_semi").select("id", "row_hash", "pos", "template")
+    return _meet(template, _recurring(template, "template", least_docs), ["template"], "left_semi").select("id", "row_hash", "pos", "template")
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The rows of docs, all columns, without their recurring lines, and __dropped, how many went.
 
     Every row stays; a text that held nothing else becomes empty. Texts without such lines, null ones
-    included, come back as they are. Rows that share id and text lose the same lines.
+    included, come back as they are. Rows that share id and text lose the same lines. An input column
+    named as DROPPED gives way to the count; no other name matters.
     """
-    gone = cut(recurring_lines(docs, id_col, text_col, **params).groupBy("id", "row_hash").agg(F.collect_set("pos").alias("__gone")), "dropped-lines")
+    gone = cut(recurring_lines(docs, id_col, text_col, **params).groupBy("id", "row_hash").agg(F.collect_set("pos").alias("gone")), "dropped-lines")
     bits = cut(bit_filter(gone, F.col("row_hash")), "dropped-filter")
-    rows = flag_maybe(docs.withColumn("__row", text_hash(F.col(text_col))), F.col("__row"), bits)
-    others = [c for c in docs.columns if c != text_col]
-    same = rows.where("not __maybe").select(*docs.columns, F.lit(0).cast("long").alias("__dropped"))
-    left = F.filter(_lines(F.col(text_col)), lambda x, i: ~F.array_contains("__gone", i))
+    rows = flag_maybe(packed(docs, id_col, text_col), F.col("row"), bits)
+    left = F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("gone", i))
+    columns = lambda text, n: [(text if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns if c != DROPPED] + [n.cast("long").alias(DROPPED)]
+    same = rows.where("not __maybe").select(*columns(F.col("text"), F.lit(0)))
     changed = (
         rows.where("__maybe")
-        .join(gone.select(F.col("id").alias("__id"), F.col("row_hash").alias("__hash"), "__gone"),
-              F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__hash")), "left")
-        .select(*others, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")).alias(text_col),
-                F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__dropped"))
-        .select(*docs.columns, "__dropped")
+        .join(gone.withColumnRenamed("id", "gone_id"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("row_hash")), "left")
+        .select(*columns(F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")), F.coalesce(F.size("gone"), F.lit(0))))
     )
     return same.unionByName(changed)

@@ -110,8 +110,10 @@ _WORDS = r"""regexp_split_to_array(trim(lower(coalesce(text, '')), ' ' || chr(9)
 def _recurring(rows: str, key: str) -> str:
     """SQL for the keys of rows (key, lo, hi) that recur across documents."""
     return f"""
-        SELECT {key} FROM (SELECT {key}, count(DISTINCT lo) AS d0, count(DISTINCT hi) AS d1, count(*) AS n FROM {rows} GROUP BY {key})
-        WHERE greatest(d0, d1) >= 5 AND greatest(d0, d1) * 20 >= n"""
+        SELECT {key} FROM (
+            SELECT {key}, min(m) OVER (PARTITION BY {key}, lo) AS m
+            FROM (SELECT {key}, lo, min(lo) OVER (PARTITION BY {key}, hi) AS m FROM (SELECT DISTINCT {key}, lo, hi FROM {rows})))
+        GROUP BY {key} HAVING count(DISTINCT m) >= 5"""
 
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, cut, flag_maybe, text_hash, without
+from .common import bit_filter, cut, flag_maybe, packed, text_hash, unpacked, without
 from .components import components
 
 BITS, BLOCKS = 64, 4
@@ -248,8 +248,7 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -
     if several.isEmpty():
         return without(docs, gone, id_col, text_col)
     others = first.join(several, "root").where("row_hash <> chosen").select("id", "row_hash")
-    left = without(docs, gone.unionAll(others), id_col, text_col).withColumn("__row", text_hash(F.col(text_col)))
-    bits = cut(bit_filter(several, F.col("chosen")), "several-filter")
-    rows = flag_maybe(left, F.col("__row"), bits)
-    once = rows.where("__maybe").dropDuplicates([id_col, "__row"])
-    return rows.where("not __maybe").unionByName(once).select(docs.columns)
+    left = packed(without(docs, gone.unionAll(others), id_col, text_col), id_col, text_col)
+    rows = flag_maybe(left, F.col("row"), cut(bit_filter(several, F.col("chosen")), "several-filter"))
+    once = rows.where("__maybe").dropDuplicates(["id", "row"])
+    return unpacked(rows.where("not __maybe").unionByName(once), docs)

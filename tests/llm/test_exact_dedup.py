@@ -33,6 +33,12 @@ def test_small(spark, digest_bytes):
     assert sorted(map(tuple, got.collect()), key=repr) == brute(ROWS)
 
 
+def test_string_ids(spark):
+    rows = [("b", "x y"), ("a", "xy"), ("c", "x y"), (None, "x y"), ("z", None)]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(spark.createDataFrame(rows, "doc_id string, text string"), rows_per_salt=1).collect()}
+    assert got == {("b", "b", 4, True), ("a", "b", 4, False), ("c", "b", 4, False), (None, "b", 4, False), ("z", "z", 1, True)}
+
+
 def test_empty(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
