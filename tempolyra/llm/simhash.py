@@ -2,11 +2,11 @@
 
 Fingerprints are made of word shingles in one pass. Distinct fingerprints are dealt by blocks: two that
 differ in at most three bits agree in one of four blocks of 16 bits, so each goes to four buckets, and
-in a bucket of over most_in_bucket fingerprints to four finer ones each. A bucket is sorted by Gray
-rank; runs of neighbours share a masked bit pattern, which moves to a node above them, level by level.
-A search carries the differences counted so far down the levels and drops a group as soon as they pass
-the limit. A bucket gives a spanning forest of its links, never all pairs; links become components by
-star rounds on Spark.
+in a bucket of over most_in_bucket fingerprints to four finer ones each. Buckets are the upper nodes of
+one index over all that a task holds: in them fingerprints are sorted by Gray rank, and runs of
+neighbours share a masked bit pattern, which moves to a node above them, level by level. A search carries
+the differences counted so far down the levels and drops a group as soon as they pass the limit. Buckets
+give a spanning forest of their links, never all pairs; links become components by star rounds on Spark.
 
 Scale: copies of a text collapse before anything is compared. Every bucket holds 8 bytes a fingerprint.
 """
@@ -27,8 +27,8 @@ from .components import components
 
 BITS, BLOCKS = 64, 4
 BLOCK_BITS = BITS // BLOCKS
-LEAF = 8
 FAN = 8
+HELD = 1 << 20  # most pairs of a search that are held at once
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -70,43 +70,50 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchical index over a bucket of fingerprints."""
-
-    def __init__(self, fps: np.ndarray):
-        self.fps = fps[np.argsort(gray_rank(fps), kind="stable")]
-        mask, value = np.full(len(fps), ~np.uint64(0)), self.fps
-        self.levels = [(mask, value)]
-        while len(mask) > FAN:
-            at = np.arange(0, len(mask), FAN if len(self.levels) > 1 else LEAF)
+    """Hierarchical index over buckets of fingerprints: at the top a node for each bucket with the bits that
+    all of it shares, below it groups of FAN neighbours in Gray order, down to the fingerprints."""
+
+    def __init__(self, bucket: np.ndarray, fps: np.ndarray):
+        order = np.lexsort((gray_rank(fps), bucket))
+        self.fps, bucket = fps[order], bucket[order]
+        new = np.ones(len(bucket), bool)
+        new[1:] = bucket[1:] != bucket[:-1]
+        self.bucket = of = np.cumsum(new) - 1
+        mask, value = np.full(len(self.fps), ~np.uint64(0)), self.fps
+        levels, self.first = [(mask, value)], []
+        while len(mask) > of[-1] + 1:
+            start = np.searchsorted(of, np.arange(of[-1] + 1))
+            at = np.nonzero((np.arange(len(of)) - start[of]) % FAN == 0)[0]
             ones, zeros = np.bitwise_and.reduceat(mask & value, at), np.bitwise_and.reduceat(mask & ~value, at)
-            mask, value = ones | zeros, ones
-            self.levels.append((mask, value))
+            mask, value, of = ones | zeros, ones, of[at]
+            levels.append((mask, value))
+            self.first.append(np.append(at, len(levels[-2][0])))
         # what a node above already says is left out below
-        self.own = []
-        for k, (mask, value) in enumerate(self.levels):
-            if k + 1 < len(self.levels):
-                up = self.levels[k + 1][0]
-                mask = mask & ~up[np.arange(len(mask)) // (LEAF if k == 0 else FAN)]
-            self.own.append((mask, value & mask))
-
-    def near(self, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, position) at distance of at most `most`."""
+        self.own = [levels[-1]]
+        for (mask, value), first, (up, _) in zip(levels[-2::-1], self.first[::-1], levels[:0:-1]):
+            rest = mask & ~np.repeat(up, np.diff(first))
+            self.own.insert(0, (rest, value & rest))
+
+    def near(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j), i < j, of a bucket's fingerprints at distance of at most `most`, some HELD at once."""
         top = len(self.own) - 1
-        mask, value = self.own[top]
-        acc = np.bitwise_count((queries[:, None] ^ value[None, :]) & mask[None, :])
-        q, node = np.nonzero(acc <= most)
-        acc = acc[q, node]
-        for level in range(top - 1, -1, -1):
+        stack = [(top, np.arange(len(self.fps)), self.bucket, np.zeros(len(self.fps), np.int64))]
+        while stack:
+            level, q, node, acc = stack.pop()
             mask, value = self.own[level]
-            fan = LEAF if level == 0 else FAN
-            node = (node[:, None] * fan + np.arange(fan)[None, :]).ravel()
-            q, acc = np.repeat(q, fan), np.repeat(acc, fan)
-            there = node < len(mask)
-            q, acc, node = q[there], acc[there], node[there]
-            acc = acc + np.bitwise_count((queries[q] ^ value[node]) & mask[node])
+            acc = acc + np.bitwise_count((self.fps[q] ^ value[node]) & mask[node])
             close = acc <= most
-            q, acc, node = q[close], acc[close], node[close]
-        return q, node
+            if level == 0:
+                close &= q < node
+                yield q[close], node[close]
+                continue
+            q, node, acc = q[close], node[close], acc[close]
+            first = self.first[level - 1]
+            n = first[node + 1] - first[node]
+            for part in np.split(np.arange(len(q)), np.searchsorted(np.cumsum(n), np.arange(HELD, n.sum(), HELD))):
+                m = n[part]
+                below = np.repeat(first[node[part]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                stack.append((level - 1, np.repeat(q[part], m), below, np.repeat(acc[part], m)))
 
 
 def _settle(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -123,17 +130,14 @@ def _settle(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def bucket_forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the links within a bucket connect: each linked fingerprint and its class's first."""
-    index = GrayIndex(fps)
+def forest(bucket: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the links within buckets connect: each linked fingerprint and its class's first."""
+    index = GrayIndex(bucket, fps)
     label = np.arange(len(fps))
-    step = 1024
-    for k in range(0, len(fps), step):
-        q, node = index.near(index.fps[k : k + step], most)
-        q = q + k
-        keep = q < node
-        if keep.any():
-            label = _settle(label, q[keep], node[keep])
+    for i, j in index.near(most):
+        apart = label[i] != label[j]
+        if apart.any():
+            label = _settle(label, i[apart], j[apart])
     linked = np.nonzero(label != np.arange(len(fps)))[0]
     return index.fps[linked], index.fps[label[linked]]
 
@@ -141,24 +145,6 @@ def bucket_forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 def _forests(most: int):
     """Reads rows (bucket, fp) sorted by bucket; gives edges (a, b)."""
 
-    def pairs_of_small(key: np.ndarray, fp: np.ndarray, size: np.ndarray):
-        """All of many small buckets at once: neighbours at each shift."""
-        for shift in range(1, int(size.max(initial=1))):
-            same = (key[shift:] == key[:-shift])
-            i = np.nonzero(same)[0]
-            if not len(i):
-                return
-            close = i[np.bitwise_count(fp[i] ^ fp[i + shift]) <= most]
-            yield fp[close], fp[close + shift]
-
-    def done(key: np.ndarray, fp: np.ndarray):
-        at = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
-        size = np.diff(np.append(at, len(key)))
-        small = np.repeat(size <= LEAF, size)
-        yield from pairs_of_small(key[small], fp[small], size[size <= LEAF])
-        for a, n in zip(at[size > LEAF], size[size > LEAF]):
-            yield bucket_forest(fp[a : a + n], most)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps = [], []
 
@@ -167,9 +153,9 @@ def _forests(most: int):
             end = len(key) if last else np.searchsorted(key == key[-1], True)
             keys[:], fps[:] = [key[end:]], [fp[end:]]
             if end:
-                for a, b in done(key[:end], fp[:end]):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                a, b = forest(key[:end], fp[:end], most)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for b in batches:
             if b.num_rows:

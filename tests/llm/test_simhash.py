@@ -52,6 +52,25 @@ def test_gray_rank():
     assert np.array_equal(gray_rank(g ^ (g >> np.uint64(1))), g)
 
 
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_index_against_all_pairs(monkeypatch, held):
+    """Buckets of one to hundreds of fingerprints, near and far ones, under different limits."""
+    import tempolyra.llm.simhash as m
+
+    monkeypatch.setattr(m, "HELD", held)
+    rng = np.random.default_rng(3)
+    size = np.array([1, 2, 3, 8, 9, 64, 65, 400, 1, 7])
+    bucket = np.repeat(np.arange(len(size)) * 5, size)
+    center = rng.integers(0, 1 << 63, len(size), np.uint64)[bucket // 5]
+    fps = center ^ (np.uint64(1) << rng.integers(0, 64, len(bucket), np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, len(bucket), np.uint64))
+    for most in (0, 2, 3, 7):
+        index = m.GrayIndex(bucket, fps)
+        got = sorted((int(a), int(b)) for i, j in index.near(most) for a, b in zip(i, j))
+        x, of = index.fps, index.bucket
+        want = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if of[i] == of[j] and int(x[i] ^ x[j]).bit_count() <= most]
+        assert got == want
+
+
 @pytest.mark.parametrize("most_in_bucket", [50_000, 5])
 def test_links_lose_nothing(spark, most_in_bucket):
     """Clusters of near fingerprints, chains, hot blocks."""
