@@ -24,29 +24,42 @@ LINE_WIDTH, FULL, HALF, BLANK, SPACING, RUBY_PAIR = 1280 - 128, 48, 24, 12, 9, 2
 _KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
 _HIRAGANA = "".join(map(chr, range(0x3041, 0x3097)))
 
+# fixed values: white space and line ends of Unicode, as classes for regular expressions of Java and RE2
+BLANK_CLASS = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LINE_END = r"\r\n|[\x{a}-\x{d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+# the white space of a browser's trim
+SHOWN_BLANK_CLASS = r"\x{9}-\x{d}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+# fixed values: patterns of stamps and annotations
 _STAMP = r"\[(\d+):(\d+)(?:[.:](\d+))?\]"
 _STRICT_STAMP = r"\[(?:\d{1,3}):(?:\d{1,2})(?:[.:]\d{1,3})?\]"
 _ANNOTATION = r"\{[^}]*\}|\[[^\]]*\]|[^{}\[\]]+|[{}\[\]]"
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition, the one step that SQL lacks; not needed for ASCII and kana."""
+    """Compatibility composition, the one step that SQL lacks. Only texts that hold anything but ASCII, kana
+    and common kanji are composed; the others pass as they are."""
 
     @F.pandas_udf(T.StringType())
     def compose(rows: pd.Series) -> pd.Series:
         return rows.str.normalize("NFKC")
 
-    return compose(text)
+    odd = text.rlike("[^\\x{0}-\\x{7f}\\x{3001}-\\x{3098}\\x{309d}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]")
+    return F.coalesce(compose(F.when(odd, text)), text)
+
+
+def trim_blanks(text: Column, blanks: str = BLANK_CLASS) -> Column:
+    """Without white space at either end, that of Unicode included."""
+    return F.regexp_replace(text, f"^[{blanks}]+|[{blanks}]+$", "")
 
 
 def _raw_lines(texts: DataFrame, text_col: str) -> DataFrame:
     others = [c for c in texts.columns if c != text_col]
-    return texts.select(*others, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), r"\r\n|\n|\r")).alias("line_no", "raw"))
+    return texts.select(*others, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), LINE_END)).alias("line_no", "raw"))
 
 
 def normalised_lines(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """Trimmed lines that are not blank, numbered from 0 as line_idx."""
-    rows = _raw_lines(texts, text_col).withColumn("line", F.regexp_replace("raw", r"^\s+|\s+$", "")).where("line <> ''")
+    rows = _raw_lines(texts, text_col).withColumn("line", trim_blanks(F.col("raw"))).where("line <> ''")
     keys = [c for c in texts.columns if c != text_col]
     place = F.row_number().over(W.partitionBy(*keys).orderBy("line_no")) - 1
     return rows.withColumn("line_idx", place.cast("long")).select(*keys, "line_idx", "line")
@@ -62,9 +75,9 @@ def parse_lrc(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (keys, line_idx, lyric, start_ms): the first stamp of a line or null. Stamps go, {x|y} becomes x;
     blank lines, @ruby directives and metadata lines are skipped."""
     keys = [c for c in texts.columns if c != text_col]
-    rows = _raw_lines(texts, text_col).withColumn("raw", F.regexp_replace(F.regexp_replace("raw", r"^\s+|\s+$", ""), "^\\x{FEFF}+", ""))
+    rows = _raw_lines(texts, text_col).withColumn("raw", F.regexp_replace(trim_blanks(F.col("raw")), "^\\x{FEFF}+", ""))
     rows = rows.where((F.col("raw") != "") & ~F.lower("raw").startswith("@ruby"))
-    lyric = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", _STAMP, ""), r"\{([^|{}]+)\|[^{}]*\}", "$1"), r"^\s+|\s+$", "")
+    lyric = trim_blanks(F.regexp_replace(F.regexp_replace("raw", _STAMP, ""), r"\{([^|{}]+)\|[^{}]*\}", "$1"))
     part = lambda k: F.regexp_extract("raw", _STAMP, k)
     rows = rows.withColumns({"lyric": lyric, "stamped": F.col("raw").rlike(_STAMP)}).where((F.col("lyric") != "") & (F.col("stamped") | ~F.col("raw").startswith("[")))
     start = F.when(F.col("stamped"), stamp_ms(part(1), part(2), part(3)))
@@ -75,24 +88,23 @@ def parse_lrc(texts: DataFrame, text_col: str = "text") -> DataFrame:
 def visible_lines(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (keys, line_number, visible): lines as a player shows them, with their original numbers from 1."""
     keys = [c for c in texts.columns if c != text_col]
-    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    trim = lambda c: trim_blanks(c, SHOWN_BLANK_CLASS)
     rows = texts.select(*keys, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), r"\r?\n")).alias("k", "raw")).withColumn("raw", trim(F.regexp_replace("raw", "^\\x{FEFF}", "")))
     rows = rows.where((F.col("raw") != "") & ~F.col("raw").rlike(r"(?i)^@ruby\b"))
     bare = trim(F.regexp_replace("raw", _STRICT_STAMP, ""))
-    rows = rows.withColumn("bare", bare).where(F.col("raw").rlike(_STRICT_STAMP) | ~F.col("bare").rlike(r"^\[[^\]|]+:[^\]]*\]\s*$"))
+    rows = rows.withColumn("bare", bare).where(F.col("raw").rlike(_STRICT_STAMP) | ~F.col("bare").rlike(rf"^\[[^\]|]+:[^\]]*\][{SHOWN_BLANK_CLASS}]*$"))
     shown = trim(F.regexp_replace(F.regexp_replace("bare", r"\{([^{}|]+)\|[^{}]*\}", "$1"), r"\[([^\[\]|]+)\|[^\[\]]*\]", "$1"))
     return rows.withColumn("visible", shown).where("visible <> ''").select(*keys, (F.col("k") + 1).cast("long").alias("line_number"), "visible")
 
 
 def normalise_reading(text: Column) -> Column:
-    """Katakana to hiragana, without white space, punctuation and symbols, in lower case. Apply nfkc first
-    to text that may hold compatibility forms."""
-    return F.lower(F.regexp_replace(F.translate(text, _KATAKANA, _HIRAGANA), r"[\s\p{P}\p{S}]", ""))
+    """Composed by nfkc, katakana to hiragana, without white space, punctuation and symbols, in lower case."""
+    return F.lower(F.regexp_replace(F.translate(nfkc(text), _KATAKANA, _HIRAGANA), rf"[{BLANK_CLASS}\p{{P}}\p{{S}}]", ""))
 
 
 def split_moras(reading: Column) -> Column:
     """Timing units: one character each, small kana with the one before."""
-    return F.regexp_extract_all(F.regexp_replace(reading, r"[\s\p{P}]", ""), F.lit(f"(?s).[{SMALL_KANA}]*"), 0)
+    return F.regexp_extract_all(F.regexp_replace(reading, rf"[{BLANK_CLASS}\p{{P}}]", ""), F.lit(f"(?s).[{SMALL_KANA}]*"), 0)
 
 
 def is_sung(text: Column) -> Column:
@@ -166,12 +178,13 @@ def fix_foreign_readings(tokens: DataFrame, words: DataFrame, line_keys: list[st
 
 def line_width(text: Column) -> Column:
     """Estimated pixels: full, half or blank width of each character, room for a two-kana ruby over each
-    kanji, and letter spacing."""
-    width = lambda c: (
-        F.when(c.rlike("^[㐀-䶿一-鿿]$"), max(FULL, RUBY_PAIR)).when(c == " ", BLANK).when(c.rlike("^[\\x{00}-\\x{ff}]$"), HALF).otherwise(FULL)
-    )
-    total = F.aggregate(F.transform(F.split(text, ""), width), F.lit(0), lambda a, x: a + x)
-    return F.when(F.length(text) == 0, 0).otherwise(total + (F.char_length(text) - 1) * SPACING)
+    kanji, and letter spacing. Counted by lengths, not character by character."""
+    n = F.char_length(text)
+    wide = F.char_length(F.regexp_replace(text, "[\\x{00}-\\x{ff}]", ""))
+    kanji = F.when(wide > 0, n - F.char_length(F.regexp_replace(text, "[㐀-䶿一-鿿]", ""))).otherwise(0)
+    blanks = n - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
+    total = kanji * max(FULL, RUBY_PAIR) + (wide - kanji) * FULL + blanks * BLANK + (n - wide - blanks) * HALF
+    return F.when(n == 0, 0).otherwise(total + (n - 1) * SPACING)
 
 
 def line_widths(lines: DataFrame, text_col: str = "visible") -> DataFrame:

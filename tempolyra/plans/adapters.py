@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import BLANK_CLASS, LINE_END
+
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations embeddings".split()
 
 ADAPTERS: dict[str, str] = {
@@ -71,7 +73,9 @@ def adapt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def oracle(body: str, *names: str) -> str:
-    """DuckDB SQL: the adapters as common tables before a body that starts with SELECT or with more of them."""
+    """DuckDB SQL: the adapters as common tables before a body that starts with SELECT or with more of them.
+    BLANKS and LINE_END in it stand for the classes of the text functions."""
+    body = body.replace("BLANKS", BLANK_CLASS).replace("LINE_END", LINE_END)
     tables = {t: t for t in TABLES}
     heads = [f"{n} AS ({_ms(ADAPTERS[n], 'duckdb').format(**tables)})" for n in names]
     joint = "," if body.lstrip()[:6].upper() != "SELECT" else ""

@@ -74,7 +74,7 @@ def _edits(s, d):
 
 add("edit_lines", _edits)
 add("target_moras", lambda s, d: align.target_moras(_surfaces(s, d)[1].withColumn("reading", F.lower("surface"))).groupBy("song_id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last")),
-    oracle("""l AS (SELECT song_id, unnest(string_split(text, chr(10))) AS raw FROM song_lines), m AS (SELECT song_id, length(regexp_replace(raw, '[\\s\\p{P}\\p{S}]', '', 'g')) AS n FROM l)
+    oracle("""l AS (SELECT song_id, unnest(regexp_split_to_array(text, 'LINE_END')) AS raw FROM song_lines), m AS (SELECT song_id, length(regexp_replace(raw, '[BLANKS\\p{P}\\p{S}]', '', 'g')) AS n FROM l)
         SELECT song_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) - 1 AS BIGINT) AS last FROM m GROUP BY song_id HAVING sum(n) > 0""", "song_lines"))
 
 

@@ -30,7 +30,7 @@ def moras(s, d):
 _M = """m AS (SELECT song_id, seq // 4 AS line_idx, seq // 2 % 2 AS token_idx, seq % 2 AS mora_idx, seq, CAST(reading AS VARCHAR) AS reading, start_ms, end_ms, engine_no <> 0 AS matched, score_no / 10 AS score FROM moras)"""
 
 add("spread_moras", lambda s, d: iv.spread_moras(adapt(s, d, "event_logs").selectExpr("id", "event AS word", "created_at % 100000 AS start_ms", "created_at % 100000 + cast(floor(duration_ms * 10) as bigint) AS end_ms"), text.split_moras(F.col("word"))),
-    oracle("""w AS (SELECT id, event AS word, created_at % 100000 AS s, CAST(floor(duration_ms * 10) AS BIGINT) AS d, regexp_extract_all(regexp_replace(event, '[\\s\\p{P}]', '', 'g'), '.') AS x FROM event_logs),
+    oracle("""w AS (SELECT id, event AS word, created_at % 100000 AS s, CAST(floor(duration_ms * 10) AS BIGINT) AS d, regexp_extract_all(regexp_replace(event, '[BLANKS\\p{P}]', '', 'g'), '.') AS x FROM event_logs),
         p AS (SELECT id, word, s, d, len(x) AS n, unnest(x) AS mora, unnest(range(len(x))) AS mora_idx FROM w)
         SELECT id, word, mora_idx, mora, s + CAST(floor(d * mora_idx / n) AS BIGINT) AS start_ms, s + CAST(floor(d * (mora_idx + 1) / n) AS BIGINT) AS end_ms FROM p""", "event_logs"))
 add("monotone", lambda s, d: iv.monotone(adapt(s, d, "moras").selectExpr("song_id", "seq", "start_ms * 3 - seq * 550 AS start_ms", "end_ms * 3 - seq * 550 AS end_ms")),
@@ -177,17 +177,17 @@ def _chunks(s, d):
 
 
 add("auto_font_size", lambda s, d: st.auto_font_size(_surfaces(s, d)[0]),
-    oracle("""l AS (SELECT song_id, unnest(string_split(text, chr(10))) AS raw FROM song_lines), n AS (SELECT song_id, max(length(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'))) AS n FROM l GROUP BY song_id HAVING max(length(trim(raw))) > 0),
+    oracle("""l AS (SELECT song_id, unnest(regexp_split_to_array(text, 'LINE_END')) AS raw FROM song_lines), n AS (SELECT song_id, max(length(regexp_replace(raw, '^[BLANKS]+|[BLANKS]+$', '', 'g'))) AS n FROM l GROUP BY song_id HAVING max(length(trim(raw))) > 0),
         f AS (SELECT song_id, least(120, greatest(40, 1766 // greatest(1, CAST(round_even(n * 0.68::DOUBLE, 0) AS BIGINT)))) AS font_size FROM n) SELECT song_id, font_size, greatest(20, CAST(round_even(font_size * 0.4::DOUBLE, 0) AS BIGINT)) AS ruby_size FROM f""", "song_lines"))
 add("line_chunks", lambda s, d: _chunks(s, d).groupBy("song_id", "line_idx").agg(F.sum("duration_cs").alias("cs"), F.count_if("sung").alias("sung")).where("sung > 0").select("song_id", "line_idx", "cs"),
-    oracle("""l AS (SELECT song_id, unnest(range(len(ls))) AS k, regexp_replace(unnest(ls), '^\\s+|\\s+$', '', 'g') AS line FROM (SELECT song_id, string_split(text, chr(10)) AS ls FROM song_lines)),
+    oracle("""l AS (SELECT song_id, unnest(range(len(ls))) AS k, regexp_replace(unnest(ls), '^[BLANKS]+|[BLANKS]+$', '', 'g') AS line FROM (SELECT song_id, regexp_split_to_array(text, 'LINE_END') AS ls FROM song_lines)),
         n AS (SELECT song_id, line, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx FROM l WHERE line <> '')
         SELECT song_id, line_idx, CAST(round_even(403 * len(string_split(line, ' ')) / 10, 0) AS BIGINT) AS cs FROM n WHERE regexp_matches(line, '[^\\p{P}\\p{S}\\p{Z}]')""", "song_lines"))
 add("uniform_chunks", lambda s, d: st.uniform_chunks(_surfaces(s, d)[0]).groupBy("song_id", "line_idx").agg(F.sum("duration_cs").alias("cs"), F.max("duration_cs").alias("most")),
-    oracle("""l AS (SELECT song_id, unnest(range(len(ls))) AS k, regexp_replace(unnest(ls), '^\\s+|\\s+$', '', 'g') AS line FROM (SELECT song_id, string_split(text, chr(10)) AS ls FROM song_lines)),
+    oracle("""l AS (SELECT song_id, unnest(range(len(ls))) AS k, regexp_replace(unnest(ls), '^[BLANKS]+|[BLANKS]+$', '', 'g') AS line FROM (SELECT song_id, regexp_split_to_array(text, 'LINE_END') AS ls FROM song_lines)),
         n AS (SELECT song_id, length(line) AS n, CAST(round_even(403 * len(string_split(line, ' ')) / 10, 0) AS BIGINT) AS cs, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx FROM l WHERE line <> '')
         SELECT song_id, line_idx, cs, CAST(ceil(cs / n) AS BIGINT) AS most FROM n""", "song_lines"))
 add("fixed_slot_subtitles", lambda s, d: st.ass_event_count(st.fixed_slot_subtitles(*_surfaces(s, d))),
-    oracle("""l AS (SELECT song_id, unnest(string_split(text, chr(10))) AS raw FROM song_lines) SELECT song_id, count(*) AS events FROM l WHERE regexp_replace(raw, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY song_id""", "song_lines"))
+    oracle("""l AS (SELECT song_id, unnest(regexp_split_to_array(text, 'LINE_END')) AS raw FROM song_lines) SELECT song_id, count(*) AS events FROM l WHERE regexp_replace(raw, '^[BLANKS]+|[BLANKS]+$', '', 'g') <> '' GROUP BY song_id""", "song_lines"))
 add("two_slot_subtitles", lambda s, d: st.two_slot_subtitles(*_surfaces(s, d)))
 add("active_frames", lambda s, d: st.active_frames(st.slot_timings(lines(s, d)), lines(s, d).selectExpr("song_id", "start_ms + 150 AS t_ms").where("line_idx % 5 = 0").distinct()))

@@ -15,8 +15,8 @@ def add(name, fn, sql=None):
         ORACLES[name] = sql
 
 
-_LINES = """l AS (SELECT song_id, unnest(range(len(ls))) AS k, unnest(ls) AS raw FROM (SELECT song_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM song_lines)),
-    n AS (SELECT song_id, k, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM l)"""
+_LINES = """l AS (SELECT song_id, unnest(range(len(ls))) AS k, unnest(ls) AS raw FROM (SELECT song_id, regexp_split_to_array(coalesce(text, ''), 'LINE_END') AS ls FROM song_lines)),
+    n AS (SELECT song_id, k, regexp_replace(raw, '^[BLANKS]+|[BLANKS]+$', '', 'g') AS line FROM l)"""
 add("normalised_lines", lambda s, d: text.normalised_lines(adapt(s, d, "song_lines")),
     oracle(_LINES + " SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx, line FROM n WHERE line <> ''", "song_lines"))
 
@@ -28,17 +28,17 @@ def _stamped(s, d):
     return rows.withColumn("text", F.array_join(F.transform(F.split("text", "\n"), line), "\n"))
 
 
-_STAMPED = _LINES + """, p AS (SELECT song_id, k, line, k % 3 AS kind, CAST((k * 37) % 1000 AS VARCHAR) AS f FROM (SELECT song_id, k, regexp_replace(raw, '\\s+$', '') AS line FROM l)),
-    q AS (SELECT song_id, k, trim(CASE kind WHEN 0 THEN line ELSE 'ab' || line END) AS lyric,
+_STAMPED = _LINES + """, p AS (SELECT song_id, k, line, k % 3 AS kind, CAST((k * 37) % 1000 AS VARCHAR) AS f FROM (SELECT song_id, k, regexp_replace(raw, '[BLANKS]+$', '') AS line FROM l)),
+    q AS (SELECT song_id, k, regexp_replace(CASE kind WHEN 0 THEN line ELSE 'ab' || line END, '^[BLANKS]+|[BLANKS]+$', '', 'g') AS lyric,
                  CASE kind WHEN 0 THEN ((k % 10) * 60 + 10 + k % 10) * 1000 + CAST(round_even(CAST(f AS BIGINT) * 1000 / pow(10, length(f)), 0) AS BIGINT) END AS start_ms FROM p WHERE kind < 2)"""
 add("parse_lrc", lambda s, d: text.parse_lrc(_stamped(s, d)),
     oracle(_STAMPED + " SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx, lyric, start_ms FROM q WHERE lyric <> ''", "song_lines"))
 add("visible_lines", lambda s, d: text.visible_lines(_stamped(s, d)), oracle(_STAMPED + " SELECT song_id, k + 1 AS line_number, lyric AS visible FROM q WHERE lyric <> ''", "song_lines"))
-_READING = "lower(regexp_replace(line, '[\\s\\p{P}\\p{S}]', '', 'g'))"
+_READING = "lower(regexp_replace(line, '[BLANKS\\p{P}\\p{S}]', '', 'g'))"
 add("normalise_reading", lambda s, d: text.normalised_lines(adapt(s, d, "song_lines")).select("song_id", "line_idx", text.normalise_reading(F.col("line")).alias("reading")),
     oracle(_LINES + f" SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx, {_READING} AS reading FROM n WHERE line <> ''", "song_lines"))
 add("split_moras", lambda s, d: text.normalised_lines(adapt(s, d, "song_lines")).select("song_id", "line_idx", F.size(text.split_moras(F.col("line"))).cast("long").alias("n"), F.array_join(text.split_moras(F.col("line")), "/").alias("moras")),
-    oracle(_LINES + """, m AS (SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx, regexp_extract_all(regexp_replace(line, '[\\s\\p{P}]', '', 'g'), '.') AS x FROM n WHERE line <> '')
+    oracle(_LINES + """, m AS (SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx, regexp_extract_all(regexp_replace(line, '[BLANKS\\p{P}]', '', 'g'), '.') AS x FROM n WHERE line <> '')
         SELECT song_id, line_idx, len(x) AS n, array_to_string(x, '/') AS moras FROM m""", "song_lines"))
 add("is_sung", lambda s, d: text.normalised_lines(adapt(s, d, "song_lines")).groupBy("song_id").agg(F.count_if(text.is_sung(F.col("line"))).alias("sung"), F.count_if(~text.is_sung(F.substring("line", -1, 1))).alias("open_end")),
     oracle(_LINES + """ SELECT song_id, count(*) FILTER (regexp_matches(line, '[^\\p{P}\\p{S}\\p{Z}]')) AS sung, count(*) FILTER (NOT regexp_matches(line[-1], '[^\\p{P}\\p{S}\\p{Z}]')) AS open_end FROM n WHERE line <> '' GROUP BY song_id""", "song_lines"))
