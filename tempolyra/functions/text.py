@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,17 +54,29 @@ def trim_blanks(text: Column, blanks: str = BLANK_CLASS) -> Column:
     return F.regexp_replace(text, f"^[{blanks}]+|[{blanks}]+$", "")
 
 
-def _raw_lines(texts: DataFrame, text_col: str) -> DataFrame:
-    others = [c for c in texts.columns if c != text_col]
-    return texts.select(*others, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), LINE_END)).alias("line_no", "raw"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: an argument of a lambda is never written out again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _each_line(texts: DataFrame, text_col: str, ends: str, make: Callable[[Column], Column], name: str) -> DataFrame:
+    """Rows (keys, line_no, name) of the lines for which make gives a value. Lines are made before they become
+    rows, so a filter on them is not computed a second time further down."""
+    keys = [c for c in texts.columns if c != text_col]
+    made = F.transform(F.split(F.coalesce(text_col, F.lit("")), ends), make)
+    return texts.select(*keys, F.posexplode_outer(made).alias("line_no", name)).where(F.col(name).isNotNull())
+
+
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("line_no")) - 1
+    return rows.withColumn("line_idx", place.cast("long"))
 
 
 def normalised_lines(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """Trimmed lines that are not blank, numbered from 0 as line_idx."""
-    rows = _raw_lines(texts, text_col).withColumn("line", trim_blanks(F.col("raw"))).where("line <> ''")
     keys = [c for c in texts.columns if c != text_col]
-    place = F.row_number().over(W.partitionBy(*keys).orderBy("line_no")) - 1
-    return rows.withColumn("line_idx", place.cast("long")).select(*keys, "line_idx", "line")
+    rows = _each_line(texts, text_col, LINE_END, lambda raw: _let(trim_blanks(raw), lambda x: F.when(x != "", x)), "line")
+    return _numbered(rows, keys).select(*keys, "line_idx", "line")
 
 
 def stamp_ms(minutes: Column, seconds: Column, fraction: Column) -> Column:
@@ -75,26 +89,34 @@ def parse_lrc(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (keys, line_idx, lyric, start_ms): the first stamp of a line or null. Stamps go, {x|y} becomes x;
     blank lines, @ruby directives and metadata lines are skipped."""
     keys = [c for c in texts.columns if c != text_col]
-    rows = _raw_lines(texts, text_col).withColumn("raw", F.regexp_replace(trim_blanks(F.col("raw")), "^\\x{FEFF}+", ""))
-    rows = rows.where((F.col("raw") != "") & ~F.lower("raw").startswith("@ruby"))
-    lyric = trim_blanks(F.regexp_replace(F.regexp_replace("raw", _STAMP, ""), r"\{([^|{}]+)\|[^{}]*\}", "$1"))
-    part = lambda k: F.regexp_extract("raw", _STAMP, k)
-    rows = rows.withColumns({"lyric": lyric, "stamped": F.col("raw").rlike(_STAMP)}).where((F.col("lyric") != "") & (F.col("stamped") | ~F.col("raw").startswith("[")))
-    start = F.when(F.col("stamped"), stamp_ms(part(1), part(2), part(3)))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy("line_no")) - 1
-    return rows.withColumns({"start_ms": start, "line_idx": place.cast("long")}).select(*keys, "line_idx", "lyric", "start_ms")
+
+    def line(raw: Column) -> Column:
+        lyric = trim_blanks(F.regexp_replace(F.regexp_replace(raw, _STAMP, ""), r"\{([^|{}]+)\|[^{}]*\}", "$1"))
+        stamp = F.when(raw.rlike(_STAMP), stamp_ms(*(F.regexp_extract(raw, _STAMP, k) for k in (1, 2, 3))))
+        kept = (raw != "") & ~F.lower(raw).startswith("@ruby") & (raw.rlike(_STAMP) | ~raw.startswith("["))
+        return F.when(kept, _let(lyric, lambda x: F.when(x != "", F.struct(x.alias("lyric"), stamp.alias("start_ms")))))
+
+    bare = lambda raw: F.regexp_replace(trim_blanks(raw), "^\\x{FEFF}+", "")
+    rows = _each_line(texts, text_col, LINE_END, lambda raw: _let(bare(raw), line), "p")
+    return _numbered(rows, keys).select(*keys, "line_idx", "p.lyric", "p.start_ms")
 
 
 def visible_lines(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (keys, line_number, visible): lines as a player shows them, with their original numbers from 1."""
     keys = [c for c in texts.columns if c != text_col]
     trim = lambda c: trim_blanks(c, SHOWN_BLANK_CLASS)
-    rows = texts.select(*keys, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), r"\r?\n")).alias("k", "raw")).withColumn("raw", trim(F.regexp_replace("raw", "^\\x{FEFF}", "")))
-    rows = rows.where((F.col("raw") != "") & ~F.col("raw").rlike(r"(?i)^@ruby\b"))
-    bare = trim(F.regexp_replace("raw", _STRICT_STAMP, ""))
-    rows = rows.withColumn("bare", bare).where(F.col("raw").rlike(_STRICT_STAMP) | ~F.col("bare").rlike(rf"^\[[^\]|]+:[^\]]*\][{SHOWN_BLANK_CLASS}]*$"))
-    shown = trim(F.regexp_replace(F.regexp_replace("bare", r"\{([^{}|]+)\|[^{}]*\}", "$1"), r"\[([^\[\]|]+)\|[^\[\]]*\]", "$1"))
-    return rows.withColumn("visible", shown).where("visible <> ''").select(*keys, (F.col("k") + 1).cast("long").alias("line_number"), "visible")
+
+    def line(raw: Column) -> Column:
+        def shown(bare: Column) -> Column:
+            text = trim(F.regexp_replace(F.regexp_replace(bare, r"\{([^{}|]+)\|[^{}]*\}", "$1"), r"\[([^\[\]|]+)\|[^\[\]]*\]", "$1"))
+            lyric = raw.rlike(_STRICT_STAMP) | ~bare.rlike(rf"^\[[^\]|]+:[^\]]*\][{SHOWN_BLANK_CLASS}]*$")
+            return F.when(lyric, _let(text, lambda x: F.when(x != "", x)))
+
+        return F.when((raw != "") & ~raw.rlike(r"(?i)^@ruby\b"), _let(trim(F.regexp_replace(raw, _STRICT_STAMP, "")), shown))
+
+    start = lambda raw: trim(F.regexp_replace(raw, "^\\x{FEFF}", ""))
+    rows = _each_line(texts, text_col, r"\r?\n", lambda raw: _let(start(raw), line), "visible")
+    return rows.select(*keys, (F.col("line_no") + 1).cast("long").alias("line_number"), "visible")
 
 
 def normalise_reading(text: Column) -> Column:

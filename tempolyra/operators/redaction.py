@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import re
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+from collections.abc import Iterator
+from functools import singledispatch
+from itertools import islice
+from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,56 +46,73 @@ def redact_url(url: Column) -> Column:
     return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"), F.when(url.rlike(r"^[^#]*\?"), F.concat(bare, F.lit("?"), F.array_join(safe, "&"))).otherwise(bare)).otherwise(url)
 
 
-def _short(text: str, limit: int = LIMIT) -> str:
-    return text if len(text) <= limit else text[-limit:] + CUT
+#: What is written over in a plain text, in order; the last two only in texts of TRACE_KEYS.
+_PLAIN = [(re.compile(BEARER), rf"\1{HIDDEN}"), (re.compile(INLINE), rf"\1={HIDDEN}")]
+_TRACE = [*_PLAIN, (re.compile(WINDOWS_PATH), r"<path>/\1"), (re.compile(UNIX_PATH), "<path>")]
 
 
-def _url(text: str) -> str:
+def _last_part(path: str) -> str:
+    return path.rstrip("/").rpartition("/")[2]
+
+
+def _shown(text: str) -> str:
+    return text[-LIMIT:] + CUT if len(text) > LIMIT else text
+
+
+def _address(text: str) -> str:
+    """An absolute address with secret parameters hidden and without its fragment; any other text as it is."""
     try:
-        u = urlsplit(text)
-        if not (u.scheme and u.netloc):
+        parts = urlsplit(text)
+        if not all(parts[:2]):
             return text
-        query = [(k, HIDDEN if re.search(URL_SECRET, k) else v) for k, v in parse_qsl(u.query, keep_blank_values=True)]
-        return urlunsplit((u.scheme, u.netloc, u.path, urlencode(query), ""))
+        hide = lambda pair: (pair[0], HIDDEN) if re.search(URL_SECRET, pair[0]) else pair
+        safe = map(hide, parse_qsl(parts.query, keep_blank_values=True))
+        return parts._replace(query=urlencode(list(safe)), fragment="").geturl()
     except ValueError:
         return text
 
 
-def _base(text: str) -> str:
-    return text.rstrip("/").rsplit("/", 1)[-1]
-
-
-def _command(words: list) -> list:
-    out, hide = [], False
-    for w in map(str, words):
-        if hide:
-            out.append(HIDDEN)
-        elif w.lower() in OPTION_KEYS:
-            out.append(w)
-        elif re.search(BEARER, w) or re.search(SECRET, w.split("=", 1)[0]):
-            out.append(HIDDEN)
+def _arguments(words: Iterator[str]) -> Iterator[str]:
+    """A command's words; an option that carries a secret takes the word after it along."""
+    for word in words:
+        name = word.partition("=")[0]
+        if word.lower() in OPTION_KEYS:
+            yield word
+            yield from (HIDDEN for _ in islice(words, 1))
+        elif re.search(SECRET, name) or re.search(BEARER, word):
+            yield HIDDEN
         else:
-            out.append(_base(w) if w.startswith("/") else _short(_url(w)))
-        hide = not hide and w.lower() in OPTION_KEYS
-    return out
+            yield _last_part(word) if word[:1] == "/" else _shown(_address(word))
 
 
+@singledispatch
 def clean(value, key: str = ""):
-    """One JSON value without secrets, paths and long texts."""
+    """One JSON value without secrets, paths and long texts: by its kind, and by the key that it stands under."""
+    return HIDDEN if re.search(SECRET, key) else value
+
+
+@clean.register
+def _(value: dict, key: str = ""):
+    return HIDDEN if re.search(SECRET, key) else {name: clean(inner, name) for name, inner in value.items()}
+
+
+@clean.register
+def _(value: list, key: str = ""):
+    if re.search(SECRET, key):
+        return HIDDEN
+    return list(_arguments(map(str, value))) if key.lower() in COMMAND_KEYS else [clean(inner, key) for inner in value]
+
+
+@clean.register
+def _(value: str, key: str = ""):
     if re.search(SECRET, key):
         return HIDDEN
-    if isinstance(value, dict):
-        return {k: clean(v, k) for k, v in value.items()}
-    if isinstance(value, list):
-        return _command(value) if key.lower() in COMMAND_KEYS else [clean(v, key) for v in value]
-    if not isinstance(value, str):
-        return value
-    if re.search(PATH_KEY, key) or value.startswith("/"):
-        return _base(value)
-    text = re.sub(INLINE, rf"\1={HIDDEN}", re.sub(BEARER, rf"\1{HIDDEN}", _url(value)))
-    if key.lower() in TRACE_KEYS:
-        text = re.sub(UNIX_PATH, "<path>", re.sub(WINDOWS_PATH, r"<path>/\1", text))
-    return _short(text)
+    if value[:1] == "/" or re.search(PATH_KEY, key):
+        return _last_part(value)
+    text = _address(value)
+    for pattern, instead in _TRACE if key.lower() in TRACE_KEYS else _PLAIN:
+        text = pattern.sub(instead, text)
+    return _shown(text)
 
 
 def redact_json(details: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,21 +14,19 @@ from pyspark.sql.window import Window as W
 from ..functions.text import lrc_time, normalise_reading
 from .subtitles import LINE, TOKEN, _segments, paragraphs
 
-_RUN = re.compile("[㐀-䶿一-鿿]+")
+_RUN = re.compile("([㐀-䶿一-鿿]+)")
 RUNS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("reading", T.StringType())]))
 
 
 def kanji_runs(surface: str | None, plain: str | None, reading: str | None) -> list[dict]:
     """Kanji runs of a surface with their readings: the kana around them anchor a lazy match; a run without
     one keeps its own characters. plain is the normalised surface, of equal length, reading normalised."""
-    surface, plain = surface or "", plain or ""
-    runs = [m.span() for m in _RUN.finditer(surface)]
-    pattern, at = "", 0
-    for a, z in runs:
-        pattern += re.escape(re.sub(r"[^\w]", "", plain[at:a])) + "(.*?)"
-        at = z
-    hit = re.fullmatch(pattern + re.escape(re.sub(r"[^\w]", "", plain[at:])), reading or "") if runs else None
-    return [{"start": a, "end": z, "reading": (hit.group(k + 1) if hit else "") or surface[a:z]} for k, (a, z) in enumerate(runs)]
+    pieces = _RUN.split(surface or "")  # kana and kanji by turns
+    edge = [0, *accumulate(map(len, pieces))]
+    kana = ["".join(re.findall(r"\w", (plain or "")[edge[k] : edge[k + 1]])) for k in range(0, len(pieces), 2)]
+    hit = re.fullmatch("(.*?)".join(map(re.escape, kana)), reading or "")
+    said = hit.groups() if hit else [""] * len(kana)
+    return [{"start": edge[k], "end": edge[k + 1], "reading": said[k // 2] or pieces[k]} for k in range(1, len(pieces), 2)]
 
 
 def kanji_readings(tokens: DataFrame) -> DataFrame:
