@@ -5,6 +5,8 @@ and segments) and matching blocks of mora sequences. Songs are bounded, so a gro
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -22,6 +24,10 @@ SKIP_LINE, SKIP_SEGMENT, MATCH_BASE, PAIR = -0.35, -0.15, -0.8, -0.05
 LEAST_MATCH = 0.15
 
 
+#: Lines and segments of a move, and its cost besides a match's gain.
+_MOVES = [(1, 0, SKIP_LINE), (0, 1, SKIP_SEGMENT), (1, 1, 0.0), (1, 2, PAIR), (2, 1, PAIR)]
+
+
 def seq_ratio(a: Column, b: Column) -> Column:
     """Similarity of two arrays by longest matching blocks, from 0 to 1."""
 
@@ -46,31 +52,37 @@ def _windows_of_song(lines: list[list[str]], segments: list[tuple[list[str], int
     """Windows of a song's lines (moras) by its segments (moras, start, end). Moves: leave out a line or a
     segment, or match one with one, one with two, two with one; the first of equal moves; segments after the
     last line cost nothing."""
+    joined = [{(k - n, k): [m for part in parts[k - n : k] for m in part] for n in (1, 2) for k in range(n, len(parts) + 1)} for parts in (lines, [s[0] for s in segments])]
+    counts = [{k: Counter(x) for k, x in side.items()} for side in joined]
     known: dict[tuple, float] = {}
 
-    def gain(i: tuple[int, int], j: tuple[int, int]) -> float:
+    def gain(i: tuple[int, int], j: tuple[int, int], base: float, least: float) -> float | None:
+        """base and the gain of a match, or None where even all moras in common would not make it more than least."""
         if (i, j) not in known:
-            x = [m for k in range(*i) for m in lines[k]]
-            y = [m for k in range(*j) for m in segments[k][0]]
+            x, y = joined[0][i], joined[1][j]
+            size = len(x) + len(y)
+            most = 2 * (counts[0][i] & counts[1][j]).total() / size if size else 1.0
+            if base + (most * 2 + MATCH_BASE) <= least:
+                return None
             known[i, j] = SequenceMatcher(None, x, y, autojunk=False).ratio() * 2 + MATCH_BASE
-        return known[i, j]
+        return base + known[i, j]
 
     best: dict[tuple[int, int], tuple[float, tuple[int, int]]] = {(0, 0): (0.0, (0, 0))}
     for i in range(len(lines) + 1):
         for j in range(len(segments) + 1):
-            moves = []
-            if i:
-                moves.append((best[i - 1, j][0] + SKIP_LINE, (1, 0)))
-            if j:
-                moves.append((best[i, j - 1][0] + SKIP_SEGMENT, (0, 1)))
-            if i and j:
-                moves.append((best[i - 1, j - 1][0] + gain((i - 1, i), (j - 1, j)), (1, 1)))
-            if i and j > 1:
-                moves.append((best[i - 1, j - 2][0] + gain((i - 1, i), (j - 2, j)) + PAIR, (1, 2)))
-            if i > 1 and j:
-                moves.append((best[i - 2, j - 1][0] + gain((i - 2, i), (j - 1, j)) + PAIR, (2, 1)))
-            if moves:
-                best[i, j] = max(moves, key=lambda m: m[0])
+            top, move = -math.inf, None
+            for di, dj, cost in _MOVES:
+                if di > i or dj > j or not i + j:
+                    continue
+                base = best[i - di, j - dj][0]
+                total = base + cost if not di or not dj else gain((i - di, i), (j - dj, j), base, top - cost)
+                if total is None:
+                    continue
+                total += cost if di and dj else 0.0
+                if total > top:
+                    top, move = total, (di, dj)
+            if move:
+                best[i, j] = top, move
     i, j = len(lines), max(range(len(segments) + 1), key=lambda k: best[len(lines), k][0])
     out: dict[int, tuple[int, int]] = {}
     while i or j:

@@ -6,6 +6,11 @@ duration_ms, details (JSON text) and created_at (epoch milliseconds, or any orde
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +28,7 @@ FAILURES = {
     "GENERATING_SUBTITLE": ("SUBTITLE_GENERATION_FAILED", 95),
     "RENDERING_VIDEO": ("VIDEO_RENDERING_FAILED", 98),
 }
+DAY_MS = 86_400_000
 #: Text columns that a keyword search reads.
 SEARCHED = ("event", "message", "reference_id", "details")
 
@@ -159,32 +165,57 @@ def run_ids(events: DataFrame) -> DataFrame:
     return first.withColumn("place", place.cast("long"))
 
 
-def retain_events(events: DataFrame, older_than, max_rows: int) -> DataFrame:
-    """Drops what is older, then keeps the newest max_rows by (created_at, id): a top-k, no global window."""
-    return events.where(F.col("created_at") >= older_than).orderBy(F.desc("created_at"), F.desc("id")).limit(max_rows)
+def rows_before(counts: DataFrame) -> DataFrame:
+    """Of counts (day, bucket, n), the rows of all earlier buckets: (bucket, before, total). Buckets add up
+    inside their day; the one window without a partition runs over a row a day."""
+    inside = F.sum("n").over(W.partitionBy("day").orderBy("bucket")) - F.col("n")
+    days = counts.groupBy("day").agg(F.sum("n").alias("m"))
+    days = days.select("day", (F.sum("m").over(W.orderBy("day")) - F.col("m")).alias("earlier"), F.sum("m").over(W.partitionBy(F.lit(0))).alias("total"))
+    return counts.select("day", "bucket", inside.alias("inside")).join(days, "day").select("bucket", (F.col("inside") + F.col("earlier")).alias("before"), "total")
 
 
-THROTTLE_KEY = ("event", "reference_id", "run_id", "stage", "component")
+def retain_events(events: DataFrame, older_than, max_rows: int, bucket_ms: int = 60_000) -> DataFrame:
+    """Drops what is older, then keeps the newest max_rows by (created_at, id). Counts by time find the bucket
+    in which the limit falls; newer buckets stay as they are, and rows are ranked in that one only."""
+    bucket = F.floor(F.col("created_at") / bucket_ms)
+    rows = events.where(F.col("created_at") >= older_than)
+    counts = rows.groupBy((-bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).withColumn("day", F.floor(F.col("bucket") * bucket_ms / DAY_MS))
+    last = F.broadcast(rows_before(counts).where(F.col("before") < max_rows).agg((-F.max("bucket")).alias("__cut"), F.max("before").alias("__before")))  # one row
+    near = rows.crossJoin(last).where(bucket >= F.col("__cut"))
+    place = F.row_number().over(W.orderBy(F.desc("created_at"), F.desc("id")))  # of one bucket
+    some = near.where(bucket == F.col("__cut")).withColumn("__place", place).where(F.col("__place") <= F.lit(max_rows) - F.col("__before"))
+    return near.where(bucket > F.col("__cut")).select(*events.columns).unionByName(some.select(*events.columns))
 
 
-def throttle_progress(events: DataFrame, every_ms: int, key: tuple[str, ...] = THROTTLE_KEY) -> DataFrame:
-    """Of each key's events, those at least every_ms after the last one kept; the first is kept.
-    The fold runs inside one key, and a key is one stage of one run."""
-    others = [c for c in events.columns if c not in key]
-    row = F.struct("created_at", "id", *[c for c in others if c not in ("created_at", "id")])
-    listed = events.groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = listed.schema["rows"].dataType
-    start = F.struct(F.lit(None).cast(events.schema["created_at"].dataType).alias("last"), F.array().cast(kind).alias("kept"))
+THROTTLE_KEY = ("event", "reference_id", "run_id", "stage", "component")
 
-    def step(acc: Column, x: Column) -> Column:
-        take = acc["last"].isNull() | (x["created_at"] - acc["last"] >= every_ms)
-        return F.struct(
-            F.when(take, x["created_at"]).otherwise(acc["last"]).alias("last"),
-            F.when(take, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"),
-        )
 
-    kept = F.aggregate("rows", start, step, lambda acc: acc["kept"])
-    return listed.select(*key, F.explode(kept).alias("row")).select(*key, "row.*").select(*events.columns)
+def throttle_progress(events: DataFrame, every_ms: int, key: tuple[str, ...] = THROTTLE_KEY) -> DataFrame:
+    """Of each key's events, those at least every_ms after the last one kept; the first is kept. Events come
+    sorted, and the walk over them holds one batch and the last time kept, however many a key has."""
+    columns = events.columns
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, 0
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            name, time = rows.column("__key"), rows.column("__at").to_numpy()
+            keep = np.zeros(len(time), bool)
+            new = np.nonzero(pc.not_equal(name[1:], name[:-1]).to_numpy(zero_copy_only=False))[0] + 1
+            for a, z in zip([0, *new], [*new, len(time)]):
+                k = a + int(np.searchsorted(time[a:z], last + every_ms)) if name[int(a)].as_py() == at else a
+                while k < z:
+                    keep[k], last = True, time[k]
+                    k += max(1, int(np.searchsorted(time[k:z], last + every_ms)))
+                at = name[int(a)].as_py()
+            yield rows.filter(pa.array(keep)).select(columns)
+
+    # a key as text, with nulls told from empty texts
+    text = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
+    ms = F.unix_millis("created_at") if isinstance(events.schema["created_at"].dataType, T.TimestampType) else F.col("created_at").cast("long")
+    rows = events.withColumns({"__key": text, "__at": ms})
+    return rows.repartition("__key").sortWithinPartitions("__key", "__at", "id").mapInArrow(walk, events.schema)
 
 
 def stage_traces(events: DataFrame) -> DataFrame:
@@ -222,13 +253,12 @@ def run_timings(events: DataFrame, queued: str = "job.queued", assigned: str = "
 
 def job_states(events: DataFrame) -> DataFrame:
     """The state of each job after its changes (reference_id, status, requeue boolean, created_at, id) in
-    order: a canceled job takes no later change until it is requeued."""
-    row = F.struct("created_at", "id", "status", "requeue")
-    changes = events.groupBy("reference_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    zero = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("n"))
-
-    def step(acc: Column, x: Column) -> Column:
-        take = acc["status"].isNull() | (acc["status"] != "CANCELED") | x["requeue"]
-        return F.struct(F.when(take, x["status"]).otherwise(acc["status"]).alias("status"), (acc["n"] + take.cast("long")).alias("n"))
-
-    return changes.select("reference_id", F.aggregate("rows", zero, step).alias("s")).select("reference_id", F.col("s.status").alias("status"), F.col("s.n").alias("applied"))
+    order: a canceled job takes no later change until it is requeued. Changes from one requeue to the next
+    are a section; it ends with its first CANCELED."""
+    w = W.partitionBy("reference_id").orderBy("created_at", "id")
+    rows = events.withColumns({"__k": F.row_number().over(w), "__s": F.sum(F.col("requeue").cast("long")).over(w)})
+    sections = rows.groupBy("reference_id", "__s").agg(
+        F.max_by("status", "__k").alias("last"), F.min(F.when(F.col("status") == "CANCELED", F.col("__k"))).alias("hit"), F.min("__k").alias("lo"), F.count(F.lit(1)).alias("n")
+    )
+    status, taken = F.when(F.col("hit").isNull(), F.col("last")).otherwise("CANCELED"), F.when(F.col("hit").isNull(), F.col("n")).otherwise(F.col("hit") - F.col("lo") + 1)
+    return sections.groupBy("reference_id").agg(F.max_by(status, "__s").alias("status"), F.sum(taken).cast("long").alias("applied"))

@@ -177,17 +177,26 @@ def _range_ms(activity: DataFrame, kind: str) -> DataFrame:
     return activity.where(F.col("kind") == kind).select("song_id", "range_idx", F.bround(F.col("start_s") * 1000).cast("long").alias("r_start"), F.ceil(F.col("end_s") * 1000).cast("long").alias("r_end"))
 
 
-def uncovered_lines(lines: DataFrame, activity: DataFrame) -> DataFrame:
-    """Lines that no single coarse range covers."""
-    r = _range_ms(activity, "coarse").withColumnRenamed("song_id", "__song")
-    return lines.join(r, (F.col("song_id") == F.col("__song")) & (F.col("r_start") <= F.col("start_ms")) & (F.col("r_end") >= F.col("end_ms")), "left_anti")
+def _at_ranges(lines: DataFrame, ranges: DataFrame, at: str, bin_ms: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Lines and ranges dealt to bins of time, ranges to all that they touch, and the condition that a range
+    holds the time `at` of a line."""
+    bins = F.sequence(floor_div(F.col("r_start"), F.lit(bin_ms)), floor_div(F.greatest("r_start", "r_end"), F.lit(bin_ms)))
+    r = ranges.withColumn("__rbin", F.explode(bins)).withColumnRenamed("song_id", "__song")
+    a = lines.withColumn("__bin", floor_div(F.col(at), F.lit(bin_ms)))
+    return a, r, (F.col("song_id") == F.col("__song")) & (F.col("__bin") == F.col("__rbin")) & F.col(at).between(F.col("r_start"), F.col("r_end"))
 
 
-def fix_line_starts(lines: DataFrame, activity: DataFrame) -> DataFrame:
+def uncovered_lines(lines: DataFrame, activity: DataFrame, bin_ms: int = 10_000) -> DataFrame:
+    """Lines that no single coarse range covers. Ranges are dealt to bins of time."""
+    a, r, held = _at_ranges(lines, _range_ms(activity, "coarse"), "start_ms", bin_ms)
+    return a.join(r, held & (F.col("r_end") >= F.col("end_ms")), "left_anti").select(*lines.columns)
+
+
+def fix_line_starts(lines: DataFrame, activity: DataFrame, bin_ms: int = 10_000) -> DataFrame:
     """Lines (song_id, line_idx, start_ms, first_end_ms, end_ms): where no coarse range covers a line, it starts
     with the first one that holds its end, but not after its first mora's end."""
-    r = _range_ms(activity, "coarse").withColumnRenamed("song_id", "__song")
-    hit = uncovered_lines(lines, activity).join(r, (F.col("song_id") == F.col("__song")) & F.col("end_ms").between(F.col("r_start"), F.col("r_end"))).groupBy(*LINE).agg(F.min_by("r_start", "range_idx").alias("__s"))
+    a, r, held = _at_ranges(uncovered_lines(lines, activity, bin_ms), _range_ms(activity, "coarse"), "end_ms", bin_ms)
+    hit = a.join(r, held).groupBy(*LINE).agg(F.min_by("r_start", "range_idx").alias("__s"))
     return lines.join(hit, LINE, "left").withColumn("start_ms", F.when(F.col("__s").isNotNull(), F.least("first_end_ms", "__s")).otherwise(F.col("start_ms"))).drop("__s")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .events import DAY_MS, retain_events, rows_before
+
 # fixed values: statuses
 TERMINAL = ("COMPLETED", "FAILED", "CANCELED", "TRANSCRIBED", "LYRICS_PROCESSED", "ALIGNED", "SUBTITLE_GENERATED")
 ACTIVE_JOB = ("UPLOADED", "PROCESSING")
@@ -43,35 +45,25 @@ def active_by_client(jobs: DataFrame, tickets: DataFrame) -> DataFrame:
     )
 
 
-def queue_positions(rows: DataFrame, waiting: str, bucket: Column | None = None) -> DataFrame:
+def queue_positions(rows: DataFrame, waiting: str, bucket_ms: int = 60_000) -> DataFrame:
     """Adds position (from 1, by created_at and id) and queue_size to rows in the waiting status; null for
-    others. No window runs over the whole queue: rows are ranked inside a bucket of time (by default a
-    day of created_at milliseconds), and buckets before it are summed from their counts, a table of one
-    small row a bucket."""
-    day = bucket if bucket is not None else F.floor(F.col("created_at") / 86_400_000)
-    queue = rows.where(F.col("status") == waiting).withColumn("__bucket", day)
-    counts = queue.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    listed = counts.agg(F.array_sort(F.collect_list(F.struct("__bucket", "__n"))).alias("__all"), F.sum("__n").alias("queue_size"))
-    before = listed.select(
-        "queue_size",
-        F.explode(
-            F.transform("__all", lambda x: F.struct(x["__bucket"].alias("__bucket"), F.aggregate(F.filter("__all", lambda y: y["__bucket"] < x["__bucket"]), F.lit(0).cast("long"), lambda a, y: a + y["__n"]).alias("__before")))
-        ).alias("b"),
-    ).select("queue_size", "b.*")
-    place = F.row_number().over(W.partitionBy("__bucket").orderBy("created_at", "id"))
-    ranked = queue.withColumn("__place", place).join(before, "__bucket").select(
-        F.col("id").alias("__id"), (F.col("__before") + F.col("__place")).cast("long").alias("position"), "queue_size"
+    others. No window runs over the whole queue: rows are ranked inside a bucket of time, and what stands
+    before a bucket comes from the buckets' counts."""
+    queue = rows.where(F.col("status") == waiting).select(F.col("id").alias("__id"), F.col("created_at").alias("__at"), F.floor(F.col("created_at") / bucket_ms).alias("bucket"))
+    counts = queue.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("day", F.floor(F.col("bucket") * bucket_ms / DAY_MS))
+    place = F.row_number().over(W.partitionBy("bucket").orderBy("__at", "__id"))
+    ranked = queue.withColumn("__place", place).join(rows_before(counts), "bucket").select(
+        "__id", (F.col("before") + F.col("__place")).cast("long").alias("position"), F.col("total").alias("queue_size")
     )
     return rows.join(ranked, F.col("id") == F.col("__id"), "left").drop("__id")
 
 
 def activate_tickets(tickets: DataFrame, slots: int) -> DataFrame:
-    """The oldest WAITING tickets that free slots let in, with their new status: a top-k whose size is
-    slots less the READY and UPLOADING ones."""
-    busy = tickets.where(F.col("status").isin("READY", "UPLOADING")).agg(F.count(F.lit(1)).alias("busy"))
-    first = tickets.where("status = 'WAITING'").orderBy("created_at", "id").limit(slots)
-    ranked = first.withColumn("__place", F.row_number().over(W.orderBy("created_at", "id")))  # at most `slots` rows
-    return ranked.crossJoin(F.broadcast(busy)).where(F.col("__place") <= F.lit(slots) - F.col("busy")).drop("__place", "busy").withColumn("status", F.lit("READY"))
+    """The oldest WAITING tickets that free slots let in, with their new status: slots less the READY and
+    UPLOADING ones."""
+    busy = tickets.where(F.col("status").isin("READY", "UPLOADING")).agg(F.count(F.lit(1)).alias("__busy"))
+    ranked = queue_positions(tickets.where("status = 'WAITING'"), "WAITING").crossJoin(F.broadcast(busy))  # one row
+    return ranked.where(F.col("position") <= F.lit(slots) - F.col("__busy")).select(*tickets.columns).withColumn("status", F.lit("READY"))
 
 
 def queue_health(jobs: DataFrame, tickets: DataFrame, heartbeats: DataFrame, now, most_age_ms: int) -> DataFrame:
@@ -302,8 +294,6 @@ def sniff_media(files: DataFrame, content: str = "content", suffix: str = "suffi
 def housekeeping(jobs: DataFrame, tickets: DataFrame, events: DataFrame, now: int, waiting_ms: int, uploading_ms: int, slots: int, keep_ms: int, max_rows: int, job_ms: int) -> dict[str, DataFrame]:
     """Expires quiet tickets, lets in waiting ones, retains the log and lists old jobs; `changes` has one
     event for each changed row."""
-    from .events import retain_events
-
     stale = stale_tickets(tickets, now - waiting_ms, now - uploading_ms)
     after = tickets.join(stale.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left").withColumn("status", F.when(F.col("__id").isNotNull(), "EXPIRED").otherwise(F.col("status"))).drop("__id")
     let_in = activate_tickets(after, slots)

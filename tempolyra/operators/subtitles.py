@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import ass_escape, ass_time, is_sung, normalise_reading
+from .intervals import floor_div
 
 LINE, TOKEN = ["song_id", "line_idx"], ["song_id", "line_idx", "token_idx"]
 
@@ -198,10 +199,13 @@ def two_slot_subtitles(lines: DataFrame, tokens: DataFrame, moras: DataFrame, he
     return ass_files(layered_rows(slot_timings(lines), render_karaoke(chunks), rubies), header)
 
 
-def active_frames(layout: DataFrame, times: DataFrame, after_ms: int = HOLD_MS) -> DataFrame:
+def active_frames(layout: DataFrame, times: DataFrame, after_ms: int = HOLD_MS, bin_ms: int = 10_000) -> DataFrame:
     """Lines shown at sampled times (song_id, t_ms), at most one a slot: of those from entry_ms to after_ms past
-    their end, in line order, a later one replaces the pick unless that is of its paragraph and still walking."""
-    seen = layout.join(times, "song_id").where(F.col("t_ms").between(F.col("entry_ms"), F.col("end_ms") + after_ms)).withColumn("slot", F.col("line_in_paragraph") % 2)
+    their end, in line order, a later one replaces the pick unless that is of its paragraph and still walking. Lines are dealt to bins
+    of time, so the join is an equality join."""
+    shown = F.sequence(floor_div(F.col("entry_ms"), F.lit(bin_ms)), floor_div(F.greatest("entry_ms", F.col("end_ms") + after_ms), F.lit(bin_ms)))
+    dealt = times.withColumn("__bin", floor_div(F.col("t_ms"), F.lit(bin_ms)))
+    seen = layout.withColumn("__bin", F.explode(shown)).join(dealt, ["song_id", "__bin"]).where(F.col("t_ms").between(F.col("entry_ms"), F.col("end_ms") + after_ms)).withColumn("slot", F.col("line_in_paragraph") % 2)
     rows = F.sort_array(F.collect_list(F.struct("line_idx", "paragraph", "walk_done_ms")))
     kind = "struct<line_idx:bigint,paragraph:bigint,walk_done_ms:bigint>"
     pick = lambda acc, x: F.when(acc.isNull() | (acc["paragraph"] != x["paragraph"]) | (F.col("t_ms") >= acc["walk_done_ms"]), x).otherwise(acc)

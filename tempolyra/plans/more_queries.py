@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import align, edits, events, queues, redaction, ruby
 from ..operators import intervals as iv
@@ -60,31 +61,47 @@ add("job_states", lambda s, d: events.job_states(adapt(s, d, "event_logs").selec
     oracle("""e AS (SELECT reference_id, id, created_at, level = 'ERROR' AS bad, event = 'stage.started' AS rq, event, row_number() OVER w AS k, sum(CAST(event = 'stage.started' AS INT)) OVER w AS g FROM event_logs WINDOW w AS (PARTITION BY reference_id ORDER BY created_at, id)),
         l AS (SELECT reference_id, g, arg_max(event, k) AS last, max(CAST(bad AS INT)) AS hit FROM e GROUP BY ALL), m AS (SELECT reference_id, max(g) AS g FROM l GROUP BY reference_id)
         SELECT reference_id, CASE WHEN hit = 1 THEN 'CANCELED' ELSE last END AS status FROM l JOIN m USING (reference_id, g)""", "event_logs"))
-add("housekeeping_changes", lambda s, d: queues.housekeeping(adapt(s, d, "jobs"), adapt(s, d, "upload_tickets").where("id % 300 = 0"), adapt(s, d, "event_logs"), 900_000_000_000, 10**10, 2 * 10**10, 300, 10**10, 1000, 10**10)["changes"],
-    oracle("""t AS (SELECT *, (status IN ('WAITING', 'READY') AND last_seen_at < 890000000000) OR (status = 'UPLOADING' AND updated_at < 880000000000) AS stale FROM upload_tickets WHERE id % 300 = 0),
+add("housekeeping_changes", lambda s, d: queues.housekeeping(adapt(s, d, "jobs"), adapt(s, d, "upload_tickets"), adapt(s, d, "event_logs"), 900_000_000_000, 10**10, 2 * 10**10, adapt(s, d, "upload_tickets").count(), 10**10, 1000, 10**10)["changes"],
+    oracle("""t AS (SELECT *, (status IN ('WAITING', 'READY') AND last_seen_at < 890000000000) OR (status = 'UPLOADING' AND updated_at < 880000000000) AS stale FROM upload_tickets),
         b AS (SELECT count(*) AS busy FROM t WHERE NOT stale AND status IN ('READY', 'UPLOADING')), k AS (SELECT id, row_number() OVER (ORDER BY created_at, id) AS n FROM t WHERE NOT stale AND status = 'WAITING')
-        SELECT 'upload.expired' AS event, id AS reference_id FROM t WHERE stale UNION ALL SELECT 'upload.activated', id FROM k, b WHERE n <= 300 - busy""", "upload_tickets"))
+        SELECT 'upload.expired' AS event, id AS reference_id FROM t WHERE stale UNION ALL SELECT 'upload.activated', id FROM k, b WHERE n <= (SELECT count(*) FROM upload_tickets) - busy""", "upload_tickets"))
 
 
 def _edits(s, d):
+    """Every sixth line is edited; each line has two tokens."""
     ls = iv.push_lines(lines(s, d))
-    e = ls.where("line_idx % 6 = 3").selectExpr("song_id", "line_idx", "element_at(array('move', 'start', 'end'), cast(line_idx % 3 + song_id % 3 as int) % 3 + 1) AS kind", "song_id % 900 - 450 AS offset_ms")
-    return edits.edit_lines(ls, ls.limit(0), e)[0]
-
-
-add("edit_lines", _edits)
+    e = ls.where("line_idx % 6 = 3").selectExpr("song_id", "line_idx", "element_at(array('move', 'start', 'end'), cast(song_id % 3 + 1 as int)) AS kind", "song_id % 900 - 450 AS offset_ms")
+    half = "start_ms + (end_ms - start_ms) div 2"
+    tokens = ls.selectExpr("song_id", "line_idx", "0L AS token_idx", "start_ms", f"{half} AS end_ms").unionByName(ls.selectExpr("song_id", "line_idx", "1L AS token_idx", f"{half} AS start_ms", "end_ms"))
+    new, inner = edits.edit_lines(ls, tokens, e)
+    return new.select("song_id", "line_idx", F.lit(-1).cast("long").alias("token_idx"), "start_ms", "end_ms").unionByName(inner)
+
+
+add("edit_lines", _edits, oracle(f"""r AS (SELECT song_id, line_idx, start_ms AS s, CASE WHEN end_ms > start_ms THEN end_ms - start_ms ELSE 100 END AS d FROM gap_lines),
+        c AS (SELECT *, CAST(sum(d) OVER (PARTITION BY song_id ORDER BY line_idx) AS BIGINT) AS c FROM r),
+        p AS (SELECT song_id, line_idx, d, c + greatest(0, max(s - (c - d)) OVER (PARTITION BY song_id ORDER BY line_idx)) AS e FROM c),
+        n AS (SELECT song_id, line_idx, d, e - d AS s, e, coalesce(lag(e) OVER w, 0) AS low, lead(e - d) OVER w AS ns, CASE WHEN line_idx % 6 = 3 THEN ['move', 'start', 'end'][song_id % 3 + 1] END AS kind,
+                     song_id % 900 - 450 AS off, least({edits.LEAST_LINE}, greatest(1, d)) AS room FROM p WINDOW w AS (PARTITION BY song_id ORDER BY line_idx)),
+        a AS (SELECT *, CASE kind WHEN 'move' THEN CASE WHEN ns IS NULL THEN greatest(low, s + off) ELSE least(greatest(low, ns - d), greatest(low, s + off)) END
+                             WHEN 'start' THEN least(e - room, greatest(low, s + off)) ELSE s END AS s2 FROM n),
+        b AS (SELECT *, CASE kind WHEN 'move' THEN s2 + d WHEN 'end' THEN least(greatest(s + room, e + off), coalesce(ns, 1000000000000000)) ELSE e END AS e2 FROM a),
+        t AS (SELECT *, 0 AS token_idx, s AS x, s + d // 2 AS y FROM b UNION ALL SELECT *, 1, s + d // 2, e FROM b)
+        SELECT song_id, line_idx, CAST(-1 AS BIGINT) AS token_idx, s2 AS start_ms, e2 AS end_ms FROM b
+        UNION ALL SELECT song_id, line_idx, token_idx, CASE WHEN kind IS NULL THEN x ELSE CAST(floor(s2 + (x - s) / (e - s) * (e2 - s2) + 0.5) AS BIGINT) END,
+                         CASE WHEN kind IS NULL THEN y ELSE CAST(floor(s2 + (y - s) / (e - s) * (e2 - s2) + 0.5) AS BIGINT) END FROM t""", "gap_lines"))
 add("target_moras", lambda s, d: align.target_moras(_surfaces(s, d)[1].withColumn("reading", F.lower("surface"))).groupBy("song_id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last")),
     oracle("""l AS (SELECT song_id, unnest(regexp_split_to_array(text, 'LINE_END')) AS raw FROM song_lines), m AS (SELECT song_id, length(regexp_replace(raw, '[BLANKS\\p{P}\\p{S}]', '', 'g')) AS n FROM l)
         SELECT song_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) - 1 AS BIGINT) AS last FROM m GROUP BY song_id HAVING sum(n) > 0""", "song_lines"))
 
 
 def _align(s, d):
-    """Conversations as songs: turns are segments, their words timed by running characters; every line's
-    reading is its turn without each seventh word."""
-    turns = table(s, d, "conversations").selectExpr("conv_id AS song_id", "turn AS seg_idx", "substring(text, 1, 120) AS text").groupBy("song_id", "seg_idx").agg(F.min("text").alias("text"))
-    w = turns.select("song_id", "seg_idx", F.posexplode(F.split("text", r"\s+")).alias("k", "text")).select("song_id", "seg_idx", F.col("k").cast("long").alias("word_idx"), "text", (F.col("seg_idx") * 20_000 + F.col("k") * 400).alias("start_ms"), (F.col("seg_idx") * 20_000 + F.col("k") * 400 + 380).alias("end_ms"))
+    """Every turn of a conversation as a song: segments of nine words, timed by the words' places; lines of six
+    words, whose reading leaves out each seventh word of the turn."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    turns = table(s, d, "conversations").select((F.col("conv_id") * 1000 + place).cast("long").alias("song_id"), "text")
+    w = turns.select("song_id", F.posexplode(F.split("text", r"\s+")).alias("k", "text")).selectExpr("song_id", "cast(k div 9 as bigint) AS seg_idx", "cast(k as bigint) AS word_idx", "text", "k * 400L AS start_ms", "k * 400L + 380 AS end_ms")
     segs = w.groupBy("song_id", "seg_idx").agg(F.lit("").alias("text"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    tokens = w.where("word_idx % 7 <> 6").selectExpr("song_id", "seg_idx AS line_idx", "word_idx AS token_idx", "text AS surface", "text AS reading")
+    tokens = w.where("word_idx % 7 <> 6").selectExpr("song_id", "word_idx div 6 AS line_idx", "word_idx AS token_idx", "text AS surface", "text AS reading")
     ls = edits.joined_reading(tokens).withColumn("surface", F.col("reading"))
     out, _ = align.align_corpus(ls, tokens, segs, w, segs.groupBy("song_id").agg(F.max("end_ms").alias("duration_ms")))
     return out["lines"].select("song_id", "line_idx", "start_ms", "end_ms")

@@ -87,9 +87,9 @@ add("parse_details", lambda s, d: events.parse_details(adapt(s, d, "event_logs")
 add("duration_label", lambda s, d: adapt(s, d, "event_logs").select("id", events.duration_label(F.col("duration_ms") * 40).alias("label")),
     oracle("""SELECT id, CASE WHEN duration_ms * 40 < 1000 THEN CAST(CAST(floor(duration_ms * 40 + 0.5) AS BIGINT) AS VARCHAR) || ' ms'
         ELSE printf('%.2f', floor(duration_ms * 40 / 10 + 0.5) / 100) || ' s' END AS label FROM event_logs""", "event_logs"))
-add("job_timeline", lambda s, d: events.job_timeline(adapt(s, d, "event_logs"), adapt(s, d, "upload_tickets").where("id <= 3000")).select("job_id", "id", "created_at"),
+add("job_timeline", lambda s, d: events.job_timeline(adapt(s, d, "event_logs"), adapt(s, d, "upload_tickets")).select("job_id", "id", "created_at"),
     oracle("""SELECT reference_id AS job_id, id, created_at FROM event_logs WHERE reference_id IS NOT NULL
-        UNION ALL SELECT t.job_id, e.id, e.created_at FROM event_logs e JOIN upload_tickets t ON e.reference_id = t.id AND t.job_id <> t.id AND t.id <= 3000""", "event_logs", "upload_tickets"))
+        UNION ALL SELECT t.job_id, e.id, e.created_at FROM event_logs e JOIN upload_tickets t ON e.reference_id = t.id AND t.job_id <> t.id""", "event_logs", "upload_tickets"))
 add("run_ids", lambda s, d: events.run_ids(adapt(s, d, "event_logs")),
     oracle("""SELECT reference_id, run_id, first_id, row_number() OVER (PARTITION BY reference_id ORDER BY first_id, run_id) - 1 AS place
         FROM (SELECT reference_id, run_id, min(id) AS first_id FROM event_logs GROUP BY ALL)""", "event_logs"))
@@ -122,10 +122,18 @@ add("active_by_client", lambda s, d: queues.active_by_client(adapt(s, d, "jobs")
 add("queue_positions", lambda s, d: queues.queue_positions(adapt(s, d, "jobs"), "UPLOADED").select("id", "position", "queue_size"),
     oracle("""SELECT id, CASE WHEN status = 'UPLOADED' THEN row_number() OVER (PARTITION BY status ORDER BY created_at, id) END AS position,
         CASE WHEN status = 'UPLOADED' THEN count(*) OVER (PARTITION BY status) END AS queue_size FROM jobs""", "jobs"))
-add("activate_tickets", lambda s, d: queues.activate_tickets(adapt(s, d, "upload_tickets").where("id % 400 = 0"), 200).select("id", "status"),
-    oracle("""t AS (SELECT * FROM upload_tickets WHERE id % 400 = 0), b AS (SELECT count(*) AS busy FROM t WHERE status IN ('READY', 'UPLOADING')),
-        k AS (SELECT id, row_number() OVER (ORDER BY created_at, id) AS place FROM t WHERE status = 'WAITING')
-        SELECT id, 'READY' AS status FROM k, b WHERE place <= 200 - busy""", "upload_tickets"))
+
+
+def _activated(s, d, free=200):
+    """As many slots as are taken, and `free` more."""
+    tickets = adapt(s, d, "upload_tickets")
+    return queues.activate_tickets(tickets, tickets.where("status IN ('READY', 'UPLOADING')").count() + free).select("id", "status")
+
+
+add("activate_tickets", _activated,
+    oracle("""b AS (SELECT count(*) AS busy, count(*) + 200 AS slots FROM upload_tickets WHERE status IN ('READY', 'UPLOADING')),
+        k AS (SELECT id, row_number() OVER (ORDER BY created_at, id) AS place FROM upload_tickets WHERE status = 'WAITING')
+        SELECT id, 'READY' AS status FROM k, b WHERE place <= slots - busy""", "upload_tickets"))
 add("queue_health", lambda s, d: queues.queue_health(adapt(s, d, "jobs"), adapt(s, d, "upload_tickets"), adapt(s, d, "event_logs").select(F.col("created_at").alias("at")), LOG_NOW, 10**12),
     oracle("""SELECT (SELECT count(*) FROM upload_tickets WHERE status = 'WAITING') AS waiting_uploads, (SELECT count(*) FROM jobs WHERE status = 'UPLOADED') AS waiting_jobs,
         CASE WHEN 1706000000000 - (SELECT max(created_at) FROM event_logs) <= 1000000000000 THEN 'ok' ELSE 'degraded' END AS health""", "jobs", "upload_tickets", "event_logs"))

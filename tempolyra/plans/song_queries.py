@@ -55,11 +55,27 @@ _T = _M + """, t AS (SELECT DISTINCT song_id, line_idx, token_idx FROM m UNION S
 add("assemble_tokens", lambda s, d: _tokens(s, d).withColumn("confidence", F.round("confidence", 9)), oracle(_T + " SELECT song_id, line_idx, token_idx, start_ms, end_ms, round(confidence, 9) AS confidence FROM tok", "moras"))
 add("assemble_lines", lambda s, d: iv.assemble_lines(_tokens(s, d)).withColumn("confidence", F.round("confidence", 9)),
     oracle(_T + " SELECT song_id, line_idx, arg_min(start_ms, token_idx) AS start_ms, arg_max(end_ms, token_idx) AS end_ms, round(avg(confidence), 9) AS confidence FROM tok GROUP BY ALL", "moras"))
-add("close_mora_gaps", lambda s, d: iv.close_mora_gaps(moras(s, d), moras(s, d).select(*iv.TOKEN, "start_ms", "end_ms").limit(0))[0].select("song_id", "seq", "start_ms", "end_ms"),
+_GAP_TOKEN = ("song_id", "0L AS line_idx", "seq AS token_idx", "start_ms", "end_ms")
+
+
+def _closed(s, d):
+    """One line a song, one mora a token; every third token has none."""
+    m = moras(s, d).selectExpr(*_GAP_TOKEN, "0L AS mora_idx")
+    return iv.close_mora_gaps(m.where("token_idx % 3 <> 1"), m.drop("mora_idx"))
+
+
+add("close_token_gaps", lambda s, d: _closed(s, d)[1],
+    oracle(_M + """, w AS (SELECT song_id, seq, start_ms AS s, end_ms AS e, lead(start_ms) OVER v AS n, lag(end_ms) OVER v AS p FROM m WHERE seq % 3 <> 1 WINDOW v AS (PARTITION BY song_id ORDER BY seq)),
+        j AS (SELECT m.song_id, m.seq, start_ms, end_ms, s, e, n, p, last_value(e IGNORE NULLS) OVER (PARTITION BY m.song_id ORDER BY m.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS le,
+              first_value(s IGNORE NULLS) OVER (PARTITION BY m.song_id ORDER BY m.seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fs FROM m LEFT JOIN w USING (song_id, seq))
+        SELECT song_id, CAST(0 AS BIGINT) AS line_idx, seq AS token_idx, CASE WHEN s IS NULL AND le < fs THEN fs WHEN p < s THEN s ELSE start_ms END AS start_ms,
+               CASE WHEN s IS NULL AND le < fs THEN fs WHEN e < n THEN n ELSE end_ms END AS end_ms FROM j""", "moras"))
+add("close_mora_gaps", lambda s, d: iv.close_mora_gaps(moras(s, d), moras(s, d).groupBy(*iv.TOKEN).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")))[0].select("song_id", "seq", "start_ms", "end_ms"),
     oracle(_M + " SELECT song_id, seq, start_ms, greatest(end_ms, lead(start_ms) OVER (PARTITION BY song_id, line_idx ORDER BY token_idx, mora_idx)) AS end_ms FROM m", "moras"))
 add("confidence_rollup", lambda s, d: iv.confidence_rollup(moras(s, d).withColumn("confidence", F.col("matched").cast("double"))).select("song_id", F.round("confidence", 9).alias("confidence"), F.size("warnings").cast("long").alias("n")),
     oracle(_M + " SELECT song_id, round(avg(CAST(matched AS INT)), 9) AS confidence, CAST(avg(CAST(matched AS INT)) < 1 AS BIGINT) AS n FROM m GROUP BY song_id", "moras"))
-add("score_rollup", lambda s, d: iv.score_rollup(moras(s, d)).withColumn("confidence", F.round("confidence", 9)).where("confidence <> 0.5"), oracle(_M + " SELECT song_id, round(avg(score), 9) AS confidence, avg(score) < 0.5 AS low FROM m GROUP BY song_id HAVING round(avg(score), 9) <> 0.5", "moras"))
+add("score_rollup", lambda s, d: iv.score_rollup(moras(s, d).withColumn("score", F.col("score").cast("decimal(20,9)"))).withColumn("confidence", F.round("confidence", 9).cast("double")),
+    oracle("SELECT song_id, round(sum(score_no) / (10 * count(*)), 9) AS confidence, sum(score_no) < 5 * count(*) AS low FROM moras GROUP BY song_id", "moras"))
 add("token_scores", lambda s, d: iv.token_scores(moras(s, d).selectExpr("song_id", "line_idx", "score * 1.2 AS score", "start_ms AS start_frame", "end_ms - 60 AS end_frame"), iv.LINE).withColumn("score", F.round("score", 9)),
     oracle(_M + " SELECT song_id, line_idx, round(least(1, greatest(0, sum(score * 1.2 * greatest(1, end_ms - 60 - start_ms)) / sum(greatest(1, end_ms - 60 - start_ms)))), 9) AS score FROM m GROUP BY ALL", "moras"))
 add("validate_spans", lambda s, d: iv.validate_spans(moras(s, d), moras(s, d).groupBy("song_id").agg((F.max("seq") + 1 + (F.col("song_id") % 9 == 0).cast("long")).alias("n")), max_ms=160),
@@ -157,9 +173,10 @@ add("indicator_events", lambda s, d: st.indicator_events(st.slot_timings(lines(s
 add("retime_lines", lambda s, d: iv.retime_lines(lines(s, d).withColumn("stamp_ms", F.when(F.col("line_idx") % 4 == 1, F.col("start_ms") + 700))).select("song_id", "line_idx", "new_start", "new_end"))
 add("shift_timeline", lambda s, d: iv.shift_timeline(lines(s, d), lines(s, d).select("song_id").distinct().selectExpr("song_id", "song_id % 2000 - 1000 AS offset_ms")),
     oracle("""l AS (SELECT song_id, greatest(song_id % 2000 - 1000, -min(start_ms)) AS mv FROM gap_lines GROUP BY song_id) SELECT song_id, line_idx, start_ms + mv AS start_ms, end_ms + mv AS end_ms FROM gap_lines JOIN l USING (song_id)""", "gap_lines"))
-add("timeline_violations", lambda s, d: iv.timeline_violations(lines(s, d), lines(s, d).limit(0).withColumn("token_idx", F.lit(0).cast("long"))),
+add("timeline_violations", lambda s, d: iv.timeline_violations(lines(s, d), lines(s, d).selectExpr("song_id", "line_idx", "0L AS token_idx", "start_ms + (line_idx % 3 - 1) * 100 AS start_ms", "end_ms + (line_idx % 5 - 3) * 100 AS end_ms")),
     oracle("""SELECT song_id, line_idx, 'overlaps the line before' AS problem FROM (SELECT *, lag(end_ms) OVER (PARTITION BY song_id ORDER BY line_idx) AS p FROM gap_lines) WHERE start_ms < p
-        UNION ALL SELECT song_id, line_idx, 'line without duration' FROM gap_lines WHERE end_ms <= start_ms""", "gap_lines"))
+        UNION ALL SELECT song_id, line_idx, 'line without duration' FROM gap_lines WHERE end_ms <= start_ms
+        UNION ALL SELECT song_id, line_idx, 'token out of range' FROM gap_lines WHERE line_idx % 3 = 0 OR line_idx % 5 = 4 OR end_ms + (line_idx % 5 - 3) * 100 < start_ms + (line_idx % 3 - 1) * 100""", "gap_lines"))
 
 
 def _surfaces(s, d):
@@ -190,4 +207,4 @@ add("uniform_chunks", lambda s, d: st.uniform_chunks(_surfaces(s, d)[0]).groupBy
 add("fixed_slot_subtitles", lambda s, d: st.ass_event_count(st.fixed_slot_subtitles(*_surfaces(s, d))),
     oracle("""l AS (SELECT song_id, unnest(regexp_split_to_array(text, 'LINE_END')) AS raw FROM song_lines) SELECT song_id, count(*) AS events FROM l WHERE regexp_replace(raw, '^[BLANKS]+|[BLANKS]+$', '', 'g') <> '' GROUP BY song_id""", "song_lines"))
 add("two_slot_subtitles", lambda s, d: st.two_slot_subtitles(*_surfaces(s, d)))
-add("active_frames", lambda s, d: st.active_frames(st.slot_timings(lines(s, d)), lines(s, d).selectExpr("song_id", "start_ms + 150 AS t_ms").where("line_idx % 5 = 0").distinct()))
+add("active_frames", lambda s, d: st.active_frames(st.slot_timings(lines(s, d)), lines(s, d).selectExpr("song_id", "start_ms + 150 AS t_ms").distinct()))

@@ -48,10 +48,11 @@ def _annotated(s, d):
     n = text.normalised_lines(adapt(s, d, "song_lines"))
     word = F.split_part("line", F.lit(" "), F.lit(1))
     k = F.col("line_idx") % 4
-    return n.where("not line rlike '[{}\\\\[\\\\]|]'").withColumn("line", F.when(k == 0, F.concat(F.lit("{"), word, F.lit("|yo}"), F.col("line"))).when(k == 1, F.concat(F.col("line"), F.lit("[x|Ya]"))).when(k == 2, F.concat(F.col("line"), F.lit("{x|y"))).otherwise(F.concat(F.col("line"), F.lit("[x|]"))))
+    plain = F.translate("line", "{}[]|", "()()/")  # the only marks are ours
+    return n.withColumn("line", plain).withColumn("line", F.when(k == 0, F.concat(F.lit("{"), word, F.lit("|yo}"), F.col("line"))).when(k == 1, F.concat(F.col("line"), F.lit("[x|Ya]"))).when(k == 2, F.concat(F.col("line"), F.lit("{x|y"))).otherwise(F.concat(F.col("line"), F.lit("[x|]"))))
 
 
-_ANN = _LINES + """, a AS (SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx, line FROM n WHERE line <> ''), b AS (SELECT * FROM a WHERE NOT regexp_matches(line, '[{}\\[\\]|]'))"""
+_ANN = _LINES + """, a AS (SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx, translate(line, '{}[]|', '()()/') AS line FROM n WHERE line <> ''), b AS (SELECT * FROM a)"""
 add("parse_annotations", lambda s, d: text.parse_annotations(_annotated(s, d))[0],
     oracle(_ANN + """ SELECT song_id, line_idx, t.token_idx, t.surface, t.reading, t.alignment_pronunciation FROM (
         SELECT song_id, line_idx, unnest(CASE line_idx % 4 WHEN 0 THEN [{'token_idx': 0, 'surface': split_part(line, ' ', 1), 'reading': 'yo', 'alignment_pronunciation': NULL}, {'token_idx': 1, 'surface': line, 'reading': line, 'alignment_pronunciation': NULL}]
