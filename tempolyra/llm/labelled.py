@@ -19,7 +19,9 @@ def sample_labels(labels: DataFrame, label: str, most: int, held_out: tuple[int,
     return near.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(most)
 
 
-def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (label_id, text, label) of the sampled documents. The broadcast is bounded by the sample's size."""
-    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
+def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, group_col: str | None = None) -> DataFrame:
+    """Rows (label_id, text, label), with group_col also group, of the sampled documents. The broadcast is
+    bounded by the sample's size."""
+    group = [F.col(group_col).cast("string").alias("group")] if group_col else []
+    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"), *group)
     return rows.join(F.broadcast(sample), "label_id")

@@ -5,15 +5,19 @@ One pass over the rows, no shuffle. Every pattern is searched in time linear in
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Order of kinds at one start; the first four are always reported, the others on their score.
-KINDS = ("email", "ip", "card", "phone", "iban", "local_phone")
+KINDS = ("email", "ip", "card", "phone", "iban", "local_phone", "secret")
 BASE_KINDS = KINDS[:4]
 
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
@@ -26,9 +30,14 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20-][0-9]{3}-[0-9]{4}(?![0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
+#: Beginnings that issuers of keys use.
+_ISSUED = re.compile(r"(?:sk|pk|rk)[-_](?:live|test|proj)?|gh[oprsu]_|xox[abprs]-|AKIA|ASIA|AIza|glpat-|eyJ")
+#: Least entropy of a secret's characters, in bits.
+LEAST_BITS = 3.0
 
 #: Score of a confirmed span before its context is read.
-START = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "local_phone": 0.4}
+START = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "local_phone": 0.4, "secret": 0.35}
 #: Words that raise a kind's score when one stands shortly before the span.
 CONTEXT = {
     "email": frozenset("email mail e-mail contact address write".split()),
@@ -37,6 +46,7 @@ CONTEXT = {
     "phone": frozenset("phone tel telephone call mobile fax cell".split()),
     "iban": frozenset("iban account bank transfer konto cuenta compte".split()),
     "local_phone": frozenset("phone tel telephone call mobile fax cell".split()),
+    "secret": frozenset("token key apikey api-key secret password passwd pwd bearer credential authorization auth".split()),
 }
 #: Words that lower it: what follows is likelier an identifier of something else.
 AGAINST = frozenset("version order invoice serial build isbn ref".split())
@@ -59,6 +69,31 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Spans that pass mod 97; words of capitals behind a number are not part of it."""
+    found = []
+    for m in _IBAN.finditer(text):
+        number = m.group()
+        while len(number.replace(" ", "")) >= 12:
+            if mod97(number.replace(" ", "")):
+                found.append((m.start(), m.start() + len(number)))
+                break
+            number = number.rpartition(" ")[0]
+    return found
+
+
+def secrets(text: str) -> list[tuple[int, int, float]]:
+    """Long runs of letters and digits as random as a key, with what a known beginning adds to the score."""
+    found = []
+    for m in _SECRET.finditer(text):
+        run = m.group()
+        if re.search("[0-9]", run) and re.search("[A-Za-z]", run):
+            bits = -sum(c / len(run) * math.log2(c / len(run)) for c in Counter(run).values())
+            if bits >= LEAST_BITS:
+                found.append((m.start(), m.end(), 0.3 if _ISSUED.match(run) else 0.0))
+    return found
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping addresses. Each holds one @, so the search goes from @ to @."""
     found, free, at = [], 0, text.find("@")
@@ -96,11 +131,16 @@ def find_spans(text: str) -> list[dict]:
         out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
     spans = [{"kind": k, "start": s, "end": e, "score": _score(text, k, s)} for k, s, e in out]
     taken = sorted((s, e) for _, s, e in out)
-    more = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m.group().replace(" ", ""))]
-    more += [("local_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
-    for k, s, e in more:
-        if (score := _score(text, k, s)) >= LEAST_SCORE and not any(a < e and s < b for a, b in taken):
+    starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    more = [("iban", s, e, 0.0) for s, e in ibans(text)]
+    more += [("local_phone", *m.span(), 0.0) for m in _LOCAL_PHONE.finditer(text)]
+    more += [("secret", *x) for x in secrets(text)]
+    free = 0
+    for k, s, e, gain in sorted(more, key=lambda x: (x[1], KINDS.index(x[0]))):
+        before = bisect_left(starts, e)  # reported spans that start before this one ends
+        if s >= free and not (before and ends[before - 1] > s) and (score := _score(text, k, s) + gain) >= LEAST_SCORE:
             spans.append({"kind": k, "start": s, "end": e, "score": score})
+            free = e
     return sorted(spans, key=lambda x: (x["start"], KINDS.index(x["kind"])))
 
 
@@ -108,8 +148,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per input row: id and spans, an array of (kind, start, end, score).
 
     Confirmed e-mail addresses, IPv4 addresses, payment cards and international phone numbers are
-    always reported; IBANs (mod 97) and local phone numbers where the score with its context reaches
-    LEAST_SCORE and nothing reported overlaps. Null and empty texts give an empty array. Repeated
+    always reported; IBANs (mod 97), local phone numbers, and keys or tokens (long random runs) where the
+    score with its context reaches LEAST_SCORE and nothing reported overlaps; of two such spans the first. Null and empty texts give an empty array. Repeated
     rows and null ids come back as they are. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

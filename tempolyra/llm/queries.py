@@ -14,7 +14,7 @@ from .decontaminate import find_overlaps
 from .exact_dedup import exact_dedup
 from .line_dedup import drop_recurring_lines
 from .lm import lm_scores
-from .pii import BASE_KINDS, find_pii
+from .pii import BASE_KINDS, KINDS, find_pii
 from .quality import fit_quality, score_quality
 from .simhash import simhash_dedup
 from .suffix_dedup import remove_repeats
@@ -47,10 +47,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id",
         (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"),
-        "p_explicit",
-        "p_repeated",
         F.col("p_toxic").alias("score"),
         (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"),
+        F.to_json("p_links").alias("links"),
     )
 
 
@@ -64,6 +63,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        *[count(k).alias(f"n_{k}") for k in KINDS if k not in BASE_KINDS],
+        F.size("spans").cast("long").alias("n_all"),
     )
 
 

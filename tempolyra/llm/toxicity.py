@@ -1,13 +1,14 @@
 """Toxicity by a classifier chain.
 
-The labels hold one flag; the earlier links of the chain are categories derived from it on the training
-rows: `explicit` (a flagged text with at least one term that occurs almost in flagged texts only),
-`repeated` (with at least two such terms) and last `toxic`, the flag itself. Each link is a linear
-model over term features and the probabilities of the links before it; in training those are
-out-of-fold predictions, so a later link sees earlier ones as it will find them.
+The labels hold one flag, and a column of the documents (by default the language) says where flagged texts
+come from. The chain's earlier links are the flag within each of its most frequent values, `toxic:<value>`,
+and the last one is `toxic`, the flag itself. Each link is a linear model over term features and the
+probabilities of the links before it; in training those are out-of-fold predictions, so a later link sees
+earlier ones as it will find them. The column is read for training only: scores depend on the text alone.
 
 Terms are words and word beginnings, chosen by their association with the flag over a bounded sample of
-labelled rows (most_rows). Scoring is one pass without a shuffle, and looks at every word of a text.
+labelled rows (most_rows); for the out-of-fold predictions of a fold, over the other folds only. Scoring is
+one pass without a shuffle, and looks at every word of a text.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .labelled import labelled_texts, sample_labels
 
-CATEGORIES = ("explicit", "repeated", "toxic")
+#: Most links before the last one.
+CATEGORIES = 3
 TERMS = 400
 STEMS = (4, 5, 6, 7)
 FOLDS = 5
@@ -45,6 +48,7 @@ def text_terms(text: str | None) -> set[str]:
 
 @dataclass
 class ToxicityModel:
+    names: list[str] = field(default_factory=lambda: ["toxic"])
     terms: dict[str, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
     cache: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
@@ -73,7 +77,7 @@ class ToxicityModel:
 
     def chain(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of the categories, one column each, every link fed with those before it."""
-        p = np.zeros((len(x), len(CATEGORIES)))
+        p = np.zeros((len(x), len(self.names)))
         for k, w in enumerate(self.weights):
             p[:, k] = _sigmoid(np.hstack([p[:, :k], x]) @ w)
         return p
@@ -97,105 +101,119 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 1
     return w
 
 
-def fit_chain(x: np.ndarray, targets: np.ndarray) -> list[np.ndarray]:
-    """Weights of each link; later links are trained with out-of-fold predictions of earlier ones."""
-    fold = np.arange(len(x)) % FOLDS
+def fit_chain(x: np.ndarray, targets: np.ndarray, fold: np.ndarray | None = None, columns: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Weights of each link; later links are trained with out-of-fold predictions of earlier ones. columns
+    names the features that each fold's predictions, and last the links themselves, may use."""
+    fold = np.arange(len(x)) % FOLDS if fold is None else fold
+    columns = [np.arange(x.shape[1])] * (FOLDS + 1) if columns is None else columns
     before, weights = np.zeros((len(x), 0)), []
     for k in range(targets.shape[1]):
-        xk, y, oof = np.hstack([before, x]), targets[:, k], np.zeros(len(x))
+        y, oof = targets[:, k], np.zeros(len(x))
         for f in range(FOLDS):
             if (fold == f).any() and (fold != f).any():
-                oof[fold == f] = _sigmoid(xk[fold == f] @ _logistic(xk[fold != f], y[fold != f]))
-        weights.append(_logistic(xk, y))
+                xf = np.hstack([before, x[:, columns[f]]])
+                oof[fold == f] = _sigmoid(xf[fold == f] @ _logistic(xf[fold != f], y[fold != f]))
+        weights.append(_logistic(np.hstack([before, x[:, columns[-1]]]), y))
         before = np.hstack([before, oof[:, None]])
     return weights
 
 
-def _select(counts: pd.DataFrame, pos: float, neg: float) -> tuple[list[str], set[str]]:
-    """The terms most associated with the flag, and those that occur almost in flagged texts only."""
-    a, b = counts["pos"].to_numpy(float), counts["neg"].to_numpy(float)
-    lift = (a + 0.5) / (pos + 1) / ((b + 0.5) / (neg + 1))
-    chosen = counts.assign(gain=a * np.log(np.maximum(lift, 1e-9)), sure=(b + 0.5) / (a + b + 1) < 0.05)
-    chosen = chosen[lift > 1.5].sort_values(["gain", "term"], ascending=[False, True]).head(TERMS)
-    return chosen["term"].tolist(), set(chosen["term"][chosen["sure"] & ~chosen["term"].str.endswith("*")])
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (text, label, fold), gives (term, cells): texts that hold the term by fold, unflagged ones first."""
+    seen: list[Counter] = [Counter() for _ in range(2 * FOLDS)]
+
+    def out():
+        names = list(set().union(*seen))
+        cells = pa.FixedSizeListArray.from_arrays(pa.array([c[t] for t in names for c in seen], pa.int64()), 2 * FOLDS)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), cells.cast(pa.list_(pa.int64()))], ["term", "cells"])
+
+    for b in batches:
+        for t, y, f in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            seen[f + FOLDS * int(y != 0)].update(text_terms(t.as_py()))
+            if sum(map(len, seen)) > 400_000:
+                yield out()
+                for c in seen:
+                    c.clear()
+    yield out()
+
+
+def _terms(counts: DataFrame, rows: np.ndarray, without: int | None, least: int) -> list[str]:
+    """The terms most associated with the flag, over all folds but one. rows: rows by flag and fold."""
+    used = [f for f in range(FOLDS) if f != without]
+    neg, pos = (float(rows[k, used].sum()) for k in (0, 1))
+    a, b = (sum((F.col("cells")[f + FOLDS * k] for f in used), F.lit(0)) for k in (1, 0))
+    lift = (F.col("pos") + 0.5) / (pos + 1) / ((F.col("neg") + 0.5) / (neg + 1))
+    found = counts.select("term", a.alias("pos"), b.alias("neg")).where((F.col("pos") >= least) & (lift > 1.5))
+    return [r.term for r in found.orderBy(F.desc(F.col("pos") * F.log(lift)), "term").limit(TERMS).collect()]
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, least: int = 8
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", group_col: str = "lang",
+    most_rows: int = 20_000, least: int = 8,
 ) -> ToxicityModel:
-    """Learns from at most most_rows labelled rows whose crc32(doc_id) mod 3 is not 1. To the driver go
-    a bounded number of term counts (the strongest few thousand) and the sample's term lists. Without
-    labelled rows of both classes, every probability is the share of the flag, or 0.5 without rows."""
-    texts = labelled_texts(docs, sample_labels(labels, label, most_rows), id_col, text_col).select("text", "label", "label_id").persist()
+    """Learns from at most most_rows labelled rows whose crc32(doc_id) mod 3 is not 1. To the driver go the
+    TERMS strongest terms of each fold, ties in order of the terms, and the sample's term lists. Where docs
+    lacks group_col the chain is its last link. Without labelled rows of both classes, every probability is
+    the share of the flag, or 0.5 without rows."""
+    group = group_col if group_col in docs.columns else None
+    fold = F.pmod(F.xxhash64("label_id", F.lit(3)), F.lit(FOLDS)).cast("int")
+    texts = labelled_texts(docs, sample_labels(labels, label, most_rows), id_col, text_col, group).withColumn("fold", fold).persist()
     try:
-        share = texts.groupBy("label").count().collect()
-        neg, pos = (float(sum(r["count"] for r in share if (r["label"] != 0) == flag)) for flag in (False, True))
+        rows = np.zeros((2, FOLDS))
+        for r in texts.groupBy((F.col("label") != 0).alias("flag"), "fold").count().collect():
+            rows[int(r.flag), r.fold] += r["count"]
+        neg, pos = rows.sum(axis=1)
         model = ToxicityModel()
+        if group:
+            flagged = texts.where((F.col("label") != 0) & F.col("group").isNotNull()).groupBy("group").count()
+            top = flagged.orderBy(F.desc("count"), "group").limit(CATEGORIES).collect()
+            model.names = [*(f"toxic:{r.group}" for r in top), "toxic"]
         if not pos or not neg:
             p = 0.5 if not pos + neg else pos / (pos + neg)
-            w = [np.append(np.zeros(k + 1), math.log((p + 1e-3) / (1 - p + 1e-3))) for k in range(len(CATEGORIES))]
-            model.weights = w
+            model.weights = [np.append(np.zeros(k + 1), math.log((p + 1e-3) / (1 - p + 1e-3))) for k in range(len(model.names))]
             return model
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-
-            def out():
-                names = list(seen[0].keys() | seen[1].keys())
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.string()), *[pa.array([seen[k][t] for t in names], pa.int64()) for k in (1, 0)]], ["term", "pos", "neg"]
-                )
-
-            for b in batches:
-                for t, y in zip(b.column("text"), b.column("label").to_pylist()):
-                    seen[int(y != 0)].update(text_terms(t.as_py()))
-                    if len(seen[0]) + len(seen[1]) > 400_000:
-                        yield out()
-                        seen[0].clear()
-                        seen[1].clear()
-            yield out()
-
-        counted = (
-            texts.select("text", "label").mapInArrow(count, "term string, pos bigint, neg bigint")
-            .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-            .where((F.col("pos") >= least) & (F.col("pos") * neg > F.col("neg") * pos))
-            .orderBy(F.desc(F.col("pos") * F.log((F.col("pos") + 0.5) * (neg + 1) / ((F.col("neg") + 0.5) * (pos + 1)))), "term")
-            .limit(10 * TERMS)
-        )
-        terms, sure = _select(counted.toPandas(), pos, neg)
-        model.terms = {t: k for k, t in enumerate(terms)}
-        sure_at = {model.terms[t] for t in sure}
+        counts = texts.select("text", "label", "fold").mapInArrow(_count_terms, "term string, cells array<bigint>")
+        counts = cut(counts.groupBy("term").agg(F.array(*[F.sum(F.col("cells")[k]) for k in range(2 * FOLDS)]).alias("cells")), "term-counts")
+        chosen = [_terms(counts, rows, f, least) for f in (*range(FOLDS), None)]
+        every = {t: k for k, t in enumerate(dict.fromkeys(t for terms in chosen[::-1] for t in terms))}  # those of the model first
+        found = ToxicityModel(terms=every)
 
         def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield pd.DataFrame({"id": pdf["label_id"], "label": pdf["label"], "n": [len(t or "") for t in pdf["text"]], "hit": [sorted(model.found(t)) for t in pdf["text"]]})
+                hit = [sorted(found.found(t)) for t in pdf["text"]]
+                yield pdf.drop(columns="text").assign(n=[len(t or "") for t in pdf["text"]], hit=hit)
 
-        got = texts.mapInPandas(lists, "id bigint, label int, n bigint, hit array<int>").orderBy(F.xxhash64("id"), "id", "label", "n").toPandas()
-        x = np.zeros((len(got), len(terms) + 2))
+        shape = "label_id bigint, label int, fold int, group string, n bigint, hit array<int>"
+        plain = texts.select("label_id", "text", "label", "fold", F.col("group") if group else F.lit(None).cast("string").alias("group"))
+        got = plain.select("label_id", "label", "fold", "group", "text").mapInPandas(lists, shape).orderBy(F.xxhash64("label_id"), "label_id", "label", "n").toPandas()
+        x = np.zeros((len(got), len(every) + 2))
         for k, hit in enumerate(got["hit"]):
             x[k, list(hit)] = 1
         x[:, -2], x[:, -1] = np.log1p(got["n"]) / 10, 1
+        columns = [np.array([*(every[t] for t in terms), len(every), len(every) + 1]) for terms in chosen]
         y = (got["label"] != 0).to_numpy(float)
-        strong = np.array([len(sure_at & set(h)) for h in got["hit"]])
-        model.weights = fit_chain(x, np.stack([y * (strong >= 1), y * (strong >= 2), y], axis=1))
+        within = [y * (got["group"] == name.partition(":")[2]).to_numpy(float) for name in model.names[:-1]]
+        model.terms = {t: k for k, t in enumerate(chosen[-1])}
+        model.weights = fit_chain(x, np.stack([*within, y], axis=1), got["fold"].to_numpy(), columns)
         return model
     finally:
         texts.unpersist()
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id and p_explicit, p_repeated, p_toxic. Null counts as empty, and empty
-    texts are scored like any other. Repeated rows and null ids come back as they are. Other columns
-    are ignored."""
+    """One row per input row: id, p_toxic, and p_links, a map from each link of the chain to its probability.
+    Null counts as empty, and empty texts are scored like any other. Repeated rows and null ids come back as
+    they are. Other columns are ignored."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names = [f"p_{c}" for c in CATEGORIES]
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 p = model.chain(model.rows(b.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, k]) for k in range(p.shape[1])]], ["id", *names])
+                links = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), len(model.names)).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p[:, -1]), links], ["id", "p_toxic", "links"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} double" for n in names)).withColumnRenamed("id", id_col)
+    scored = rows.mapInArrow(run, f"id {kind}, p_toxic double, links array<double>")
+    return scored.select(F.col("id").alias(id_col), "p_toxic", F.map_from_arrays(F.array(*map(F.lit, model.names)), "links").alias("p_links"))

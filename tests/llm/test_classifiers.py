@@ -55,3 +55,35 @@ def test_chain_feeds_earlier_links():
     a = (x[:, 0] > 0).astype(float)
     w = fit_chain(x, np.stack([a, a], axis=1))
     assert len(w[1]) == 5 and w[1][0] > 1
+
+
+def test_toxicity_by_definition(spark):
+    """Scores against the chain worked out word by word from the model, and ties in order of the terms."""
+    import math
+
+    from tempolyra.llm.toxicity import TERMS, terms_of
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_toxicity(docs, labels)
+    assert 1 < len(model.names) == len(model.weights) <= 4 and model.names[-1] == "toxic" and len(model.terms) <= TERMS
+    again = fit_toxicity(docs, labels)
+    assert again.terms == model.terms and all(np.allclose(a, b) for a, b in zip(model.weights, again.weights))
+    got = {r.doc_id: r for r in score_toxicity(docs, model).collect()}
+    for r in docs.limit(40).collect():
+        held = {t for w in (r.text or "").lower().split() for t in terms_of(w)}
+        p = []
+        for w in model.weights:
+            z = sum(a * b for a, b in zip(p, w)) + sum(w[len(p) + k] for t, k in model.terms.items() if t in held)
+            z += w[-2] * math.log1p(len(r.text or "")) / 10 + w[-1]
+            p.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        assert got[r.doc_id].p_toxic == pytest.approx(p[-1]) and [got[r.doc_id].p_links[n] for n in model.names] == pytest.approx(p)
+
+
+def test_folds_see_no_labels_of_their_own(spark):
+    """A term that only one fold's flagged rows hold is no feature of that fold's predictions."""
+    from tempolyra.llm.toxicity import FOLDS, _terms
+
+    cells = [0] * FOLDS + [0, 0, 30, 0, 0]
+    counts = spark.createDataFrame([("only", cells), ("both", [0] * FOLDS + [9] * FOLDS)], "term string, cells array<bigint>")
+    rows = np.array([[50] * FOLDS, [40] * FOLDS])
+    assert set(_terms(counts, rows, None, 8)) == {"only", "both"} and _terms(counts, rows, 2, 8) == ["both"]
