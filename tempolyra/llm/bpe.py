@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Words kept by a worker in each of two generations, and the longest that is kept.
-KEPT_WORDS, KEPT_CHARS = 150_000, 64
+KEPT_WORDS, KEPT_CHARS = 64_000, 64
 #: Characters of texts whose words are taken at once; a longer text is cut between words.
 SLICE = 1 << 20
 #: Words over so many bytes are read one by one; so many bytes of shorter ones are read together.
-LONG, TOGETHER = 96, 1 << 21
+LONG, TOGETHER = 96, 1 << 20
+#: Beginnings of up to so many bytes have a whole row in the trie's table.
+NEAR = 2
 
 #: Separators of str.split() that are not white space for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -111,7 +113,8 @@ def gadgets(rules: list[tuple[int, int]], made: np.ndarray, left: np.ndarray, ri
 class Automaton:
     """The compiled model of a tokenizer file with byte symbols and a word-end mark."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep_labels: bool = True):
+        self.keep_labels = keep_labels
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -139,39 +142,53 @@ class Automaton:
         self.old: dict[str, tuple[bytes, str]] = {}
 
     def _read_by_bytes(self, tokens: dict[int, str], end: str) -> None:
-        """The trie's table: `step` (state, byte -> state), the longest token that ends in a state within a
-        word (`inner`) or at its end (`final`), and by token its size and the next shorter one that ends there."""
+        """The trie of the tokens' beginnings, shorter ones first: `near` (state, byte -> state) for those of up to
+        NEAR bytes, and for the others their own arcs `arcs` (state << 8 | byte) to `to` and the state `fail` to
+        go on from where there is none. By state the longest token that ends in it within a word (`inner`) or at
+        its end (`final`); by token its size and the next shorter one that ends there."""
         byte = {c: b for b, c in enumerate(byte_symbols())}
         spelt = {i: bytes(byte[c] for c in t.removesuffix(end)) for i, t in tokens.items()}
         ends = {i for i, t in tokens.items() if t.endswith(end)}
         prefixes = sorted({s[:k] for s in spelt.values() for k in range(len(s) + 1)}, key=lambda s: (len(s), s))
         place = {s: k for k, s in enumerate(prefixes)}
-        m = len(prefixes)
-        self.step, fail = np.zeros((m, 256), np.int32), np.zeros(m, np.int64)
-        own = np.full((2, m), -1)
-        for i, s in spelt.items():
-            own[int(i in ends), place[s]] = i
-        depth = np.fromiter(map(len, prefixes), np.int64, m)
+        m, depth = len(prefixes), np.fromiter(map(len, prefixes), np.int64, len(prefixes))
         up = np.array([place[s[:-1]] for s in prefixes])
         sym = np.array([s[-1] if s else 0 for s in prefixes])
-        found = own.copy()
-        for d in range(1, int(depth.max()) + 1):
-            at = np.nonzero(depth == d)[0]
+        order = np.argsort(up[1:] << 8 | sym[1:]) + 1
+        self.arcs, self.to = (up << 8 | sym)[order], order.astype(np.int32)
+        self.near = np.zeros((int((depth <= NEAR).sum()), 256), np.int32)
+        self.fail = np.zeros(m, np.int32)
+        found = np.full((2, m), -1, np.int32)
+        for i, s in spelt.items():
+            found[int(i in ends), place[s]] = i
+        for d in range(int(depth.max()) + 1):
+            at, kids = np.nonzero(depth == d)[0], np.nonzero(depth == d + 1)[0]
             if d > 1:
-                fail[at] = self.step[fail[up[at]], sym[at]]
-            if d == 1:
-                self.step[0, sym[at]] = at
+                self.fail[at] = self._next(self.fail[up[at]], sym[at])
             for kind in found:
-                kind[at] = np.where(kind[at] >= 0, kind[at], kind[fail[at]])
-            self.step[at] = self.step[fail[at]]
-            # their own children, once their rows are there
-            kids = np.nonzero(depth == d + 1)[0]
-            self.step[up[kids], sym[kids]] = kids
-        self.inner, self.final = found.astype(np.int32)
+                kind[at] = np.where(kind[at] >= 0, kind[at], kind[self.fail[at]])
+            if d <= NEAR:
+                self.near[at] = self.near[self.fail[at]] if d else 0
+                self.near[up[kids], sym[kids]] = kids
+        self.inner, self.final = found
         n = len(self.labels)
         self.size, self.shorter = np.zeros(n, np.int64), np.full(n, -1, np.int32)
         for i, s in spelt.items():
-            self.size[i], self.shorter[i] = len(s), found[int(i in ends), fail[place[s]]]
+            self.size[i], self.shorter[i] = len(s), found[int(i in ends), self.fail[place[s]]]
+
+    def _next(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The state after each state and byte."""
+        out, open_, s = np.zeros(len(state), np.int32), np.arange(len(state)), state
+        while len(open_):
+            near = s < len(self.near)
+            out[open_[near]] = self.near[s[near], byte[open_[near]]]
+            open_, s = open_[~near], s[~near]
+            key = s.astype(np.int64) << 8 | byte[open_]
+            k = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            hit = self.arcs[k] == key
+            out[open_[hit]] = self.to[k[hit]]
+            open_, s = open_[~hit], self.fail[s[~hit]]
+        return out
 
     def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the arc from state a to token b exists; a = -1 stands for a word's beginning."""
@@ -216,7 +233,7 @@ class Automaton:
 
         for k in range(n):
             m = int(np.searchsorted(-size, -k, "left"))  # words of over k bytes
-            state[:m] = self.step[state[:m], text[k, :m]]
+            state[:m] = self._next(state[:m], text[k, :m])
             done = int(np.searchsorted(-size, -(k + 1), "left"))  # those that go on after this byte
             last[k + 1, :done] = settle(self.inner[state[:done]], np.arange(done), k + 1)
             last[k + 1, done:m] = settle(self.final[state[done:m]], np.arange(done, m), k + 1)
@@ -233,12 +250,19 @@ class Automaton:
 
     def _alone(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
         """A long word, byte by byte."""
-        step, inner, shorter, size, begin = self.step, self.inner, self.shorter, self.size, self.begin
+        inner, shorter, size, begin, arcs = self.inner, self.shorter, self.size, self.begin, memoryview(self.arcs)
         removed, until = memoryview(self.removed), memoryview(self.until)
         last, state = np.full(len(word) + 1, -1, np.int32), 0
         at_end = len(word)
         for k, b in enumerate(word, 1):
-            state = step[state, b]
+            while state >= len(self.near):
+                r = bisect_left(arcs, state << 8 | b)
+                if r < len(arcs) and arcs[r] == state << 8 | b:
+                    state = int(self.to[r])
+                    break
+                state = int(self.fail[state])
+            else:
+                state = int(self.near[state, b])
             token = int(inner[state] if k < at_end else self.final[state])
             while True:
                 before = int(last[k - size[token]])
@@ -277,7 +301,7 @@ class Automaton:
                 mine += [words.setdefault(piece.encode(), len(words)) for piece in pieces]
             plan.append(mine)
         flat, start, stop = self.paths(list(words))
-        raw, labels, out = flat.astype("<u4").tobytes(), [self.labels[i] for i in flat.tolist()], {}
+        raw, labels, out = flat.astype("<u4").tobytes(), [self.labels[i] for i in flat.tolist()] if self.keep_labels else [], {}
         for chunk, mine in zip(chunks, plan):
             if len(mine) == 1 and (k := mine[0]) >= 0:
                 out[chunk] = raw[4 * start[k] : 4 * stop[k]], " ".join(labels[start[k] : stop[k]])
@@ -287,7 +311,7 @@ class Automaton:
         return out
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Of each text its ids as little-endian 32-bit integers, and the labels that they decode to."""
+        """Of each text its ids as little-endian 32-bit integers, and the labels that they decode to if kept."""
         split = [text.split() if not _ODD.search(text) else [w for w in _SPACE.split(text) if w] for text in texts]
         new = {w for words in split for w in words} - self.young.keys()
         found = {w: self.old[w] for w in new if w in self.old}
@@ -297,7 +321,7 @@ class Automaton:
         get, out = self.young.get, []
         for words in split:
             parts = [get(w) or long[w] for w in words]
-            out.append((b"".join([ids for ids, _ in parts]), " ".join([labels for _, labels in parts])))
+            out.append((b"".join([ids for ids, _ in parts]), " ".join([labels for _, labels in parts]) if self.keep_labels else ""))
         if len(self.young) >= KEPT_WORDS:
             self.old, self.young = self.young, {}
         return out
@@ -330,8 +354,8 @@ def slices(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
 
 
 @lru_cache(1)
-def automaton(path: str) -> Automaton:
-    return Automaton(path)
+def automaton(path: str, keep_labels: bool = True) -> Automaton:
+    return Automaton(path, keep_labels)
 
 
 def encode_documents(
@@ -352,7 +376,7 @@ def encode_documents(
     names = ["id", "n_tokens", *[x.split()[0] for x in tail.split(", ")]]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = automaton(tokenizer)
+        model = automaton(tokenizer, digests or decode)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             ids_of: list[list[bytes]] = [[] for _ in texts]
@@ -360,7 +384,7 @@ def encode_documents(
             for part in slices(texts):
                 for (k, _), (ids, labels) in zip(part, model.encode_all([t for _, t in part])):
                     ids_of[k].append(ids)
-                    if labels and (digests or decode):
+                    if labels:
                         labels_of[k].append(labels)
             raw = [b"".join(x) for x in ids_of]
             text = [" ".join(x) for x in labels_of]
