@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.events import THROTTLE_KEY, level_gate
+from ..operators.queues import ACTIVE_TICKET
 from ..operators.redaction import redact
 
 
@@ -75,9 +76,11 @@ def stream_job_state(changes: DataFrame) -> DataFrame:
 
 
 def stream_expire(touches: DataFrame, waiting: str = "120 seconds", uploading: str = "3600 seconds", delay: str = "0 seconds") -> DataFrame:
-    """Tickets (id, status, ts) without a touch for their status's time: a session that closed, with its end."""
+    """Tickets (id, status, ts) without a touch for their status's time: a session that closed, with its end.
+    A ticket whose last touch left it in a final status does not expire."""
     gap = F.when(F.col("status") == "UPLOADING", uploading).otherwise(waiting)
-    return touches.withWatermark("ts", delay).groupBy("id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("touches")).select("id", F.col("session_window.end").alias("expired_at"), "touches")
+    closed = touches.withWatermark("ts", delay).groupBy("id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("touches"), F.max_by("status", "ts").alias("last"))
+    return closed.where(F.col("last").isin(*ACTIVE_TICKET)).select("id", F.col("session_window.end").alias("expired_at"), "touches")
 
 
 def stream_stale_sessions(chunks: DataFrame, gap: str, delay: str = "0 seconds") -> DataFrame:
@@ -85,14 +88,53 @@ def stream_stale_sessions(chunks: DataFrame, gap: str, delay: str = "0 seconds")
     return chunks.withWatermark("ts", delay).groupBy("ticket_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("chunks")).select("ticket_id", F.col("session_window.end").alias("stale_at"), "chunks")
 
 
-def stream_traces(started: DataFrame, ended: DataFrame, within: str = "2 hours", delay: str = "10 minutes") -> DataFrame:
-    """Pairs of stage starts and ends (reference_id, run_id, stage, component, ts) within a time of each other,
-    by a stream-stream interval join; both sides' state goes with the watermark."""
-    key = ["reference_id", "run_id", "stage", "component"]
-    a = started.withWatermark("ts", delay).select(*[F.col(c).alias(f"s_{c}") for c in key], F.col("ts").alias("started_at"), F.col("id").alias("start_id"))
-    b = ended.withWatermark("ts", delay).select(*key, F.col("ts").alias("ended_at"), F.col("event"), F.col("id").alias("end_id"))
-    same = F.expr(" AND ".join(f"s_{c} = {c}" for c in key) + f" AND ended_at >= started_at AND ended_at <= started_at + interval {within}")
-    return a.join(b, same).select(*key, "start_id", "end_id", "event", "started_at", "ended_at")
+TRACE_KEY = ["reference_id", "run_id", "stage", "component"]
+
+
+class _Traces(StatefulProcessor):
+    """Keeps the start that waits for its end. The next event of its key ends it or leaves it open; so does
+    the watermark, once it is within_ms past the start."""
+
+    def __init__(self, within_ms: int):
+        self.within_ms = within_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.start = handle, handle.getValueState("start", "id bigint, at bigint")
+
+    def _row(self, key, ended_at, outcome: str) -> dict:
+        start_id, at = self.start.get()
+        self.start.clear()
+        times = {"started_at": pd.Timestamp(at, unit="ms"), "ended_at": pd.NaT if ended_at is None else pd.Timestamp(ended_at, unit="ms")}
+        return dict(zip(TRACE_KEY, key)) | {"start_id": start_id} | times | {"outcome": outcome}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["at", "id"]).itertuples():
+            if self.start.exists():
+                ends = r.event != "stage.started"
+                out.append(self._row(key, r.at if ends else None, r.event.removeprefix("stage.") if ends else "open"))
+            if r.event == "stage.started":
+                self.start.update((int(r.id), int(r.at)))
+                self.handle.registerTimer(int(r.at) + self.within_ms)
+        yield pd.DataFrame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        late = self.start.exists() and self.start.get()[1] + self.within_ms <= expiredTimerInfo.getExpiryTimeInMs()
+        yield pd.DataFrame([self._row(key, None, "open")] if late else [])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_traces(events: DataFrame, within_ms: int = 7_200_000, delay: str = "10 minutes") -> DataFrame:
+    """Stage starts with what ended them: the key, start_id, started_at, ended_at and outcome (completed, failed,
+    or open where the key's next event is another start or none came within_ms). events has the key, id,
+    event and ts; a key's events count in order of time within each batch."""
+    marks = events.where(F.col("event").isin("stage.started", "stage.completed", "stage.failed")).withWatermark("ts", delay)
+    types = {f.name: f.dataType.simpleString() for f in marks.schema.fields}
+    shape = ", ".join(f"{c} {types[c]}" for c in TRACE_KEY) + ", start_id bigint, started_at timestamp, ended_at timestamp, outcome string"
+    rows = marks.select(*TRACE_KEY, F.col("id").cast("long").alias("id"), "event", "ts", F.unix_millis("ts").alias("at"))
+    return rows.groupBy(*TRACE_KEY).transformWithStateInPandas(_Traces(within_ms), shape, "append", "eventTime")
 
 
 def stream_dedup(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -100,6 +142,8 @@ def stream_dedup(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
     return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["client_submission_id"])
 
 
-def stream_retain(events: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Events no older than the delay behind the newest seen: later ones are dropped with the watermark."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
+def stream_retain(events: DataFrame, keep: str = "30 days", now: Column | None = None) -> DataFrame:
+    """Events (ts) no older than `keep` at the time of their batch, or at `now`. What has been stored ages by
+    retain_events."""
+    at = F.current_timestamp() if now is None else now
+    return events.where(F.col("ts") >= at - F.expr(f"INTERVAL {keep}"))

@@ -83,7 +83,7 @@ def test_lrc_golden(spark):
     assert [(r.lyric, r.start_ms) for r in text.parse_lrc(df).orderBy("line_idx").collect()] == [("今日も", 1000), ("歌う", 3500), ("plain", None)]
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(text.split_moras(F.lit("きゃっと"))) == ["きゃ", "っ", "と"] and one(text.split_moras(F.lit("すーぱー"))) == ["す", "ー", "ぱ", "ー"]
-    assert one(text.normalise_reading(F.lit("カラ・Ｏケ！ A"))) == "からｏけa" and one(text.normalise_reading(text.nfkc(F.lit("ｶﾗ")))) == "から"
+    assert one(text.normalise_reading(F.lit("カラ・Ｏケ！ A"))) == "からoけa" and one(text.normalise_reading(text.nfkc(F.lit("ｶﾗ")))) == "から"
     assert one(text.line_width(F.lit("あ" * 21))) == 1188
     tokens, rejects = text.parse_annotations(spark.createDataFrame([(1, "{知|し}るも[の|n]は"), (2, "{知|しる"), (3, "a}b")], "id long, line string"))
     assert [(r.surface, r.reading, r.alignment_pronunciation) for r in tokens.orderBy("token_idx").collect()] == [("知", "し", None), ("るも", "るも", None), ("の", "の", "n"), ("は", "は", None)]
@@ -122,11 +122,40 @@ def test_stream_sessions(spark, tmp_path):
 
 
 def test_stream_traces(spark, tmp_path):
-    base = "SELECT 1L AS id, 'r' AS reference_id, 'u' AS run_id, 's' AS stage, 'c' AS component, "
-    df = spark.sql(base + "'stage.started' AS event, timestamp'2024-01-01 00:00:00' AS ts UNION ALL " + base + "'stage.completed', timestamp'2024-01-01 00:05:00' UNION ALL " + base + "'stage.completed', timestamp'2024-01-01 05:00:00'")
-    s = _stream(spark, tmp_path, df)
-    got = _drain(logs.stream_traces(s.where("event = 'stage.started'"), s.where("event <> 'stage.started'")), tmp_path).collect()
-    assert [(str(r.started_at)[11:], str(r.ended_at)[11:]) for r in got] == [("00:00:00", "00:05:00")]
+    """Two starts in a row, an end within time, one without a start, a start that nothing ends; as in the batch form."""
+    rows = [(1, "a", "stage.started", "00:00:00"), (2, "a", "stage.started", "00:01:00"), (3, "a", "stage.failed", "00:05:00"), (4, "a", "stage.completed", "00:06:00"),
+            (5, "b", "stage.started", "00:02:00"), (6, "c", "stage.completed", "05:00:00")]
+    df = spark.createDataFrame([(i, r, "u", "s", "c", e, f"2024-01-01 {t}") for i, r, e, t in rows], "id long, reference_id string, run_id string, stage string, component string, event string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    got = _drain(logs.stream_traces(_stream(spark, tmp_path, df)), tmp_path).collect()
+    want = events.stage_traces(df.withColumn("created_at", F.unix_millis("ts"))).collect()
+    assert sorted((r.start_id, r.outcome) for r in got) == sorted((r.start_id, r.outcome) for r in want) == [(1, "open"), (2, "failed"), (5, "open")]
+    assert {r.start_id: str(r.ended_at) for r in got}[2] == "2024-01-01 00:05:00"
+
+
+def test_stream_expire_final(spark, tmp_path):
+    df = spark.sql("SELECT id, status, ts FROM VALUES (1, 'WAITING', timestamp'2024-01-01 00:00:00'), (1, 'COMPLETED', timestamp'2024-01-01 00:01:00'), (3, 'WAITING', timestamp'2024-01-01 00:30:00') AS t(id, status, ts)")
+    assert _drain(logs.stream_expire(_stream(spark, tmp_path, df)), tmp_path).count() == 0
+
+
+def test_stream_stale_sessions(spark, tmp_path):
+    df = spark.sql("SELECT ticket_id, ts FROM VALUES (1, timestamp'2024-01-01 00:00:00'), (1, timestamp'2024-01-01 00:01:00'), (2, timestamp'2024-01-01 02:00:00') AS t(ticket_id, ts)")
+    got = _drain(logs.stream_stale_sessions(_stream(spark, tmp_path, df), "10 minutes"), tmp_path).collect()
+    assert [(r.ticket_id, str(r.stale_at), r.chunks) for r in got] == [(1, "2024-01-01 00:11:00", 2)]
+
+
+def test_stream_retain(spark, tmp_path):
+    df = spark.sql("SELECT id, ts FROM VALUES (1, timestamp'2024-01-01 00:00:00'), (1, timestamp'2024-02-20 00:00:00'), (2, timestamp'2024-02-20 00:00:00') AS t(id, ts)")
+    got = _drain(logs.stream_retain(_stream(spark, tmp_path, df), "30 days", F.lit("2024-03-01 00:00:00").cast("timestamp")), tmp_path)
+    assert sorted(r.id for r in got.collect()) == [1, 2]
+
+
+def test_stream_job_state(spark, tmp_path):
+    rows = [("j", "UPLOADED", False, 1, 1), ("j", "CANCELED", False, 2, 2), ("j", "COMPLETED", False, 3, 3), ("j", "UPLOADED", True, 4, 4), ("k", "CANCELED", False, 1, 5), ("k", "FAILED", False, 2, 6)]
+    df = spark.createDataFrame(rows, "reference_id string, status string, requeue boolean, created_at long, id long")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    got = _drain(logs.stream_job_state(_stream(spark, tmp_path, df)), tmp_path, "update")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in events.job_states(df).collect()}
 
 
 def test_job_states(spark):
