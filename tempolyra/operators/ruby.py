@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.text import lrc_time, normalise_reading
-from .subtitles import LINE, TOKEN, _segments, paragraphs
+from .subtitles import LINE, TOKEN, _segs, paragraphs
 
 _RUN = re.compile("([㐀-䶿一-鿿]+)")
 RUNS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("reading", T.StringType())]))
@@ -67,6 +67,15 @@ def _timed_characters() -> Column:
     return F.flatten(F.transform("segs", of))
 
 
+def _segments(tokens: DataFrame, moras: DataFrame) -> DataFrame:
+    """Adds segs to tokens: their moras' (reading, s, e) inside the token, in order, without gaps."""
+    part = F.struct("mora_idx", "end_ms", "reading")
+    met = moras.withColumn("reading", normalise_reading(F.col("reading"))).groupBy(*TOKEN).agg(F.sort_array(F.collect_list(part)).alias("__m"))
+    none = F.expr("cast(array() as array<struct<mora_idx:bigint,end_ms:bigint,reading:string>>)")
+    t = tokens.join(met, TOKEN, "left").withColumn("__m", F.coalesce("__m", none))
+    return t.withColumn("segs", F.zip_with(_segs(F.col("__m")), "__m", lambda a, b: F.struct(b["reading"].alias("reading"), a["s"].alias("s"), a["e"].alias("e")))).drop("__m")
+
+
 def ruby_chunks(tokens: DataFrame, moras: DataFrame) -> DataFrame:
     """Rows (song_id, line_idx, token_idx, ruby_idx, char_idx, text, duration_cs, start_ms) for tokens with a
     column ruby (reading): the reading is found in the token's mora text and takes its times; otherwise an

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import ass_escape, ass_time, is_sung, normalise_reading
+from ..functions.text import ass_escape, ass_time, is_sung
 from .intervals import floor_div
 
 LINE, TOKEN = ["song_id", "line_idx"], ["song_id", "line_idx", "token_idx"]
@@ -74,14 +74,11 @@ def indicator_events(layout: DataFrame, dots: int = 4, lead_ms: int = 3000) -> D
     return rows.select("song_id", "paragraph", F.col("dot").cast("long").alias("dot"), F.col("display_start_ms").alias("dot_start_ms"), end.cast("long").alias("dot_end_ms")).where("dot_end_ms > dot_start_ms")
 
 
-def _segments(tokens: DataFrame, moras: DataFrame) -> DataFrame:
-    """Adds segs to tokens: their moras' (reading, start, end) inside the token, in order, without gaps."""
-    w = W.partitionBy(*TOKEN).orderBy("mora_idx")
-    edge = moras.join(tokens.select(*TOKEN, F.col("start_ms").alias("__ts"), F.col("end_ms").alias("__te")), TOKEN).withColumns({"__pe": F.lag("end_ms").over(w), "__last": F.lead("mora_idx").over(w).isNull()})
-    s = F.greatest(F.col("__ts"), F.coalesce("__pe", "__ts"))
-    e = F.least(F.col("__te"), F.greatest(s, F.when(F.col("__last"), F.col("__te")).otherwise(F.col("end_ms"))))
-    seg = F.struct("mora_idx", normalise_reading(F.col("reading")).alias("reading"), s.alias("s"), e.alias("e"))
-    return tokens.join(edge.groupBy(*TOKEN).agg(F.sort_array(F.collect_list(seg)).alias("segs")), TOKEN, "left").withColumn("segs", F.coalesce("segs", F.expr("cast(array() as array<struct<mora_idx:bigint,reading:string,s:bigint,e:bigint>>)")))
+def _segs(ends: Column) -> Column:
+    """A token's moras as times inside the token, without gaps: of the sorted ends (mora_idx, end_ms)."""
+    s = lambda k: F.greatest(F.col("start_ms"), F.coalesce(F.get(ends, k - 1)["end_ms"], F.col("start_ms")))
+    last = lambda x, k: F.when(k == F.size(ends) - 1, F.col("end_ms")).otherwise(x["end_ms"])
+    return F.transform(ends, lambda x, k: F.struct(s(k).alias("s"), F.least(F.col("end_ms"), F.greatest(s(k), last(x, k))).alias("e")))
 
 
 def _at(position: Column) -> Column:
@@ -92,19 +89,65 @@ def _at(position: Column) -> Column:
     return F.when(n == 0, F.col("start_ms")).when(position >= n, F.col("end_ms")).otherwise(F.bround(seg["s"] + (seg["e"] - seg["s"]) * (position - k)).cast("long"))
 
 
-def character_chunks(tokens: DataFrame, moras: DataFrame) -> DataFrame:
-    """Rows (song_id, line_idx, token_idx, char_idx, text, sung, duration_cs): each sung character of a token
-    takes its share of the mora times; without moras an even share, the remainder to the last ones."""
-    t = _segments(tokens, moras).where(F.length("surface") > 0).withColumn("__total", F.bround((F.col("end_ms") - F.col("start_ms")) / 10).cast("long"))
+def _characters(tokens: DataFrame) -> DataFrame:
+    """The characters of tokens (surface, start_ms, end_ms, segs) with duration_cs and, among a token's sung
+    characters, place __k from 0 and number __n."""
+    t = tokens.where(F.length("surface") > 0).withColumn("__total", F.greatest(F.lit(0), F.bround((F.col("end_ms") - F.col("start_ms")) / 10).cast("long")))
     c = t.select("*", F.posexplode(F.split("surface", "")).alias("char_idx", "text")).withColumn("sung", is_sung(F.col("text")))
-    w = W.partitionBy(*TOKEN)
-    c = c.withColumns({"__k": F.sum(F.col("sung").cast("long")).over(w.orderBy("char_idx")) - 1, "__n": F.sum(F.col("sung").cast("long")).over(w)})
+    w, one = W.partitionBy(*TOKEN).orderBy("char_idx"), F.col("sung").cast("long")
+    c = c.withColumns({"__k": F.sum(one).over(w) - 1, "__n": F.sum(one).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
     m = F.size("segs")
     timed = F.greatest(F.lit(0), F.bround((_at(m * (F.col("__k") + 1) / F.col("__n")) - _at(m * F.col("__k") / F.col("__n"))) / 10).cast("long"))
-    total = F.greatest(F.lit(0), F.col("__total"))
-    base = F.floor(total / F.col("__n"))
-    even = base + (F.col("__k") >= F.col("__n") - (total - base * F.col("__n"))).cast("long")
-    return c.select(*TOKEN, F.col("char_idx").cast("long").alias("char_idx"), "text", "sung", F.when(~F.col("sung"), F.lit(0)).when(m > 0, timed).otherwise(even).cast("long").alias("duration_cs"))
+    base = F.floor(F.col("__total") / F.col("__n"))
+    even = base + (F.col("__k") >= F.col("__n") - (F.col("__total") - base * F.col("__n"))).cast("long")
+    duration = F.when(~F.col("sung"), F.lit(0)).when(m > 0, timed).otherwise(even)
+    return c.withColumns({"char_idx": F.col("char_idx").cast("long"), "duration_cs": duration.cast("long")})
+
+
+def character_chunks(tokens: DataFrame, moras: DataFrame) -> DataFrame:
+    """Rows (song_id, line_idx, token_idx, char_idx, text, sung, duration_cs): each sung character of a token
+    takes its share of the mora times; without moras an even share, the remainder to the last ones."""
+    ends = moras.groupBy(*TOKEN).agg(F.sort_array(F.collect_list(F.struct("mora_idx", "end_ms"))).alias("__m"))
+    none = F.expr("cast(array() as array<struct<mora_idx:bigint,end_ms:bigint>>)")
+    met = tokens.join(ends, TOKEN, "left").withColumn("__m", F.coalesce("__m", none)).withColumn("segs", _segs(F.col("__m")))
+    return _characters(met).select(*TOKEN, "char_idx", "text", "sung", "duration_cs")
+
+
+def _reconciled(rows: DataFrame) -> DataFrame:
+    """Characters whose line total is made the line's (__ls to __le), by the last sung character where it falls
+    short, and backwards from the end where it is over."""
+    w = W.partitionBy(*LINE).orderBy("token_idx", "char_idx")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.withColumns({"__cs": F.when(F.col("sung"), F.col("duration_cs")).otherwise(0), "__one": F.col("sung").cast("long")})
+    rows = rows.withColumns({
+        "__diff": F.bround((F.col("__le") - F.col("__ls")) / 10).cast("long") - F.sum("duration_cs").over(whole),
+        "__after": F.sum("__cs").over(whole) - F.sum("__cs").over(w), "__left": F.sum("__one").over(whole) - F.sum("__one").over(w),
+    })
+    more = F.when(F.col("sung") & (F.col("__left") == 0) & (F.col("__diff") > 0), F.col("__diff")).otherwise(0)
+    less = F.when(F.col("sung") & (F.col("__diff") < 0), F.least(F.col("duration_cs"), F.greatest(F.lit(0), -F.col("__diff") - F.col("__after")))).otherwise(0)
+    return rows.withColumn("duration_cs", F.col("duration_cs") + more - less).select(*TOKEN, "char_idx", "text", "sung", "duration_cs")
+
+
+def timed_chunks(lines: DataFrame, tokens: DataFrame, moras: DataFrame) -> DataFrame:
+    """line_chunks of character_chunks in one go: lines, tokens and moras meet in one shuffle by line, and
+    everything after it is windows on that partitioning."""
+    edge = lambda *c: F.struct(*c, "start_ms", "end_ms").alias("t")
+    parts = [
+        lines.select(*LINE, F.lit(-1).cast("long").alias("token_idx"), edge(F.lit("").alias("surface"))),
+        tokens.select(*LINE, "token_idx", edge("surface")), moras.select(*LINE, "token_idx", F.struct("mora_idx", "end_ms").alias("m")),
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True).repartition(*LINE)
+    met = rows.groupBy(*TOKEN).agg(F.first("t", ignorenulls=True).alias("t"), F.sort_array(F.collect_list("m")).alias("__m")).where("t is not null").select(*TOKEN, "t.*", "__m")
+    w = W.partitionBy(*LINE).orderBy("token_idx")
+    shown = (F.length("surface") > 0).cast("long")
+    met = met.withColumns({
+        "__ls": F.first(F.when(F.col("token_idx") < 0, F.col("start_ms"))).over(w), "__le": F.first(F.when(F.col("token_idx") < 0, F.col("end_ms"))).over(w),
+        "__next": F.lead("start_ms").over(w), "__shown": F.sum(shown).over(w),
+    }).where("token_idx >= 0 and __ls is not null")
+    gap = F.bround(F.greatest(F.lit(0), F.coalesce("__next", "__le") - F.col("end_ms")) / 10) + F.when(F.col("__shown") == 1, F.bround(F.greatest(F.lit(0), F.col("start_ms") - F.col("__ls")) / 10)).otherwise(0)
+    c = _characters(met.withColumns({"__gap": gap.cast("long"), "segs": _segs(F.col("__m"))}).drop("__m"))
+    last = F.col("sung") & (F.col("__k") == F.col("__n") - 1)
+    return _reconciled(c.withColumn("duration_cs", F.col("duration_cs") + F.when(last, F.col("__gap")).otherwise(0)))
 
 
 def line_chunks(chunks: DataFrame, tokens: DataFrame, lines: DataFrame) -> DataFrame:
@@ -113,21 +156,11 @@ def line_chunks(chunks: DataFrame, tokens: DataFrame, lines: DataFrame) -> DataF
     end where it is over."""
     w = W.partitionBy(*LINE).orderBy("token_idx")
     edge = lines.select(*LINE, F.col("start_ms").alias("__ls"), F.col("end_ms").alias("__le"))
-    seen = chunks.select(*LINE, "token_idx").distinct().withColumn("__shown", F.lit(True))
-    gaps = tokens.join(edge, LINE).join(seen, TOKEN, "left").withColumn("__next", F.coalesce(F.lead("start_ms").over(w), F.col("__le")))
-    gaps = gaps.where("__shown").withColumn("__first", F.row_number().over(w) == 1)
-    gap = F.bround(F.greatest(F.lit(0), F.col("__next") - F.col("end_ms")) / 10) + F.when(F.col("__first"), F.bround(F.greatest(F.lit(0), F.col("start_ms") - F.col("__ls")) / 10)).otherwise(0)
-    gaps = gaps.select(*TOKEN, gap.cast("long").alias("__gap"))
+    met = tokens.join(edge, LINE).withColumns({"__next": F.coalesce(F.lead("start_ms").over(w), F.col("__le")), "__shown": F.sum((F.length("surface") > 0).cast("long")).over(w)})
+    gap = F.bround(F.greatest(F.lit(0), F.col("__next") - F.col("end_ms")) / 10) + F.when(F.col("__shown") == 1, F.bround(F.greatest(F.lit(0), F.col("start_ms") - F.col("__ls")) / 10)).otherwise(0)
+    gaps = met.where(F.length("surface") > 0).select(*TOKEN, "__ls", "__le", gap.cast("long").alias("__gap"))
     last_sung = F.max(F.when(F.col("sung"), F.col("char_idx"))).over(W.partitionBy(*TOKEN))
-    rows = chunks.join(gaps, TOKEN).withColumn("duration_cs", F.col("duration_cs") + F.when(F.col("char_idx") == last_sung, F.col("__gap")).otherwise(0)).drop("__gap").join(edge, LINE)
-    line = W.partitionBy(*LINE)
-    back = line.orderBy(F.desc("token_idx"), F.desc("char_idx"))
-    rows = rows.withColumn("__diff", F.bround((F.col("__le") - F.col("__ls")) / 10).cast("long") - F.sum("duration_cs").over(line))
-    sung_cs = F.when(F.col("sung"), F.col("duration_cs")).otherwise(0)
-    rows = rows.withColumns({"__order": F.sum(F.col("sung").cast("long")).over(back), "__after": F.sum(sung_cs).over(back) - sung_cs})
-    more = F.when(F.col("sung") & (F.col("__order") == 1) & (F.col("__diff") > 0), F.col("__diff")).otherwise(0)
-    less = F.when(F.col("sung") & (F.col("__diff") < 0), F.least(F.col("duration_cs"), F.greatest(F.lit(0), -F.col("__diff") - F.col("__after")))).otherwise(0)
-    return rows.withColumn("duration_cs", F.col("duration_cs") + more - less).select(*chunks.columns)
+    return _reconciled(chunks.join(gaps, TOKEN).withColumn("duration_cs", F.col("duration_cs") + F.when(F.col("char_idx") == last_sung, F.col("__gap")).otherwise(0)))
 
 
 def uniform_chunks(lines: DataFrame) -> DataFrame:
@@ -189,13 +222,13 @@ def ass_event_count(files: DataFrame) -> DataFrame:
 
 def fixed_slot_subtitles(lines: DataFrame, tokens: DataFrame, moras: DataFrame, header: str = "[Script Info]") -> DataFrame:
     """The fixed-slot subtitle job: timed lines, tokens and moras to one file a song."""
-    chunks = line_chunks(character_chunks(tokens, moras), tokens, lines)
+    chunks = timed_chunks(lines, tokens, moras)
     return ass_files(dialogue_rows(simple_display(lines), render_karaoke(chunks)), header)
 
 
 def two_slot_subtitles(lines: DataFrame, tokens: DataFrame, moras: DataFrame, header: str = "[Script Info]", rubies: DataFrame | None = None) -> DataFrame:
     """The two-slot subtitle job: timed lines, tokens, moras and placed rubies to one file a song."""
-    chunks = line_chunks(character_chunks(tokens, moras), tokens, lines)
+    chunks = timed_chunks(lines, tokens, moras)
     return ass_files(layered_rows(slot_timings(lines), render_karaoke(chunks), rubies), header)
 
 

@@ -190,7 +190,7 @@ def _surfaces(s, d):
 
 def _chunks(s, d):
     ls, t, m = _surfaces(s, d)
-    return st.line_chunks(st.character_chunks(t, m), t, ls)
+    return st.timed_chunks(ls, t, m)
 
 
 add("auto_font_size", lambda s, d: st.auto_font_size(_surfaces(s, d)[0]),

@@ -139,3 +139,29 @@ def test_build_timelines_and_files(spark):
     content = {r.song_id: r.content for r in files.collect()}
     rows = content[2].split("\n")
     assert rows[0] == "﻿[Script Info]" and ",Indicator," in rows[1] and rows[5].endswith("{\\kf100}物{\\kf100}語") and rows[6].endswith("{\\an5\\pos(960,620)}ものがたり")
+
+
+def test_timed_chunks_equal_the_steps(spark):
+    """Tokens without moras, unsung and empty ones, gaps, overlaps, lines too short and too long."""
+    rng = random.Random(6)
+    lines, tokens, moras = [], [], []
+    for song in range(6):
+        at = 0
+        for line in range(5):
+            start = at
+            for token in range(rng.randint(0, 5)):
+                end = at + rng.randint(0, 900)
+                surface = rng.choice(["今日", "うた", "...", "", "a-b", "ながいことば"])
+                tokens.append((song, line, token, surface, at, end))
+                for k in range(rng.randint(0, 4)):
+                    moras.append((song, line, token, k, "あ", 0, at + rng.randint(-50, 1000)))
+                at = end + rng.randint(-60, 200)
+            if rng.random() < 0.9:
+                lines.append((song, line, start - rng.randint(0, 90), at + rng.randint(-400, 300)))
+    keys = "song_id long, line_idx long, "
+    ls = spark.createDataFrame(lines, keys + "start_ms long, end_ms long")
+    ts = spark.createDataFrame(tokens, keys + "token_idx long, surface string, start_ms long, end_ms long")
+    ms = spark.createDataFrame(moras, keys + "token_idx long, mora_idx long, reading string, start_ms long, end_ms long")
+    one = sorted(map(tuple, st.timed_chunks(ls, ts, ms).collect()))
+    two = sorted(map(tuple, st.line_chunks(st.character_chunks(ts, ms), ts, ls).collect()))
+    assert one == two and len(one) > 50
