@@ -132,18 +132,18 @@ def recurring_lines(
     return _meet(template, _recurring(template, "template", least_docs), ["template"], "left_semi").select("id", "row_hash", "pos", "template")
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows of docs, all columns, without their recurring lines, and __dropped, how many went.
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = DROPPED, **params) -> DataFrame:
+    """The rows of docs, all columns, without their recurring lines, and count_col, how many went.
 
     Every row stays; a text that held nothing else becomes empty. Texts without such lines, null ones
     included, come back as they are. Rows that share id and text lose the same lines. An input column
-    named as DROPPED gives way to the count; no other name matters.
+    named count_col gives way to the count; no other name matters.
     """
     gone = cut(recurring_lines(docs, id_col, text_col, **params).groupBy("id", "row_hash").agg(F.collect_set("pos").alias("gone")), "dropped-lines")
     bits = cut(bit_filter(gone, F.col("row_hash")), "dropped-filter")
     rows = flag_maybe(packed(docs, id_col, text_col), F.col("row"), bits)
     left = F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("gone", i))
-    columns = lambda text, n: [(text if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns if c != DROPPED] + [n.cast("long").alias(DROPPED)]
+    columns = lambda text, n: [(text if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns if c != count_col] + [n.cast("long").alias(count_col)]
     same = rows.where("not __maybe").select(*columns(F.col("text"), F.lit(0)))
     changed = (
         rows.where("__maybe")
