@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bit_filter, cut, flag_maybe, maybe_in
+from .common import BLANKS, bit_filter, cut, maybe_in
 
-#: Shares of a hot digest's rows.
-SALTS = 32
+#: Shares of a digest's rows.
+SALTS = 8
 
 
 def squeezed(text: Column) -> Column:
@@ -71,7 +71,7 @@ def exact_dedup(
         merged.where("size > 1").select("key", F.col("best.id").alias("keep_id"), "size"), "exact-hits"
     )
 
-    joined = _meet_hits(keys, hits, rows_per_salt)
+    joined = _meet_hits(keys, hits)
     differing = _differing(source, joined, hits, key, rows_per_salt)
     if differing.isEmpty():
         return _result(
@@ -84,14 +84,10 @@ def exact_dedup(
     return _result(_by_text(source, joined, differing, key), id_col)
 
 
-def _meet_hits(keys: DataFrame, hits: DataFrame, rows_per_salt: int) -> DataFrame:
-    """keys with the hit of each. Digests of many rows, told by a bit filter on both sides alike, are dealt
-    over SALTS shares; the others have share 0."""
-    hot = cut(bit_filter(hits.where(F.col("size") > rows_per_salt), F.col("key")), "exact-hot-filter")
-    salt = F.when(F.col("__maybe"), F.pmod(F.xxhash64("id", "n"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    shares = F.when(F.col("__maybe"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = flag_maybe(keys, F.col("key"), hot).select("id", "sha", "key", salt.alias("salt"))
-    right = flag_maybe(hits, F.col("key"), hot).select("key", "keep_id", "size", F.explode(shares).alias("salt"))
+def _meet_hits(keys: DataFrame, hits: DataFrame) -> DataFrame:
+    """keys with the hit of each, the rows of a digest dealt over SALTS shares and its hit repeated for each."""
+    left = keys.select("id", "sha", "key", F.pmod(F.xxhash64("id", "n"), F.lit(SALTS)).cast("int").alias("salt"))
+    right = hits.select("key", "keep_id", "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return left.join(right, ["key", "salt"], "left").drop("salt")
 
 
