@@ -168,8 +168,21 @@ add("push_lines", lambda s, d: iv.push_lines(lines(s, d).withColumn("end_ms", F.
     oracle("""r AS (SELECT song_id, line_idx, start_ms AS s, CASE WHEN end_ms + 9000 * (line_idx % 3) > start_ms THEN end_ms + 9000 * (line_idx % 3) - start_ms ELSE 100 END AS d FROM gap_lines),
         c AS (SELECT *, CAST(sum(d) OVER (PARTITION BY song_id ORDER BY line_idx) AS BIGINT) AS c FROM r),
         e AS (SELECT *, c + greatest(0, max(s - (c - d)) OVER (PARTITION BY song_id ORDER BY line_idx)) AS e FROM c) SELECT song_id, line_idx, e - d AS start_ms, e AS end_ms FROM e""", "gap_lines"))
-add("slot_timings", lambda s, d: st.slot_timings(lines(s, d)).select("song_id", "line_idx", "display_start_ms", "display_end_ms", "is_last"))
-add("indicator_events", lambda s, d: st.indicator_events(st.slot_timings(lines(s, d))))
+_SLOTS = """a AS (SELECT *, CAST(coalesce(start_ms - lag(end_ms) OVER w > 6166, false) AS BIGINT) AS new FROM gap_lines WINDOW w AS (PARTITION BY song_id ORDER BY line_idx)),
+    b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY song_id ORDER BY line_idx) AS BIGINT) AS paragraph FROM a),
+    c AS (SELECT *, row_number() OVER v - 1 AS place, first_value(start_ms) OVER v AS head FROM b WINDOW v AS (PARTITION BY song_id, paragraph ORDER BY line_idx)),
+    e AS (SELECT *, CASE WHEN place = 1 THEN head ELSE start_ms END - 4166 AS entry FROM c),
+    f AS (SELECT *, coalesce(lead(paragraph, 2) OVER w = paragraph, false) AS two, lead(start_ms, 2) OVER w AS s2, coalesce(lag(paragraph, 2) OVER w = paragraph, false) AS back, coalesce(lead(paragraph) OVER w <> paragraph, true) AS is_last,
+                 coalesce(lead(paragraph, 2) OVER w = paragraph AND lead(entry, 2) OVER w > end_ms + 2000, false) AS pull FROM e WINDOW w AS (PARTITION BY song_id ORDER BY line_idx)),
+    g AS (SELECT *, end_ms + CASE WHEN pull THEN 2000 ELSE 0 END AS walk FROM f),
+    h AS (SELECT *, CASE WHEN coalesce(lag(pull, 2) OVER w, false) THEN lag(walk, 2) OVER w ELSE entry END AS entry_ms, walk + CASE WHEN two AND s2 >= walk + 3500 THEN 1000 ELSE 0 END AS walked FROM g WINDOW w AS (PARTITION BY song_id ORDER BY line_idx)),
+    i AS (SELECT *, greatest(0, entry_ms, CASE WHEN back THEN lag(walked, 2) OVER w ELSE entry_ms END) AS display_start_ms FROM h WINDOW w AS (PARTITION BY song_id ORDER BY line_idx)),
+    slots AS (SELECT *, greatest(display_start_ms, least(end_ms + 2000, coalesce(lead(display_start_ms) OVER (PARTITION BY song_id, place % 2 ORDER BY line_idx), end_ms + 2000))) AS display_end_ms FROM i)"""
+add("slot_timings", lambda s, d: st.slot_timings(lines(s, d)).select("song_id", "line_idx", "display_start_ms", "display_end_ms", "is_last"),
+    oracle(_SLOTS + " SELECT song_id, line_idx, display_start_ms, display_end_ms, is_last FROM slots", "gap_lines"))
+add("indicator_events", lambda s, d: st.indicator_events(st.slot_timings(lines(s, d))),
+    oracle(_SLOTS + """, dots AS (SELECT song_id, paragraph, start_ms, display_start_ms, unnest(range(4)) AS dot FROM slots WHERE place = 0)
+        SELECT song_id, paragraph, dot, display_start_ms AS dot_start_ms, start_ms - 3000 + dot * 750 AS dot_end_ms FROM dots WHERE start_ms - 3000 + dot * 750 > display_start_ms""", "gap_lines"))
 add("retime_lines", lambda s, d: iv.retime_lines(lines(s, d).withColumn("stamp_ms", F.when(F.col("line_idx") % 4 == 1, F.col("start_ms") + 700))).select("song_id", "line_idx", "new_start", "new_end"))
 add("shift_timeline", lambda s, d: iv.shift_timeline(lines(s, d), lines(s, d).select("song_id").distinct().selectExpr("song_id", "song_id % 2000 - 1000 AS offset_ms")),
     oracle("""l AS (SELECT song_id, greatest(song_id % 2000 - 1000, -min(start_ms)) AS mv FROM gap_lines GROUP BY song_id) SELECT song_id, line_idx, start_ms + mv AS start_ms, end_ms + mv AS end_ms FROM gap_lines JOIN l USING (song_id)""", "gap_lines"))
@@ -207,4 +220,7 @@ add("uniform_chunks", lambda s, d: st.uniform_chunks(_surfaces(s, d)[0]).groupBy
 add("fixed_slot_subtitles", lambda s, d: st.ass_event_count(st.fixed_slot_subtitles(*_surfaces(s, d))),
     oracle("""l AS (SELECT song_id, unnest(regexp_split_to_array(text, 'LINE_END')) AS raw FROM song_lines) SELECT song_id, count(*) AS events FROM l WHERE regexp_replace(raw, '^[BLANKS]+|[BLANKS]+$', '', 'g') <> '' GROUP BY song_id""", "song_lines"))
 add("two_slot_subtitles", lambda s, d: st.two_slot_subtitles(*_surfaces(s, d)))
-add("active_frames", lambda s, d: st.active_frames(st.slot_timings(lines(s, d)), lines(s, d).selectExpr("song_id", "start_ms + 150 AS t_ms").distinct()))
+add("active_frames", lambda s, d: st.active_frames(st.slot_timings(lines(s, d)), lines(s, d).selectExpr("song_id", "start_ms + 150 AS t_ms").distinct()),
+    oracle(_SLOTS + """, t AS (SELECT DISTINCT song_id, start_ms + 150 AS t_ms FROM gap_lines),
+        seen AS (SELECT song_id, t_ms, place % 2 AS slot, list({'line': line_idx, 'par': paragraph, 'walk': walked} ORDER BY line_idx) AS l FROM slots JOIN t USING (song_id) WHERE t_ms BETWEEN entry_ms AND end_ms + 2000 GROUP BY ALL)
+        SELECT song_id, t_ms, slot, list_reduce(l, lambda a, x: CASE WHEN a.par <> x.par OR t_ms >= a.walk THEN x ELSE a END).line AS line_idx FROM seen""", "gap_lines"))
