@@ -209,10 +209,30 @@ def _chunks(s, d):
 add("auto_font_size", lambda s, d: st.auto_font_size(_surfaces(s, d)[0]),
     oracle("""l AS (SELECT song_id, unnest(regexp_split_to_array(text, 'LINE_END')) AS raw FROM song_lines), n AS (SELECT song_id, max(length(regexp_replace(raw, '^[BLANKS]+|[BLANKS]+$', '', 'g'))) AS n FROM l GROUP BY song_id HAVING max(length(trim(raw))) > 0),
         f AS (SELECT song_id, least(120, greatest(40, 1766 // greatest(1, CAST(round_even(n * 0.68::DOUBLE, 0) AS BIGINT)))) AS font_size FROM n) SELECT song_id, font_size, greatest(20, CAST(round_even(font_size * 0.4::DOUBLE, 0) AS BIGINT)) AS ruby_size FROM f""", "song_lines"))
-add("line_chunks", lambda s, d: _chunks(s, d).groupBy("song_id", "line_idx").agg(F.sum("duration_cs").alias("cs"), F.count_if("sung").alias("sung")).where("sung > 0").select("song_id", "line_idx", "cs"),
+def _line_durations(s, d):
+    """The duration of every character of a line, in order."""
+    part = F.struct("token_idx", "char_idx", "duration_cs")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["duration_cs"].cast("string")), ",")
+    return _chunks(s, d).groupBy("song_id", "line_idx").agg(F.sum("duration_cs").alias("cs"), joined.alias("durations"))
+
+
+add("line_chunks", _line_durations,
     oracle("""l AS (SELECT song_id, unnest(range(len(ls))) AS k, regexp_replace(unnest(ls), '^[BLANKS]+|[BLANKS]+$', '', 'g') AS line FROM (SELECT song_id, regexp_split_to_array(text, 'LINE_END') AS ls FROM song_lines)),
-        n AS (SELECT song_id, line, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx FROM l WHERE line <> '')
-        SELECT song_id, line_idx, CAST(round_even(403 * len(string_split(line, ' ')) / 10, 0) AS BIGINT) AS cs FROM n WHERE regexp_matches(line, '[^\\p{P}\\p{S}\\p{Z}]')""", "song_lines"))
+        n AS (SELECT song_id, string_split(line, ' ') AS ws, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx FROM l WHERE line <> ''),
+        t AS (SELECT song_id, line_idx, len(ws) AS nt, unnest(range(len(ws))) AS tk, unnest(ws) AS w FROM n),
+        c AS (SELECT song_id, line_idx, nt, tk, unnest(range(length(w))) AS ci, unnest(string_split(w, '')) AS ch FROM t WHERE w <> ''),
+        u AS (SELECT *, CAST(regexp_matches(ch, '[^\\p{P}\\p{S}\\p{Z}]') AS BIGINT) AS sung FROM c),
+        k AS (SELECT *, sum(sung) OVER (PARTITION BY song_id, line_idx, tk ORDER BY ci) - 1 AS k, sum(sung) OVER (PARTITION BY song_id, line_idx, tk) AS m FROM u),
+        p AS (SELECT *, 3 * greatest(k, 0) / greatest(m, 1) AS a, 3 * (k + 1) / greatest(m, 1) AS b, line_idx * 9000 + tk * 403 AS t0 FROM k),
+        q AS (SELECT *, least(2, CAST(floor(a) AS INT)) AS ja, least(2, CAST(floor(b) AS INT)) AS jb FROM p),
+        r AS (SELECT *, CASE WHEN a >= 3 THEN t0 + 377 ELSE round_even(t0 + [0, 125, 251][ja + 1] + [125, 126, 126][ja + 1] * (a - ja), 0) END AS x,
+                        CASE WHEN b >= 3 THEN t0 + 377 ELSE round_even(t0 + [0, 125, 251][jb + 1] + [125, 126, 126][jb + 1] * (b - jb), 0) END AS y FROM q),
+        e AS (SELECT *, CASE WHEN sung = 0 THEN 0 WHEN tk % 5 = 4 THEN 38 // m + CAST(k >= m - (38 - 38 // m * m) AS BIGINT) ELSE CAST(greatest(0, round_even((y - x) / 10, 0)) AS BIGINT) END
+                        + CASE WHEN sung = 1 AND k = m - 1 THEN 3 ELSE 0 END AS cs FROM r),
+        g AS (SELECT *, CAST(round_even(403 * nt / 10, 0) AS BIGINT) - sum(cs) OVER v AS diff, sum(cs * sung) OVER v - sum(cs * sung) OVER w AS after, sum(sung) OVER v - sum(sung) OVER w AS left_ FROM e
+              WINDOW v AS (PARTITION BY song_id, line_idx), w AS (PARTITION BY song_id, line_idx ORDER BY tk, ci)),
+        f AS (SELECT song_id, line_idx, tk, ci, CAST(cs + CASE WHEN sung = 1 AND left_ = 0 AND diff > 0 THEN diff ELSE 0 END - CASE WHEN sung = 1 AND diff < 0 THEN least(cs, greatest(0, -diff - after)) ELSE 0 END AS BIGINT) AS cs FROM g)
+        SELECT song_id, line_idx, CAST(sum(cs) AS BIGINT) AS cs, string_agg(CAST(cs AS VARCHAR), ',' ORDER BY tk, ci) AS durations FROM f GROUP BY ALL""", "song_lines"))
 add("uniform_chunks", lambda s, d: st.uniform_chunks(_surfaces(s, d)[0]).groupBy("song_id", "line_idx").agg(F.sum("duration_cs").alias("cs"), F.max("duration_cs").alias("most")),
     oracle("""l AS (SELECT song_id, unnest(range(len(ls))) AS k, regexp_replace(unnest(ls), '^[BLANKS]+|[BLANKS]+$', '', 'g') AS line FROM (SELECT song_id, regexp_split_to_array(text, 'LINE_END') AS ls FROM song_lines)),
         n AS (SELECT song_id, length(line) AS n, CAST(round_even(403 * len(string_split(line, ' ')) / 10, 0) AS BIGINT) AS cs, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx FROM l WHERE line <> '')
