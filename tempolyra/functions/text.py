@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..sources.shared import small_side
+
 # fixed values: small kana that attach to the character before them
 SMALL_KANA = "ゃゅょぁぃぅぇぉゎゕゖ"
 # fixed values: readings of digits and letters
@@ -174,12 +176,11 @@ def foreign_readings(tokens: DataFrame, words: DataFrame, keys: list[str], most_
     """Rows (keys, foreign_reading) for tokens (keys, surface) with Latin letters or digits: words (word, kana)
     give a word's reading, else its letters' names; digits their names; separators none; the rest stays.
     The dictionary is broadcast up to most_broadcast rows and shuffled beyond."""
-    small = words.limit(most_broadcast + 1).count() <= most_broadcast
     side = words.select(F.lower("word").alias("__w"), F.col("kana").alias("__kana"))
     names = F.create_map(*[F.lit(x) for kv in {**LETTERS, **DIGITS}.items() for x in kv])
     spell = lambda p: F.array_join(F.transform(F.split(F.lower(p), ""), lambda c: F.coalesce(names[c], F.lit(""))), "")
     parts = tokens.where(F.col("surface").rlike("[A-Za-z0-9]")).select(*keys, F.posexplode(F.regexp_extract_all("surface", F.lit("[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"), 0)).alias("__k", "__p"))
-    met = parts.join(F.broadcast(side) if small else side, F.lower("__p") == F.col("__w"), "left")
+    met = parts.join(small_side(side, most_broadcast), F.lower("__p") == F.col("__w"), "left")
     piece = (
         F.when(F.col("__p").rlike("^[A-Za-z]+$"), F.coalesce("__kana", spell(F.col("__p")))).when(F.col("__p").rlike("^[0-9]+$"), spell(F.col("__p")))
         .when(F.col("__p").rlike("^[-'’_]+$"), "").otherwise(F.translate("__p", _KATAKANA, _HIRAGANA))

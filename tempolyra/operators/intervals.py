@@ -5,10 +5,15 @@ so one partitioning by song_id serves a chain of these operators."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import normalise_reading, split_moras
+from ..sources.shared import small_side
+
 SONG, LINE, TOKEN = ["song_id"], ["song_id", "line_idx"], ["song_id", "line_idx", "token_idx"]
 _BEFORE, _AFTER = (W.unboundedPreceding, -1), (1, W.unboundedFollowing)
 
@@ -267,8 +272,8 @@ def score_rollup(spans: DataFrame, least: float = 0.5) -> DataFrame:
 def romanise(moras: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Latin tokens of moras (song_id, seq, reading, pronunciation) by a table (mora, romaji), and rejects:
     a given pronunciation goes first; っ doubles the next token's first letter (else t); ー repeats the last
-    vowel (else u). The table of a language's moras is a few hundred rows and broadcast."""
-    met = moras.join(F.broadcast(table.select(F.col("mora").alias("reading"), F.col("romaji").alias("__r"))), "reading", "left")
+    vowel (else u). The table of a language's moras is broadcast if it is small when counted."""
+    met = moras.join(small_side(table.select(F.col("mora").alias("reading"), F.col("romaji").alias("__r"))), "reading", "left")
     given = F.col("pronunciation").isNotNull()
     raw = F.regexp_replace(F.lower(F.when(given, F.col("pronunciation")).otherwise(F.coalesce("__r", F.lit("")))), "[^a-z']", "")
     w = W.partitionBy("song_id").orderBy("seq")
@@ -332,8 +337,10 @@ def push_lines(lines: DataFrame, least_ms: int = 100) -> DataFrame:
     return rows.withColumn("__end", end).withColumns({"end_ms": F.col("__end"), "start_ms": F.col("__end") - F.col("__d")}).select(*lines.columns)
 
 
-def timeline_violations(lines: DataFrame, tokens: DataFrame) -> DataFrame:
-    """One row (song_id, line_idx, problem) for every overlap, inverted line and token outside its line."""
+def timeline_violations(lines: DataFrame, tokens: DataFrame, moras: DataFrame | None = None) -> DataFrame:
+    """One row (song_id, line_idx, problem) for every overlap, inverted line and token outside its line. With
+    moras (reading), of tokens (reading) also for every mora outside its token, and for every token whose
+    moras are another number than its reading's, or read otherwise."""
     w = W.partitionBy("song_id").orderBy("line_idx")
     a = lines.withColumn("__p", F.lag("end_ms").over(w))
     found = [
@@ -341,7 +348,15 @@ def timeline_violations(lines: DataFrame, tokens: DataFrame) -> DataFrame:
         a.where("end_ms <= start_ms").select(*LINE, F.lit("line without duration").alias("problem")),
         tokens.join(lines.select(*LINE, F.col("start_ms").alias("__s"), F.col("end_ms").alias("__e")), LINE).where("start_ms < __s or end_ms > __e or end_ms < start_ms").select(*LINE, F.lit("token out of range").alias("problem")),
     ]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    if moras is not None:
+        own = moras.groupBy(*TOKEN).agg(F.sort_array(F.collect_list(F.struct("mora_idx", "reading"))).alias("m"), F.min("start_ms").alias("__ms"), F.max("end_ms").alias("__me"), F.bool_or(F.col("end_ms") < F.col("start_ms")).alias("__bad"))
+        met = tokens.join(own, TOKEN, "left").withColumns({"__want": split_moras(normalise_reading(F.col("reading"))), "__has": F.coalesce(F.transform("m", lambda x: x["reading"]), F.array().cast("array<string>"))})
+        found += [
+            met.where("__ms < start_ms or __me > end_ms or __bad").select(*LINE, F.lit("mora out of range").alias("problem")),
+            met.where("size(__has) <> size(__want)").select(*LINE, F.lit("number of moras differs").alias("problem")),
+            met.where("size(__has) = size(__want) and __has <> __want").select(*LINE, F.lit("moras differ from the reading").alias("problem")),
+        ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def choose_alignment(primary: DataFrame, fallback: DataFrame, errors: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.text import lrc_time, normalise_reading
+from ..sources.shared import small_side
 from .subtitles import LINE, TOKEN, _segs, paragraphs
 
 _RUN = re.compile("([㐀-䶿一-鿿]+)")
@@ -97,8 +98,8 @@ def ruby_chunks(tokens: DataFrame, moras: DataFrame) -> DataFrame:
 def layout_lines(tokens: DataFrame, glyphs: DataFrame, base_spacing: int = 14, ruby_spacing: int = 8, left_x: int = 192, right_x: int = 1728) -> DataFrame:
     """Rows (song_id, line_idx, group_idx, text, reading, x, width): a line's groups, a kanji run with its ruby or
     one character, each as wide as the wider of base and ruby, from the left in even lines and up to the
-    right in odd ones. glyphs (char, font, advance; fonts base and ruby) is a bounded table of characters and
-    is broadcast."""
+    right in odd ones. glyphs (char, font, advance; fonts base and ruby) is broadcast if it is small when
+    counted."""
     g = glyphs.where("font = 'base'").select(F.col("char").alias("ch"), F.col("advance").alias("base_w")).join(glyphs.where("font = 'ruby'").select(F.col("char").alias("ch"), F.col("advance").alias("ruby_w")), "ch", "full_outer")
     t = token_offsets(kanji_readings(tokens))
     cuts = F.transform(F.sequence(F.lit(1), F.char_length("surface")), lambda p: F.struct((p - 1).alias("p"), F.get(F.filter("runs", lambda r: (r["start"] < p) & (p <= r["end"])), F.lit(0)).alias("r")))
@@ -106,7 +107,7 @@ def layout_lines(tokens: DataFrame, glyphs: DataFrame, base_spacing: int = 14, r
     c = c.select(*LINE, (F.col("char_offset") + F.coalesce("x.r.start", "x.p")).alias("group_idx"), F.struct("x.p", F.expr("substring(surface, x.p + 1, 1)").alias("ch")).alias("c"), F.col("x.r.reading").alias("reading"))
     grouped = c.groupBy(*LINE, "group_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda x: x["ch"]), "").alias("text"), F.first("reading").alias("reading"))
     letters = grouped.select(*LINE, "group_idx", F.explode(F.array(F.struct(F.lit("base_w").alias("k"), F.col("text").alias("s")), F.struct(F.lit("ruby_w").alias("k"), F.coalesce("reading", F.lit("")).alias("s")))).alias("z")).select(*LINE, "group_idx", "z.k", F.explode(F.split("z.s", "")).alias("ch")).where("ch <> ''")
-    w = letters.join(F.broadcast(g), "ch", "left").groupBy(*LINE, "group_idx").agg(
+    w = letters.join(small_side(g), "ch", "left").groupBy(*LINE, "group_idx").agg(
         (F.sum(F.when(F.col("k") == "base_w", F.coalesce("base_w", F.lit(0.0)))) + (F.count_if(F.col("k") == "base_w") - 1) * base_spacing).alias("b"),
         F.coalesce(F.sum(F.when(F.col("k") == "ruby_w", F.coalesce("ruby_w", F.lit(0.0)))) + (F.count_if(F.col("k") == "ruby_w") - 1) * ruby_spacing, F.lit(0.0)).alias("r"))
     rows = grouped.join(w, [*LINE, "group_idx"]).withColumn("width", F.greatest("b", "r"))

@@ -193,26 +193,60 @@ def dialogue_rows(layout: DataFrame, karaoke: DataFrame, style: str = "Main") ->
     return layout.join(karaoke, LINE).select(*LINE, text.alias("row"))
 
 
+def ruby_rows(layout: DataFrame, rubies: DataFrame) -> DataFrame:
+    """Rows (song_id, line_idx, layer, seq, row) of rubies (song_id, line_idx, token_idx, reading, x, y) while their
+    line shows."""
+    span = F.concat(ass_time(F.col("display_start_ms")), F.lit(","), ass_time(F.col("display_end_ms")))
+    text = F.concat(F.lit("Dialogue: 1,"), span, F.lit(",Ruby,,0,0,0,,{\\an5\\pos("), F.col("x").cast("string"), F.lit(","), F.col("y").cast("string"), F.lit(")}"), ass_escape(F.col("reading")))
+    return rubies.join(layout, LINE).select(*LINE, F.lit(2).alias("layer"), F.col("token_idx").cast("long").alias("seq"), text.alias("row"))
+
+
 def layered_rows(layout: DataFrame, karaoke: DataFrame, rubies: DataFrame | None = None) -> DataFrame:
     """Rows (song_id, line_idx, layer, seq, row) of a two-slot song in emission order: the indicator dots ahead
     of a paragraph's first line, the line, and its rubies (song_id, line_idx, token_idx, reading, x, y)."""
-    span = F.concat(ass_time(F.col("display_start_ms")), F.lit(","), ass_time(F.col("display_end_ms")))
     base = dialogue_rows(layout, karaoke).select(*LINE, F.lit(1).alias("layer"), F.lit(0).cast("long").alias("seq"), "row")
     dot = F.concat(F.lit("Dialogue: 0,"), ass_time(F.col("dot_start_ms")), F.lit(","), ass_time(F.col("dot_end_ms")), F.lit(",Indicator,,0,0,0,,{\\p1}"))
     heads = layout.where("line_in_paragraph = 0").select(*LINE, "paragraph")
     dots = indicator_events(layout).join(heads, ["song_id", "paragraph"]).select(*LINE, F.lit(0).alias("layer"), F.col("dot").alias("seq"), dot.alias("row"))
     rows = dots.unionByName(base)
     if rubies is not None:
-        text = F.concat(F.lit("Dialogue: 1,"), span, F.lit(",Ruby,,0,0,0,,{\\an5\\pos("), F.col("x").cast("string"), F.lit(","), F.col("y").cast("string"), F.lit(")}"), ass_escape(F.col("reading")))
-        rows = rows.unionByName(rubies.join(layout, LINE).select(*LINE, F.lit(2).alias("layer"), F.col("token_idx").alias("seq"), text.alias("row")))
+        rows = rows.unionByName(ruby_rows(layout, rubies))
     return rows
 
 
-def ass_files(rows: DataFrame, header: str) -> DataFrame:
-    """One row a song (song_id, content): header and dialogue rows in order, with a byte order mark."""
+# fixed values: fields of the format's style and event lines
+STYLE_FIELDS = (
+    "Name", "Fontname", "Fontsize", "PrimaryColour", "SecondaryColour", "OutlineColour", "BackColour", "Bold", "Italic", "Underline", "StrikeOut", "ScaleX",
+    "ScaleY", "Spacing", "Angle", "BorderStyle", "Outline", "Shadow", "Alignment", "MarginL", "MarginR", "MarginV", "Encoding",
+)
+EVENT_FIELDS = ("Layer", "Start", "End", "Style", "Name", "MarginL", "MarginR", "MarginV", "Effect", "Text")
+#: What a style has unless it says otherwise; sizes in angle brackets are filled in song by song.
+PLAIN_STYLE = dict.fromkeys(STYLE_FIELDS, 0) | {
+    "Fontname": "Noto Sans CJK JP", "Fontsize": "<base>", "PrimaryColour": "&H000000FF", "SecondaryColour": "&H00FFFFFF", "OutlineColour": "&H00000000", "BackColour": "&H60000000",
+    "Bold": -1, "ScaleX": 100, "ScaleY": 100, "BorderStyle": 1, "Outline": 4, "Alignment": 5, "MarginL": 40, "MarginR": 40, "MarginV": 40, "Encoding": 1,
+}
+STYLES = ({"Name": "Main"}, {"Name": "Ruby", "Fontsize": "<ruby>", "Outline": 3}, {"Name": "Indicator", "Fontsize": 10, "Bold": 0, "Alignment": 7})
+
+
+def ass_header(styles: tuple[dict, ...] = STYLES, width: int = 1920, height: int = 1080, title: str = "Karaoke") -> str:
+    """The sections before the dialogue rows; styles name what differs from PLAIN_STYLE."""
+    info = {"Title": title, "ScriptType": "v4.00+", "WrapStyle": 2, "ScaledBorderAndShadow": "yes", "PlayResX": width, "PlayResY": height}
+    rows = ["Style: " + ",".join(str((PLAIN_STYLE | style)[f]) for f in STYLE_FIELDS) for style in styles]
+    sections = {"Script Info": [f"{k}: {v}" for k, v in info.items()], "V4+ Styles": ["Format: " + ", ".join(STYLE_FIELDS), *rows], "Events": ["Format: " + ", ".join(EVENT_FIELDS)]}
+    return "\n\n".join("\n".join([f"[{name}]", *lines]) for name, lines in sections.items())
+
+
+def ass_files(rows: DataFrame, header: str, sizes: DataFrame | None = None, base: int = 96, ruby: int = 38) -> DataFrame:
+    """One row a song (song_id, content): header and dialogue rows in order, with a byte order mark. sizes
+    (song_id, font_size, ruby_size) fills in a song's font sizes, base and ruby those of all others."""
     order = [c for c in ("line_idx", "layer", "seq", "row") if c in rows.columns]
     ordered = F.transform(F.sort_array(F.collect_list(F.struct(*order))), lambda x: x["row"])
-    return rows.groupBy("song_id").agg(F.concat(F.lit("\ufeff" + header + "\n"), F.array_join(ordered, "\n"), F.lit("\n")).alias("content"))
+    files = rows.groupBy("song_id").agg(F.array_join(ordered, "\n").alias("events"))
+    files = files.withColumns({"font_size": F.lit(None), "ruby_size": F.lit(None)}) if sizes is None else files.join(sizes, "song_id", "left")
+    head = F.lit("\ufeff" + header + "\n")
+    for mark, column, default in (("<base>", "font_size", base), ("<ruby>", "ruby_size", ruby)):
+        head = F.replace(head, F.lit(mark), F.coalesce(F.col(column).cast("string"), F.lit(str(default))))
+    return files.select("song_id", F.concat(head, "events", F.lit("\n")).alias("content"))
 
 
 def ass_event_count(files: DataFrame) -> DataFrame:
@@ -220,16 +254,20 @@ def ass_event_count(files: DataFrame) -> DataFrame:
     return files.select("song_id", F.size(F.filter(F.split("content", "\n"), lambda x: x.startswith("Dialogue:"))).cast("long").alias("events"))
 
 
-def fixed_slot_subtitles(lines: DataFrame, tokens: DataFrame, moras: DataFrame, header: str = "[Script Info]") -> DataFrame:
-    """The fixed-slot subtitle job: timed lines, tokens and moras to one file a song."""
-    chunks = timed_chunks(lines, tokens, moras)
-    return ass_files(dialogue_rows(simple_display(lines), render_karaoke(chunks)), header)
+def fixed_slot_subtitles(lines: DataFrame, tokens: DataFrame, moras: DataFrame, header: str | None = None, rubies: DataFrame | None = None) -> DataFrame:
+    """The fixed-slot subtitle job: timed lines (surface), tokens, moras and placed rubies to one file a song,
+    with the font sizes at which the song's longest line fits."""
+    karaoke, layout = render_karaoke(timed_chunks(lines, tokens, moras)), simple_display(lines)
+    rows = dialogue_rows(layout, karaoke).select(*LINE, F.lit(1).alias("layer"), F.lit(0).cast("long").alias("seq"), "row")
+    if rubies is not None:
+        rows = rows.unionByName(ruby_rows(layout, rubies))
+    return ass_files(rows, ass_header() if header is None else header, auto_font_size(lines) if "surface" in lines.columns else None)
 
 
-def two_slot_subtitles(lines: DataFrame, tokens: DataFrame, moras: DataFrame, header: str = "[Script Info]", rubies: DataFrame | None = None) -> DataFrame:
+def two_slot_subtitles(lines: DataFrame, tokens: DataFrame, moras: DataFrame, header: str | None = None, rubies: DataFrame | None = None) -> DataFrame:
     """The two-slot subtitle job: timed lines, tokens, moras and placed rubies to one file a song."""
     chunks = timed_chunks(lines, tokens, moras)
-    return ass_files(layered_rows(slot_timings(lines), render_karaoke(chunks), rubies), header)
+    return ass_files(layered_rows(slot_timings(lines), render_karaoke(chunks), rubies), ass_header() if header is None else header)
 
 
 def active_frames(layout: DataFrame, times: DataFrame, after_ms: int = HOLD_MS, bin_ms: int = 10_000) -> DataFrame:

@@ -6,6 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def small_side(table: DataFrame, most: int = 500_000) -> DataFrame:
+    """The table with a hint to broadcast it if it has been counted to hold at most `most` rows; else as it is."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

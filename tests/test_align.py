@@ -135,7 +135,7 @@ def test_build_timelines_and_files(spark):
     assert t == {1: ("primary", []), 2: ("fallback", ["primary_fallback:wrong number of spans", "lrc_timing_applied"])}
     assert {(r.song_id, r.start_ms, r.end_ms) for r in out["lines"].collect()} == {(1, 500, 1000), (2, 7000, 9000)}
     assert {r.song_id for r in rejects.collect()} == {3}
-    files = st.two_slot_subtitles(out["lines"].select("song_id", "line_idx", "start_ms", "end_ms"), out["tokens"], out["moras"], rubies=ruby.ruby_placements(out["tokens"]))
+    files = st.two_slot_subtitles(out["lines"].select("song_id", "line_idx", "start_ms", "end_ms"), out["tokens"], out["moras"], "[Script Info]", rubies=ruby.ruby_placements(out["tokens"]))
     content = {r.song_id: r.content for r in files.collect()}
     rows = content[2].split("\n")
     assert rows[0] == "﻿[Script Info]" and ",Indicator," in rows[1] and rows[5].endswith("{\\kf100}物{\\kf100}語") and rows[6].endswith("{\\an5\\pos(960,620)}ものがたり")
@@ -165,3 +165,30 @@ def test_timed_chunks_equal_the_steps(spark):
     one = sorted(map(tuple, st.timed_chunks(ls, ts, ms).collect()))
     two = sorted(map(tuple, st.line_chunks(st.character_chunks(ts, ms), ts, ls).collect()))
     assert one == two and len(one) > 50
+
+
+def test_fixed_slot_file(spark):
+    """A whole file: sections in order, styles with the song's sizes and as many fields as their format, rows in order."""
+    lines = spark.createDataFrame([(1, 0, "うた", 1000, 2000), (1, 1, "こえ", 2500, 3500)], "song_id long, line_idx long, surface string, start_ms long, end_ms long")
+    tokens = lines.selectExpr("song_id", "line_idx", "0L AS token_idx", "surface", "start_ms", "end_ms")
+    moras = tokens.selectExpr("song_id", "line_idx", "token_idx", "explode(array(0L, 1L)) AS mora_idx", "'あ' AS reading", "start_ms", "end_ms").selectExpr("song_id", "line_idx", "token_idx", "mora_idx", "reading", "start_ms + mora_idx * 600 AS start_ms", "start_ms + 600 + mora_idx * 400 AS end_ms")
+    rubies = spark.createDataFrame([(1, 1, 0, "こえ", 900, 400)], "song_id long, line_idx long, token_idx long, reading string, x long, y long")
+    rows = st.fixed_slot_subtitles(lines, tokens, moras, rubies=rubies).first().content.rstrip("\n").split("\n")
+    assert rows[0] == "﻿[Script Info]" and "PlayResX: 1920" in rows
+    style = rows.index("[V4+ Styles]")
+    assert [len(r.split(":", 1)[1].split(",")) for r in rows[style + 1 : style + 5]] == [23] * 4 and rows[style + 2].startswith("Style: Main,Noto Sans CJK JP,120,") and rows[style + 3].split(",")[2] == "48"
+    events = rows.index("[Events]")
+    assert rows[events + 1] == "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
+    assert rows[events + 2 :] == [
+        "Dialogue: 0,0:00:00.00,0:00:02.50,Main,,0,0,0,,{\\kf60}う{\\kf40}た", "Dialogue: 0,0:00:01.00,0:00:03.50,Main,,0,0,0,,{\\kf60}こ{\\kf40}え",
+        "Dialogue: 1,0:00:01.00,0:00:03.50,Ruby,,0,0,0,,{\\an5\\pos(900,400)}こえ",
+    ]
+
+
+def test_mora_violations(spark):
+    lines = spark.createDataFrame([(1, 0, 0, 1000)], "song_id long, line_idx long, start_ms long, end_ms long")
+    tokens = spark.createDataFrame([(1, 0, k, "かな", 100 * k, 100 * k + 100) for k in range(4)], "song_id long, line_idx long, token_idx long, reading string, start_ms long, end_ms long")
+    rows = [(0, 0, "か", 0, 50), (0, 1, "な", 50, 100), (1, 0, "か", 100, 150), (1, 1, "に", 150, 200), (2, 0, "か", 150, 300), (2, 1, "な", 250, 300), (3, 0, "か", 300, 400)]
+    moras = spark.createDataFrame([(1, 0, *r) for r in rows], "song_id long, line_idx long, token_idx long, mora_idx long, reading string, start_ms long, end_ms long")
+    got = sorted(r.problem for r in iv.timeline_violations(lines, tokens, moras).collect())
+    assert got == ["mora out of range", "moras differ from the reading", "number of moras differs"]
