@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..functions.text import lrc_time, normalise_reading
+from ..functions.text import SMALL_KANA, lrc_time, normalise_reading
 from ..sources.shared import small_side
 from .subtitles import LINE, TOKEN, _segs, paragraphs
 
+_TO_HIRAGANA = {c: c - 0x60 for c in range(0x30A1, 0x30F7)}
 _RUN = re.compile("([㐀-䶿一-鿿]+)")
 RUNS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("reading", T.StringType())]))
 
@@ -41,6 +42,70 @@ def kanji_readings(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("runs", run(F.col("surface"), kana, normalise_reading(F.col("reading"))))
 
 
+_KANJI = "㐀-䶿一-鿿\uf900-\ufaff"
+PARTS = T.ArrayType(T.StructType([T.StructField("surface", T.StringType()), T.StructField("reading", T.StringType())]))
+
+
+def even_shares(reading: str, n: int) -> list[str]:
+    """A reading in n parts of as many moras, one more for the first ones; by characters where moras are too
+    few, and whole in the first part where those are too."""
+    for units in (re.findall(f"(?s).[{SMALL_KANA}]*", reading), list(reading)):
+        if len(units) >= n:
+            size, more = divmod(len(units), n)
+            ends = [k * size + min(k, more) for k in range(n + 1)]
+            return ["".join(units[a:z]) for a, z in zip(ends, ends[1:])]
+    return [reading, *[""] * (n - 1)]
+
+
+def run_shares(run: str, said: str, known: dict[str, str]) -> list[str]:
+    """The reading of a kanji run by character: characters whose known reading stands at the beginning, then at
+    the end, take it as long as a mora is left for each other one; those between share what is left evenly."""
+    inner = list(run)
+    outer: tuple[list[str], list[str]] = ([], [])  # from the front, from the back
+    for found, at in zip(outer, (0, -1)):
+        while inner and (own := known.get(inner[at])):
+            rest = said.removesuffix(own) if at else said.removeprefix(own)
+            if rest == said or len(re.findall(f"(?s).[{SMALL_KANA}]*", rest)) < len(inner) - 1:
+                break
+            said = rest
+            found.append(own)
+            inner.pop(at)
+    return [*outer[0], *(even_shares(said, len(inner)) if inner else []), *outer[1][::-1]]
+
+
+def split_surface(surface: str, reading: str, known: dict[str, str]) -> list[tuple[str, str]]:
+    """A surface as single kanji and runs of other characters with their readings."""
+    pieces = re.split(f"([{_KANJI}]+)", surface)
+    kana = ["".join(known.get(c, c) for c in x.translate(_TO_HIRAGANA)) for x in pieces[::2]]
+    groups = [g for k, x in enumerate(pieces) for g in (x if k % 2 else [x]) if g]
+    if len(pieces) == 1 or len(groups) == 1:
+        return [(surface, reading)]
+    hit = re.fullmatch("(.*?)".join(map(re.escape, kana)), reading)
+    if not hit or not all(hit.groups()):
+        return list(zip(groups, even_shares(reading, len(groups))))
+    shares = [run_shares(run, said, known) for run, said in zip(pieces[1::2], hit.groups())]
+    return [pair for k, x in enumerate(pieces) if x for pair in (zip(x, shares[k // 2]) if k % 2 else [(x, kana[k // 2])])]
+
+
+def split_by_kanji(tokens: DataFrame, literal: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, part_idx, surface, reading) of tokens (keys, surface, reading, alignment_pronunciation): one for
+    each kanji and each run of other characters. literal (char, kana) holds the readings of single kanji; it
+    is broadcast if small when counted. Tokens with a given pronunciation stay whole."""
+    chars = tokens.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all("surface", F.lit(f"[{_KANJI}]"), 0))).alias("char"))
+    known = chars.join(small_side(literal.select("char", "kana")), "char").groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("char", "kana"))).alias("known"))
+
+    @F.pandas_udf(PARTS)
+    def run(surface: pd.Series, reading: pd.Series, readings: pd.Series) -> pd.Series:
+        split = lambda s, r, k: [] if s is None else [{"surface": a, "reading": b} for a, b in split_surface(s, r or "", dict(k) if k is not None else {})]
+        return pd.Series([split(*x) for x in zip(surface, reading, readings)])
+
+    given = F.col("alignment_pronunciation").isNotNull() | ~F.col("surface").rlike(f"[{_KANJI}]")
+    rows = tokens.join(known, keys, "left")
+    whole = rows.where(given).select(*keys, F.lit(0).cast("long").alias("part_idx"), "surface", "reading")
+    parts = rows.where(~given).select(*keys, F.posexplode(run("surface", "reading", "known")).alias("part_idx", "p"))
+    return whole.unionByName(parts.select(*keys, F.col("part_idx").cast("long").alias("part_idx"), "p.surface", "p.reading"))
+
+
 def token_offsets(tokens: DataFrame) -> DataFrame:
     """Adds char_offset, the token's place in its line in characters."""
     before = F.sum(F.char_length("surface")).over(W.partitionBy(*LINE).orderBy("token_idx").rowsBetween(W.unboundedPreceding, -1))

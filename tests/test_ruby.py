@@ -42,3 +42,17 @@ def test_project_text(spark):
     lines = spark.createDataFrame([(1, 0, 1000, 1800)], "song_id long, line_idx long, start_ms long, end_ms long")
     got = ruby.project_text(spark.createDataFrame([(1, "{}")], "song_id long, config string"), lines, t, m).first().content
     assert got == "config {}\n\n\n@Ruby=今日,きょ[00:00:20]う,[00:01:00],[00:01:50]\n[00:01:00]今日[00:01:50]も[00:01:80]"
+
+
+def test_split_by_kanji(spark):
+    known = {"今": "いま", "日": "ひ", "花": "はな", "火": "ひ", "見": "み"}
+    cases = [
+        (("花火", "はなび"), [("花", "はな"), ("火", "び")]), (("今日は", "きょうは"), [("今", "きょ"), ("日", "う"), ("は", "は")]),
+        (("お花見ス", "おはなみす"), [("お", "お"), ("花", "はな"), ("見", "み"), ("ス", "す")]), (("花", "はな"), [("花", "はな")]), (("かな", "かな"), [("かな", "かな")]),
+        (("花と火", "あいう"), [("花", "あ"), ("と", "い"), ("火", "う")]), (("山川", "や"), [("山", "や"), ("川", "")]), (("東西南", "とうざい"), [("東", "とう"), ("西", "ざ"), ("南", "い")]),
+    ]
+    for (surface, reading), want in cases:
+        assert ruby.split_surface(surface, reading, known) == want, surface
+    tokens = spark.createDataFrame([(1, "花火", "はなび", None), (2, "今日", "きょう", "kyou"), (3, None, None, None), (4, "うた", "うた", None)], "id long, surface string, reading string, alignment_pronunciation string")
+    got = ruby.split_by_kanji(tokens, spark.createDataFrame(list(known.items()), "char string, kana string"), ["id"])
+    assert sorted((r.id, r.part_idx, r.surface, r.reading) for r in got.collect()) == [(1, 0, "花", "はな"), (1, 1, "火", "び"), (2, 0, "今日", "きょう"), (4, 0, "うた", "うた")]
