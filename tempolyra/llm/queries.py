@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import byte_bpe
 from .bpe import encode_documents
 from .common import crc_mod, table
 from .decontaminate import find_overlaps
 from .exact_dedup import exact_dedup
 from .line_dedup import drop_recurring_lines
 from .lm import lm_scores
+from .periodic import find_runs
 from .pii import BASE_KINDS, KINDS, find_pii
 from .quality import fit_quality, score_quality
 from .simhash import simhash_dedup
@@ -93,6 +95,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a tenth of the documents are made periodic from a word on; only there the words are counted in SQL
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.size(F.array_remove(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), "")).cast("long")
+    fold = F.expr("CASE WHEN h % 10 = 0 AND n > 0 THEN struct(g % n AS start, 1 + (n - g % n) div (3 + g % 8) AS period) END")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), g.cast("long").alias("g"))
+    docs = docs.withColumn("n", F.when(F.col("h") % 10 == 0, words))
+    return find_runs(docs, fold=fold, digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_lm": op2_lm,
@@ -104,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _WORDS = r"""regexp_split_to_array(trim(lower(coalesce(text, '')), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+')"""
