@@ -143,8 +143,8 @@ def _segments(tokens: DataFrame, moras: DataFrame) -> DataFrame:
 
 
 def ruby_chunks(tokens: DataFrame, moras: DataFrame) -> DataFrame:
-    """Rows (song_id, line_idx, token_idx, ruby_idx, char_idx, text, duration_cs, start_ms) for tokens with a
-    column ruby (reading): the reading is found in the token's mora text and takes its times; otherwise an
+    """Rows (song_id, line_idx, token_idx, char_idx, text, duration_cs, start_ms) for tokens with a column ruby
+    (reading), and ruby_idx where the tokens have one, as those with several rubies do: the reading is found in the token's mora text and takes its times; otherwise an
     even share, the remainder to the last ones, from the token's start."""
     t = _segments(tokens, moras).withColumns({"__r": normalise_reading(F.col("ruby")), "__full": F.array_join(F.transform("segs", lambda x: x["reading"]), "")})
     t = t.where("__r <> ''").withColumns({"__at": F.expr("locate(__r, __full)"), "__chars": _timed_characters()})
@@ -155,22 +155,23 @@ def ruby_chunks(tokens: DataFrame, moras: DataFrame) -> DataFrame:
     even = F.floor(total / n) + (F.col("char_idx") >= n - total % n).cast("long")
     found = F.col("__at") > 0
     first = F.get("__chars", F.col("__at") - 1)["s"]
-    return c.select(*TOKEN, F.col("char_idx").cast("long").alias("char_idx"), "text",
+    return c.select(*TOKEN, *[x for x in ("ruby_idx",) if x in tokens.columns], F.col("char_idx").cast("long").alias("char_idx"), "text",
                     F.when(found, F.greatest(F.lit(0), F.bround((hit["e"] - hit["s"]) / 10))).otherwise(even).cast("long").alias("duration_cs"),
                     F.when(found, F.bround(first)).otherwise(F.col("start_ms")).cast("long").alias("start_ms"))
 
 
 def layout_lines(tokens: DataFrame, glyphs: DataFrame, base_spacing: int = 14, ruby_spacing: int = 8, left_x: int = 192, right_x: int = 1728) -> DataFrame:
-    """Rows (song_id, line_idx, group_idx, text, reading, x, width): a line's groups, a kanji run with its ruby or
-    one character, each as wide as the wider of base and ruby, from the left in even lines and up to the
-    right in odd ones. glyphs (char, font, advance; fonts base and ruby) is broadcast if it is small when
+    """Rows (song_id, line_idx, group_idx, token_idx, text, reading, x, width, base_width, ruby_width): a line's groups,
+    a kanji run with its ruby or one character, each as wide as the wider of base and ruby, from the left in even
+    lines and up to the right in odd ones; a column slot of the tokens takes the place of the line's number. glyphs (char, font, advance; fonts base and ruby) is broadcast if it is small when
     counted."""
     g = glyphs.where("font = 'base'").select(F.col("char").alias("ch"), F.col("advance").alias("base_w")).join(glyphs.where("font = 'ruby'").select(F.col("char").alias("ch"), F.col("advance").alias("ruby_w")), "ch", "full_outer")
-    t = token_offsets(kanji_readings(tokens))
+    slot = F.col("slot") if "slot" in tokens.columns else F.col("line_idx")
+    t = token_offsets(kanji_readings(tokens)).withColumn("__slot", slot % 2)
     cuts = F.transform(F.sequence(F.lit(1), F.char_length("surface")), lambda p: F.struct((p - 1).alias("p"), F.get(F.filter("runs", lambda r: (r["start"] < p) & (p <= r["end"])), F.lit(0)).alias("r")))
-    c = t.where("surface <> ''").select(*LINE, "surface", "char_offset", F.explode(cuts).alias("x"))
-    c = c.select(*LINE, (F.col("char_offset") + F.coalesce("x.r.start", "x.p")).alias("group_idx"), F.struct("x.p", F.expr("substring(surface, x.p + 1, 1)").alias("ch")).alias("c"), F.col("x.r.reading").alias("reading"))
-    grouped = c.groupBy(*LINE, "group_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda x: x["ch"]), "").alias("text"), F.first("reading").alias("reading"))
+    c = t.where("surface <> ''").select(*TOKEN, "__slot", "surface", "char_offset", F.explode(cuts).alias("x"))
+    c = c.select(*TOKEN, "__slot", (F.col("char_offset") + F.coalesce("x.r.start", "x.p")).alias("group_idx"), F.struct("x.p", F.expr("substring(surface, x.p + 1, 1)").alias("ch")).alias("c"), F.col("x.r.reading").alias("reading"))
+    grouped = c.groupBy(*LINE, "group_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda x: x["ch"]), "").alias("text"), F.first("reading").alias("reading"), F.first("token_idx").alias("token_idx"), F.first("__slot").alias("__slot"))
     letters = grouped.select(*LINE, "group_idx", F.explode(F.array(F.struct(F.lit("base_w").alias("k"), F.col("text").alias("s")), F.struct(F.lit("ruby_w").alias("k"), F.coalesce("reading", F.lit("")).alias("s")))).alias("z")).select(*LINE, "group_idx", "z.k", F.explode(F.split("z.s", "")).alias("ch")).where("ch <> ''")
     w = letters.join(small_side(g), "ch", "left").groupBy(*LINE, "group_idx").agg(
         (F.sum(F.when(F.col("k") == "base_w", F.coalesce("base_w", F.lit(0.0)))) + (F.count_if(F.col("k") == "base_w") - 1) * base_spacing).alias("b"),
@@ -179,8 +180,8 @@ def layout_lines(tokens: DataFrame, glyphs: DataFrame, base_spacing: int = 14, r
     line = W.partitionBy(*LINE)
     run = F.sum(F.col("width") + base_spacing).over(line.orderBy("group_idx")) - F.col("width") - base_spacing
     total = F.sum(F.col("width") + base_spacing).over(line) - base_spacing
-    x = F.when(F.col("line_idx") % 2 == 0, F.lit(float(left_x))).otherwise(F.lit(float(right_x)) - total) + run
-    return rows.select(*LINE, F.col("group_idx").cast("long").alias("group_idx"), "text", "reading", x.alias("x"), "width")
+    x = F.when(F.col("__slot") == 0, F.lit(float(left_x))).otherwise(F.lit(float(right_x)) - total) + run
+    return rows.select(*LINE, F.col("group_idx").cast("long").alias("group_idx"), "token_idx", "text", "reading", x.alias("x"), "width", F.col("b").alias("base_width"), F.col("r").alias("ruby_width"))
 
 
 def repair_collapsed(tokens: DataFrame, weight: Column) -> DataFrame:

@@ -10,4 +10,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 from . import service_queries, song_queries, text_queries  # noqa: E402,F401  fills the tables above
-from . import more_queries  # noqa: E402,F401
+from . import layer_queries, more_queries  # noqa: E402,F401

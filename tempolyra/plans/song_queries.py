@@ -216,11 +216,8 @@ def _line_durations(s, d):
     return _chunks(s, d).groupBy("song_id", "line_idx").agg(F.sum("duration_cs").alias("cs"), joined.alias("durations"))
 
 
-add("line_chunks", _line_durations,
-    oracle("""l AS (SELECT song_id, unnest(range(len(ls))) AS k, regexp_replace(unnest(ls), '^[BLANKS]+|[BLANKS]+$', '', 'g') AS line FROM (SELECT song_id, regexp_split_to_array(text, 'LINE_END') AS ls FROM song_lines)),
-        n AS (SELECT song_id, string_split(line, ' ') AS ws, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx FROM l WHERE line <> ''),
-        t AS (SELECT song_id, line_idx, len(ws) AS nt, unnest(range(len(ws))) AS tk, unnest(ws) AS w FROM n),
-        c AS (SELECT song_id, line_idx, nt, tk, unnest(range(length(w))) AS ci, unnest(string_split(w, '')) AS ch FROM t WHERE w <> ''),
+#: SQL from tokens t (song_id, line_idx, nt, tk, w) of _surfaces' times to characters f with cs.
+_CHUNKS = """c AS (SELECT song_id, line_idx, nt, tk, unnest(range(length(w))) AS ci, unnest(string_split(w, '')) AS ch FROM t WHERE w <> ''),
         u AS (SELECT *, CAST(regexp_matches(ch, '[^\\p{P}\\p{S}\\p{Z}]') AS BIGINT) AS sung FROM c),
         k AS (SELECT *, sum(sung) OVER (PARTITION BY song_id, line_idx, tk ORDER BY ci) - 1 AS k, sum(sung) OVER (PARTITION BY song_id, line_idx, tk) AS m FROM u),
         p AS (SELECT *, 3 * greatest(k, 0) / greatest(m, 1) AS a, 3 * (k + 1) / greatest(m, 1) AS b, line_idx * 9000 + tk * 403 AS t0 FROM k),
@@ -231,7 +228,12 @@ add("line_chunks", _line_durations,
                         + CASE WHEN sung = 1 AND k = m - 1 THEN 3 ELSE 0 END AS cs FROM r),
         g AS (SELECT *, CAST(round_even(403 * nt / 10, 0) AS BIGINT) - sum(cs) OVER v AS diff, sum(cs * sung) OVER v - sum(cs * sung) OVER w AS after, sum(sung) OVER v - sum(sung) OVER w AS left_ FROM e
               WINDOW v AS (PARTITION BY song_id, line_idx), w AS (PARTITION BY song_id, line_idx ORDER BY tk, ci)),
-        f AS (SELECT song_id, line_idx, tk, ci, CAST(cs + CASE WHEN sung = 1 AND left_ = 0 AND diff > 0 THEN diff ELSE 0 END - CASE WHEN sung = 1 AND diff < 0 THEN least(cs, greatest(0, -diff - after)) ELSE 0 END AS BIGINT) AS cs FROM g)
+        f AS (SELECT song_id, line_idx, tk, ci, ch, sung, CAST(cs + CASE WHEN sung = 1 AND left_ = 0 AND diff > 0 THEN diff ELSE 0 END - CASE WHEN sung = 1 AND diff < 0 THEN least(cs, greatest(0, -diff - after)) ELSE 0 END AS BIGINT) AS cs FROM g)"""
+add("line_chunks", _line_durations,
+    oracle("""l AS (SELECT song_id, unnest(range(len(ls))) AS k, regexp_replace(unnest(ls), '^[BLANKS]+|[BLANKS]+$', '', 'g') AS line FROM (SELECT song_id, regexp_split_to_array(text, 'LINE_END') AS ls FROM song_lines)),
+        n AS (SELECT song_id, string_split(line, ' ') AS ws, row_number() OVER (PARTITION BY song_id ORDER BY k) - 1 AS line_idx FROM l WHERE line <> ''),
+        t AS (SELECT song_id, line_idx, len(ws) AS nt, unnest(range(len(ws))) AS tk, unnest(ws) AS w FROM n),
+        """ + _CHUNKS + """
         SELECT song_id, line_idx, CAST(sum(cs) AS BIGINT) AS cs, string_agg(CAST(cs AS VARCHAR), ',' ORDER BY tk, ci) AS durations FROM f GROUP BY ALL""", "song_lines"))
 add("uniform_chunks", lambda s, d: st.uniform_chunks(_surfaces(s, d)[0]).groupBy("song_id", "line_idx").agg(F.sum("duration_cs").alias("cs"), F.max("duration_cs").alias("most")),
     oracle("""l AS (SELECT song_id, unnest(range(len(ls))) AS k, regexp_replace(unnest(ls), '^[BLANKS]+|[BLANKS]+$', '', 'g') AS line FROM (SELECT song_id, regexp_split_to_array(text, 'LINE_END') AS ls FROM song_lines)),
