@@ -5,12 +5,14 @@ which tokens with digits count as variable. In a leaf, a token that recurs at it
 template and any other becomes variable. A line whose template keeps at least `alike` of its tokens
 without digits, and half of all its tokens, and recurs across documents is dropped from every document.
 
-A template recurs across documents when it stands in enough different surroundings. A line's
-surroundings are the smallest and the largest digest of the other leaves in its document; lines that
-agree in one of them count as one surrounding, and so on from line to line. Copies and near copies of one
-document share them however many they are, and pages that only have a footer in common do not. So the
-body of a copied document stays (near-duplicate removal is there for it) and boilerplate goes, also where
-one of its documents has been copied often. Documents that hold nothing but the same lines are copies.
+A template recurs across documents when it stands in enough classes of documents. The leaves of a document that
+stand in least_docs documents or more are shared, the others are its own. A document with leaves of its own that
+has at most FEW shared ones, or whose own ones are a third or more, is a class for each text: pages that have a
+header and a footer in common count page by page. Any other document is mostly made of shared lines, like copies
+and near copies of one document, and tells nothing new on its own: it counts by its surroundings, the smallest and
+the largest digest of its other shared leaves, and documents that agree in either are one class, and so on from
+document to document. So the body of a document stays however often it is copied (near-duplicate removal is there
+for it) and boilerplate goes, also from those copies. Documents that hold nothing but the same lines are copies.
 
 Scale: the tree's keys are a few dozen bytes a line and are written once. Counts are combined before
 they are shuffled, by (key, surroundings) first, so a line that stands in a third of all documents is no
@@ -30,6 +32,8 @@ DROPPED = "__dropped"
 VARIABLE = "<*>"
 SEP = "\x1f"
 SALTS = 16
+#: Shared leaves up to which a document with a leaf of its own is never taken for a copy.
+FEW = 3
 
 
 def _lines(text: Column) -> Column:
@@ -71,11 +75,25 @@ def _meet(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataF
 
 
 def _recurring(rows: DataFrame, key: str, least_docs: int) -> DataFrame:
-    """The keys that stand in at least least_docs surroundings (lo, hi), those that share a side taken as one."""
-    at = rows.select(key, "lo", "hi").distinct()
-    by_hi = at.groupBy(key, "hi").agg(F.min("lo").alias("m"))
-    by_lo = at.join(by_hi, [key, "hi"]).groupBy(key, "lo").agg(F.min("m").alias("m"))
-    return by_lo.select(key, "m").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select(key)
+    """The keys of rows (own, lo, hi) that stand in at least least_docs classes: each lo of own rows, and the other
+    rows with those that share lo or hi taken as one, from row to row."""
+    at = cut(rows.select(key, "own", "lo", "hi").distinct(), "line-places")
+    own = at.where("own").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    # what own rows do not settle, and can still reach least_docs
+    near = at.where("not own").groupBy(key).agg(F.count(F.lit(1)).alias("most")).join(own, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    open_ = near.where((F.col("n") < least_docs) & (F.col("n") + F.col("most") >= least_docs)).select(key, "n")
+    open_ = cut(open_, "open-keys")
+    linked = at.where("not own").join(open_.select(key), key, "left_semi").select(key, "lo", "hi", F.col("lo").alias("m"))
+    while True:
+        by_hi = linked.groupBy(key, "hi").agg(F.min("m").alias("m"))
+        met = linked.select(key, "lo", "hi", F.col("m").alias("old")).join(by_hi, [key, "hi"])
+        by_lo = met.groupBy(key, "lo").agg(F.min("m").alias("m"))
+        met = cut(met.drop("m").join(by_lo, [key, "lo"]), "line-classes")
+        linked = met.select(key, "lo", "hi", "m")
+        if met.where("m < old").isEmpty():
+            break
+    more = linked.select(key, "m").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("more")).join(open_, key).where(F.col("n") + F.col("more") >= least_docs)
+    return own.where(F.col("n") >= least_docs).select(key).unionByName(more.select(key))
 
 
 def recurring_lines(
@@ -86,47 +104,49 @@ def recurring_lines(
     rows of one id apart. Lines of under least_tokens tokens are never dropped. Null and empty texts have
     no such lines."""
     lines = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("row_hash"), F.transform(_lines(_plain_blanks(F.col(text_col))), lambda x: _leaf(x, least_tokens, depth)).alias("leaves"))
-    lines = lines.withColumn("order", F.sort_array(F.array_distinct(F.filter("leaves", lambda x: x.isNotNull()))))
+    lines = lines.withColumn("n_all", F.size(F.array_distinct(F.array_compact("leaves"))))
     # the outer form, for which no filter is inferred that would compute the leaves a second time
-    lines = lines.select("id", "row_hash", "order", F.posexplode_outer("leaves").alias("pos", "leaf")).where("leaf is not null")
-    first, last = F.get("order", F.lit(0)), F.get("order", F.size("order") - 1)
-    keys = cut(
-        lines.select(
-            "id", "row_hash", "pos", "leaf",
-            F.coalesce(F.when(F.col("leaf") == first, F.get("order", F.lit(1))).otherwise(first), F.lit(b"")).alias("lo"),
-            F.coalesce(F.when(F.col("leaf") == last, F.get("order", F.size("order") - 2)).otherwise(last), F.lit(b"")).alias("hi"),
-        ),
-        "line-keys",
-    )
-    # a leaf of fewer lines than least_docs cannot recur
-    often = keys.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("leaf")
+    lines = lines.select("id", "row_hash", "n_all", "leaves", F.posexplode_outer("leaves").alias("pos", "leaf")).where("leaf is not null")
+    keys = cut(lines.select("id", "row_hash", "n_all", "pos", "leaf", (F.array_position("leaves", F.col("leaf")) == F.col("pos") + 1).alias("first")), "line-keys")
+    # a leaf of fewer documents than least_docs cannot recur
+    often = keys.where("first").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("leaf")
     often = cut(often, "often-leaves")
-    some = cut(_meet(maybe_in(keys, F.col("leaf"), cut(bit_filter(often, F.col("leaf")), "often-filter")), often, ["leaf"], "left_semi"), "often-lines")
+    some = _meet(maybe_in(keys, F.col("leaf"), cut(bit_filter(often, F.col("leaf")), "often-filter")), often, ["leaf"], "left_semi")
+    some = some.groupBy("id", "row_hash", "n_all").agg(F.collect_set(F.struct("pos", "leaf")).alias("at"))
+    some = some.withColumn("shared", F.sort_array(F.array_distinct(F.transform("at", lambda x: x["leaf"]))))
+    n = F.size("shared")
+    some = some.withColumn("own", (n < F.col("n_all")) & ((n <= FEW) | ((F.col("n_all") - n) * 3 >= F.col("n_all"))))
+    some = some.select("id", "row_hash", "own", "shared", F.explode("at").alias("at")).select("id", "row_hash", "own", "shared", "at.pos", "at.leaf")
+    least, most = F.get("shared", F.lit(0)), F.get("shared", F.size("shared") - 1)
+    lo = F.coalesce(F.when(F.col("leaf") == least, F.get("shared", F.lit(1))).otherwise(least), F.lit(b""))
+    hi = F.coalesce(F.when(F.col("leaf") == most, F.get("shared", F.size("shared") - 2)).otherwise(most), F.lit(b""))
+    text = F.unhex(F.lpad(F.hex("row_hash"), 16, "0"))
+    some = cut(some.select("id", "row_hash", "pos", "leaf", "own", F.when(F.col("own"), text).otherwise(lo).alias("lo"), F.when(F.col("own"), text).otherwise(hi).alias("hi")), "often-lines")
     leaves = cut(_recurring(some, "leaf", least_docs), "leaves")
     near = cut(_meet(maybe_in(some, F.col("leaf"), cut(bit_filter(leaves, F.col("leaf")), "leaf-filter")), leaves, ["leaf"], "left_semi"), "near-lines")
     bits = cut(bit_filter(near, F.col("row_hash")), "line-filter")
     source = maybe_in(docs.select(F.col(id_col).alias("doc"), text_hash(F.col(text_col)).alias("doc_hash"), F.col(text_col).alias("raw")), F.col("doc_hash"), bits)
-    wanted = near.groupBy("id", "row_hash").agg(F.collect_set(F.struct("pos", "leaf", "lo", "hi")).alias("at"))
+    wanted = near.groupBy("id", "row_hash").agg(F.collect_set(F.struct("pos", "leaf", "own", "lo", "hi")).alias("at"))
     tokens = cut(
         wanted.join(source.dropDuplicates(["doc", "doc_hash"]), F.col("id").eqNullSafe(F.col("doc")) & (F.col("row_hash") == F.col("doc_hash")))
         .select("id", "row_hash", _lines(_plain_blanks(F.col("raw"))).alias("lines"), F.explode("at").alias("at"))
         .select("id", "row_hash", "at.*", _masked(_tokens(F.get("lines", F.col("at.pos")))).alias("tokens")),
         "near-tokens",
     )
-    placed = tokens.select("id", "row_hash", "pos", "leaf", "lo", "hi", F.posexplode("tokens").alias("k", "token"))
+    placed = tokens.select("id", "row_hash", "pos", "leaf", "own", "lo", "hi", F.posexplode("tokens").alias("k", "token"))
     constant = (
         placed.where(F.col("token") != VARIABLE).groupBy("leaf", "k", "token", "lo").agg(F.lit(1).alias("one"))
         .groupBy("leaf", "k", "token").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= least_docs).select("leaf", "k", "token", F.lit(True).alias("stays"))
     )
     template = cut(
         _meet(placed, constant, ["leaf", "k", "token"], "left")
-        .groupBy("id", "row_hash", "pos", "leaf", "lo", "hi")
+        .groupBy("id", "row_hash", "pos", "leaf", "own", "lo", "hi")
         .agg(
             F.sort_array(F.collect_list(F.struct("k", F.when(F.col("stays"), F.col("token")).otherwise(VARIABLE).alias("t")))).alias("t"),
             F.count_if("stays").alias("kept"), F.count_if(F.col("token") != VARIABLE).alias("plain"), F.count(F.lit(1)).alias("n"),
         )
         .where((F.col("kept") >= F.col("plain") * F.lit(alike)) & (F.col("kept") * 2 >= F.col("n")))
-        .select("id", "row_hash", "pos", "lo", "hi", F.array_join(F.transform("t", lambda x: x["t"]), " ").alias("template")),
+        .select("id", "row_hash", "pos", "own", "lo", "hi", F.array_join(F.transform("t", lambda x: x["t"]), " ").alias("template")),
         "templates",
     )
     return _meet(template, _recurring(template, "template", least_docs), ["template"], "left_semi").select("id", "row_hash", "pos", "template")

@@ -136,12 +136,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"""regexp_split_to_array(trim(lower(coalesce(text, '')), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+')"""
 
 def _recurring(rows: str, key: str) -> str:
-    """SQL for the keys of rows (key, lo, hi) that recur across documents."""
+    """SQL for the keys of rows (key, own, lo, hi) that stand in five classes: rows that are not own and share lo
+    or hi are one, here by the smallest number of the rows that each reaches."""
     return f"""
         SELECT {key} FROM (
-            SELECT {key}, min(m) OVER (PARTITION BY {key}, lo) AS m
-            FROM (SELECT {key}, lo, min(lo) OVER (PARTITION BY {key}, hi) AS m FROM (SELECT DISTINCT {key}, lo, hi FROM {rows})))
-        GROUP BY {key} HAVING count(DISTINCT m) >= 5"""
+            WITH RECURSIVE p AS (SELECT DISTINCT {key}, own, lo, hi FROM {rows}),
+            n AS (SELECT *, row_number() OVER (ORDER BY {key}, own, lo, hi) AS i FROM p),
+            reach AS (SELECT {key}, i, i AS j FROM n WHERE NOT own
+                      UNION SELECT r.{key}, r.i, b.i FROM reach r JOIN n a ON a.i = r.j JOIN n b ON b.{key} = a.{key} AND NOT b.own AND (b.lo = a.lo OR b.hi = a.hi) AND b.i < r.i)
+            SELECT {key}, lo AS class FROM p WHERE own
+            UNION ALL SELECT DISTINCT {key}, CAST(min(j) AS VARCHAR) FROM reach GROUP BY {key}, i)
+        GROUP BY {key} HAVING count(DISTINCT class) >= 5"""
 
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -153,16 +158,18 @@ ORACLES: dict[str, str] = {
         t AS (SELECT doc_id, pos, list_transform(regexp_split_to_array(trim(line, {_BLANKS}), '[\\x20\\x09-\\x0D]+'),
                   lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
         f AS (SELECT doc_id, pos, w, md5(len(w) || chr(31) || array_to_string(w[1:3], chr(31))) AS leaf FROM t WHERE len(w) >= 3),
-        o AS (SELECT doc_id, list_sort(list(DISTINCT leaf)) AS h FROM f GROUP BY doc_id),
-        keys AS (SELECT doc_id, pos, w, leaf,
-                     coalesce(CASE WHEN leaf = h[1] THEN h[2] ELSE h[1] END, '') AS lo,
-                     coalesce(CASE WHEN leaf = h[-1] THEN CASE WHEN len(h) > 1 THEN h[-2] END ELSE h[-1] END, '') AS hi
-                 FROM f JOIN o USING (doc_id)),
+        often AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
+        o AS (SELECT doc_id, count(DISTINCT leaf) AS n, coalesce(list_sort(list(DISTINCT leaf) FILTER (leaf IN (SELECT leaf FROM often))), []) AS h FROM f GROUP BY doc_id),
+        c AS (SELECT o.doc_id, h, len(h) < n AND (len(h) <= 3 OR n - len(h) >= n / 3) AS own, md5(coalesce(text, '')) AS whole FROM o JOIN documents USING (doc_id)),
+        keys AS (SELECT doc_id, pos, w, leaf, own,
+                     CASE WHEN own THEN whole ELSE coalesce(CASE WHEN leaf = h[1] THEN h[2] ELSE h[1] END, '') END AS lo,
+                     CASE WHEN own THEN whole ELSE coalesce(CASE WHEN leaf = h[-1] THEN CASE WHEN len(h) > 1 THEN h[-2] END ELSE h[-1] END, '') END AS hi
+                 FROM f JOIN often USING (leaf) JOIN c USING (doc_id)),
         near AS (SELECT * FROM keys WHERE leaf IN ({_recurring("keys", "leaf")})),
-        placed AS (SELECT doc_id, pos, leaf, lo, hi, unnest(range(len(w))) AS k, unnest(w) AS token FROM near),
+        placed AS (SELECT doc_id, pos, leaf, own, lo, hi, unnest(range(len(w))) AS k, unnest(w) AS token FROM near),
         const AS (SELECT leaf, k, token FROM placed WHERE token <> '<*>'
                   GROUP BY leaf, k, token HAVING count(DISTINCT lo) >= 5),
-        tmpl AS (SELECT doc_id, pos, any_value(lo) AS lo, any_value(hi) AS hi,
+        tmpl AS (SELECT doc_id, pos, any_value(own) AS own, any_value(lo) AS lo, any_value(hi) AS hi,
                      string_agg(CASE WHEN c.token IS NULL THEN '<*>' ELSE p.token END, ' ' ORDER BY p.k) AS template
                  FROM placed p LEFT JOIN const c ON p.leaf = c.leaf AND p.k = c.k AND p.token = c.token
                  GROUP BY doc_id, pos HAVING count(c.token) >= 0.7::DOUBLE * count(*) FILTER (p.token <> '<*>') AND count(c.token) * 2 >= count(*)),

@@ -51,6 +51,50 @@ def test_footer_of_a_hot_document(spark):
         assert got[i] == t.removesuffix("\n" + footer)
 
 
+def test_pages_of_few_lines(spark):
+    """Different pages lose header, navigation and footer, also where these are most of their lines; copies and
+    edited copies of one page keep its body, however many they are."""
+    rng = random.Random(3)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(9))
+    head, nav, foot = "Welcome to our pages", "Home News About Contact", "All rights reserved here"
+    rows, want = [], {}
+    for top, bottom, n in (([head], [foot], 1), ([head, nav], [foot], 1), ([head, nav], [foot], 2), ([head], [foot], 6)):
+        for _ in range(60):
+            body = [prose() for _ in range(n)]
+            want[len(rows)] = "\n".join(body)
+            rows.append((len(rows), "\n".join([*top, *body, *bottom])))
+    body = [prose() for _ in range(9)]
+    for k in range(400):
+        lines = list(body)
+        for j in range(k % 3):
+            lines[(k + 4 * j) % 9] = prose()
+        want[len(rows)] = "\n".join(lines)
+        rows.append((len(rows), "\n".join([head, *lines, foot])))
+    got = {r.doc_id: r.text for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_lines_of_unlike_texts_go(spark):
+    """Of the lines that stand in five or more texts that hardly meet otherwise, nearly all go."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = {r.doc_id: set(r.text.split("\n")) for r in drop_recurring_lines(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("text is not null").collect()}
+    where = {}
+    for i, t in rows:
+        for x in {x for x in t.split("\n") if len(x.split()) >= 3}:
+            where.setdefault(x, {}).setdefault(t, i)
+    others = {t: set(t.split("\n")) for _, t in rows}
+    found = left = 0
+    for x, texts in where.items():
+        unlike = []
+        for t in texts:
+            if all(len(others[t] & others[u]) * 2 <= min(len(others[t]), len(others[u])) for u in unlike):
+                unlike.append(t)
+        if len(unlike) >= 5:
+            found += 1
+            left += any(x in got[i] for i in texts.values())
+    assert found >= 20 and left <= found * 0.05, (found, left)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 1), (2, "", 2), (3, "\n\n", 3), (None, "a b c", 4), (5, "a b c", 5), (5, "a b c", 5), (6, "x " * 30000, 6)]
     rows += [(k, "one two three\n" + " ".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz"[k - 8 : k - 4]), 0) for k in range(10, 20)] + [(10, "one two three\nother words here", 7)]
