@@ -78,6 +78,20 @@ def test_redaction(spark):
     assert [r.u for r in url.collect()] == ["https://h/p?token=[REDACTED]&q=2", "no url?x=1"]
 
 
+def test_redaction_by_leaves(spark):
+    cases = [
+        ({"a": {"auth_token": {"deep": [1, 2]}, "b": []}, "c": {}}, {"a": {"auth_token": "[REDACTED]", "b": []}, "c": {}}),
+        ({"cmd": ["x", "--token", "--token", "y", "--key=1", "password=1", 5, "/a/b", "Bearer q"]}, {"cmd": ["x", "--token", "[REDACTED]", "y", "--key=1", "[REDACTED]", "5", "b", "[REDACTED]"]}),
+        ({"args": "Bearer q", "dir": "C/x", "k": "/x/y/", "p": "a /x/y"}, {"args": "Bearer [REDACTED]", "dir": "x", "k": "y", "p": "a /x/y"}),
+        ({"traceback": 'at /x/y.py in C:\\a\\b.py, token: 1'}, {"traceback": "at <path> in <path>/b.py, token=[REDACTED]"}),
+        ({"u": "HTTP://h/p?a=1+2&&b&Key=~*#z", "v": "http://h/p?token=1 and more"}, {"u": "http://h/p?a=1+2&b=&Key=%5BREDACTED%5D", "v": "http://h/p?token=[REDACTED] and more"}),
+        ([[["x"], []], {"n": None, "t": True}], [[["x"], []], {"n": None, "t": True}]), ("plain", "plain"), (7, 7), ({"é": "\u2028"}, {"é": "\u2028"}),
+    ]
+    df = spark.createDataFrame([(k, json.dumps(x)) for k, (x, _) in enumerate(cases)], "id long, details string")
+    got = {r.id: json.loads(r.x) for r in df.select("id", redaction.redact_json(F.col("details")).alias("x")).collect()}
+    assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
+
+
 def test_lrc_golden(spark):
     df = spark.createDataFrame([(1, "[ar:artist]\n[00:01.00]{今日|きょう}も\n[00:03:50]歌う\n@Ruby1=x\nplain")], "song_id long, text string")
     assert [(r.lyric, r.start_ms) for r in text.parse_lrc(df).orderBy("line_idx").collect()] == [("今日も", 1000), ("歌う", 3500), ("plain", None)]
