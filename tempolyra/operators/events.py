@@ -190,32 +190,93 @@ def retain_events(events: DataFrame, older_than, max_rows: int, bucket_ms: int =
 THROTTLE_KEY = ("event", "reference_id", "run_id", "stage", "component")
 
 
+#: Chunks of time, as multiples of the least distance, in which a key's events are walked on their own.
+CHUNK = 64
+
+
+def _groups(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """The runs of rows that agree in their first `of` columns, and their other columns, which are numbers."""
+    key, held = None, []
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        new = np.zeros(rows.num_rows - 1, bool)
+        for c in rows.columns[:of]:
+            new |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        edge = [0, *(np.nonzero(new)[0] + 1).tolist(), rows.num_rows]
+        for x, z in zip(edge, edge[1:]):
+            mine = tuple(c[x].as_py() for c in rows.columns[:of])
+            if key is not None and mine != key:
+                yield key, {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+                held = []
+            key = mine
+            held.append({n: rows.column(n)[x:z].to_numpy() for n in rows.schema.names[of:]})
+    if held:
+        yield key, {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+
+
 def throttle_progress(events: DataFrame, every_ms: int, key: tuple[str, ...] = THROTTLE_KEY) -> DataFrame:
-    """Of each key's events, those at least every_ms after the last one kept; the first is kept. Events come
-    sorted, and the walk over them holds one batch and the last time kept, however many a key has."""
-    columns = events.columns
+    """Of each key's events, those at least every_ms after the last one kept; the first is kept.
+
+    A key's time is cut into chunks, and a chunk's events are walked without those before it: an event kept before
+    leaves only the events of the chunk's first every_ms, and the first one after them, as the chunk's first kept
+    one, and for each of these entries the last one kept in the chunk is found. Only entries meet by key, to tell
+    which one each chunk begins with; then the chunks are walked, side by side."""
+    if every_ms <= 0:
+        return events
+    columns, width = events.columns, CHUNK * every_ms
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name, chunk), c in _groups(batches, 2):
+            at = np.unique(c["at"])
+            n = int(np.searchsorted(at, chunk * width + every_ms)) + 1
+            then = np.searchsorted(at, at + every_ms)
+            last = np.where(then < len(at), then, np.arange(len(at)))
+            while (last[last] != last).any():
+                last = last[last]
+            enter, leave = at[:n], at[last[:n]]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(enter)), pa.array(np.full(len(enter), chunk)), pa.array(enter), pa.array(leave)], ["name", "chunk", "enter", "leave"])
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, 0
+        for (name, chunk), c in _groups(batches, 2):
+            k = int(np.searchsorted(c["enter"], last + every_ms)) if name == at else 0
+            if k < len(c["enter"]):
+                at, last = name, int(c["leave"][k])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([chunk]), pa.array([int(c["enter"][k])])], ["__key", "__chunk", "__at"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last = None, 0
+        at, free = None, None  # free: the time from which on the next one is kept; none where nothing is
         for rows in batches:
             if not rows.num_rows:
                 continue
-            name, time = rows.column("__key"), rows.column("__at").to_numpy()
+            name, chunk, time, event = (rows.column(c) for c in ("__key", "__chunk", "__at", "__event"))
+            time, event = time.to_numpy(), event.to_numpy(zero_copy_only=False)
             keep = np.zeros(len(time), bool)
-            new = np.nonzero(pc.not_equal(name[1:], name[:-1]).to_numpy(zero_copy_only=False))[0] + 1
-            for a, z in zip([0, *new], [*new, len(time)]):
-                k = a + int(np.searchsorted(time[a:z], last + every_ms)) if name[int(a)].as_py() == at else a
+            new = (pc.not_equal(name[1:], name[:-1]).to_numpy(zero_copy_only=False)) | (pc.not_equal(chunk[1:], chunk[:-1]).to_numpy(zero_copy_only=False))
+            edge = [0, *(np.nonzero(new)[0] + 1).tolist(), len(time)]
+            for a, z in zip(edge, edge[1:]):
+                mine = name[a].as_py(), chunk[a].as_py()
+                if mine != at:
+                    at, free = mine, None
+                if not event[a]:  # where the chunk begins, ahead of its events
+                    free, a = int(time[a]), a + 1
+                k = a + int(np.searchsorted(time[a:z], free)) if free is not None else z
                 while k < z:
-                    keep[k], last = True, time[k]
-                    k += max(1, int(np.searchsorted(time[k:z], last + every_ms)))
-                at = name[int(a)].as_py()
+                    keep[k], free = True, int(time[k]) + every_ms
+                    k += max(1, int(np.searchsorted(time[k:z], free)))
             yield rows.filter(pa.array(keep)).select(columns)
 
     # a key as text, with nulls told from empty texts
     text = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
     ms = F.unix_millis("created_at") if isinstance(events.schema["created_at"].dataType, T.TimestampType) else F.col("created_at").cast("long")
-    rows = events.withColumns({"__key": text, "__at": ms})
-    return rows.repartition("__key").sortWithinPartitions("__key", "__at", "id").mapInArrow(walk, events.schema)
+    rows = events.withColumns({"__key": text, "__at": ms, "__event": F.lit(True)}).withColumn("__chunk", F.expr(f"floor(__at / {width}D)").cast("long"))
+    times = rows.where("__at is not null").select(F.col("__key").alias("name"), F.col("__chunk").alias("chunk"), F.col("__at").alias("at"))
+    entries = times.repartition("name", "chunk").sortWithinPartitions("name", "chunk", "at").mapInArrow(ends, "name string, chunk bigint, enter bigint, leave bigint")
+    starts = entries.repartition("name").sortWithinPartitions("name", "chunk", "enter").mapInArrow(begin, "__key string, __chunk bigint, __at bigint")
+    both = rows.where("__at is not null").unionByName(starts.withColumn("__event", F.lit(False)), allowMissingColumns=True)
+    order = ["__key", "__chunk", "__event", "__at", "id"]
+    return both.repartition("__key", "__chunk").sortWithinPartitions(*order).mapInArrow(walk, events.schema)
 
 
 def stage_traces(events: DataFrame) -> DataFrame:

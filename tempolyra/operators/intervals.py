@@ -205,18 +205,27 @@ def fix_line_starts(lines: DataFrame, activity: DataFrame, bin_ms: int = 10_000)
     return lines.join(hit, LINE, "left").withColumn("start_ms", F.when(F.col("__s").isNotNull(), F.least("first_end_ms", "__s")).otherwise(F.col("start_ms"))).drop("__s")
 
 
-def fix_line_ends(lines: DataFrame, activity: DataFrame) -> DataFrame:
+def fix_line_ends(lines: DataFrame, activity: DataFrame, bin_ms: int = 10_000) -> DataFrame:
     """Lines (song_id, line_idx, start_ms, last_start_ms, end_ms): the end moves to the first fine range's end
-    between it and the next line's start; else, where one range spans the gap, to 20 ms before that start."""
+    between it and the next line's start; else, where one range spans the gap, to 20 ms before that start. Gaps are
+    dealt to bins of time, up to the song's last range; whether a range spans one is told by the largest end of the
+    ranges that begin before it, a running maximum."""
     w = W.partitionBy("song_id").orderBy("line_idx")
     rows = lines.withColumn("__next", F.lead("start_ms").over(w))
-    r = _range_ms(activity, "fine").withColumnRenamed("song_id", "__song")
-    met = rows.select(*LINE, "end_ms", "__next").join(r, F.col("song_id") == F.col("__song"))
-    after = (F.col("r_end") >= F.col("end_ms")) & (F.col("__next").isNull() | (F.col("r_end") < F.col("__next")))
-    over = (F.col("r_start") <= F.col("end_ms")) & (F.col("r_end") >= F.col("__next"))
-    found = met.groupBy(*LINE).agg(F.min_by(F.when(after, F.col("r_end")), F.when(after, F.col("range_idx"))).alias("__c"), F.bool_or(F.coalesce(over, F.lit(False))).alias("__over"))
+    r = _range_ms(activity, "fine").select(F.col("song_id").alias("__song"), "range_idx", "r_start", "r_end")
+    last = r.groupBy("__song").agg(F.max("r_end").alias("__last"))
+    gaps = rows.select(*LINE, "end_ms", "__next").join(last, F.col("song_id") == F.col("__song")).drop("__song")
+    gaps = gaps.withColumn("__to", F.least("__last", F.coalesce(F.col("__next") - 1, F.col("__last")))).where("__to >= end_ms")
+    gaps = gaps.withColumn("__bin", F.explode(F.sequence(floor_div(F.col("end_ms"), F.lit(bin_ms)), floor_div(F.col("__to"), F.lit(bin_ms)))))
+    ends = r.withColumn("__rbin", floor_div(F.col("r_end"), F.lit(bin_ms)))
+    held = (F.col("song_id") == F.col("__song")) & (F.col("__bin") == F.col("__rbin")) & F.col("r_end").between(F.col("end_ms"), F.col("__to"))
+    first = gaps.join(ends, held).groupBy(*LINE).agg(F.min_by("r_end", "range_idx").alias("__c"))
+    marks = r.select(F.col("__song").alias("song_id"), F.col("r_start").alias("__at"), F.lit(0).alias("__k"), F.lit(None).cast("long").alias("line_idx"), F.col("r_end").alias("__e"), F.lit(None).cast("long").alias("__next"))
+    probes = rows.select("song_id", F.col("end_ms").alias("__at"), F.lit(1).alias("__k"), "line_idx", F.lit(None).cast("long").alias("__e"), "__next")
+    most = F.max("__e").over(W.partitionBy("song_id").orderBy("__at", "__k").rowsBetween(W.unboundedPreceding, 0))
+    over = marks.unionByName(probes).withColumn("__most", most).where("__k = 1").select(*LINE, (F.col("__most") >= F.col("__next")).alias("__over"))
     end = F.when(F.col("__c").isNotNull(), F.greatest("last_start_ms", "__c")).when(F.col("__over"), F.greatest(F.col("end_ms"), F.col("__next") - 20)).otherwise(F.col("end_ms"))
-    return rows.join(found, LINE, "left").withColumn("end_ms", end).select(*lines.columns)
+    return rows.join(first, LINE, "left").join(over, LINE, "left").withColumn("end_ms", end).select(*lines.columns)
 
 
 def token_scores(frame_spans: DataFrame, keys: list[str]) -> DataFrame:
