@@ -1,14 +1,12 @@
-"""Word-based alignment of a lyric corpus, and the sequence helpers it needs.
+"""Word-based alignment of a lyric corpus.
 
-Everything but two small per-song helpers is built-in: line windows (dynamic programming over a song's lines
-and segments) and matching blocks of mora sequences. Songs are bounded, so a group is one song."""
+Two small helpers work on one line or one song: matching blocks of mora sequences, and the alignment of a song's lines
+with its segments. The latter first bounds every match by the moras in common, finds by these bounds which pairs can
+lie on a best path at all, and scores only those; its memory is a few rows of the table and a byte a cell."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from difflib import SequenceMatcher
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,65 +26,210 @@ LEAST_MATCH = 0.15
 _MOVES = [(1, 0, SKIP_LINE), (0, 1, SKIP_SEGMENT), (1, 1, 0.0), (1, 2, PAIR), (2, 1, PAIR)]
 
 
-def seq_ratio(a: Column, b: Column) -> Column:
-    """Similarity of two arrays by longest matching blocks, from 0 to 1."""
-
-    @F.pandas_udf(T.DoubleType())
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, list(p), list(q), autojunk=False).ratio() for p, q in zip(x, y)])
-
-    return run(a, b)
+def matching_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Blocks (i, j, size) of equal stretches of two arrays: the longest one, the first in a and then in b of those,
+    and so on before and after it. All stretches that no neighbour extends are found once, by diagonal; a part of
+    the table sees them cut to it."""
+    i, j = np.nonzero(a[:, None] == b[None, :])
+    order = np.lexsort((i, j - i))
+    i, j = i[order], j[order]
+    first = np.nonzero(np.append(True, (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)))[0] if len(i) else i
+    size = np.diff(np.append(first, len(i)))
+    i, j = i[first], j[first]
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        skip = np.maximum(0, np.maximum(i0 - i, j0 - j))
+        left = np.minimum(size, np.minimum(i1 - i, j1 - j)) - skip
+        if not len(left) or (most := int(left.max())) <= 0:
+            continue
+        x, y = min(zip((i + skip)[left == most].tolist(), (j + skip)[left == most].tolist()))
+        out.append((x, y, most))
+        todo += [(i0, x, j0, y), (x + most, i1, y + most, j1)]
+    return sorted(out)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of two arrays that lies in matching blocks, from 0 to 1."""
+    n = len(a) + len(b)
+    return 2.0 * sum(k for *_, k in matching_blocks(a, b)) / n if n else 1.0
 
 
 def seq_blocks(a: Column, b: Column) -> Column:
-    """Matching blocks of two arrays, as an array of (a, b, size)."""
+    """Matching blocks of two arrays of texts, as an array of (a, b, size)."""
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([[[m.a, m.b, m.size] for m in SequenceMatcher(None, list(p), list(q), autojunk=False).get_matching_blocks() if m.size] for p, q in zip(x, y)])
+        return pd.Series([[list(m) for m in matching_blocks(*_numbered([list(p), list(q)]))] for p, q in zip(x, y)])
 
     return F.transform(run(a, b), lambda m: F.struct(m[0].alias("a"), m[1].alias("b"), m[2].alias("size")))
 
 
+def _numbered(rows: list[list[str]]) -> list[np.ndarray]:
+    number: dict[str, int] = {}
+    return [np.array([number.setdefault(x, len(number)) for x in row], np.int64) for row in rows]
+
+
+class _Bounds:
+    """Upper bounds of the scores of a song's matches, row by row of its table, from the moras in common."""
+
+    #: Rows that are bounded together; of all others nothing is held but every ROWS-th row.
+    ROWS = 64
+
+    def __init__(self, lines: list[np.ndarray], segments: list[np.ndarray]):
+        self.n, self.m = len(lines), len(segments)
+        self.size = [np.array([len(x) for x in side], float) for side in (lines, segments)]
+        # a column for the k-th time that a mora stands in a line: the dot product counts moras in common
+        place: dict[tuple[int, int], int] = {}
+        at: list[list[list[int]]] = [[], []]
+        for side, rows in enumerate((lines, segments)):
+            for row in rows:
+                seen: dict[int, int] = {}
+                mine = []
+                for x in row.tolist():
+                    seen[x] = seen.get(x, 0) + 1
+                    mine.append(place.setdefault((x, seen[x]), len(place)))
+                at[side].append(mine)
+        self.lines, self.width = at[0], max(1, len(place))
+        self.segments = np.zeros((self.width, self.m), np.float32)
+        for k, mine in enumerate(at[1]):
+            self.segments[mine, k] = 1
+        self.block = (-1, np.zeros((0, 0), np.float32))
+        #: Scores that are known, by line and kind of match.
+        self.exact: list[list[dict[int, float]]] = [[{}, {}, {}] for _ in lines]
+
+    def common(self, i: int) -> np.ndarray:
+        """Moras that line i has in common with each segment."""
+        k = i // self.ROWS
+        if self.block[0] != k:
+            rows = self.lines[k * self.ROWS : (k + 1) * self.ROWS]
+            here = np.zeros((len(rows), self.width), np.float32)
+            for r, mine in enumerate(rows):
+                here[r, mine] = 1
+            self.block = k, here @ self.segments
+        return self.block[1][i % self.ROWS]
+
+    def gains(self, i: int) -> list[np.ndarray]:
+        """Bounds of the matches that end with line i: with segment j, with j - 1 and j, and of line i - 1 too; the
+        score itself where it is known."""
+        def bound(common: np.ndarray, a: float, b: np.ndarray) -> np.ndarray:
+            size = a + b
+            share = np.divide(2 * np.minimum(common, np.minimum(a, b)), size, out=np.ones(len(b)), where=size > 0)
+            return 2 * share + MATCH_BASE
+
+        here, (a, b) = self.common(i).astype(float), self.size
+        one = bound(here, a[i], b)
+        two = bound(np.append(0, here[:-1]) + here, a[i], np.append(0, b[:-1]) + b)
+        two[:1] = -np.inf
+        before = bound(self.common(i - 1) + here, a[i - 1] + a[i], b) if i else np.full(self.m, -np.inf)
+        out = [one, two + PAIR, before + PAIR]
+        for row, exact in zip(out, self.exact[i]):
+            if exact:
+                row[list(exact)] = list(exact.values())
+        return out
+
+    def forward(self, i: int, above: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Row i of the bounds of paths from the beginning, from the two rows above, and the move that gives each."""
+        step = SKIP_SEGMENT * np.arange(self.m + 1)
+        if not i:
+            return step, np.full(self.m + 1, 1, np.uint8)
+        one, two, before = self.gains(i - 1)
+        ways = np.full((4, self.m + 1), -np.inf)
+        ways[0] = above[-1] + SKIP_LINE
+        ways[1, 1:] = above[-1][:-1] + one
+        ways[2, 2:] = above[-1][:-2] + two[1:]
+        if i > 1:
+            ways[3, 1:] = above[-2][:-1] + before
+        move = ways.argmax(0)
+        top = ways[move, np.arange(self.m + 1)]
+        best = np.maximum.accumulate(top - step) + step
+        return best, np.where(best > top + 1e-9, 1, np.array([0, 2, 3, 4])[move]).astype(np.uint8)
+
+    def backward(self, i: int, below: list[np.ndarray]) -> np.ndarray:
+        """Row i of the bounds of paths to the end, from the two rows below."""
+        if i == self.n:
+            return np.zeros(self.m + 1)
+        one, two, _ = self.gains(i)
+        best = below[0] + SKIP_LINE
+        best[:-1] = np.maximum(best[:-1], below[0][1:] + one)
+        best[:-2] = np.maximum(best[:-2], below[0][2:] + two[1:])
+        if i + 1 < self.n:
+            best[:-1] = np.maximum(best[:-1], below[1][1:] + self.gains(i + 1)[2])
+        step = SKIP_SEGMENT * np.arange(self.m + 1)
+        return np.maximum.accumulate((best + step)[::-1])[::-1] - step
+
+
+def _band(bounds: _Bounds, score, near: int = 2) -> list[np.ndarray]:  # noqa: ANN001
+    """By row the columns that a best path can touch. The best path by the bounds is scored, with what lies `near` it,
+    and these scores take the place of their bounds, until such a path has scores only: no path is better than it,
+    and a column stays where the bounds of the paths through it are no less."""
+    n, m, every = bounds.n, bounds.m, bounds.ROWS
+    while True:
+        kept: dict[int, np.ndarray] = {}
+        moves, above = np.zeros((n + 1, m + 1), np.uint8), []
+        for i in range(n + 1):
+            row, moves[i] = bounds.forward(i, above)
+            above = [*above[-1:], row]
+            if i % every < 2:
+                kept[i] = row
+        i, j, least = n, int(above[-1].argmax()), float(above[-1].max())
+        new = False
+        while i or j:
+            di, dj = [(1, 0), (0, 1), (1, 1), (1, 2), (2, 1)][moves[i, j] if i else 1]
+            if di and dj and j - 1 not in bounds.exact[i - 1][dj - 1 if di == 1 else 2]:
+                new = True
+                for c in range(max(1, j - near), min(m, j + near) + 1):
+                    for exact, (a, b, cost) in zip(bounds.exact[i - 1], [(1, 1, 0.0), (1, 2, PAIR), (2, 1, PAIR)]):
+                        if a <= i and b <= c and c - 1 not in exact:
+                            exact[c - 1] = score(i - a, i, c - b, c) + cost
+            i, j = i - di, j - dj
+        del moves
+        if not new:
+            break
+    band: list[np.ndarray] = [np.zeros(0, np.int64)] * (n + 1)
+    below: list[np.ndarray] = []
+    for k in range(n // every, -1, -1):
+        first, rows = k * every, {}
+        for i in range(first, min(n, first + every - 1) + 1):
+            rows[i] = kept[i] if i in kept else bounds.forward(i, [rows[i - 2], rows[i - 1]])[0]
+        for i in sorted(rows, reverse=True):
+            row = bounds.backward(i, below)
+            below = [row, *below[:1]]
+            band[i] = np.nonzero(rows[i] + row >= least - 1e-6)[0]
+    return band
+
+
 def _windows_of_song(lines: list[list[str]], segments: list[tuple[list[str], int, int]]) -> dict[int, tuple[int, int]]:
     """Windows of a song's lines (moras) by its segments (moras, start, end). Moves: leave out a line or a
     segment, or match one with one, one with two, two with one; the first of equal moves; segments after the
     last line cost nothing."""
-    joined = [{(k - n, k): [m for part in parts[k - n : k] for m in part] for n in (1, 2) for k in range(n, len(parts) + 1)} for parts in (lines, [s[0] for s in segments])]
-    counts = [{k: Counter(x) for k, x in side.items()} for side in joined]
-    known: dict[tuple, float] = {}
-
-    def gain(i: tuple[int, int], j: tuple[int, int], base: float, least: float) -> float | None:
-        """base and the gain of a match, or None where even all moras in common would not make it more than least."""
-        if (i, j) not in known:
-            x, y = joined[0][i], joined[1][j]
-            size = len(x) + len(y)
-            most = 2 * (counts[0][i] & counts[1][j]).total() / size if size else 1.0
-            if base + (most * 2 + MATCH_BASE) <= least:
-                return None
-            known[i, j] = SequenceMatcher(None, x, y, autojunk=False).ratio() * 2 + MATCH_BASE
-        return base + known[i, j]
-
-    best: dict[tuple[int, int], tuple[float, tuple[int, int]]] = {(0, 0): (0.0, (0, 0))}
-    for i in range(len(lines) + 1):
-        for j in range(len(segments) + 1):
-            top, move = -math.inf, None
+    numbers = _numbered([*lines, *(s[0] for s in segments)])
+    x, y = numbers[: len(lines)], numbers[len(lines) :]
+    known: dict[tuple[int, int, int, int], float] = {}
+
+    def score(i0: int, i1: int, j0: int, j1: int) -> float:
+        key = i0, i1, j0, j1
+        if key not in known:
+            known[key] = likeness(np.concatenate(x[i0:i1]), np.concatenate(y[j0:j1])) * 2 + MATCH_BASE
+        return known[key]
+
+    rows: list[dict[int, tuple[float, tuple[int, int]]]] = []
+    for i, columns in enumerate(_band(_Bounds(x, y), score)):
+        rows.append({})
+        for j in columns.tolist():
+            top, move = (0.0, (0, 0)) if not i + j else (-np.inf, None)
             for di, dj, cost in _MOVES:
-                if di > i or dj > j or not i + j:
-                    continue
-                base = best[i - di, j - dj][0]
-                total = base + cost if not di or not dj else gain((i - di, i), (j - dj, j), base, top - cost)
-                if total is None:
+                if di > i or dj > j or not i + j or (before := rows[i - di].get(j - dj)) is None:
                     continue
-                total += cost if di and dj else 0.0
+                total = before[0] + (score(i - di, i, j - dj, j) if di and dj else 0.0) + cost
                 if total > top:
                     top, move = total, (di, dj)
             if move:
-                best[i, j] = top, move
-    i, j = len(lines), max(range(len(segments) + 1), key=lambda k: best[len(lines), k][0])
+                rows[i][j] = top, move
+    i, j = len(lines), max(rows[-1], key=lambda k: (rows[-1][k][0], -k))
     out: dict[int, tuple[int, int]] = {}
     while i or j:
-        di, dj = best[i, j][1]
+        di, dj = rows[i][j][1]
         if di == 1 and dj:
             out[i - 1] = segments[j - dj][1], segments[j - 1][2]
         elif di == 2:

@@ -1,5 +1,6 @@
 """Golden cases and sequential folds for alignment, intervals and subtitles."""
 
+import numpy as np
 import random
 
 from pyspark.sql import functions as F
@@ -117,7 +118,8 @@ def test_validate_and_romanise(spark):
     good, bad = align.iv.romanise(targets, table)
     assert [r.romaji for r in good.where("song_id = 1").orderBy("seq").collect()] == ["ki", "t", "te", "e", "e"]
     assert good.where("song_id = 3").first().romaji == "ya" and [r.song_id for r in bad.collect()] == [2]
-    assert spark.range(1).select(align.seq_ratio(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c"))).alias("r")).first().r == 0.5
+    got = spark.range(1).select(align.seq_blocks(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c"))).alias("r")).first().r
+    assert [tuple(x) for x in got] == [(1, 0, 1)] and align.likeness(np.array([0, 1]), np.array([1, 2])) == 0.5
 
 
 def test_build_timelines_and_files(spark):
