@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ipaddress import ip_network
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -245,22 +247,55 @@ def ipv4(text: Column) -> Column:
     return F.when(ok, sum((F.get(p, F.lit(k)).try_cast("long") * F.lit(256 ** (3 - k)) for k in range(1, 4)), F.get(p, F.lit(0)).try_cast("long") * F.lit(256**3)))
 
 
+def ipv6(text: Column) -> Column:
+    """An IPv6 address as 32 hexadecimal digits, or null. Shortened forms and a last part in IPv4 form count; zones
+    do not."""
+    t = F.lower(F.trim(text))
+    tail = F.regexp_extract(t, r"[^:]*$", 0)
+    last = F.lpad(F.lower(F.hex(ipv4(tail))), 8, "0")
+    t = F.when(tail.contains("."), F.concat(F.regexp_extract(t, "^.*:", 0), F.substring(last, 1, 4), F.lit(":"), F.substring(last, 5, 4))).otherwise(t)
+    side = lambda k: F.array_remove(F.split(F.split_part(t, F.lit("::"), F.lit(k)), ":"), "")
+    wide = lambda parts: F.array_join(F.transform(parts, lambda p: F.lpad(p, 4, "0")), "")
+    part, short = "[0-9a-f]{1,4}", t.contains("::")
+    n = F.size(side(1)) + F.when(short, F.size(side(2))).otherwise(0)
+    whole = t.rlike(f"^{part}(:{part}){{7}}$")
+    cut = t.rlike(f"^({part}(:{part})*)?::({part}(:{part})*)?$") & (n <= 7)
+    return F.when(whole, wide(side(1))).when(cut, F.concat(wide(side(1)), F.repeat(F.lit("0000"), 8 - n), wide(side(2))))
+
+
+def ipv6_text(digits: Column) -> Column:
+    """The shortest form of 32 digits: no leading zeros, the first longest run of zero parts as ::, and the last
+    part of mapped addresses in IPv4 form."""
+    t = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(F.substring(digits, k * 4 + 1, F.lit(4)), "^0{1,3}", "")), ":")
+    out = t
+    for k in range(2, 9):
+        run = rf"^(?:(.*?):)??0(?::0){{{k - 1}}}(?::(.*))?$"
+        out = F.when(t.rlike(run), F.regexp_replace(t, run, "$1::$2")).otherwise(out)
+    byte = lambda k: F.conv(F.substring(digits, 25 + 2 * k, 2), 16, 10)
+    mapped = F.concat(F.lit("::ffff:"), F.concat_ws(".", *[byte(k) for k in range(4)]))
+    return F.when(digits.startswith("0" * 20 + "ffff"), mapped).when(digits.isNotNull(), out)
+
+
 def trusted_address(text: Column, trusted: list[str]) -> Column:
-    """Whether an address equals one of the trusted, or lies in one of the IPv4 networks among them."""
+    """Whether an address equals one of the trusted, in any spelling, or lies in one of the networks among them.
+    Entries that are no network are compared as texts only."""
     hit = text.isin(*trusted)
     for net in trusted:
-        base, _, bits = net.partition("/")
-        if bits and ":" not in net:
-            parts = [int(x) for x in base.split(".")]
-            low = sum(x << 8 * (3 - k) for k, x in enumerate(parts)) >> (32 - int(bits)) << (32 - int(bits))
-            hit = hit | F.coalesce(ipv4(text).between(low, low + (1 << (32 - int(bits))) - 1), F.lit(False))
+        try:
+            network = ip_network(net, strict=False)
+        except ValueError:
+            continue
+        low, high = int(network.network_address), int(network.broadcast_address)
+        inside = ipv4(text).between(low, high) if network.version == 4 else ipv6(text).between(f"{low:032x}", f"{high:032x}")
+        hit = hit | F.coalesce(inside, F.lit(False))
     return hit
 
 
 def client_key(requests: DataFrame, trusted: list[str]) -> DataFrame:
     """Adds client_key: the peer, unless it is trusted; then the right-most address of forwarded_for that is
-    not, and the peer if all are."""
-    chain = F.filter(F.transform(F.split(F.coalesce("forwarded_for", F.lit("")), ","), lambda x: F.trim(x)), lambda x: ipv4(x).isNotNull())
+    not, IPv6 ones in their shortest form, and the peer if all are."""
+    shown = lambda x: F.coalesce(F.when(ipv4(x).isNotNull(), F.trim(x)), ipv6_text(ipv6(x)))
+    chain = F.filter(F.transform(F.split(F.coalesce("forwarded_for", F.lit("")), ","), shown), lambda x: x.isNotNull())
     foreign = F.filter(F.reverse(chain), lambda x: ~trusted_address(x, trusted))
     given = F.coalesce(F.length("forwarded_for") > 0, F.lit(False))
     return requests.withColumn("client_key", F.when(given & trusted_address(F.col("peer_host"), trusted), F.coalesce(F.get(foreign, F.lit(0)), F.col("peer_host"))).otherwise(F.col("peer_host")))
