@@ -64,9 +64,10 @@ def close_mora_gaps(moras: DataFrame, tokens: DataFrame) -> tuple[DataFrame, Dat
 
 
 def upper_median(rows: DataFrame, keys: list[str], value: str, default: int = 200) -> DataFrame:
-    """Per key, the upper middle of the positive values, or the default where there is none."""
-    ordered = F.sort_array(F.collect_list(F.when(F.col(value) > 0, F.col(value))))
-    return rows.groupBy(*keys).agg(ordered.alias("__v")).select(*keys, F.coalesce(F.get("__v", F.floor(F.size("__v") / 2).cast("int")), F.lit(default)).cast("long").alias("median"))
+    """Per key, the upper middle of the positive whole numbers, or the default where there is none. Values are
+    counted before they are shuffled, so a key holds a count for each different one, not its rows."""
+    middle = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN `{value}` > 0 THEN `{value}` END DESC)")
+    return rows.groupBy(*keys).agg(F.coalesce(middle, F.lit(default)).cast("long").alias("median"))
 
 
 def assign_observations(obs: DataFrame, windows: DataFrame, bin_ms: int = 10_000) -> DataFrame:

@@ -137,6 +137,26 @@ def stream_traces(events: DataFrame, within_ms: int = 7_200_000, delay: str = "1
     return rows.groupBy(*TRACE_KEY).transformWithStateInPandas(_Traces(within_ms), shape, "append", "eventTime")
 
 
+def stream_run_timings(
+    events: DataFrame, queued: str = "job.queued", assigned: str = "worker.assigned", ended: tuple[str, ...] = ("worker.released", "worker.failed"),
+    within: str = "2 hours", delay: str = "10 minutes",
+) -> DataFrame:
+    """Assignments (reference_id, assigned_id, wait_ms, run_ms) of events (reference_id, id, event, ts), as run_timings
+    has them, from the marks that lie `within` their time on either side. Two sides of one stream meet by an
+    interval join, both with a watermark, so state is bounded by `within` and `delay`; rows later than the watermark
+    are dropped, and an assignment comes out when the watermark has passed what could change it."""
+    marks = events.where(F.col("event").isin(queued, assigned, *ended)).withWatermark("ts", delay)
+    runs = marks.where(F.col("event") == assigned).select(F.col("reference_id").alias("ref"), F.col("id").alias("assigned_id"), F.col("ts").alias("at"))
+    near = marks.select("reference_id", "id", "event", F.col("ts").alias("mark_ts"))
+    reach = F.expr(f"INTERVAL {within}")
+    met = runs.join(near, (F.col("ref") == F.col("reference_id")) & (F.col("mark_ts") >= F.col("at") - reach) & (F.col("mark_ts") <= F.col("at") + reach) & (F.col("id") != F.col("assigned_id")), "leftOuter")
+    before = (F.col("mark_ts") < F.col("at")) | ((F.col("mark_ts") == F.col("at")) & (F.col("id") < F.col("assigned_id")))
+    after = F.when(~before, F.struct("mark_ts", "id", "event"))
+    found = met.groupBy("ref", "assigned_id", "at").agg(F.max(F.when(before & (F.col("event") == queued), F.col("mark_ts"))).alias("queued_at"), F.min(after).alias("next"))
+    run = F.when(F.col("next.event").isin(*ended), F.unix_millis("next.mark_ts") - F.unix_millis("at"))
+    return found.select(F.col("ref").alias("reference_id"), "assigned_id", (F.unix_millis("at") - F.unix_millis("queued_at")).alias("wait_ms"), run.alias("run_ms"))
+
+
 def stream_dedup(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The first request of each client_submission_id within the watermark's delay."""
     return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["client_submission_id"])
