@@ -347,6 +347,15 @@ def push_lines(lines: DataFrame, least_ms: int = 100) -> DataFrame:
     return rows.withColumn("__end", end).withColumns({"end_ms": F.col("__end"), "start_ms": F.col("__end") - F.col("__d")}).select(*lines.columns)
 
 
+def push_timeline(lines: DataFrame, tokens: DataFrame, moras: DataFrame, least_ms: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """push_lines with the lines' tokens and moras, which move by as much as their line; their ends are not before
+    their starts."""
+    pushed = push_lines(lines, least_ms)
+    moved = lines.select(*LINE, F.col("start_ms").alias("__from")).join(pushed.select(*LINE, F.col("start_ms").alias("__to")), LINE).select(*LINE, (F.col("__to") - F.col("__from")).alias("__by"))
+    shift = lambda rows: rows.join(moved, LINE).withColumns({"end_ms": F.greatest("start_ms", "end_ms") + F.col("__by"), "start_ms": F.col("start_ms") + F.col("__by")}).select(*rows.columns)
+    return pushed, shift(tokens), shift(moras)
+
+
 def timeline_violations(lines: DataFrame, tokens: DataFrame, moras: DataFrame | None = None) -> DataFrame:
     """One row (song_id, line_idx, problem) for every overlap, inverted line and token outside its line. With
     moras (reading), of tokens (reading) also for every mora outside its token, and for every token whose

@@ -168,6 +168,22 @@ add("push_lines", lambda s, d: iv.push_lines(lines(s, d).withColumn("end_ms", F.
     oracle("""r AS (SELECT song_id, line_idx, start_ms AS s, CASE WHEN end_ms + 9000 * (line_idx % 3) > start_ms THEN end_ms + 9000 * (line_idx % 3) - start_ms ELSE 100 END AS d FROM gap_lines),
         c AS (SELECT *, CAST(sum(d) OVER (PARTITION BY song_id ORDER BY line_idx) AS BIGINT) AS c FROM r),
         e AS (SELECT *, c + greatest(0, max(s - (c - d)) OVER (PARTITION BY song_id ORDER BY line_idx)) AS e FROM c) SELECT song_id, line_idx, e - d AS start_ms, e AS end_ms FROM e""", "gap_lines"))
+
+
+def _pushed(s, d):
+    """Tokens and moras of pushed lines: two of each a line, the second token's end before its start."""
+    ls = lines(s, d).withColumn("end_ms", F.col("end_ms") + 9000 * (F.col("line_idx") % 3))
+    ts = ls.selectExpr("song_id", "line_idx", "inline(array(struct(0L AS token_idx, start_ms AS start_ms, start_ms + 50 AS end_ms), struct(1L AS token_idx, start_ms + 50 AS start_ms, start_ms + 20 AS end_ms)))")
+    ms = ts.selectExpr("song_id", "line_idx", "token_idx", "0L AS mora_idx", "start_ms + 7 AS start_ms", "end_ms + 9 AS end_ms")
+    _, t, m = iv.push_timeline(ls, ts, ms)
+    return t.withColumn("mora_idx", F.lit(-1).cast("long")).unionByName(m)
+
+
+add("push_timeline", _pushed,
+    oracle("""r AS (SELECT song_id, line_idx, start_ms AS s, CASE WHEN end_ms + 9000 * (line_idx % 3) > start_ms THEN end_ms + 9000 * (line_idx % 3) - start_ms ELSE 100 END AS d FROM gap_lines),
+        c AS (SELECT *, CAST(sum(d) OVER (PARTITION BY song_id ORDER BY line_idx) AS BIGINT) AS c FROM r),
+        e AS (SELECT *, c + greatest(0, max(s - (c - d)) OVER (PARTITION BY song_id ORDER BY line_idx)) - d AS a FROM c)
+        SELECT song_id, line_idx, CAST(unnest([0, 0, 1, 1]) AS BIGINT) AS token_idx, CAST(unnest([-1, 0, -1, 0]) AS BIGINT) AS mora_idx, a + unnest([0, 7, 50, 57]) AS start_ms, a + unnest([50, 59, 50, 57]) AS end_ms FROM e""", "gap_lines"))
 _SLOTS = """a AS (SELECT *, CAST(coalesce(start_ms - lag(end_ms) OVER w > 6166, false) AS BIGINT) AS new FROM gap_lines WINDOW w AS (PARTITION BY song_id ORDER BY line_idx)),
     b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY song_id ORDER BY line_idx) AS BIGINT) AS paragraph FROM a),
     c AS (SELECT *, row_number() OVER v - 1 AS place, first_value(start_ms) OVER v AS head FROM b WINDOW v AS (PARTITION BY song_id, paragraph ORDER BY line_idx)),
