@@ -314,9 +314,30 @@ def align_corpus(lines: DataFrame, tokens: DataFrame, segments: DataFrame, words
     }, verdict.where("reason is not null")
 
 
-def align_from_spans(tokens: DataFrame, targets: DataFrame, spans: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Timelines from acoustic spans (song_id, seq, start_ms, end_ms, score) of target moras: validated, put
-    together and closed; rejects (song_id, reason)."""
+def spans_in_song(targets: DataFrame, spans: DataFrame, activity: DataFrame) -> DataFrame:
+    """Spans (song_id, seq, start_ms, end_ms, score) that were heard on the packed coarse ranges of activity (song_id,
+    kind coarse or fine, range_idx, start_s, end_s), in the time of the song: unpacked, then a line's first start
+    and last end set by the ranges as fix_line_starts and fix_line_ends say. targets: song_id, line_idx, seq."""
+    ends = spans.select("song_id", "seq", F.explode(F.map_from_arrays(F.array(F.lit("start_ms"), F.lit("end_ms")), F.array(F.col("start_ms").cast("double"), F.col("end_ms").cast("double")))).alias("edge", "packed_ms"))
+    coarse = activity.where("kind = 'coarse'")
+    wide = iv.unpack_times(ends, coarse).groupBy("song_id", "seq").agg(*[F.max(F.when(F.col("edge") == c, F.col("source_ms"))).alias(c) for c in ("start_ms", "end_ms")])
+    wide = settle(targets.select("song_id", "line_idx", "seq").join(wide, ["song_id", "seq"]), "song-spans")
+    edge = lambda f, by: f(F.struct("seq", "start_ms", "end_ms"), "seq").alias(by)
+    lines = wide.groupBy("song_id", "line_idx").agg(edge(F.min_by, "a"), edge(F.max_by, "z"))
+    lines = lines.select("song_id", "line_idx", F.col("a.start_ms").alias("start_ms"), F.col("a.end_ms").alias("first_end_ms"), F.col("z.end_ms").alias("end_ms"), F.col("a.seq").alias("first_seq"), F.col("z.seq").alias("last_seq"), F.col("z.start_ms").alias("last_start_ms"))
+    lines = iv.fix_line_starts(lines, activity)
+    lines = lines.withColumn("last_start_ms", F.when(F.col("first_seq") == F.col("last_seq"), F.col("start_ms")).otherwise(F.col("last_start_ms")))
+    fixed = iv.fix_line_ends(lines, activity).select("song_id", "line_idx", F.col("start_ms").alias("__s"), F.col("end_ms").alias("__e"), "first_seq", "last_seq")
+    start, end = F.when(F.col("seq") == F.col("first_seq"), F.col("__s")).otherwise(F.col("start_ms")), F.when(F.col("seq") == F.col("last_seq"), F.col("__e")).otherwise(F.col("end_ms"))
+    moved = wide.join(fixed, ["song_id", "line_idx"]).select("song_id", "seq", start.alias("start_ms"), end.alias("end_ms"))
+    return moved.join(spans.select("song_id", "seq", "score"), ["song_id", "seq"])
+
+
+def align_from_spans(tokens: DataFrame, targets: DataFrame, spans: DataFrame, activity: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Timelines from acoustic spans (song_id, seq, start_ms, end_ms, score) of target moras: with activity taken back
+    to the song's time (see spans_in_song), validated, put together and closed; rejects (song_id, reason)."""
+    if activity is not None:
+        spans = spans_in_song(targets, spans, activity)
     met = targets.join(spans, ["song_id", "seq"])
     expected = targets.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"))
     met = settle(met, "span-moras")
