@@ -46,8 +46,10 @@ class _Throttle(StatefulProcessor):
         pass
 
 
-def stream_throttle(events: DataFrame, every_ms: int, key: tuple[str, ...] = THROTTLE_KEY, ttl_ms: int | None = None) -> DataFrame:
-    """Per key, rows at least every_ms (of created_at milliseconds) after the last one let through."""
+def stream_throttle(events: DataFrame, every_ms: int, key: tuple[str, ...] = THROTTLE_KEY, ttl_ms: int | None = 86_400_000) -> DataFrame:
+    """Per key, rows at least every_ms (of created_at milliseconds) after the last one let through. A key that lets
+    nothing through for ttl_ms of processing time is forgotten (a day, which should exceed every_ms by far); None
+    keeps every key for ever."""
     return events.groupBy(*key).transformWithStateInPandas(_Throttle(every_ms, ttl_ms, key, events.columns), events.schema, "append", "processingTime" if ttl_ms else "none")
 
 
