@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from ipaddress import ip_network
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.shared import small_batches
 from .events import DAY_MS, retain_events, rows_before
 
 # fixed values: statuses
@@ -200,16 +204,51 @@ def stale_sessions(files: DataFrame, cutoff) -> DataFrame:
     return files.groupBy("ticket_id").agg(F.max("mtime").alias("last_activity")).where(F.col("last_activity") < cutoff)
 
 
+def content_digests(chunks: DataFrame) -> DataFrame:
+    """Rows (ticket_id, sha256): the digest of a session's chunks (ticket_id, chunk_index, size_bytes, content) one
+    after the other. Of several rows of a chunk the largest counts, then the one whose content sorts first; rows
+    without content add nothing, rows without a number come last as one chunk. A session is read in order by one
+    task, since the digest is a fold, but only a batch of it is held; sessions share their task with others."""
+    small_batches(chunks.sparkSession)
+    kind = chunks.schema["ticket_id"].dataType.simpleString()
+    placed = chunks.select("ticket_id", "chunk_index", "size_bytes", "content").repartition("ticket_id").sortWithinPartitions(
+        "ticket_id", F.col("chunk_index").asc_nulls_last(), F.desc_nulls_last("size_bytes"), F.col("content").asc_nulls_last())
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ticket = chunk = object()
+        digest = None
+        for batch in batches:
+            done: list[tuple] = []
+            for t, c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if t != ticket:
+                    if digest is not None:
+                        done.append((ticket, digest.hexdigest()))
+                    ticket, chunk, digest = t, object(), hashlib.sha256()
+                if c != chunk:
+                    chunk = c
+                    if x.is_valid:
+                        digest.update(x.as_buffer())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], batch.schema.field(0).type), pa.array([d[1] for d in done], pa.string())], ["ticket_id", "sha256"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([ticket], batch.schema.field(0).type), pa.array([digest.hexdigest()], pa.string())], ["ticket_id", "sha256"])
+
+    return placed.select("ticket_id", "chunk_index", F.col("content").cast("binary").alias("content")).mapInArrow(fold, f"ticket_id {kind}, sha256 string")
+
+
 def assemble_sessions(sessions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per session: chunks, total_bytes, complete (every chunk of the planned size, once, and nothing else)
-    and, where chunks have content, sha256 of their content in order."""
-    seen = chunks.groupBy("ticket_id", "chunk_index").agg(F.max("size_bytes").alias("size_bytes"), *([F.first("content").alias("content")] if "content" in chunks.columns else []))
+    and, where chunks have content, sha256 of their content in order (see content_digests); a session that got
+    none has the digest of nothing."""
+    seen = chunks.groupBy("ticket_id", "chunk_index").agg(F.max("size_bytes").alias("size_bytes"))
     both = chunk_plan(sessions).join(seen, ["ticket_id", "chunk_index"], "full_outer")
-    aggs = [F.count("size_bytes").alias("chunks"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"), F.bool_and(F.coalesce(F.col("size_bytes") == F.col("expected_bytes"), F.lit(False))).alias("complete")]
-    if "content" in chunks.columns:
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: F.hex(x["content"]))
-        aggs.append(F.sha2(F.unhex(F.array_join(ordered, "")), 256).alias("sha256"))
-    return both.groupBy("ticket_id").agg(*aggs)
+    out = both.groupBy("ticket_id").agg(
+        F.count("size_bytes").alias("chunks"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"), F.bool_and(F.coalesce(F.col("size_bytes") == F.col("expected_bytes"), F.lit(False))).alias("complete")
+    )
+    if "content" not in chunks.columns:
+        return out
+    made = content_digests(chunks).withColumnRenamed("ticket_id", "__ticket")
+    return out.join(made, F.col("ticket_id").eqNullSafe(F.col("__ticket")), "left").withColumn("sha256", F.coalesce("sha256", F.sha2(F.lit(""), 256))).drop("__ticket")
 
 
 def select_route(snapshots: DataFrame, model_bytes: int) -> DataFrame:

@@ -191,5 +191,14 @@ add("chunk_plan", lambda s, d: queues.chunk_plan(_sessions(s, d)[0]),
     oracle(_SESSIONS + " SELECT ticket_id, chunk_index, CASE WHEN chunk_index = 6 THEN 8192 - ticket_id % 8000 ELSE 8192 END AS expected_bytes FROM p", "upload_tickets"))
 add("stale_sessions", lambda s, d: queues.stale_sessions(_sessions(s, d)[1], 900_000_000_000),
     oracle(_SESSIONS + " SELECT ticket_id, max(mtime) AS last_activity FROM c GROUP BY ticket_id HAVING max(mtime) < 900000000000", "upload_tickets"))
-add("assemble_sessions", lambda s, d: queues.assemble_sessions(*_sessions(s, d)).select("ticket_id", "chunks", "complete"),
-    oracle(_SESSIONS + """ SELECT ticket_id, count(DISTINCT chunk_index) AS chunks, count(DISTINCT chunk_index) FILTER (chunk_index < 7) = 7 AND max(chunk_index) < 7 AS complete FROM c GROUP BY ticket_id""", "upload_tickets"))
+def _uploads(s, d):
+    """The same chunks with content: the row's id, repeated."""
+    sessions, chunks = _sessions(s, d)
+    content = adapt(s, d, "upload_tickets").selectExpr("job_id AS ticket_id", "cast(id % 20 as long) AS chunk_index", "case when id % 20 = 6 then 8192 - job_id % 8000 else cast(8192 as long) end AS size_bytes", "encode(repeat(concat(cast(id as string), ';'), cast(1 + id % 50 as int)), 'utf-8') AS content")
+    return sessions, content
+
+
+add("assemble_sessions", lambda s, d: queues.assemble_sessions(*_uploads(s, d)).select("ticket_id", "chunks", "total_bytes", "complete", "sha256"),
+    oracle("""x AS (SELECT job_id AS ticket_id, id % 20 AS chunk_index, CASE WHEN id % 20 = 6 THEN 8192 - job_id % 8000 ELSE 8192 END AS size_bytes, repeat(CAST(id AS VARCHAR) || ';', CAST(1 + id % 50 AS INTEGER)) AS content FROM upload_tickets),
+        k AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY ticket_id, chunk_index ORDER BY size_bytes DESC, content) = 1)
+        SELECT ticket_id, count(*) AS chunks, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, count(*) FILTER (chunk_index < 7) = 7 AND max(chunk_index) < 7 AS complete, sha256(string_agg(content, '' ORDER BY chunk_index)) AS sha256 FROM k GROUP BY ticket_id""", "upload_tickets"))

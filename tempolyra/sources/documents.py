@@ -94,7 +94,7 @@ def timeline_summary(lines: DataFrame, timelines_: DataFrame) -> DataFrame:
 
 def fallback_runs(timelines_: DataFrame) -> DataFrame:
     """Songs whose warnings tell of a fallback, with those warnings joined."""
-    hit = F.filter("warnings", lambda w: w.contains("fallback") | w.contains("unavailable"))
+    hit = F.filter("warnings", lambda w: F.lower(w).contains("fallback") | F.lower(w).contains("unavailable"))
     return timelines_.where(F.size(hit) > 0).select("song_id", F.array_join(hit, "; ").alias("fallback"))
 
 
