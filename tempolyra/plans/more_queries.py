@@ -10,6 +10,7 @@ from ..operators import intervals as iv
 from ..operators import subtitles as st
 from .adapters import adapt, oracle
 from .catalog import ORACLES, QUERIES
+from .corpus import build_timelines
 from .song_queries import _surfaces, lines, moras
 
 
@@ -94,8 +95,8 @@ add("target_moras", lambda s, d: align.target_moras(_surfaces(s, d)[1].withColum
         SELECT song_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) - 1 AS BIGINT) AS last FROM m GROUP BY song_id HAVING sum(n) > 0""", "song_lines"))
 
 
-def _align(s, d):
-    """Every turn of a conversation as a song: segments of nine words, timed by the words' places; lines of six
+def _turns(s, d):
+    """Lines, tokens, segments, words and durations: every turn of a conversation as a song: segments of nine words, timed by the words' places; lines of six
     words, whose reading leaves out each seventh word of the turn."""
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
     turns = table(s, d, "conversations").select((F.col("conv_id") * 1000 + place).cast("long").alias("song_id"), "text")
@@ -103,11 +104,25 @@ def _align(s, d):
     segs = w.groupBy("song_id", "seg_idx").agg(F.lit("").alias("text"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     tokens = w.where("word_idx % 7 <> 6").selectExpr("song_id", "word_idx div 6 AS line_idx", "word_idx AS token_idx", "text AS surface", "text AS reading")
     ls = edits.joined_reading(tokens).withColumn("surface", F.col("reading"))
-    out, _ = align.align_corpus(ls, tokens, segs, w, segs.groupBy("song_id").agg(F.max("end_ms").alias("duration_ms")))
-    return out["lines"].select("song_id", "line_idx", "start_ms", "end_ms")
+    return ls, tokens, segs, w, segs.groupBy("song_id").agg(F.max("end_ms").alias("duration_ms"))
 
 
-add("align_corpus", _align)
+def _corpus(s, d):
+    """The whole run over all turns. Every second one is reviewed, which adds a mora to each fifth token; reviews of
+    every sixth lost their first line. Every fourth has acoustic spans, of 100 ms a mora, and every eighth a stamp
+    for its first line."""
+    ls, tokens, *heard = _turns(s, d)
+    read = F.when(F.col("token_idx") % 5 == 0, F.concat("reading", F.lit("a"))).otherwise(F.col("reading"))
+    reviewed = tokens.where("song_id % 2 = 0").withColumn("reading", read)
+    spans = align.target_moras(reviewed.where("song_id % 4 = 0")).selectExpr("song_id", "seq", "seq * 100 AS start_ms", "seq * 100 + 100 AS end_ms", "(seq % 5 + 5) / 10D AS score")
+    stamps = ls.where("song_id % 8 = 0 and line_idx = 0").selectExpr("song_id", "line_idx", "5000L AS stamp_ms")
+    out, rejects = build_timelines(ls, tokens, *heard, spans, stamps, reviewed.where("song_id % 6 <> 0 or line_idx > 0"))
+    timed = out["summaries"].join(out["timelines"].select("song_id", "engine", F.array_join("warnings", ";").alias("warnings")), "song_id").join(out["fallbacks"], "song_id", "left")
+    return timed.withColumn("reason", F.lit(None).cast("string")).unionByName(rejects, allowMissingColumns=True)
+
+
+add("align_corpus", lambda s, d: align.align_corpus(*_turns(s, d))[0]["lines"].select("song_id", "line_idx", "start_ms", "end_ms"))
+add("build_timelines", _corpus)
 add("align_from_spans", lambda s, d: align.align_from_spans(moras(s, d).select(*iv.TOKEN).distinct(), moras(s, d).select(*iv.TOKEN, "mora_idx", "seq", "reading"), moras(s, d).select("song_id", "seq", "start_ms", "end_ms", "score"))[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
 add("ruby_placements", lambda s, d: ruby.ruby_placements(_surfaces(s, d)[1].withColumnRenamed("surface", "said").withColumn("surface", F.concat(F.lit("今"), "said")).withColumn("reading", F.concat(F.lit("いま"), F.lower("said")))).groupBy("song_id", "line_idx").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("left")))
 add("render_karaoke", lambda s, d: st.render_karaoke(st.character_chunks(*_surfaces(s, d)[1:])))

@@ -2,6 +2,7 @@
 
 import pytest
 
+from tempolyra.plans import catalog, more_queries
 from tempolyra.plans.corpus import build_timelines
 
 TOKEN = "song_id long, line_idx long, token_idx long, surface string, reading string"
@@ -53,3 +54,21 @@ def test_songs_wait_for_their_review(spark):
         build_timelines(lines, tokens, *heard, require_review=True)
     empty, none = build_timelines(lines, tokens, *heard, review=review.limit(0), require_review=True)
     assert empty["lines"].count() == 0 and none.count() == 2
+
+
+def test_registered_run_tells_of_every_song(spark):
+    """Songs by the rules of the query: a row each, refused where the review lost a line, by spans where there are."""
+    sf = "/root/testdata/sf0.001"
+    lines = {r.song_id: r.n for r in more_queries._turns(spark, sf)[0].groupBy("song_id").agg({"*": "count"}).toDF("song_id", "n").collect()}
+    rows = catalog.QUERIES["build_timelines"](spark, sf).collect()
+    assert sorted(r.song_id for r in rows) == sorted(lines) and len(rows) > 20
+    for r in rows:
+        lost = r.song_id % 6 == 0 and lines[r.song_id] > 1
+        assert (r.reason == "line or token count differs") == lost, r
+        if r.reason is None:
+            assert r.lines == lines[r.song_id] and 0 <= r.least_confidence <= 1 and 0 <= r.confidence <= 1
+            stamped = "lrc_timing_applied" in r.warnings
+            assert stamped == (r.song_id % 8 == 0), r
+            if r.song_id % 4 == 0 and r.song_id % 6:
+                assert r.engine == "primary" and 0.5 <= r.confidence <= 0.9, r
+    assert {r.engine for r in rows} == {"primary", "fallback", None}
