@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import bit_filter, cut, flag_maybe, maybe_in, small_batches
 
 LENGTH, GRAM = 200, 32
-SEGMENT = 1 << 19  # window starts taken at once
-CHUNK = 1 << 20  # bytes of surroundings compared at once
+SEGMENT = 1 << 17  # window starts taken at once
+CHUNK = 1 << 18  # bytes of surroundings compared at once
 BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -54,7 +54,7 @@ class Digests:
 
     def __init__(self, data: np.ndarray):
         if len(Digests.power) < len(data) + 1:
-            Digests.power, Digests.inverse = _powers(max(2 * len(data) + 2, 1 << 16))
+            Digests.power, Digests.inverse = _powers(max(len(data) + len(data) // 4 + 2, 1 << 16))
         self.sums = np.zeros(len(data) + 1, _U)
         np.cumsum(Digests.table[data] * Digests.power[: len(data)], out=self.sums[1:])
 
@@ -118,7 +118,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = np.diff(np.append(first, len(lo)))
                 held.append([np.full(len(m), th), np.full(len(m), tc), gram[first], around[first], _pack(lo, hi, mid)[first], m])
                 size += len(m)
-                if size > 50_000:
+                if size > 20_000:
                     yield _batch("th tc gram around at m", *map(np.concatenate, zip(*held)))
                     held, size = [], 0
         if held:
@@ -133,10 +133,10 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             text, kinds = t.as_py(), kinds.values
             at = kinds.field("at").to_numpy()
             lo, hi, _ = _unpack(at)
-            for k in range(0, len(at), 20_000):
-                part = slice(k, k + 20_000)
+            for k in range(0, len(at), 2_000):
+                part = slice(k, k + 2_000)
                 data = pa.array([text[a:z] for a, z in zip(lo[part].tolist(), (hi[part] + LENGTH).tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(kinds.field(c).slice(k, 20_000) for c in names), data], [*names, "bytes"])
+                yield pa.RecordBatch.from_arrays([*(kinds.field(c).slice(k, 2_000) for c in names), data], [*names, "bytes"])
 
 
 def _windows(gram: np.ndarray, at: np.ndarray, data: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,8 +239,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of rows (gram, around, n, at, bytes): (gram, around, n, digest, start)."""
     for whole in batches:
-        for k in range(0, whole.num_rows, 2000):
-            b = whole.slice(k, 2000)
+        for k in range(0, whole.num_rows, 500):
+            b = whole.slice(k, 500)
             gram, around, n, at = (b.column(k).to_numpy() for k in range(4))
             data = b.column(4).to_pylist()
             size = np.fromiter(map(len, data), np.int64, len(data))

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tempolyra.llm.queries import QUERIES
@@ -108,3 +110,21 @@ def test_query(spark):
     assert len(got) == len(docs)
     for r, w in zip(docs, brute([r.text for r in docs])):
         assert got[r.doc_id] == (*w[:3], hashlib.sha256(w[3]).hexdigest()), r.doc_id
+
+
+def test_memory_of_workers():
+    """What a Python worker holds besides its batches is bounded: a long text's blocks, and the comparison of many blocks."""
+    import tempolyra.llm.suffix_dedup as m
+
+    rng = random.Random(4)
+    text = rng.randbytes(3_000_000)
+    n = 20_000
+    cols = [[k // 4 for k in range(n)], list(range(n)), [1] * n, [80] * n, [rng.randbytes(280) for _ in range(n)]]
+    kinds = pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 4 else pa.int64()) for k, c in enumerate(cols)], ["gram", "around", "n", "at", "bytes"])
+    m.Digests.power = m.Digests.inverse = m.Digests.power[:0]
+    for run in (lambda: [len(b[0]) for b in blocks(text)], lambda: [b.num_rows for b in m._compare(iter([kinds]))]):
+        tracemalloc.start()
+        run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 30_000_000
