@@ -15,7 +15,9 @@ most_kinds kinds, windows are compared by 64 bits besides the block's.)
 
 Scale: equal texts are taken once (their windows all repeat). Blocks are computed once and written;
 counts of kinds and of blocks are combined before they are shuffled, so a passage that stands in a third
-of all texts is one row a task, and a run of one period within a text is one row. Only kinds that are to
+of all texts is one row a task, and a run of one period within a text is one row. Blocks that stand once
+are counted by their digest alone and go no further, but for some that a bounded filter lets through.
+Only kinds that are to
 be compared send their bytes, once each, however often they occur. Texts move only where bounded filters
 say that something in them is compared or repeats. Memory follows a segment of a text, or most_kinds
 surroundings.
@@ -126,8 +128,8 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (text, kinds array<struct<gram, around, n, at>>), gives (gram, around, n, at, bytes)."""
-    names = ["gram", "around", "n", "at"]
+    """Reads (text, kinds array<struct<gram, around, n, at, hot>>), gives (gram, around, n, at, hot, bytes)."""
+    names = ["gram", "around", "n", "at", "hot"]
     for b in batches:
         for t, kinds in zip(b.column(0).cast(pa.binary()), b.column(1)):
             text, kinds = t.as_py(), kinds.values
@@ -253,26 +255,27 @@ def repeated_ranges(texts: DataFrame, most_kinds: int = 5000) -> DataFrame:
     in windows of LENGTH bytes which start more than once. Blocks with up to most_kinds kinds are compared
     as a group, the others by counting; the rows are the same either way."""
     found = cut(texts.select("th", "tc", "text").mapInArrow(_block_rows, "th bigint, tc bigint, gram bigint, around bigint, at bigint, m bigint"), "blocks")
-    kinds = cut(found.groupBy("gram", "around").agg(F.sum("m").alias("n"), F.min(F.struct("th", "tc", "at")).alias("first")), "kinds")
+    # most blocks stand once and have nothing to be compared with
+    twice = found.groupBy("gram").agg(F.sum("m").alias("n")).where("n > 1")
+    some = maybe_in(found, F.col("gram"), cut(bit_filter(twice, F.col("gram")), "twice-filter"))
+    kinds = cut(some.groupBy("gram", "around").agg(F.sum("m").alias("n"), F.min(F.struct("th", "tc", "at")).alias("first")), "kinds")
     grams = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("once")).where("kinds > 1 and once > 0")
     grams = cut(grams.select("gram", (F.col("kinds") > most_kinds).alias("hot")), "grams")
     compared = maybe_in(kinds, F.col("gram"), cut(bit_filter(grams, F.col("gram")), "grams-filter")).join(grams, "gram")
     by_text = cut(
-        compared.groupBy("first.th", "first.tc").agg(F.collect_list(F.struct("gram", "around", "n", "first.at")).alias("kinds"), F.collect_list("hot").alias("hot")), "places"
+        compared.groupBy("first.th", "first.tc").agg(F.collect_list(F.struct("gram", "around", "n", "first.at", "hot")).alias("kinds")), "places"
     )
     moved = maybe_in(texts, F.col("th"), cut(bit_filter(by_text, F.col("th")), "places-filter")).join(by_text, ["th", "tc"])
-    split = lambda hot: F.transform(F.filter(F.arrays_zip("kinds", "hot"), lambda x: x["hot"] == hot), lambda x: x["kinds"])
-
-    def around(hot: bool) -> DataFrame:
-        some = moved.select("text", split(hot).alias("kinds")).where(F.size("kinds") > 0)
-        return some.mapInArrow(_surroundings, "gram bigint, around bigint, n bigint, at bigint, bytes binary")
-
+    around = moved.select("text", "kinds").mapInArrow(_surroundings, "gram bigint, around bigint, n bigint, at bigint, hot boolean, bytes binary")
+    any_hot = not grams.where("hot").isEmpty()
+    if any_hot:  # read twice: the texts move once
+        around = cut(around, "surroundings", compression="zstd")
     stretch = "array<struct<start: bigint, stop: bigint>>"
-    cold = around(False).repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, f"gram bigint, around bigint, stretches {stretch}")
+    cold = around.where("not hot").drop("hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, f"gram bigint, around bigint, stretches {stretch}")
     whole = kinds.where("n > 1").select("gram", "around", F.lit(None).cast(stretch).alias("stretches"))
     again = whole.unionAll(cold)
-    if not grams.where("hot").isEmpty():
-        windows = cut(around(True).mapInArrow(_hot_windows, "gram bigint, around bigint, n bigint, digest bigint, start bigint"), "hot-windows")
+    if any_hot:
+        windows = cut(around.where("hot").drop("hot").mapInArrow(_hot_windows, "gram bigint, around bigint, n bigint, digest bigint, start bigint"), "hot-windows")
         twice = windows.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "digest")
         single = windows.where("n = 1").join(twice, ["gram", "digest"], "left_semi")
         again = again.unionAll(single.groupBy("gram", "around").agg(F.collect_list(F.struct("start", (F.col("start") + LENGTH).alias("stop"))).alias("stretches")))

@@ -6,6 +6,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
+import tempolyra.llm.suffix_dedup as suffix_dedup
 from tempolyra.llm.queries import QUERIES
 from tempolyra.llm.suffix_dedup import LENGTH, blocks, remove_repeats
 
@@ -128,3 +129,24 @@ def test_memory_of_workers():
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert most < 30_000_000
+
+
+def test_single_blocks_stay_and_texts_move_once(spark, monkeypatch):
+    """Blocks that stand once are not grouped with their surroundings, and hot blocks do not move the texts again."""
+    made = {}
+
+    def cut(df, label, **options):
+        made[label] = real(df, label, **options)
+        return made[label]
+
+    real = suffix_dedup.cut
+    monkeypatch.setattr(suffix_dedup, "cut", cut)
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = prose(400)
+    texts = [prose(1500) for _ in range(40)] + [prose(300) + passage + prose(300) for _ in range(4)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most_kinds=2).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts)
+    assert made["blocks"].count() > 600
+    assert made["kinds"].count() < 60
+    assert made["surroundings"].where("hot").count() > 0
