@@ -67,9 +67,9 @@ def _leaf(line: Column, least_tokens: int, depth: int) -> Column:
     return F.element_at(F.transform(F.array(_tokens(line)), of), 1)
 
 
-def _meet(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """rows joined with a table of distinct keys, a hot key's rows dealt over SALTS shares."""
-    salt = F.pmod(F.xxhash64("id", "row_hash", "pos"), F.lit(SALTS)).cast("int")
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str], how: str, deal: tuple[str, ...] = ("id", "row_hash", "pos")) -> DataFrame:
+    """rows joined with a table of distinct keys, a hot key's rows dealt over SALTS shares by the columns deal."""
+    salt = F.pmod(F.xxhash64(*deal), F.lit(SALTS)).cast("int")
     spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", salt).join(spread, [*keys, "salt"], how).drop("salt")
 
@@ -125,28 +125,32 @@ def recurring_lines(
     leaves = cut(_recurring(some, "leaf", least_docs), "leaves")
     near = cut(_meet(maybe_in(some, F.col("leaf"), cut(bit_filter(leaves, F.col("leaf")), "leaf-filter")), leaves, ["leaf"], "left_semi"), "near-lines")
     bits = cut(bit_filter(near, F.col("row_hash")), "line-filter")
-    source = maybe_in(docs.select(F.col(id_col).alias("doc"), text_hash(F.col(text_col)).alias("doc_hash"), F.col(text_col).alias("raw")), F.col("doc_hash"), bits)
-    wanted = near.groupBy("id", "row_hash").agg(F.collect_set(F.struct("pos", "leaf", "own", "lo", "hi")).alias("at"))
+    # ids as structs, which are equal where both are null: one shuffle serves the repeats and the join
+    source = maybe_in(docs.select(F.struct(F.col(id_col).alias("id")).alias("doc"), text_hash(F.col(text_col)).alias("doc_hash"), F.col(text_col).alias("raw")), F.col("doc_hash"), bits)
+    wanted = near.groupBy(F.struct("id").alias("of"), "row_hash").agg(F.collect_set(F.struct("pos", "leaf", "own", "lo", "hi")).alias("at"))
     tokens = cut(
-        wanted.join(source.dropDuplicates(["doc", "doc_hash"]), F.col("id").eqNullSafe(F.col("doc")) & (F.col("row_hash") == F.col("doc_hash")))
-        .select("id", "row_hash", _lines(_plain_blanks(F.col("raw"))).alias("lines"), F.explode("at").alias("at"))
-        .select("id", "row_hash", "at.*", _masked(_tokens(F.get("lines", F.col("at.pos")))).alias("tokens")),
+        wanted.join(source.dropDuplicates(["doc", "doc_hash"]), (F.col("of") == F.col("doc")) & (F.col("row_hash") == F.col("doc_hash")))
+        .select("of.id", "row_hash", _lines(_plain_blanks(F.col("raw"))).alias("lines"), F.explode("at").alias("at"))
+        .select("id", "row_hash", "at.*", _masked(_tokens(F.get("lines", F.col("at.pos")))).alias("tokens"))
+        .withColumn("line", F.monotonically_increasing_id()),
         "near-tokens",
     )
-    placed = tokens.select("id", "row_hash", "pos", "leaf", "own", "lo", "hi", F.posexplode("tokens").alias("k", "token"))
+    placed = tokens.select("line", "leaf", "lo", F.posexplode("tokens").alias("k", "token")).where(F.col("token") != VARIABLE)
     constant = (
-        placed.where(F.col("token") != VARIABLE).groupBy("leaf", "k", "token", "lo").agg(F.lit(1).alias("one"))
-        .groupBy("leaf", "k", "token").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= least_docs).select("leaf", "k", "token", F.lit(True).alias("stays"))
+        placed.groupBy("leaf", "k", "token", "lo").agg(F.lit(1).alias("one"))
+        .groupBy("leaf", "k", "token").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= least_docs).select("leaf", "k", "token")
     )
+    # only places go on, and meet the tokens again by line
+    stays = _meet(placed.drop("lo"), constant, ["leaf", "k", "token"], "left_semi", ("line",)).groupBy("line").agg(F.sort_array(F.collect_list("k")).alias("kept"))
+    kept, n = F.size("kept"), F.size("tokens")
+    plain = F.size(F.filter("tokens", lambda t: t != VARIABLE))
+    # each place that stays after the variable ones before it; past the last, none
+    steps = F.arrays_zip(F.concat(F.array(F.lit(-1)), F.col("kept")), F.concat(F.col("kept"), F.array(n)))
+    filled = F.flatten(F.transform(steps, lambda x: F.concat(F.array_repeat(F.lit(VARIABLE), x["1"] - x["0"] - 1), F.array(F.get("tokens", x["1"])))))
     template = cut(
-        _meet(placed, constant, ["leaf", "k", "token"], "left")
-        .groupBy("id", "row_hash", "pos", "leaf", "own", "lo", "hi")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("k", F.when(F.col("stays"), F.col("token")).otherwise(VARIABLE).alias("t")))).alias("t"),
-            F.count_if("stays").alias("kept"), F.count_if(F.col("token") != VARIABLE).alias("plain"), F.count(F.lit(1)).alias("n"),
-        )
-        .where((F.col("kept") >= F.col("plain") * F.lit(alike)) & (F.col("kept") * 2 >= F.col("n")))
-        .select("id", "row_hash", "pos", "own", "lo", "hi", F.array_join(F.transform("t", lambda x: x["t"]), " ").alias("template")),
+        tokens.join(stays, "line")
+        .where((kept >= plain * F.lit(alike)) & (kept * 2 >= n))
+        .select("id", "row_hash", "pos", "own", "lo", "hi", F.array_join(filled, " ").alias("template")),
         "templates",
     )
     return _meet(template, _recurring(template, "template", least_docs), ["template"], "left_semi").select("id", "row_hash", "pos", "template")

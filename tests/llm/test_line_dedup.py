@@ -1,6 +1,7 @@
 import random
 
-from tempolyra.llm.line_dedup import drop_recurring_lines
+import tempolyra.llm.line_dedup as line_dedup
+from tempolyra.llm.line_dedup import drop_recurring_lines, recurring_lines
 from tempolyra.llm.queries import ORACLES, QUERIES
 from tests.oracle import compare
 
@@ -112,3 +113,34 @@ def test_odd_rows(spark):
 
 def test_oracle(spark):
     compare(QUERIES["op7_line_dedup"](spark, SF), ORACLES["op7_line_dedup"], SF)
+
+
+def test_texts_move_once(spark, monkeypatch):
+    """The texts of recurring lines are shuffled once for repeats and join, and token rows carry no columns of their line."""
+    plans = {}
+
+    def cut(df, label, **options):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, label, **options)
+
+    real = line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", cut)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        recurring_lines(spark.createDataFrame(corpus(), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans["near-tokens"].count("Exchange hashpartitioning") == 2
+    grouped = [x for x in plans["templates"].splitlines() if "collect_list" in x]
+    assert grouped and not any("row_hash" in x for x in grouped)
+
+
+def test_templates(spark):
+    """Tokens that stay keep their places, whatever varies before, between and after them; repeats of a row and
+    null ids count once."""
+    rows = [(k if k else None, f"alpha beta gamma x{'abcdefgh'[k]}y delta epsilon {k} zeta q{'abcdefgh'[k]}\nown words of number {'abcdefgh'[k] * 5} {'hgfedcba'[k] * 4} only") for k in range(8)]
+    got = recurring_lines(spark.createDataFrame(rows + rows[:2], "doc_id long, text string")).collect()
+    assert sorted((r.id is None, r.id, r.pos, r.template) for r in got if r.id is not None) == [(False, k, 0, "alpha beta gamma <*> delta epsilon <*> zeta <*>") for k in range(1, 8)]
+    assert {(r.pos, r.template) for r in got if r.id is None} == {(0, "alpha beta gamma <*> delta epsilon <*> zeta <*>")}
+    assert len(got) == 8
