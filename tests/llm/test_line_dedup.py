@@ -139,7 +139,7 @@ def test_texts_move_once(spark, monkeypatch):
 def test_templates(spark):
     """Tokens that stay keep their places, whatever varies before, between and after them; repeats of a row and
     null ids count once."""
-    rows = [(k if k else None, f"alpha beta gamma x{'abcdefgh'[k]}y delta epsilon {k} zeta q{'abcdefgh'[k]}\nown words of number {'abcdefgh'[k] * 5} {'hgfedcba'[k] * 4} only") for k in range(8)]
+    rows = [(k if k else None, f"alpha beta gamma x{'abcdefgh'[k]}y delta epsilon {k} zeta q{'abcdefgh'[k]}\n{'abcdefgh'[k] * 5} {'hgfedcba'[k] * 4} own words only") for k in range(8)]
     got = recurring_lines(spark.createDataFrame(rows + rows[:2], "doc_id long, text string")).collect()
     assert sorted((r.id is None, r.id, r.pos, r.template) for r in got if r.id is not None) == [(False, k, 0, "alpha beta gamma <*> delta epsilon <*> zeta <*>") for k in range(1, 8)]
     assert {(r.pos, r.template) for r in got if r.id is None} == {(0, "alpha beta gamma <*> delta epsilon <*> zeta <*>")}
