@@ -2,6 +2,7 @@
 
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from tempolyra.operators import characters
@@ -94,8 +95,8 @@ def test_files_of_lines_and_of_rows(spark):
     rows = st.dialogue_rows(layout, karaoke).select(*st.LINE, F.lit(1).alias("layer"), F.lit(0).cast("long").alias("seq"), "row").unionByName(st.ruby_rows(layout, rubies))
     want = sorted(st.ass_files(rows, "<base> <ruby>", st.auto_font_size(lines)).collect())
     assert sorted(st.fixed_slot_subtitles(lines, tokens, moras, "<base> <ruby>", rubies).collect()) == want
-    two = st.ass_files(st.layered_rows(st.slot_timings(lines), karaoke, rubies), "x")
-    assert sorted(st.two_slot_subtitles(lines, tokens, moras, "x", rubies).collect()) == sorted(two.collect())
+    two = st.ass_files(st.layered_rows(st.slot_timings(lines), karaoke, rubies), "<base> <ruby>")
+    assert sorted(st.two_slot_subtitles(lines, tokens, moras, "<base> <ruby>", rubies).collect()) == sorted(two.collect())
 
 
 def _shuffled(spark, query):
@@ -110,9 +111,10 @@ def _shuffled(spark, query):
     return total() - before
 
 
-def test_fixed_slot_subtitles_shuffle_lines_only(spark):
-    n = catalog.QUERIES["line_chunks"](spark, SF).count()
-    assert _shuffled(spark, catalog.QUERIES["fixed_slot_subtitles"](spark, SF)) < 2 * n
+@pytest.mark.parametrize("name", ["fixed_slot_subtitles", "render_karaoke", "two_slot_subtitles", "line_chunks"])
+def test_lines_are_shuffled_and_not_their_characters(spark, name):
+    n = catalog.QUERIES["auto_font_size"](spark, SF).count(), catalog.QUERIES["uniform_chunks"](spark, SF).count()
+    assert _shuffled(spark, catalog.QUERIES[name](spark, SF)) < 2 * sum(n)
 
 
 def test_trimmed_ends(spark):
